@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The analysed workload reads complete statement exports and tables only: it has
+no watermark, event-time window, state or late-data rule.  Nothing lives here on
+purpose (see README, "Not built").
+"""
