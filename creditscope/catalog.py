@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from creditscope.config import PortfolioConfig
-from creditscope.plans import kpis, root_cause, state, trends
-from creditscope.sources.binding import bind_clean
+from creditscope.plans import clean, kpis, quality, root_cause, state, trends
+from creditscope.sources.binding import bind_clean, bind_raw
 
 CFG = PortfolioConfig()
 
@@ -27,6 +27,14 @@ def _cur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.account_current(_tables(spark, sf_dir), CFG)
 
 
+def _raw(spark: SparkSession, sf_dir: str):
+    return bind_raw(spark, _tables(spark, sf_dir))
+
+
+def _cleaned(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return clean.clean_all(_raw(spark, sf_dir)).tables[table]
+
+
 def _on_current(fn) -> Query:
     return lambda spark, sf_dir: fn(_cur(spark, sf_dir))
 
@@ -51,4 +59,12 @@ QUERIES: dict[str, Query] = {
     "monthly_trend": _on_tables(trends.monthly_trend),
     "roll_rates": _on_tables(trends.roll_rates),
     "vintage": _on_tables(trends.vintage),
+    "clean_regions": lambda s, d: clean.clean_reference(_raw(s, d)["regions"], "regions")[0],
+    "clean_card_products": lambda s, d: clean.clean_reference(_raw(s, d)["card_products"], "card_products")[0],
+    "clean_cardholders": lambda s, d: _cleaned(s, d, "cardholders"),
+    "clean_accounts": lambda s, d: _cleaned(s, d, "accounts"),
+    "clean_statements": lambda s, d: _cleaned(s, d, "monthly_statements"),
+    "quality_report": lambda s, d: quality.quality_report(_raw(s, d)),
+    "constraint_report": _on_tables(quality.check_constraints),
+    "table_counts": _on_tables(quality.table_counts),
 }

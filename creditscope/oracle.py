@@ -211,4 +211,95 @@ from classified group by from_bucket"""
 select cast(extract(year from open_date) as int) as vintage_year, count(*) as accounts,
   {pct(D30, 'count(*)')} as delinquency_rate_pct, {pct(CO, 'count(*)')} as charge_off_rate_pct
 from cb group by 1"""
+    q.update(cleaning_queries())
     return q
+
+
+# ---------------------------------------------------------------------------
+# Cleaning: expected clean rows and audit counts, stated with the modulus
+# predicates that put the faults into the raw layer (see sources/binding.py).
+# ---------------------------------------------------------------------------
+
+MEDIANS = """med as (
+  select quantile_cont(cast(age as double), 0.5) filter (where cardholder_id % 37 <> 0) as age_m,
+         quantile_cont(cast(annual_income as double), 0.5) filter (where cardholder_id % 33 <> 0) as inc_m
+  from cardholders),
+fill as (
+  select cast(case when age_m = floor(age_m) + 0.5
+                   then (case when cast(floor(age_m) as bigint) % 2 = 0 then floor(age_m) else floor(age_m) + 1 end)
+                   else round(age_m) end as int) as age_fill,
+         cast(round(cast(inc_m as decimal(38,10)), 2) as decimal(12,2)) as inc_fill
+  from med)"""
+
+
+def cleaning_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["clean_regions"] = with_clean() + "select region_id, region_name from regions"
+    q["clean_card_products"] = with_clean() + "select product_id, product_name, base_apr, annual_fee from card_products"
+    q["clean_cardholders"] = with_clean(MEDIANS) + """
+select cardholder_id,
+  case when cardholder_id % 37 = 0 then age_fill else age end as age,
+  case when cardholder_id % 33 = 0 then inc_fill else annual_income end as annual_income,
+  employment_status, region_id,
+  case when cardholder_id % 41 = 0 then 850 else fico_origination end as fico_origination,
+  case when cardholder_id % 43 = 0 then 0 else credit_history_months end as credit_history_months
+from cardholders, fill
+where cardholder_id % 211 <> 0"""
+    q["clean_accounts"] = with_clean() + """
+select account_id, cardholder_id, product_id, open_date, credit_limit from accounts
+where account_id % 53 <> 0 and cardholder_id % 211 <> 0"""
+    q["clean_statements"] = with_clean() + """
+select statement_id, s.account_id, statement_month, opening_balance, purchase_amount,
+  case when statement_id % 97 = 0 then cast(0 as decimal(12,2)) else payment_amount end as payment_amount,
+  ending_balance, minimum_due, days_past_due, charge_off_flag
+from monthly_statements s
+where s.account_id % 53 <> 0 and s.account_id % 211 <> 0"""
+    q["quality_report"] = with_clean() + """
+select 'regions' as table_name, 'rows_out' as check_name, count(*) as cnt from regions
+union all select 'card_products', 'rows_out', count(*) from card_products
+union all select 'cardholders', 'exact_duplicates_removed', 0
+union all select 'cardholders', 'missing_income_imputed', count(*) filter (where cardholder_id % 33 = 0) from cardholders
+union all select 'cardholders', 'impossible_ages_fixed', count(*) filter (where cardholder_id % 37 = 0) from cardholders
+union all select 'cardholders', 'employment_blanks_filled', count(*) filter (where employment_status = 'Unknown') from cardholders
+union all select 'cardholders', 'fico_out_of_range_clipped', count(*) filter (where cardholder_id % 41 = 0) from cardholders
+union all select 'cardholders', 'rows_out', count(*) from cardholders
+union all select 'cardholders', 'orphan_region_fk_dropped', count(*) filter (where cardholder_id % 211 = 0) from cardholders
+union all select 'accounts', 'duplicate_accounts_removed', count(*) filter (where account_id % 61 = 0) from accounts
+union all select 'accounts', 'nonpositive_limit_dropped', count(*) filter (where account_id % 53 = 0) from accounts
+union all select 'accounts', 'rows_out', count(*) filter (where account_id % 53 <> 0) from accounts
+union all select 'accounts', 'orphan_fk_dropped', count(*) filter (where account_id % 53 <> 0 and cardholder_id % 211 = 0) from accounts
+union all select 'monthly_statements', 'exact_duplicates_removed', count(*) filter (where statement_id % 101 = 0) from monthly_statements
+union all select 'monthly_statements', 'negative_payments_corrected',
+  count(*) filter (where statement_id % 89 = 0 and statement_id % 97 <> 0 and payment_amount > 0) from monthly_statements
+union all select 'monthly_statements', 'missing_payments_zeroed', count(*) filter (where statement_id % 97 = 0) from monthly_statements
+union all select 'monthly_statements', 'rows_out', count(*) from monthly_statements
+union all select 'monthly_statements', 'orphan_account_fk_dropped',
+  count(*) filter (where account_id % 53 = 0 or account_id % 211 = 0) from monthly_statements"""
+    q["table_counts"] = with_clean() + """
+select 'regions' as table_name, count(*) as rows from regions
+union all select 'card_products', count(*) from card_products
+union all select 'cardholders', count(*) from cardholders
+union all select 'accounts', count(*) from accounts
+union all select 'monthly_statements', count(*) from monthly_statements"""
+    q["constraint_report"] = with_clean() + constraint_sql()
+    return q
+
+
+def constraint_sql() -> str:
+    from creditscope.schema import CONSTRAINTS
+    parts = []
+    for c in CONSTRAINTS:
+        t = c.table
+        if c.kind == "not_null":
+            body = f"select count(*) filter (where {c.column} is null) from {t}"
+        elif c.kind == "check":
+            body = f"select count(*) filter (where not coalesce({c.sql}, true)) from {t}"
+        elif c.kind == "pk":
+            body = (f"select coalesce(sum(case when k is null then n else n - 1 end), 0) from "
+                    f"(select {c.column} as k, count(*) as n from {t} group by {c.column}) g")
+        else:
+            body = (f"select count(*) from {t} x where x.{c.column} is not null and not exists "
+                    f"(select 1 from {c.ref_table} p where p.{c.ref_column} = x.{c.column})")
+        parts.append(f"select '{t}' as table_name, '{c.name}' as constraint_name, "
+                     f"cast(({body}) as bigint) as violations")
+    return "\nunion all ".join(parts)
