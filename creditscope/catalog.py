@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from creditscope.config import PortfolioConfig
-from creditscope.plans import clean, kpis, quality, root_cause, state, trends
+from creditscope.operators.window import trim_after_event
+from creditscope.plans import clean, decision, kpis, models, quality, root_cause, state, trends
+from pyspark.sql import functions as F
 from creditscope.sources.binding import bind_clean, bind_raw
 
 CFG = PortfolioConfig()
@@ -67,4 +69,22 @@ QUERIES: dict[str, Query] = {
     "quality_report": lambda s, d: quality.quality_report(_raw(s, d)),
     "constraint_report": _on_tables(quality.check_constraints),
     "table_counts": _on_tables(quality.table_counts),
+    "behavior_segments": _on_current(models.behavior_segments),
+    "segment_assign": _on_current(models.segment_assign),
+    "delinquency_drivers": _on_current(models.delinquency_drivers),
+    "driver_features": _on_current(models.driver_features),
+    "cost_benefit": _on_current(decision.cost_benefit),
+    "headline_findings": lambda s, d: _headline(s, d),
+    "scored_sample": _on_current(decision.scored_sample),
+    "trim_after_event": lambda s, d: trim_after_event(
+        s.read.parquet(f"{d}/events.parquet"), ["user_id"], ["ts", "event_id"],
+        F.col("event_type") == "purchase"),
+    "statements_through_chargeoff": lambda s, d: trim_after_event(
+        _tables(s, d)["monthly_statements"], ["account_id"], ["statement_month", "statement_id"],
+        F.col("charge_off_flag") == 1),
 }
+
+
+def _headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return decision.headline_findings(t, state.account_current(t, CFG), cfg=CFG)

@@ -62,4 +62,4 @@ def trim_after_event(df: DataFrame, keys: Sequence[str], order: Sequence[str], f
            .filter(F.col("_n") == keep_events + 1)
            .select(*keys, F.struct(*[F.col(c) for c in order]).alias("_cut")))
     joined = df.join(cut, list(keys), "left")
-    return joined.filter(F.col("_cut").isNull() | (pos < F.col("_cut"))).drop("_cut")
+    return joined.filter(F.col("_cut").isNull() | (pos < F.col("_cut"))).select(*df.columns)

@@ -212,6 +212,7 @@ select cast(extract(year from open_date) as int) as vintage_year, count(*) as ac
   {pct(D30, 'count(*)')} as delinquency_rate_pct, {pct(CO, 'count(*)')} as charge_off_rate_pct
 from cb group by 1"""
     q.update(cleaning_queries())
+    q.update(model_and_decision_queries())
     return q
 
 
@@ -303,3 +304,141 @@ def constraint_sql() -> str:
         parts.append(f"select '{t}' as table_name, '{c.name}' as constraint_name, "
                      f"cast(({body}) as bigint) as violations")
     return "\nunion all ".join(parts)
+
+
+# ---------------------------------------------------------------------------
+# Models (deterministic parts) and decision layer.
+# ---------------------------------------------------------------------------
+
+SEG = ("utilization", "fico_origination", "annual_income", "credit_history_months", "days_past_due")
+CENTRES = ((-0.5, 1.0, 0.5, 0.3, -0.4), (-0.2, 0.0, -0.2, 1.2, -0.3),
+           (0.0, -0.5, -0.3, -0.6, -0.2), (2.0, -1.0, -0.5, -0.2, 2.5))
+SEGMENT_NAMES = ("Segment A - Lowest risk", "Segment B - Moderate", "Segment C - Elevated",
+                 "Segment D - Highest risk")
+HIGH_TIERS = "('Tier 3 - Elevated', 'Tier 4 - High Risk')"
+
+
+def _segment_assign() -> str:
+    f = ", ".join(f"cast({c} as double) as f_{c}" for c in SEG)
+    med = ", ".join(f"quantile_cont(f_{c}, 0.5) as m_{c}" for c in SEG)
+    fill = ", ".join(f"coalesce(f_{c}, m_{c}) as g_{c}" for c in SEG)
+    mom = ", ".join(f"avg(g_{c}) as mu_{c}, stddev_pop(g_{c}) as sd_{c}" for c in SEG)
+    z = ", ".join(f"(g_{c} - mu_{c}) / (case when sd_{c} is null or sd_{c} = 0 then cast(1 as double) else sd_{c} end) as z_{c}"
+                  for c in SEG)
+    dists = []
+    for i, centre in enumerate(CENTRES):
+        terms = " + ".join(f"(z_{c} - cast({v} as double)) * (z_{c} - cast({v} as double))" for c, v in zip(SEG, centre))
+        dists.append(f"{terms} as d{i}")
+    names = ", ".join(f"'{n}'" for n in SEGMENT_NAMES)
+    return _current(
+        f"base as (select account_id, utilization, fico_origination, annual_income, credit_history_months, "
+        f"days_past_due, days_past_due >= 30 as delinquent, {f} from cur)",
+        f"med as (select {med} from base)",
+        f"filled as (select base.*, {fill} from base, med)",
+        f"mom as (select {mom} from filled)",
+        f"z as (select filled.*, {z} from filled, mom)",
+        f"dist as (select z.*, {', '.join(dists)} from z)",
+        "assigned as (select *, cast(case when d0 <= d1 and d0 <= d2 and d0 <= d3 then 0 "
+        "when d1 <= d2 and d1 <= d3 then 1 when d2 <= d3 then 2 else 3 end as int) as cluster from dist)",
+        f"""prof as (select cluster, count(*) as accounts,
+  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization,
+  {avg_int('sum(fico_origination)', 'count(fico_origination)')} as avg_fico,
+  {ratio('round(sum(annual_income) * 100)', 'count(annual_income) * 100', 0, 0)} as avg_income,
+  {avg_int('sum(credit_history_months)', 'count(credit_history_months)')} as avg_history_months,
+  {pct('count(*) filter (where delinquent)', 'count(*)', 2)} as delinquency_rate
+  from assigned group by cluster)""") + f"""
+select *, list_extract([{names}],
+  cast(row_number() over (order by delinquency_rate asc nulls last, accounts desc, cluster) as int)) as segment
+from prof"""
+
+
+DRIVER_EXPR = {
+    "utilization": "least(greatest(utilization, cast(0 as double)), cast(2 as double))",
+    "thin_file": "cast(coalesce(thin_file, false) as double)",
+    "fico_origination": "cast(fico_origination as double)",
+    "log_income": "ln(greatest(cast(annual_income as double), cast(1 as double)))",
+    "age": "cast(age as double)",
+}
+
+
+def _driver_features() -> str:
+    cols = ", ".join(f"{e} as {d}" for d, e in DRIVER_EXPR.items())
+    parts = [f"select '{d}' as driver, count({d}) as n, {r_half_up(f'avg({d})', 6)} as mean, "
+             f"{r_half_up(f'stddev_pop({d})', 6)} as std from d" for d in DRIVER_EXPR]
+    return _current(f"""d as (select {cols} from cur where utilization is not null and fico_origination is not null
+  and annual_income is not null and age is not null)""") + "\nunion all ".join(parts)
+
+
+CB_AGG = f"""cbx as (select
+  coalesce(sum(ending_balance) filter (where risk_tier in {HIGH_TIERS} and charge_off_flag = 1), 0) as hco,
+  coalesce(sum(ending_balance) filter (where charge_off_flag = 1), 0) as co,
+  coalesce(sum(ending_balance) filter (where risk_tier not in {HIGH_TIERS} and charge_off_flag <> 1), 0) as lperf,
+  coalesce(sum(ending_balance) filter (where charge_off_flag <> 1), 0) as perf
+  from cur),
+cbr as (select cast(hco as {MONEY}) as high_risk_co_balance,
+  case when co = 0 then cast(0 as double) else {money_pct('hco', 'co', 1)} end as high_risk_tier_share_of_chargeoff_balance_pct,
+  {ratio('19', '100', 0, 2)} as cli_growth_share_assumption_pct,
+  case when co = 0 then cast(0 as double) else {ratio('round(hco * 100) * 19', 'round(co * 100) * 100', 1, 2)} end
+    as projected_chargeoff_exposure_reduction_pct,
+  {money_pct('lperf', 'perf', 1)} as low_risk_performing_balance_share_pct
+  from cbx)"""
+
+
+def _headline() -> str:
+    return _current(
+        f"""k as (select count(*) as accounts, cast(sum(ending_balance) as {MONEY}) as total_balance,
+  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization_pct,
+  {money_pct('sum(ending_balance)', 'sum(credit_limit)', 1)} as portfolio_utilization_pct,
+  {pct(D30, 'count(*)')} as delinquency_rate_30plus_pct,
+  {pct('count(*) filter (where days_past_due >= 60)', 'count(*)')} as delinquency_rate_60plus_pct,
+  {pct('count(*) filter (where days_past_due >= 90)', 'count(*)')} as delinquency_rate_90plus_pct,
+  {pct(CO, 'count(*)')} as charge_off_rate_pct,
+  cast(coalesce({COBAL}, 0) as {MONEY}) as charge_off_balance from cur)""",
+        f"""monthly as (select s.statement_month,
+  {pct('count(*) filter (where s.days_past_due >= 30)', 'count(*)')} as r
+  from monthly_statements s join accounts a using (account_id) group by s.statement_month)""",
+        """m as (select (select r from monthly order by statement_month limit 1) as delinquency_trend_start_pct,
+  (select r from monthly order by statement_month desc limit 1) as delinquency_trend_end_pct)""",
+        f"""bands as (select case when utilization <= 0.30 then 1 when utilization <= 0.60 then 2
+  when utilization <= 0.90 then 3 else 4 end as b, count(*) as n, {D30} as dl
+  from cur where utilization > -0.01 group by 1)""",
+        f"""u as (select {pct('dl', 'n', 2)} as high_util_band_delinquency_pct from bands order by b desc limit 1)""",
+        f"""f as (select
+  {pct('count(*) filter (where coalesce(thin_file, false) and days_past_due >= 30)', 'count(*) filter (where coalesce(thin_file, false))', 2)} as thin_file_delinquency_pct,
+  {pct('count(*) filter (where not coalesce(thin_file, false) and days_past_due >= 30)', 'count(*) filter (where not coalesce(thin_file, false))', 2)} as established_file_delinquency_pct
+  from cur)""",
+        f"""grid as (select case when utilization >= 0.60 then 'High util (>=60%)' else 'Lower util (<60%)' end
+  || ' + ' || case when thin_file then 'Thin file' else 'Established' end as worst_segment,
+  {pct(D30, 'count(*)')} as worst_segment_delinquency_pct from cur group by 1)""",
+        "w as (select * from grid order by worst_segment_delinquency_pct desc, worst_segment limit 1)",
+        CB_AGG) + """
+select k.*, m.*, u.*, f.*, w.*, cbr.high_risk_tier_share_of_chargeoff_balance_pct,
+  cbr.cli_growth_share_assumption_pct, cbr.projected_chargeoff_exposure_reduction_pct,
+  cbr.low_risk_performing_balance_share_pct
+from k, m, u, f, w, cbr"""
+
+
+def _trim(table: str, key: str, order: str, flag: str, cols: str) -> str:
+    return with_clean() + f"""
+select {cols} from (select *, sum(case when {flag} then 1 else 0 end) over (partition by {key} order by {order}
+  rows between unbounded preceding and current row) as run_n from {table}) x
+where run_n <= 1"""
+
+
+def model_and_decision_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["segment_assign"] = _segment_assign()
+    q["driver_features"] = _driver_features()
+    q["cost_benefit"] = _current(CB_AGG) + "select * from cbr"
+    q["headline_findings"] = _headline()
+    q["scored_sample"] = _current() + f"""
+select account_id, risk_tier, {r_half_up('utilization', 4)} as utilization, fico_origination, annual_income,
+  credit_history_months, thin_file, days_past_due, ending_balance, charge_off_flag, product_id, region_id
+from cur order by md5(cast(account_id as varchar) || '-42'), account_id limit 8000"""
+    q["trim_after_event"] = _trim("events", "user_id", "ts, event_id", "event_type = 'purchase'",
+                                  "event_id, ts, user_id, event_type, value, props")
+    q["statements_through_chargeoff"] = _trim(
+        "monthly_statements", "account_id", "statement_month, statement_id", "charge_off_flag = 1",
+        "statement_id, account_id, statement_month, opening_balance, purchase_amount, payment_amount, "
+        "ending_balance, minimum_due, days_past_due, charge_off_flag")
+    return q
