@@ -129,8 +129,9 @@ def ratio_half_up(num: Column, den: Column, digits: int, pow10: int = 0) -> Colu
     d = F.nullif(den.cast(big), F.lit(0).cast(big))
     scaled = F.abs(n) * F.lit(2 * 10 ** (digits + pow10)).cast(big) + F.abs(d)
     q = F.call_function("div", scaled, F.abs(d) * F.lit(2).cast(big))
-    sign = F.signum(n) * F.signum(d)
-    sign = F.when(sign == 0, F.lit(1.0)).otherwise(sign)
+    # Negative only for a non-zero result of opposite-signed inputs (no -0.0).
+    negative = (F.signum(n) * F.signum(d) < 0) & (q != 0)
+    sign = F.when(negative, F.lit(-1.0)).otherwise(F.lit(1.0))
     return (q.cast("double") * sign) / F.lit(float(10 ** digits))
 
 

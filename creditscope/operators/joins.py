@@ -19,10 +19,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_CAP) -> DataF
 def keep_referenced(df: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:
     """Rows whose ``key`` exists in ``parent`` (NULL keys are dropped)."""
     p = parent.select(F.col(parent_key or key).alias(key)).distinct()
-    return df.join(p, key, "left_semi")
+    return df.join(p, key, "left_semi").select(*df.columns)
 
 
 def orphans(df: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:
     """Rows whose ``key`` is NULL or missing from ``parent``."""
     p = parent.select(F.col(parent_key or key).alias(key)).distinct()
-    return df.join(p, key, "left_anti")
+    return df.join(p, key, "left_anti").select(*df.columns)

@@ -97,3 +97,24 @@ def exact_medians(df: DataFrame, cols: Sequence[str], key: Sequence[str],
             .groupBy("_col").agg(F.avg("_v").alias("_m")))
     return mids.groupBy().pivot("_col", list(range(len(cols)))).agg(F.first("_m")) \
         .toDF(*cols)
+
+
+# Above this many distinct values a histogram percentile is no longer safe in
+# one task; below it the exact histogram is cheaper than ranking.
+PERCENTILE_DISTINCT_CAP = 1_000_000
+
+
+def medians(df: DataFrame, cols: Sequence[str], key: Sequence[str], method: str = "auto",
+            distinct_cap: int = PERCENTILE_DISTINCT_CAP) -> DataFrame:
+    """One row with the exact median of each column (NULLs skipped).
+
+    ``percentile`` keeps a value histogram whose final merge happens in one
+    task; ``rank`` ranks distributedly.  ``auto`` checks an approximate distinct
+    count first and uses the histogram only when it is provably small.
+    """
+    if method == "auto":
+        counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+        method = "percentile" if max(counts[c] or 0 for c in cols) <= distinct_cap else "rank"
+    if method == "rank":
+        return exact_medians(df, cols, key)
+    return df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols])

@@ -1,0 +1,28 @@
+"""Partition sizing for iterative fits.
+
+MLlib runs one job per iteration; on a small frame the cost is scheduling, on
+a large one it is the scan.  The persisted feature frame is therefore narrowed
+to ceil(rows / rows_per_partition) partitions (never widened: a large frame
+keeps its parallelism).  The caller unpersists the returned frame.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+ROWS_PER_PARTITION = 100_000
+
+
+def persist_for_fit(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[DataFrame, int]:
+    base = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = base.count()
+    want = max(1, math.ceil(n / rows_per_partition))
+    if want >= base.rdd.getNumPartitions():
+        return base, n
+    narrowed = base.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
+    narrowed.count()
+    base.unpersist()
+    return narrowed, n

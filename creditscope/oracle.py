@@ -15,7 +15,7 @@ def ratio(num: str, den: str, digits: int, pow10: int = 2) -> str:
     """round(num/den * 10^pow10, digits), exact HALF_UP on integers, as DOUBLE."""
     n, d = f"cast({num} as hugeint)", f"cast(nullif({den}, 0) as hugeint)"
     q = f"((2 * abs({n}) * {10 ** (digits + pow10)} + abs({d})) // (2 * abs({d})))"
-    sign = f"(case when sign({n}) * sign({d}) < 0 then -1 else 1 end)"
+    sign = f"(case when sign({n}) * sign({d}) < 0 and {q} <> 0 then -1 else 1 end)"
     return f"(cast({q} as double) * {sign} / {10 ** digits})"
 
 

@@ -19,7 +19,7 @@ from creditscope.functions.exprs import (clip, fill_blank_text, is_blank_text, p
                                          parse_money, parse_number, round_half_even,
                                          round_half_up, title_case)
 from creditscope.operators.joins import bounded_broadcast, keep_referenced, orphans
-from creditscope.operators.ranking import exact_medians
+from creditscope.operators.ranking import medians
 from creditscope.operators.window import keep_first
 from creditscope.schema import MONEY, MONEY_COLS, TABLES
 
@@ -71,7 +71,7 @@ def clean_reference(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     return out, _audit(table, _count(out, "rows_out"), ["rows_out"])
 
 
-def clean_cardholders(raw: DataFrame, median_method: str = "rank") -> tuple[DataFrame, DataFrame]:
+def clean_cardholders(raw: DataFrame, median_method: str = "auto") -> tuple[DataFrame, DataFrame]:
     raw = with_position(raw)
     dedup = drop_exact_duplicates(raw)
     age = parse_number(F.col("age"), "double")
@@ -93,17 +93,14 @@ def clean_cardholders(raw: DataFrame, median_method: str = "rank") -> tuple[Data
         F.count_if(is_blank_text(F.col("_emp"))).alias("employment_blanks_filled"),
         F.count_if((F.col("_fico") < 300) | (F.col("_fico") > 850)).alias("fico_out_of_range_clipped"))) \
         .withColumn("exact_duplicates_removed", F.col("_raw") - F.col("rows_out"))
-    # Income has unbounded distinct values: exact rank-based median.  Age is
-    # bounded to 18..100 after the range rule, so a histogram percentile is exact
-    # and small.
-    if median_method == "rank":
-        inc_med = exact_medians(parsed, ["_income"], key=["cardholder_id", POS])
-    else:
-        inc_med = parsed.agg(F.percentile(F.col("_income").cast("double"), 0.5).alias("_income"))
-    medians = inc_med.select(round_half_up(F.col("_income"), 2).cast(MONEY).alias("_inc_fill")) \
+    # Income can have as many distinct values as rows: ``auto`` keeps the
+    # histogram percentile only when a distinct-count check bounds it, else ranks.
+    # Age is bounded to 18..100 after the range rule, so its histogram is tiny.
+    inc_med = medians(parsed, ["_income"], key=["cardholder_id", POS], method=median_method)
+    fills = inc_med.select(round_half_up(F.col("_income"), 2).cast(MONEY).alias("_inc_fill")) \
         .crossJoin(parsed.agg(F.percentile("_age", 0.5).alias("_age_med"))
                    .select(round_half_even(F.col("_age_med"), 0).alias("_age_fill")))
-    filled = _one_row_join(parsed, medians)
+    filled = _one_row_join(parsed, fills)
     out = filled.select(
         "cardholder_id",
         F.coalesce(F.col("_age"), F.col("_age_fill")).cast("int").alias("age"),
@@ -211,7 +208,7 @@ CHECK_ORDER = {
 }
 
 
-def clean_all(raw: Tables, median_method: str = "rank") -> Cleaned:
+def clean_all(raw: Tables, median_method: str = "auto") -> Cleaned:
     """All five tables in dependency order, then the integrity cascade.  The
     position column is dropped from the outputs."""
     regions, a1 = clean_reference(raw["regions"], "regions")

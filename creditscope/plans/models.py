@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 
 from creditscope.config import PortfolioConfig
 from creditscope.functions.exprs import half_up, rate, ratio_half_up, round_half_up
-from creditscope.operators.ranking import exact_medians
+from creditscope.operators.ranking import medians
+from creditscope.operators.sizing import persist_for_fit
 from creditscope.plans.kpis import count_if
 from creditscope.session import freeze
 
@@ -61,13 +61,16 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.drop(*[x for c in cols for x in (f"_mean_{c}", f"_sd_{c}", f"_n_{c}")])
 
 
-def segment_features(cur: DataFrame) -> DataFrame:
+def segment_features(cur: DataFrame, median_method: str = "auto") -> DataFrame:
     """Median-filled, standardised segmentation features, one row per account."""
-    base = cur.select("account_id", "utilization", "fico_origination", "annual_income",
-                      "credit_history_months", "days_past_due",
-                      (F.col("days_past_due") >= CFG.delinquent_dpd).alias("delinquent"),
-                      *[F.col(c).cast("double").alias(f"f_{c}") for c in SEGMENT_FEATURES])
-    med = exact_medians(base, [f"f_{c}" for c in SEGMENT_FEATURES], key=["account_id"])
+    # Several driver actions (distinct check, medians, moments, fits) read this
+    # narrow account-level frame: checkpoint it once instead of re-deriving the
+    # current state for each of them.
+    base = freeze(cur.select("account_id", "utilization", "fico_origination", "annual_income",
+                             "credit_history_months", "days_past_due",
+                             (F.col("days_past_due") >= CFG.delinquent_dpd).alias("delinquent"),
+                             *[F.col(c).cast("double").alias(f"f_{c}") for c in SEGMENT_FEATURES]))
+    med = medians(base, [f"f_{c}" for c in SEGMENT_FEATURES], key=["account_id"], method=median_method)
     med = med.select(*[F.col(f"f_{c}").alias(f"_med_{c}") for c in SEGMENT_FEATURES])
     filled = base.crossJoin(F.broadcast(med))  # one row: a proven bound
     for c in SEGMENT_FEATURES:
@@ -135,15 +138,17 @@ def behavior_segments(cur: DataFrame, k: int | None = None, restarts: int | None
     restarts = restarts or cfg.kmeans_restarts
     cols = [f"z_f_{c}" for c in SEGMENT_FEATURES]
     z = segment_features(cur)
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(z) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(z)
+    vec, _ = persist_for_fit(vec)
 
     def fit(seed: int):
         model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features",
                        predictionCol="cluster").fit(vec)
         return model.summary.trainingCost, seed, model
 
-    with ThreadPoolExecutor(max_workers=min(4, restarts)) as pool:
+    # Restarts are independent jobs over the same persisted frame: run them
+    # concurrently so their per-iteration scheduling overlaps.
+    with ThreadPoolExecutor(max_workers=min(10, restarts)) as pool:
         fits = list(pool.map(fit, [cfg.seed + i for i in range(restarts)]))
     _, _, best = min(fits, key=lambda f: (f[0], f[1]))
     assigned = best.transform(vec).withColumn("cluster", F.col("cluster").cast("int"))
@@ -180,15 +185,16 @@ def delinquency_drivers(cur: DataFrame, c_inverse_reg: float = 1.0) -> DataFrame
     per +1 SD, strongest first.  regParam = 1 / (n * C) gives the same optimum as
     the usual C-parameterised L2 objective with an unpenalised intercept."""
     spark = cur.sparkSession
-    z = standardize(driver_frame(cur), list(DRIVERS))
+    z = standardize(freeze(driver_frame(cur)), list(DRIVERS))
     vec = VectorAssembler(inputCols=[f"z_{d}" for d in DRIVERS], outputCol="features") \
-        .transform(z).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    n = vec.count()
+        .transform(z).select("features", "label")
+    vec, n = persist_for_fit(vec)
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (n * c_inverse_reg),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
                             maxIter=1000, tol=1e-10)
     model = lr.fit(vec)
     vec.unpersist()
+    iterations = model.summary.totalIterations
     coefs = [(d, float(c)) for d, c in zip(DRIVERS, model.coefficients.toArray())]
     df = spark.createDataFrame(coefs, "driver string, coef double")
     return df.select("driver", round_half_up(F.col("coef"), 3).alias("coef_per_sd"),
