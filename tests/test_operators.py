@@ -141,3 +141,17 @@ def test_semi_anti_join_customers(spark):
     with_o = keep_referenced(cust, "c_custkey", orders, "o_custkey").count()
     without = orders_none = orphans(cust, "c_custkey", orders, "o_custkey").count()
     assert with_o + without == cust.count() and orders_none > 0
+
+
+def test_next_value_skew_safe_matches_window(spark):
+    rnd = random.Random(11)
+    # key 0 holds a third of the rows
+    rows = [(0 if i % 3 == 0 else rnd.randint(1, 40), i, rnd.choice([0, 30, 60, 90])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k long, t int, dpd int")
+    safe = next_value(df, ["k"], ["t"], "dpd", "nx", hot_min_rows=100).select("k", "t", "nx")
+    plain = next_value(df, ["k"], ["t"], "dpd", "nx", skew_safe=False).select("k", "t", "nx")
+    assert sorted(safe.collect()) == sorted(plain.collect())
+    from creditscope.operators.window import _lead_by_rank, hot_keys
+    assert [r.k for r in hot_keys(df, ["k"], 100).collect()] == [0]
+    ranked = _lead_by_rank(df, ["k"], ["t"], "dpd", "nx").select("k", "t", "nx")
+    assert sorted(ranked.collect()) == sorted(plain.collect())
