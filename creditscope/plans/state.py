@@ -63,3 +63,12 @@ def account_current(t: Tables, cfg: PortfolioConfig = PortfolioConfig()) -> Data
                                                   F.col("thin_file"), cfg))
            .withColumn("risk_tier", risk_tier(F.col("risk_points"), cfg)))
     return cur.select(*CURRENT_COLUMNS)
+
+
+def register_current_view(t: Tables, cfg: PortfolioConfig = PortfolioConfig(),
+                          name: str = "v_account_current") -> DataFrame:
+    """Register the current state as a session temp view (replacing any
+    previous one) so SQL users can query it by name; returns the frame."""
+    cur = account_current(t, cfg)
+    cur.createOrReplaceTempView(name)
+    return cur
