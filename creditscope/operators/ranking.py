@@ -74,16 +74,16 @@ def exact_medians(df: DataFrame, cols: Sequence[str], key: Sequence[str],
                   partitions: int | None = None) -> DataFrame:
     """One row: the exact (interpolated) median of each column, NULLs skipped.
 
-    All columns are ranked in one pass: the frame is stacked into
-    (column, value, key) and ranked on that order; the per-column counts are a
+    All columns are ranked in one pass: each row is exploded into
+    (column, value, key) rows (one scan) and ranked on that order; the per-column counts are a
     handful of rows.  Memory per task does not grow with the number of distinct
     values, unlike a histogram-based percentile.
     """
-    stacked = None
-    for i, c in enumerate(cols):
-        part = df.select(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v"),
-                         *[F.col(k) for k in key]).filter(F.col("_v").isNotNull())
-        stacked = part if stacked is None else stacked.unionByName(part)
+    pairs = F.array(*[F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v"))
+                      for i, c in enumerate(cols)])
+    stacked = (df.select(*[F.col(k) for k in key], F.explode(pairs).alias("_p"))
+               .select(F.col("_p._col").alias("_col"), F.col("_p._v").alias("_v"), *[F.col(k) for k in key])
+               .filter(F.col("_v").isNotNull()))
     order = [F.col("_col"), F.col("_v"), *[F.col(k) for k in key]]
     ranked = global_rank(stacked, order, partitions=partitions)
     per_col = ranked.groupBy("_col").agg(F.count(F.lit(1)).alias("_cn"))

@@ -32,6 +32,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                     min_partitions: int = 8) -> dict[str, str]:
+    """Partition sizing for a given input volume: scan splits and shuffle
+    partitions of ~``target_partition_bytes`` so a task's share fits executor
+    memory; AQE then coalesces small partitions and splits skewed ones."""
+    # Shuffles carry a fraction of the scanned bytes after projection and
+    # partial aggregation; AQE coalesces whatever turns out small.
+    parts = min(200_000, max(min_partitions, -(-input_bytes // (4 * target_partition_bytes))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
