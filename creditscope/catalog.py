@@ -14,6 +14,7 @@ from creditscope.config import PortfolioConfig
 from creditscope.operators.window import trim_after_event
 from creditscope.plans import clean, decision, kpis, models, quality, root_cause, state, trends
 from pyspark.sql import functions as F
+from creditscope.session import freeze
 from creditscope.sources.binding import bind_clean, bind_raw
 
 CFG = PortfolioConfig()
@@ -87,4 +88,6 @@ QUERIES: dict[str, Query] = {
 
 def _headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
-    return decision.headline_findings(t, state.account_current(t, CFG), cfg=CFG)
+    # Five analyses read the current state: derive it once, reliably.
+    cur = freeze(state.account_current(t, CFG))
+    return decision.headline_findings(t, cur, cfg=CFG)
