@@ -63,6 +63,22 @@ def _one_row_join(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(row))
 
 
+def impute_median(df: DataFrame, col: str, key: Sequence[str], digits: int = 2, rounding: str = "half_up",
+                  method: str = "auto", out: str | None = None, cast=None) -> DataFrame:
+    """Fill NULLs of ``col`` with its exact median rounded to ``digits``
+    (HALF_UP, or HALF_EVEN for whole-number medians such as age) into ``out``.
+
+    The median is one aggregate row joined back by broadcast (a proven bound);
+    see ``operators.ranking.medians`` for how ``method`` keeps it distributed."""
+    med = medians(df, [col], key, method=method)
+    rounded = round_half_even(F.col(col), digits) if rounding == "half_even" else round_half_up(F.col(col), digits)
+    fill = med.select(rounded.alias("_median_fill"))
+    value = F.coalesce(F.col(col), F.col("_median_fill"))
+    if cast is not None:
+        value = F.coalesce(F.col(col).cast(cast), F.col("_median_fill").cast(cast))
+    return _one_row_join(df, fill).withColumn(out or col, value).drop("_median_fill")
+
+
 def clean_reference(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """Small reference tables: exact dedupe and typed cast."""
     schema = TABLES[table]
@@ -96,15 +112,14 @@ def clean_cardholders(raw: DataFrame, median_method: str = "auto") -> tuple[Data
     # Income can have as many distinct values as rows: ``auto`` keeps the
     # histogram percentile only when a distinct-count check bounds it, else ranks.
     # Age is bounded to 18..100 after the range rule, so its histogram is tiny.
-    inc_med = medians(parsed, ["_income"], key=["cardholder_id", POS], method=median_method)
-    fills = inc_med.select(round_half_up(F.col("_income"), 2).cast(MONEY).alias("_inc_fill")) \
-        .crossJoin(parsed.agg(F.percentile("_age", 0.5).alias("_age_med"))
-                   .select(round_half_even(F.col("_age_med"), 0).alias("_age_fill")))
-    filled = _one_row_join(parsed, fills)
+    filled = impute_median(parsed, "_income", ["cardholder_id", POS], digits=2, method=median_method,
+                           out="_inc_fill", cast=MONEY)
+    filled = impute_median(filled, "_age", ["cardholder_id", POS], digits=0, rounding="half_even",
+                           method="percentile", out="_age_fill")
     out = filled.select(
         "cardholder_id",
-        F.coalesce(F.col("_age"), F.col("_age_fill")).cast("int").alias("age"),
-        F.coalesce(F.col("_income").cast(MONEY), F.col("_inc_fill")).alias("annual_income"),
+        F.col("_age_fill").cast("int").alias("age"),
+        F.col("_inc_fill").alias("annual_income"),
         title_case(fill_blank_text(F.col("_emp"))).alias("employment_status"),
         "region_id",
         clip(F.col("_fico"), 300, 850).cast("int").alias("fico_origination"),
