@@ -191,7 +191,7 @@ def delinquency_drivers(cur: DataFrame, c_inverse_reg: float = 1.0) -> DataFrame
     vec, n = persist_for_fit(vec)
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (n * c_inverse_reg),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                            maxIter=1000, tol=1e-8)
+                            maxIter=1000, tol=1e-6)
     model = lr.fit(vec)
     vec.unpersist()
     iterations = model.summary.totalIterations
