@@ -70,7 +70,6 @@ def test_account_key_dedupe_first_wins_and_limit_rule(spark):
 
 
 def test_statement_payment_rules(spark):
-    base = ("0", "10", "10", "25", "0", "0")
     rows = [("1", "1", "2024-01-31", "0", "10", "-25.00", "10", "25", "0", "0"),
             ("2", "1", "2024-02-29", "0", "10", "-0.00", "10", "25", "0", "0"),
             ("3", "1", "2024-03-31", "0", "10", "", "$1,010.00", "25", "30", ""),
@@ -84,7 +83,6 @@ def test_statement_payment_rules(spark):
     assert a[("monthly_statements", "negative_payments_corrected")] == 1
     assert a[("monthly_statements", "missing_payments_zeroed")] == 1
     assert a[("monthly_statements", "exact_duplicates_removed")] == 1
-    assert base
 
 
 def test_fk_cascade(spark):

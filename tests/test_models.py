@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditscope.plans import decision, models, state
-from tests.conftest import SF001
 
 
 def newton_l2_logit(X, y, C=1.0, iters=50):
