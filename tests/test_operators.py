@@ -155,3 +155,36 @@ def test_next_value_skew_safe_matches_window(spark):
     assert [r.k for r in hot_keys(df, ["k"], 100).collect()] == [0]
     ranked = _lead_by_rank(df, ["k"], ["t"], "dpd", "nx").select("k", "t", "nx")
     assert sorted(ranked.collect()) == sorted(plain.collect())
+
+
+def test_next_value_all_hot_switches_to_rank_path(spark, monkeypatch):
+    import creditscope.operators.window as W
+    monkeypatch.setattr(W, "HOT_KEY_CAP", 1)
+    rows = [(k, i, (i * 7 + k) % 4 * 30) for k in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, t int, dpd int")
+    assert W.hot_keys(df, ["k"], 5) == "all"
+    safe = next_value(df, ["k"], ["t"], "dpd", "nx", hot_min_rows=5).select("k", "t", "nx")
+    plain = next_value(df, ["k"], ["t"], "dpd", "nx", skew_safe=False).select("k", "t", "nx")
+    assert sorted(safe.collect()) == sorted(plain.collect())
+
+
+def test_period_trend_on_orders_matches_duckdb(spark):
+    import duckdb
+
+    from creditscope.functions.exprs import rate, round_half_up
+    orders = spark.read.parquet(f"{SF01}/orders.parquet")
+    month = F.last_day(F.col("o_orderdate").cast("date")).alias("m")
+    g = orders.groupBy(month).agg(F.count(F.lit(1)).alias("n"),
+                                  F.count_if(F.col("o_orderpriority").startswith("1")).alias("u"))
+    g = g.select("m", "n", rate("u", "n", 2).alias("r"))
+    g = g.select("m", "n", "r", round_half_up(F.col("r") - F.lag("r").over(Window.orderBy("m")), 2).alias("chg"))
+    ours = sorted(tuple(r) for r in g.collect())
+    con = duckdb.connect()
+    ref = con.execute(f"""
+        with g as (select last_day(cast(o_orderdate as date)) as m, count(*) as n,
+                          count(*) filter (where o_orderpriority like '1%') as u
+                   from read_parquet('{SF01}/orders.parquet') group by 1),
+             r as (select m, n, cast((2 * u * 10000 + n) // (2 * n) as double) / 100 as r from g)
+        select m, n, r, cast(round(cast(r - lag(r) over (order by m) as decimal(38,10)), 2) as double) from r
+    """).fetchall()
+    assert ours == sorted(tuple(x) for x in ref)
