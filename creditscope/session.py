@@ -21,6 +21,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # One process: waiting for a "local" slot only delays tasks that read
+        # checkpointed or cached data.
+        conf["spark.locality.wait"] = "0s"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
