@@ -58,9 +58,11 @@ def _count(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def _one_row_join(df: DataFrame, row: DataFrame) -> DataFrame:
-    # A single aggregate row: a proven size bound for a broadcast.
-    return df.crossJoin(F.broadcast(row))
+def _n(df: DataFrame) -> Column:
+    """Row count of ``df`` as a scalar subquery (computed once, used as a value)."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 
 
 def impute_median(df: DataFrame, col: str, key: Sequence[str], digits: int = 2, rounding: str = "half_up",
@@ -68,15 +70,15 @@ def impute_median(df: DataFrame, col: str, key: Sequence[str], digits: int = 2,
     """Fill NULLs of ``col`` with its exact median rounded to ``digits``
     (HALF_UP, or HALF_EVEN for whole-number medians such as age) into ``out``.
 
-    The median is one aggregate row joined back by broadcast (a proven bound);
-    see ``operators.ranking.medians`` for how ``method`` keeps it distributed."""
+    The median enters every row as a scalar subquery (computed once); see
+    ``operators.ranking.medians`` for how ``method`` keeps it distributed."""
     med = medians(df, [col], key, method=method)
     rounded = round_half_even(F.col(col), digits) if rounding == "half_even" else round_half_up(F.col(col), digits)
-    fill = med.select(rounded.alias("_median_fill"))
-    value = F.coalesce(F.col(col), F.col("_median_fill"))
+    fill = med.select(rounded).scalar()
+    value = F.coalesce(F.col(col), fill)
     if cast is not None:
-        value = F.coalesce(F.col(col).cast(cast), F.col("_median_fill").cast(cast))
-    return _one_row_join(df, fill).withColumn(out or col, value).drop("_median_fill")
+        value = F.coalesce(F.col(col).cast(cast), fill.cast(cast))
+    return df.withColumn(out or col, value)
 
 
 def clean_reference(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
@@ -102,13 +104,13 @@ def clean_cardholders(raw: DataFrame, median_method: str = "auto") -> tuple[Data
         F.col("employment_status").alias("_emp"),
         fico.alias("_fico"),
         parse_number(F.col("credit_history_months"), "int").alias("_hist"))
-    counts = raw.agg(F.count(F.lit(1)).alias("_raw")).crossJoin(parsed.agg(
+    counts = parsed.agg(
         F.count(F.lit(1)).alias("rows_out"),
         F.count_if(F.col("_income").isNull()).alias("missing_income_imputed"),
         F.count_if((F.col("_age_raw") < 18) | (F.col("_age_raw") > 100)).alias("impossible_ages_fixed"),
         F.count_if(is_blank_text(F.col("_emp"))).alias("employment_blanks_filled"),
-        F.count_if((F.col("_fico") < 300) | (F.col("_fico") > 850)).alias("fico_out_of_range_clipped"))) \
-        .withColumn("exact_duplicates_removed", F.col("_raw") - F.col("rows_out"))
+        F.count_if((F.col("_fico") < 300) | (F.col("_fico") > 850)).alias("fico_out_of_range_clipped")) \
+        .withColumn("exact_duplicates_removed", _n(raw) - F.col("rows_out"))
     # Income can have as many distinct values as rows: ``auto`` keeps the
     # histogram percentile only when a distinct-count check bounds it, else ranks.
     # Age is bounded to 18..100 after the range rule, so its histogram is tiny.
@@ -141,9 +143,8 @@ def clean_accounts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         parse_date(F.col("open_date")).alias("open_date"),
         parse_money(F.col("credit_limit")).alias("_limit"))
     bad = F.col("_limit").isNull() | (F.col("_limit") <= 0)
-    counts = raw.agg(F.count(F.lit(1)).alias("_raw")).crossJoin(parsed.agg(
-        F.count(F.lit(1)).alias("_dedup"), F.count_if(bad).alias("nonpositive_limit_dropped"))) \
-        .withColumn("duplicate_accounts_removed", F.col("_raw") - F.col("_dedup")) \
+    counts = parsed.agg(F.count(F.lit(1)).alias("_dedup"), F.count_if(bad).alias("nonpositive_limit_dropped")) \
+        .withColumn("duplicate_accounts_removed", _n(raw) - F.col("_dedup")) \
         .withColumn("rows_out", F.col("_dedup") - F.col("nonpositive_limit_dropped"))
     out = parsed.filter(~bad).select("account_id", "cardholder_id", "product_id", "open_date",
                                      F.col("_limit").cast(MONEY).alias("credit_limit"), POS)
@@ -164,11 +165,11 @@ def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         parse_number(F.col("days_past_due"), "int").alias("_dpd"),
         parse_number(F.col("charge_off_flag"), "int").alias("_flag"))
     pay = F.col("_payment_amount")
-    counts = raw.agg(F.count(F.lit(1)).alias("_raw")).crossJoin(parsed.agg(
+    counts = parsed.agg(
         F.count(F.lit(1)).alias("rows_out"),
         F.count_if(pay < 0).alias("negative_payments_corrected"),
-        F.count_if(pay.isNull()).alias("missing_payments_zeroed"))) \
-        .withColumn("exact_duplicates_removed", F.col("_raw") - F.col("rows_out"))
+        F.count_if(pay.isNull()).alias("missing_payments_zeroed")) \
+        .withColumn("exact_duplicates_removed", _n(raw) - F.col("rows_out"))
     zero = F.lit(0).cast(MONEY)
 
     def money_out(c: str) -> Column:
@@ -200,9 +201,8 @@ def enforce_integrity(t: Tables) -> Cleaned:
     st_ok = keep_referenced(st, "account_id", ac_ok)
     audit = (_audit("cardholders", _count(orphans(ch, "region_id", regions), "orphan_region_fk_dropped"),
                     ["orphan_region_fk_dropped"])
-             .unionByName(_audit("accounts", ac.agg((F.count(F.lit(1))).alias("_n")).crossJoin(
-                 _count(ac_ok, "_ok")).select((F.col("_n") - F.col("_ok")).alias("orphan_fk_dropped")),
-                 ["orphan_fk_dropped"]))
+             .unionByName(_audit("accounts", _count(ac_ok, "_ok").select(
+                 (_n(ac) - F.col("_ok")).alias("orphan_fk_dropped")), ["orphan_fk_dropped"]))
              .unionByName(_audit("monthly_statements",
                                  _count(orphans(st, "account_id", ac_ok), "orphan_account_fk_dropped"),
                                  ["orphan_account_fk_dropped"])))

@@ -51,8 +51,7 @@ def headline_findings(t: Tables, cur: DataFrame, drivers: DataFrame | None = Non
                       cfg: PortfolioConfig = CFG) -> DataFrame:
     """Q-19: one row of headline values, in the published key order.
 
-    Built from one-row aggregates cross-joined together (each side is a single
-    row).  Bands follow the dashboard (right-closed) form; the worst grid cell
+    Built from one-row aggregates placed side by side (``one_row``).  Bands follow the dashboard (right-closed) form; the worst grid cell
     is the highest rate, ties by label; "top driver" needs a fitted driver model
     and is added only when ``drivers`` is given.
     """
@@ -77,12 +76,23 @@ def headline_findings(t: Tables, cur: DataFrame, drivers: DataFrame | None = Non
                         F.col("delinquency_rate_pct").alias("worst_segment_delinquency_pct")) \
         .orderBy(F.col("worst_segment_delinquency_pct").desc(), "worst_segment").limit(1)
     cb = cost_benefit(cur, cfg=cfg).drop("high_risk_co_balance")
-    row = k.crossJoin(m).crossJoin(u).crossJoin(f).crossJoin(worst)
+    parts = [k, m, u, f, worst]
     if drivers is not None:
-        top = drivers.orderBy(F.col("odds_ratio_per_sd").desc(), "driver").limit(1).select(
-            F.col("driver").alias("top_driver"), F.col("odds_ratio_per_sd").alias("top_driver_odds_ratio"))
-        row = row.crossJoin(top)
-    return row.crossJoin(cb)
+        parts.append(drivers.orderBy(F.col("odds_ratio_per_sd").desc(), "driver").limit(1).select(
+            F.col("driver").alias("top_driver"), F.col("odds_ratio_per_sd").alias("top_driver_odds_ratio")))
+    parts.append(cb)
+    return one_row(parts)
+
+
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """Side-by-side assembly of one-row frames without a join: stack them
+    (each row carries only its own columns) and take each column's single
+    non-NULL value."""
+    cols = [c for p in parts for c in p.columns]
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in cols])
 
 
 SAMPLE_COLUMNS = ("account_id", "risk_tier", "utilization", "fico_origination", "annual_income",

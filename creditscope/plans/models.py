@@ -50,15 +50,15 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """z-score columns ``z_<c>`` using population moments; the moments row is a
-    single aggregate row, broadcast to every task."""
+    """z-score columns ``z_<c>`` using population moments.  The moments are
+    scalar subqueries over one aggregate (Catalyst merges them into one)."""
     m = moments(df, cols)
-    out = df.crossJoin(F.broadcast(m))
+    out = df
     for c in cols:
-        sd = F.col(f"_sd_{c}")
-        sd = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-        out = out.withColumn(f"z_{c}", (F.col(c) - F.col(f"_mean_{c}")) / sd)
-    return out.drop(*[x for c in cols for x in (f"_mean_{c}", f"_sd_{c}", f"_n_{c}")])
+        sd = m.select(F.when(F.col(f"_sd_{c}").isNull() | (F.col(f"_sd_{c}") == 0), F.lit(1.0))
+                      .otherwise(F.col(f"_sd_{c}"))).scalar()
+        out = out.withColumn(f"z_{c}", (F.col(c) - m.select(f"_mean_{c}").scalar()) / sd)
+    return out
 
 
 def segment_features(cur: DataFrame, median_method: str = "auto") -> DataFrame:
@@ -71,11 +71,9 @@ def segment_features(cur: DataFrame, median_method: str = "auto") -> DataFrame:
                              (F.col("days_past_due") >= CFG.delinquent_dpd).alias("delinquent"),
                              *[F.col(c).cast("double").alias(f"f_{c}") for c in SEGMENT_FEATURES]))
     med = medians(base, [f"f_{c}" for c in SEGMENT_FEATURES], key=["account_id"], method=median_method)
-    med = med.select(*[F.col(f"f_{c}").alias(f"_med_{c}") for c in SEGMENT_FEATURES])
-    filled = base.crossJoin(F.broadcast(med))  # one row: a proven bound
+    filled = base
     for c in SEGMENT_FEATURES:
-        filled = filled.withColumn(f"f_{c}", F.coalesce(F.col(f"f_{c}"), F.col(f"_med_{c}")))
-    filled = filled.drop(*[f"_med_{c}" for c in SEGMENT_FEATURES])
+        filled = filled.withColumn(f"f_{c}", F.coalesce(F.col(f"f_{c}"), med.select(f"f_{c}").scalar()))
     return standardize(filled, [f"f_{c}" for c in SEGMENT_FEATURES])
 
 
