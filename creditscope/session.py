@@ -7,6 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
+    # Broadcast only on measured sizes: no plan-time broadcast from file-size
+    # estimates (compressed Parquet understates rows in memory); AQE broadcasts
+    # a join side once its materialised shuffle output is known to be small.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
