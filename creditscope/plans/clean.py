@@ -4,7 +4,7 @@ Each ``clean_<table>`` returns ``(clean, audit)``.  ``audit`` is a lazy frame of
 (table_name, check_name, cnt) rows built from one aggregate pass over the
 parsed, unrepaired projection, so the counts cost one scan per table rather
 than one per rule.  Medians for imputation come from exact distributed
-aggregates joined back as one broadcast row.
+aggregates and enter the rows as scalar subqueries.
 """
 
 from __future__ import annotations

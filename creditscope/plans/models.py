@@ -1,8 +1,9 @@
 """Behaviour segments (KMeans) and delinquency drivers (logistic regression), Q-16/Q-17.
 
-Feature preparation is DataFrame work: exact medians for the fill (ranked,
-not collected), population mean / std from one aggregate row, z-scores as
-column arithmetic.  Fits use MLlib on the persisted feature frame.  Only the
+Feature preparation is DataFrame work: exact medians for the fill (a value
+histogram only when provably small, else distributed ranking; never
+collected), population mean / std from one aggregate used as scalar
+subqueries, z-scores as column arithmetic.  Fits use MLlib on the persisted feature frame.  Only the
 fitted parameters (k centres, five coefficients) come back to the driver.
 """
 
