@@ -53,9 +53,11 @@ QUERIES: dict[str, Query] = {
     "kpis_by_product": _on_tables(kpis.kpis_by_product),
     "kpis_by_region": _on_tables(kpis.kpis_by_region),
     "risk_tier_kpis": _on_current(kpis.risk_tier_kpis),
+    "risk_tier_extract": _on_current(kpis.risk_tier_extract),
     "risk_concentration": _on_current(kpis.risk_concentration),
     "risk_deciles": _on_current(kpis.risk_deciles),
     "delinquency_by_utilization": _on_current(root_cause.delinquency_by_utilization),
+    "utilization_extract": _on_current(root_cause.utilization_extract),
     "delinquency_by_file_depth": _on_current(root_cause.delinquency_by_file_depth),
     "delinquency_interaction": _on_current(root_cause.delinquency_interaction),
     "driver_segment_concentration": _on_current(root_cause.driver_segment_concentration),

@@ -131,6 +131,29 @@ select risk_tier, count(*) as accounts, {pct('count(*)', 'sum(count(*)) over ()'
   cast(sum(ending_balance) as {MONEY}) as total_balance,
   {money_pct('sum(ending_balance)', 'sum(sum(ending_balance)) over ()', 1)} as pct_of_balance
 from cur group by risk_tier"""
+    q["risk_tier_extract"] = _current() + f"""
+select risk_tier, count(*) as accounts,
+  {avg_int('sum(fico_origination)', 'count(fico_origination)')} as avg_fico,
+  {avg_pct('sum(utilization)', 'count(utilization)', 2)} as avg_utilization,
+  {pct('count(*) filter (where thin_file)', 'count(*)', 2)} as pct_thin_file,
+  {pct(D30, 'count(*)')} as delinquency_rate, {pct(CO, 'count(*)')} as charge_off_rate,
+  cast(sum(ending_balance) as {MONEY}) as total_balance,
+  {pct('count(*)', 'sum(count(*)) over ()', 1)} as pct_of_accounts,
+  {money_pct('sum(ending_balance)', 'sum(sum(ending_balance)) over ()', 1)} as pct_of_balance,
+  cast(coalesce({COBAL}, 0) as {MONEY}) as charge_off_balance,
+  coalesce({money_pct(f'coalesce({COBAL}, 0)', f'sum(coalesce({COBAL}, 0)) over ()', 1)}, cast(0 as double))
+    as pct_of_chargeoff_balance
+from cur group by risk_tier"""
+    q["utilization_extract"] = _current() + f"""
+, banded as (
+  select case when utilization <= 0.30 then '<30%' when utilization <= 0.60 then '30-60%'
+              when utilization <= 0.90 then '60-90%' else '90%+' end as utilization_band, days_past_due
+  from cur where utilization > -0.01)
+select utilization_band, count(*) as accounts, {D30} as delinquents,
+  {pct(D30, 'count(*)')} as delinquency_rate,
+  {pct('count(*)', '(select count(*) from cur)', 1)} as pct_of_accounts,
+  {pct(D30, f'sum({D30}) over ()', 1)} as pct_of_all_delinquents
+from banded group by utilization_band"""
     q["risk_concentration"] = _current() + f"""
 select risk_tier,
   {money_pct('sum(ending_balance)', 'sum(sum(ending_balance)) over ()', 1)} as pct_total_balance,
