@@ -59,9 +59,12 @@ QUERIES: dict[str, Query] = {
     "delinquency_by_utilization": _on_current(root_cause.delinquency_by_utilization),
     "utilization_extract": _on_current(root_cause.utilization_extract),
     "delinquency_by_file_depth": _on_current(root_cause.delinquency_by_file_depth),
+    "file_depth_extract": _on_current(root_cause.file_depth_extract),
+    "interaction_extract": _on_current(root_cause.interaction_extract),
     "delinquency_interaction": _on_current(root_cause.delinquency_interaction),
     "driver_segment_concentration": _on_current(root_cause.driver_segment_concentration),
     "monthly_trend": _on_tables(trends.monthly_trend),
+    "monthly_trend_extract": _on_tables(trends.monthly_trend_extract),
     "roll_rates": _on_tables(trends.roll_rates),
     "vintage": _on_tables(trends.vintage),
     "clean_regions": lambda s, d: clean.clean_reference(_raw(s, d)["regions"], "regions")[0],

@@ -154,6 +154,19 @@ select utilization_band, count(*) as accounts, {D30} as delinquents,
   {pct('count(*)', '(select count(*) from cur)', 1)} as pct_of_accounts,
   {pct(D30, f'sum({D30}) over ()', 1)} as pct_of_all_delinquents
 from banded group by utilization_band"""
+    q["file_depth_extract"] = _current() + f"""
+select coalesce(thin_file, false) as thin_file, count(*) as accounts,
+  {avg_int('sum(credit_history_months)', 'count(credit_history_months)')} as avg_history_months,
+  {pct(D30, 'count(*)')} as delinquency_rate, {pct(CO, 'count(*)')} as charge_off_rate,
+  case when coalesce(thin_file, false) then 'Thin file (<24 mo)' else 'Established file' end as file_depth
+from cur group by coalesce(thin_file, false)"""
+    q["interaction_extract"] = _current() + f"""
+, g as (select coalesce(utilization >= 0.60, false) as util_hi, coalesce(thin_file, false) as thin_file,
+               days_past_due from cur)
+select util_hi, thin_file, count(*) as accounts, {pct(D30, 'count(*)')} as delinquency_rate,
+  case when util_hi then 'High util (>=60%)' else 'Lower util (<60%)' end
+    || case when thin_file then ' + Thin file' else ' + Established' end as segment
+from g group by util_hi, thin_file"""
     q["risk_concentration"] = _current() + f"""
 select risk_tier,
   {money_pct('sum(ending_balance)', 'sum(sum(ending_balance)) over ()', 1)} as pct_total_balance,
@@ -216,6 +229,9 @@ select statement_month, active_accounts, delinquency_rate_pct,
   {r_half_up('delinquency_rate_pct - lag(delinquency_rate_pct) over (order by statement_month)', 2)} as delinquency_mom_change,
   charge_off_rate_pct, avg_utilization_pct
 from monthly"""
+    q["monthly_trend_extract"] = "select strftime(statement_month, '%Y-%m-%d') as statement_month, " \
+        "active_accounts, delinquency_rate_pct as delinquency_rate, charge_off_rate_pct as charge_off_rate, " \
+        "avg_utilization_pct as avg_utilization, delinquency_mom_change from (" + q["monthly_trend"] + ") t"
     q["roll_rates"] = with_clean() + f"""
 , seq as (
   select account_id, statement_month, days_past_due,

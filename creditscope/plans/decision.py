@@ -114,9 +114,9 @@ def extracts(t: Tables, cur: DataFrame, cfg: PortfolioConfig = CFG,
     out = {
         "risk_tier_kpis": kpis.risk_tier_extract(cur, cfg),
         "delinquency_by_utilization": root_cause.utilization_extract(cur, cfg),
-        "delinquency_by_filedepth": root_cause.delinquency_by_file_depth(cur, cfg),
-        "delinquency_interaction": root_cause.delinquency_interaction(cur, include_total=False, cfg=cfg),
-        "monthly_delinquency_trend": trends.monthly_trend(t, cfg),
+        "delinquency_by_filedepth": root_cause.file_depth_extract(cur, cfg),
+        "delinquency_interaction": root_cause.interaction_extract(cur, cfg),
+        "monthly_delinquency_trend": trends.monthly_trend_extract(t, cfg),
     }
     if segments is not None:
         out["kmeans_segments"] = segments

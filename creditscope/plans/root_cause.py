@@ -105,3 +105,32 @@ def driver_segment_concentration(cur: DataFrame, cfg: PortfolioConfig = CFG) ->
                     rate("_del", "accounts").alias("delinquency_rate_pct"),
                     "pct_of_all_delinquents", "pct_of_chargeoff_balance").orderBy(
         F.col("_flag").desc_nulls_first())
+
+
+def file_depth_extract(cur: DataFrame, cfg: PortfolioConfig = CFG) -> DataFrame:
+    """Dashboard form of Q-10: grouped on the flag with NULL history counted as
+    established (False), flag column kept next to the label."""
+    thin = F.coalesce(F.col("thin_file"), F.lit(False))
+    g = cur.groupBy(thin.alias("thin_file")).agg(
+        F.count(F.lit(1)).alias("accounts"),
+        F.sum("credit_history_months").alias("_hs"), F.count("credit_history_months").alias("_hn"),
+        count_if(_delinquent(cfg)).alias("_del"),
+        count_if(F.col("charge_off_flag") == 1).alias("_co"))
+    return g.select("thin_file", "accounts", half_up("_hs", "_hn", 0).alias("avg_history_months"),
+                    rate("_del", "accounts").alias("delinquency_rate"),
+                    rate("_co", "accounts").alias("charge_off_rate"),
+                    F.when(F.col("thin_file"), THIN_LABEL).otherwise(ESTABLISHED_LABEL).alias("file_depth")
+                    ).orderBy("thin_file")
+
+
+def interaction_extract(cur: DataFrame, cfg: PortfolioConfig = CFG) -> DataFrame:
+    """Dashboard form of Q-11: the 2x2 grid on boolean flags (NULL counts as
+    False), no total row, combined segment label."""
+    hi = F.coalesce(F.col("utilization") >= cfg.util_cuts[0], F.lit(False))
+    thin = F.coalesce(F.col("thin_file"), F.lit(False))
+    g = cur.groupBy(hi.alias("util_hi"), thin.alias("thin_file")).agg(
+        F.count(F.lit(1)).alias("accounts"), count_if(_delinquent(cfg)).alias("_del"))
+    label = F.concat(F.when(F.col("util_hi"), HIGH_UTIL).otherwise(LOWER_UTIL),
+                     F.when(F.col("thin_file"), " + " + GRID_THIN).otherwise(" + " + GRID_ESTABLISHED))
+    return g.select("util_hi", "thin_file", "accounts", rate("_del", "accounts").alias("delinquency_rate"),
+                    label.alias("segment")).orderBy("util_hi", "thin_file")

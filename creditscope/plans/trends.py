@@ -69,3 +69,14 @@ def vintage(t: Tables, cfg: PortfolioConfig = CFG) -> DataFrame:
         count_if(F.col("charge_off_flag") == 1).alias("_co"))
     return g.select("vintage_year", "accounts", rate("_del", "accounts").alias("delinquency_rate_pct"),
                     rate("_co", "accounts").alias("charge_off_rate_pct")).orderBy("vintage_year")
+
+
+def monthly_trend_extract(t: Tables, cfg: PortfolioConfig = CFG) -> DataFrame:
+    """Dashboard form of Q-13: ISO month text and the extract's column names."""
+    m = monthly_trend(t, cfg)
+    return m.select(F.date_format("statement_month", "yyyy-MM-dd").alias("statement_month"),
+                    "active_accounts",
+                    F.col("delinquency_rate_pct").alias("delinquency_rate"),
+                    F.col("charge_off_rate_pct").alias("charge_off_rate"),
+                    F.col("avg_utilization_pct").alias("avg_utilization"),
+                    "delinquency_mom_change").orderBy("statement_month")
