@@ -61,3 +61,22 @@ def write_extracts(extracts: dict[str, DataFrame], root: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """A small result (audit, findings) as JSON lines."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+# Tables keyed by account: bucketed alike so their joins and per-account
+# windows need no shuffle of the statement panel.
+ACCOUNT_BUCKETED = ("accounts", "monthly_statements")
+
+
+def write_bucketed(tables: dict[str, DataFrame], root: str, buckets: int, prefix: str = "") -> None:
+    """Save the clean tables as catalog tables at ``root/<name>``; accounts and
+    statements bucketed and sorted by account_id into ``buckets`` buckets."""
+    for name in LOAD_ORDER:
+        w = tables[name].write.mode("overwrite").format("parquet").option("path", f"{root}/{name}")
+        if name in ACCOUNT_BUCKETED:
+            w = w.bucketBy(buckets, "account_id").sortBy("account_id")
+        w.saveAsTable(f"{prefix}{name}")
+
+
+def read_catalog_tables(spark: SparkSession, prefix: str = "") -> dict[str, DataFrame]:
+    return {name: spark.table(f"{prefix}{name}") for name in LOAD_ORDER}
