@@ -4,7 +4,9 @@ Copies of every clean table get ids offset per copy (so joins and windows see
 N times more distinct accounts, not duplicates), are written once as Parquet
 (statements partitioned by month) under a fresh scratch folder, read back with
 the typed readers, and timed.  Usage:
-  python tools/scale_bench.py <sf_dir> <scratch_dir> <factor> [factor ...]
+  python tools/scale_bench.py <sf_dir> <scratch_dir> [--bucketed N] <factor> [factor ...]
+With --bucketed N the tables are saved by ``write_bucketed`` (accounts and
+statements in N buckets by account_id) instead of plain Parquet.
 Prints one JSON line per factor.
 """
 
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F  # noqa: E402
 from creditscope.plans import kpis, root_cause, state, trends  # noqa: E402
 from creditscope.session import get_spark  # noqa: E402
 from creditscope.sources.binding import bind_clean  # noqa: E402
-from creditscope.sources.io import read_tables, write_tables  # noqa: E402
+from creditscope.sources.io import (read_catalog_tables, read_tables, write_bucketed,  # noqa: E402
+                                    write_tables)
 
 OFFSET = 10_000_000_000
 
@@ -41,13 +44,21 @@ def replicate(t, factor):
 
 def main():
     sf_dir, scratch = sys.argv[1], sys.argv[2]
-    factors = [int(x) for x in sys.argv[3:]] or [1, 10]
+    args = sys.argv[3:]
+    buckets = 0
+    if args[:1] == ["--bucketed"]:
+        buckets, args = int(args[1]), args[2:]
+    factors = [int(x) for x in args] or [1, 10]
     spark = get_spark("local[8]", 8)
     base = bind_clean(spark, sf_dir)
     for factor in factors:
         root = f"{scratch}/x{factor}"
-        write_tables(replicate(base, factor), root, partition_statements_by_month=True)
-        t = read_tables(spark, root)
+        if buckets:
+            write_bucketed(replicate(base, factor), root, buckets, prefix=f"x{factor}_")
+            t = read_catalog_tables(spark, f"x{factor}_")
+        else:
+            write_tables(replicate(base, factor), root, partition_statements_by_month=True)
+            t = read_tables(spark, root)
         n_stmt = t["monthly_statements"].count()
         runs = {
             "account_current": lambda: state.account_current(t).agg(F.count(F.lit(1))).collect(),
@@ -63,7 +74,7 @@ def main():
             t0 = time.perf_counter()
             fn()
             times[name] = round(time.perf_counter() - t0, 3)
-        print(json.dumps({"factor": factor, "statements": n_stmt, "times": times}), flush=True)
+        print(json.dumps({"factor": factor, "bucketed": buckets, "statements": n_stmt, "times": times}), flush=True)
 
 
 if __name__ == "__main__":
