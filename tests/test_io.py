@@ -71,3 +71,23 @@ def test_bucketed_tables_avoid_panel_shuffle(spark, tables001, tmp_path):
     assert rows == sorted(tuple(r) for r in state.account_current(tables001).collect())
     plan = cur._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "hashpartitioning(account_id" not in plan
+
+
+def test_pipeline_end_to_end(spark, tables001, tmp_path):
+    from creditscope.pipeline import run_analytics, run_cleaning
+    raw = bind_raw(spark, tables001)
+    for name in LOAD_ORDER:
+        raw[name].write.option("header", True).csv(str(tmp_path / "raw" / f"{name}.csv"))
+    clean = run_cleaning(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    expect = tables001["accounts"].filter("account_id % 53 <> 0 and account_id % 211 <> 0").count()
+    assert clean["accounts"].count() == expect
+    audit = [json.loads(line) for f in os.listdir(tmp_path / "out/reports/data_quality_report")
+             if f.endswith(".json") for line in (tmp_path / "out/reports/data_quality_report" / f).read_text().splitlines()]
+    assert len(audit) == 18
+    findings = run_analytics(spark, str(tmp_path / "out/processed"), str(tmp_path / "out")).first()
+    assert findings.accounts == clean["monthly_statements"].select("account_id").distinct().count()
+    assert findings.top_driver is not None
+    extracts = sorted(os.listdir(tmp_path / "out/extracts"))
+    assert extracts == sorted(["risk_tier_kpis", "delinquency_by_utilization", "delinquency_by_filedepth",
+                               "delinquency_interaction", "monthly_delinquency_trend", "kmeans_segments",
+                               "delinquency_drivers", "account_scored_sample"])
