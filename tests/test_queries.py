@@ -65,3 +65,23 @@ def test_partition_count_independence(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert base == one
+
+
+def test_roll_rates_with_a_hot_account(spark, tables001, monkeypatch):
+    """One account holds a third of all statements: the hot-key path gives the
+    same roll rates as the plain per-account window."""
+    from pyspark.sql import functions as F
+
+    import creditscope.operators.window as W
+    from creditscope.plans import trends
+    st = tables001["monthly_statements"]
+    hot = st.withColumn("account_id", F.when(F.col("statement_id") % 3 == 0, F.lit(1)).otherwise(F.col("account_id")))
+    t = dict(tables001, monthly_statements=hot)
+    monkeypatch.setattr(W, "HOT_KEY_MIN_ROWS", 100)
+    assert [r.account_id for r in W.hot_keys(hot, ["account_id"]).collect()] == [1]
+    ours = sorted(tuple(r) for r in trends.roll_rates(t).collect())
+    seq = W.next_value(hot.select("account_id", "statement_id", "statement_month", "days_past_due"),
+                       ["account_id"], ["statement_month", "statement_id"], "days_past_due", "next_dpd",
+                       skew_safe=False)
+    plain = seq.filter("next_dpd is not null").groupBy(trends.roll_bucket(F.col("days_past_due")).alias("b")).count()
+    assert sorted((b, n) for b, n in plain.collect()) == sorted((r[0], r[1]) for r in ours)
