@@ -90,9 +90,13 @@ def next_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
         return df.withColumn(out, F.lead(value).over(w))
     if isinstance(hot, str):
         return _lead_by_rank(df, keys, order, value, out)
-    hot = F.broadcast(hot)  # at most HOT_KEY_CAP keys
-    cold = df.join(hot, list(keys), "left_anti").select(*df.columns)
-    warm = df.join(hot, list(keys), "left_semi").select(*df.columns)
+    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))  # at most HOT_KEY_CAP keys
+    match = None
+    for k in keys:  # null-safe: a NULL key can be hot too
+        c = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+        match = c if match is None else match & c
+    cold = df.join(hot, match, "left_anti").select(*df.columns)
+    warm = df.join(hot, match, "left_semi").select(*df.columns)
     return cold.withColumn(out, F.lead(value).over(w)).unionByName(_lead_by_rank(warm, keys, order, value, out))
 
 

@@ -188,3 +188,12 @@ def test_period_trend_on_orders_matches_duckdb(spark):
         select m, n, r, cast(round(cast(r - lag(r) over (order by m) as decimal(38,10)), 2) as double) from r
     """).fetchall()
     assert ours == sorted(tuple(x) for x in ref)
+
+
+def test_next_value_null_hot_key(spark):
+    rows = [(None if i % 2 == 0 else 5, i, i % 3 * 30) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t int, dpd int")
+    safe = next_value(df, ["k"], ["t"], "dpd", "nx", hot_min_rows=50).select("k", "t", "nx")
+    plain = next_value(df, ["k"], ["t"], "dpd", "nx", skew_safe=False).select("k", "t", "nx")
+    key = lambda r: (r.k is None, r.k or 0, r.t)
+    assert sorted(safe.collect(), key=key) == sorted(plain.collect(), key=key)
