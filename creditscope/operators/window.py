@@ -116,6 +116,11 @@ def trim_after_event(df: DataFrame, keys: Sequence[str], order: Sequence[str], f
            .select(*keys, *order)
            .withColumn("_n", F.row_number().over(w))
            .filter(F.col("_n") == keep_events + 1)
-           .select(*keys, F.struct(*[F.col(c) for c in order]).alias("_cut")))
-    joined = df.join(cut, list(keys), "left")
+           .select(*[F.col(k).alias(f"_cut_{k}") for k in keys],
+                   F.struct(*[F.col(c) for c in order]).alias("_cut")))
+    match = None
+    for k in keys:  # null-safe: NULL keys form one group, as in the window
+        c = F.col(k).eqNullSafe(F.col(f"_cut_{k}"))
+        match = c if match is None else match & c
+    joined = df.join(cut, match, "left")
     return joined.filter(F.col("_cut").isNull() | (pos < F.col("_cut"))).select(*df.columns)

@@ -197,3 +197,13 @@ def test_next_value_null_hot_key(spark):
     plain = next_value(df, ["k"], ["t"], "dpd", "nx", skew_safe=False).select("k", "t", "nx")
     key = lambda r: (r.k is None, r.k or 0, r.t)
     assert sorted(safe.collect(), key=key) == sorted(plain.collect(), key=key)
+
+
+def test_trim_after_event_null_key_matches_window(spark):
+    rows = [(None, i, f) for i, f in enumerate([0, 1, 0, 1, 1])] + [(3, i, f) for i, f in enumerate([1, 0, 1])]
+    df = spark.createDataFrame(rows, "k long, t int, f int")
+    ours = trim_after_event(df, ["k"], ["t"], F.col("f") == 1)
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("c", F.sum("f").over(w)).filter("c <= 1").drop("c")
+    key = lambda r: (r.k is None, r.k or 0, r.t)
+    assert sorted(ours.collect(), key=key) == sorted(ref.collect(), key=key)
