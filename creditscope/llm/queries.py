@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditscope.llm import packing, shuffle_shards, zstd_langid
+from creditscope.llm import chat_windows, packing, shuffle_shards, topk_index, zstd_langid
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk_index.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    two = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")),
+                            F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), two.alias("x")).select(
+        "conv_id", F.col("x.turn").cast("long").alias("turn"), "x.role", said.alias("text"))
+    return chat_windows.digests(chat_windows.windows(conversations.unionByName(extra)))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_shards.external_shuffle(_read(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("record.text"), F.lit(""))
@@ -35,8 +50,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_topk": op2_topk,
+    "op6_chat": op6_chat,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 10""",
+}
