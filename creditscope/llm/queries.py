@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditscope.llm import chat_windows, packing, shuffle_shards, topk_index, zstd_langid
+from creditscope.llm import (
+    chat_windows,
+    packing,
+    quality_lm,
+    quality_rules,
+    shuffle_shards,
+    topk_index,
+    zstd_langid,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +29,19 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_index.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    model = quality_rules.learn(documents, _read(spark, sf_dir, "labels"))
+    judged = quality_rules.label_documents(documents, model, keep=["doc_id"])
+    return judged.select("row.doc_id", "out.*")
+
+
+def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    trusted = quality_lm.trusted_documents(documents, _read(spark, sf_dir, "labels"))
+    return quality_lm.classify(documents, trusted, keep=["doc_id", "lang"]).select("row.*", "out.*")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
@@ -51,6 +72,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_quality_lm": op5_quality_lm,
     "op6_chat": op6_chat,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
