@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from creditscope.llm import (
     chat_windows,
     packing,
+    piece_codec,
     quality_lm,
     quality_rules,
     shuffle_shards,
@@ -52,6 +53,15 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.digests(chat_windows.windows(conversations.unionByName(extra)))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = piece_codec.Pieces.load()
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = piece_codec.encode_documents(documents, pieces).select("row.*", "out.ids")
+    decoded = piece_codec.decode_documents(encoded, pieces)
+    return decoded.select("row.doc_id", F.size("row.ids").cast("long").alias("n_tokens"), "row.ids",
+                          F.col("text").eqNullSafe(F.col("row.text")).alias("decoded_equal"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_shards.external_shuffle(_read(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("record.text"), F.lit(""))
@@ -75,6 +85,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_lm": op5_quality_lm,
     "op6_chat": op6_chat,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }
