@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditscope.llm import (
     chat_windows,
+    jaccard_join,
     packing,
     piece_codec,
     quality_lm,
@@ -30,6 +31,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_index.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     model = quality_rules.learn(documents, _read(spark, sf_dir, "labels"))
@@ -82,6 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
+    "op3_jaccard": op3_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_lm": op5_quality_lm,
     "op6_chat": op6_chat,
