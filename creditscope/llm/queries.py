@@ -13,6 +13,7 @@ from creditscope.llm import (
     quality_lm,
     quality_rules,
     shuffle_shards,
+    suffix_dedup,
     topk_index,
     zstd_langid,
 )
@@ -67,6 +68,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("text").eqNullSafe(F.col("row.text")).alias("decoded_equal"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_shards.external_shuffle(_read(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("record.text"), F.lit(""))
@@ -92,6 +97,7 @@ QUERIES = {
     "op5_quality_lm": op5_quality_lm,
     "op6_chat": op6_chat,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }
