@@ -7,11 +7,15 @@ continuation counts, the contexts and the discounts are tables that Spark shards
 key.  To score, the texts are cut into blocks; each block's distinct n-grams are
 joined to the count tables, and the probabilities go back to the block, so what is
 joined grows with the n-grams of a block, not with its bytes.  A text is rejected
-when its perplexity exceeds its language's quantile over the trusted texts.
-
-Defined cases: a null, empty or blank text has a null perplexity and is kept; a null
-language, or one without trusted texts, uses the quantile over all of them; without
-any trusted text nothing is rejected; several labels of one id must all be trusted;
+when its perplexity exceeds its language's quantile over the trusted texts.  Texts
+that a model has learned look better than new ones, so the quantiles come from
+``FOLDS`` further models, each without the texts of its fold (equal texts share one),
+that score their own fold; the documents are scored by the model of all texts.
+
+Defined cases: a null, empty or blank text has a null perplexity and is kept; a
+language with too few trusted texts for its quantile uses the larger of their
+largest value and the quantile over all languages, and so does a null language;
+without enough trusted texts in all nothing is rejected; several labels of one id must all be trusted;
 repeated rows are judged alike; extra columns are carried along.
 
 ``documents`` must give the same rows in the same order when read again (a table
@@ -35,6 +39,8 @@ from creditscope.llm.tables import stored
 
 ORDER = 5
 QUANTILE = 0.99
+FOLDS = 4
+ALL = -1  # the model of all trusted texts
 #: Log-perplexities are compared in bins of this width, which bounds the histogram.
 BIN = 1e-4
 #: Up to so many trusted ids (8 bytes each) travel to the scans; more are joined by shuffle.
@@ -69,26 +75,38 @@ def word_grams(words: textscan.Words, order: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    """Partial counts by fold of a task's texts (columns text, fold)."""
+    held = {}
 
     def out():
-        for at in range(0, len(held[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in held], names=["gram", "n"])
-
-    for batch in textscan.slices(batches):
-        words = textscan.scan(batch.column(0))
-        gram, word, number = word_grams(words, order)
+        for fold, columns in held.items():
+            for at in range(0, len(columns[0]), 100_000):
+                part = [pa.array(x[at:at + 100_000]) for x in columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part[0]), fold, np.int32)), *part], names=["fold", "gram", "n"])
+
+    for batch in _by_fold(textscan.slices(batches)):
+        fold = batch.column(1)[0].as_py()
+        gram, word, number = word_grams(textscan.scan(batch.column(0)), order)
         times = np.bincount(number, minlength=int(number.max(initial=-1)) + 1)
-        every = np.concatenate([held[0], gram])
-        keys, inverse = np.unique(every, return_inverse=True)
-        weight = np.concatenate([held[1], times[word] if len(word) else word]).astype(np.float64)
-        held = [keys, np.bincount(inverse, weight, len(keys)).astype(np.int64)]
-        if len(keys) > PARTIAL:
+        before = held.get(fold, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        keys, inverse = np.unique(np.concatenate([before[0], gram]), return_inverse=True)
+        weight = np.concatenate([before[1], times[word] if len(word) else word]).astype(np.float64)
+        held[fold] = (keys, np.bincount(inverse, weight, len(keys)).astype(np.int64))
+        if sum(len(k) for k, _ in held.values()) > PARTIAL:
             yield from out()
-            held = [keys[:0], held[1][:0]]
+            held.clear()
     yield from out()
 
 
+def _by_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of one fold each (the last column)."""
+    for batch in batches:
+        folds = np.asarray(batch.column(batch.num_columns - 1))
+        for fold in np.unique(folds):
+            yield batch.filter(pa.array(folds == fold))
+
+
 def _order_of(gram: Column, order: int) -> Column:
     """Symbols of an n-gram, from the place of its leading 1."""
     out = F.lit(order)
@@ -109,9 +127,10 @@ def _suffix(gram: Column, n: Column) -> Column:
 
 @dataclass
 class Model:
-    counts: DataFrame    # gram, a: adjusted count
-    contexts: DataFrame  # context, total, gamma
-    discounts: dict[int, tuple[float, float, float]]
+    """Tables of the model of all texts (fold ``ALL``) and of those without a fold."""
+    counts: DataFrame    # fold, gram, a: adjusted count
+    contexts: DataFrame  # fold, context, total, gamma
+    discounts: dict[int, dict[int, tuple[float, float, float]]]  # by fold and order
     order: int
 
 
@@ -126,73 +145,89 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
 
 
 def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> Model:
-    """Count tables of all rows of ``trusted``."""
-    texts = trusted.select(F.col(f"`{text}`").cast("string").alias("text"))
-    partial = texts.mapInArrow(lambda b: _count(b, order), "gram long, n long")
-    raw = stored(partial.groupBy("gram").agg(F.sum("n").alias("n")), "lm-raw")
+    """Count tables of all rows of ``trusted``, in all and without each fold."""
+    texts = trusted.select(F.col(f"`{text}`").cast("string").alias("text"), _fold(text).alias("fold"))
+    partial = texts.mapInArrow(lambda b: _count(b, order), "fold int, gram long, n long")
+    summed = stored(partial.groupBy("fold", "gram").agg(F.sum("n").alias("n")), "lm-partial")
+    # A text counts for every model but its own fold's.
+    models = F.filter(F.array(*[F.lit(f) for f in range(ALL, FOLDS)]), lambda f: f != F.col("fold"))
+    raw = stored(summed.select(F.explode(models).alias("fold"), "gram", "n").groupBy("fold", "gram").agg(
+        F.sum("n").alias("n")), "lm-raw")
     gram = F.col("gram")
-    types = raw.select(F.explode(F.transform(
+    types = raw.select("fold", F.explode(F.transform(
         F.sequence(F.lit(1), _order_of(gram, order)), lambda n: _suffix(gram, n))).alias("gram")).distinct()
     size = _order_of(gram, order)
-    followed = types.where(size > 1).select(_suffix(gram, size - 1).alias("s")).groupBy("s").agg(
-        F.count("*").alias("c"))
+    followed = types.where(size > 1).select("fold", _suffix(gram, size - 1).alias("gram")).groupBy(
+        "fold", "gram").agg(F.count("*").alias("c"))
     begins = (size > 1) & (F.floor((gram - _size(size)) / _size(size - 1)) == MARK)
     # A word's begin has nothing before it: its n-grams keep raw counts, like the longest.
-    joined = types.join(raw.select(gram.alias("r"), "n"), gram == F.col("r"), "left").join(
-        followed, gram == F.col("s"), "left")
-    counts = stored(joined.select("gram", F.when((size == order) | begins, F.col("n")).otherwise(
+    joined = types.join(raw, ["fold", "gram"], "left").join(followed, ["fold", "gram"], "left")
+    counts = stored(joined.select("fold", "gram", F.when((size == order) | begins, F.col("n")).otherwise(
         F.col("c")).alias("a")).where("a > 0"), "lm-counts")
-    seen = {r["size"]: r for r in counts.groupBy(size.alias("size")).agg(
-        *[F.count_if(F.col("a") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()}
-    discounts = {n: discounts_of(*[seen[n][f"n{i}"] for i in (1, 2, 3, 4)]) if n in seen else (0.0,) * 3
-                 for n in range(1, order + 1)}
+    discounts = {f: {n: (0.0,) * 3 for n in range(1, order + 1)} for f in range(ALL, FOLDS)}
+    for r in counts.groupBy("fold", size.alias("size")).agg(
+            *[F.count_if(F.col("a") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect():
+        discounts[r["fold"]][r["size"]] = discounts_of(*[r[f"n{i}"] for i in (1, 2, 3, 4)])
     context = F.shiftrightunsigned(gram, 8).cast("long")
-    contexts = stored(counts.groupBy(context.alias("context")).agg(
+    contexts = stored(counts.groupBy("fold", context.alias("context")).agg(
         F.sum("a").alias("total"), F.sum(_discount(F.col("a"), size, discounts)).alias("freed"))
-        .select("context", "total", (F.col("freed") / F.col("total")).alias("gamma")), "lm-contexts")
+        .select("fold", "context", "total", (F.col("freed") / F.col("total")).alias("gamma")), "lm-contexts")
     return Model(counts, contexts, discounts, order)
 
 
-def _discount(a: Column, size: Column, discounts: dict[int, tuple[float, float, float]]) -> Column:
-    table = F.array(*[F.array(F.lit(0.0), *[F.lit(d) for d in discounts[n]]) for n in sorted(discounts)])
-    return F.element_at(F.element_at(table, size.cast("int")), F.least(a, F.lit(3)).cast("int") + 1)
+def _fold(text: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{text}`").cast("string")), F.lit(FOLDS)).cast("int")
+
+
+def _discount(a: Column, size: Column, discounts: dict[int, dict[int, tuple[float, float, float]]]) -> Column:
+    """By the columns fold and ``size``, and the class of the count ``a``."""
+    table = F.array(*[F.array(*[F.array(F.lit(0.0), *[F.lit(d) for d in discounts[f][n]])
+                                for n in sorted(discounts[f])]) for f in range(ALL, FOLDS)])
+    own = F.element_at(table, F.col("fold") - ALL + 1)
+    return F.element_at(F.element_at(own, size.cast("int")), F.least(a, F.lit(3)).cast("int") + 1)
 
 
 def probabilities(grams: DataFrame, model: Model) -> DataFrame:
-    """(gram, cost): -ln p of each distinct n-gram, by joins to the count tables."""
+    """(fold, gram, cost): -ln p of each distinct n-gram, by joins to the count tables."""
     gram, order = F.col("gram"), model.order
-    levels = grams.select("gram", F.explode(F.sequence(F.lit(1), _order_of(gram, order))).alias("size"))
+    levels = grams.select("fold", "gram", F.explode(F.sequence(F.lit(1), _order_of(gram, order))).alias("size"))
     levels = levels.withColumn("key", _suffix(gram, F.col("size")))
-    joined = levels.join(model.counts.select(gram.alias("k"), "a"), F.col("key") == F.col("k"), "left").join(
-        model.contexts, F.shiftrightunsigned("key", 8).cast("long") == F.col("context"), "left")
+    counts = model.counts.select(F.col("fold").alias("f"), F.col("gram").alias("k"), "a")
+    contexts = model.contexts.select(F.col("fold").alias("g"), "context", "total", "gamma")
+    joined = levels.join(counts, (F.col("fold") == F.col("f")) & (F.col("key") == F.col("k")), "left").join(
+        contexts, (F.col("fold") == F.col("g")) & (
+            F.shiftrightunsigned("key", 8).cast("long") == F.col("context")), "left")
     a = F.coalesce("a", F.lit(0)).cast("long")
     own = F.greatest(F.lit(0.0), a - _discount(a, F.col("size"), model.discounts)) / F.col("total")
-    folded = joined.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(
+    folded = joined.groupBy("fold", "gram").agg(F.array_sort(F.collect_list(F.struct(
         "size", F.coalesce(own, F.lit(0.0)).alias("own"),
         F.coalesce("gamma", F.lit(1.0)).alias("gamma")))).alias("levels"))
     p = F.aggregate("levels", F.lit(1 / 256), lambda p, x: x["own"] + x["gamma"] * p)
-    return folded.select("gram", (-F.log(F.greatest(p, F.lit(1e-12)))).alias("cost"))
+    return folded.select("fold", "gram", (-F.log(F.greatest(p, F.lit(1e-12)))).alias("cost"))
 
 
 def _block(batch: pa.RecordBatch) -> int:
+    """A number that follows from the block's texts and fold alone."""
     data, offsets = textscan.raw(batch.column(1))
-    return xxhash.xxh64_intdigest(data.tobytes() + offsets.tobytes()) - (1 << 63)
+    fold = np.int64(batch.column(2)[0].as_py()).tobytes()
+    return xxhash.xxh64_intdigest(data.tobytes() + offsets.tobytes() + fold) - (1 << 63)
 
 
 def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) -> DataFrame:
-    """``rows`` has columns row, text; ``finish`` turns (batch, log-perplexities) into the result."""
+    """``rows`` has columns row, text, fold (of the model that scores it); ``finish``
+    turns (batch, log-perplexities) into the result."""
     order = model.order
 
     def grams(batches):
-        for batch in textscan.slices(batches):
+        for batch in _by_fold(textscan.slices(batches)):
             keys = np.unique(word_grams(textscan.scan(batch.column(1)), order)[0])
-            block = np.full(len(keys), _block(batch))
+            same = [np.full(len(keys), _block(batch)), np.full(len(keys), batch.column(2)[0].as_py(), np.int32)]
             for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in (block, keys)],
-                                                 names=["block", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in (*same, keys)],
+                                                 names=["block", "fold", "gram"])
 
     def payloads(batches):
-        for batch in textscan.slices(batches):
+        for batch in _by_fold(textscan.slices(batches)):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(
                     compression=pa.Codec("zstd", 3))) as writer:
@@ -224,18 +259,18 @@ def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) ->
                 with np.errstate(invalid="ignore"):
                     yield finish(batch, np.where(times > 0, total / times, np.nan))
 
-    pairs = rows.mapInArrow(grams, "block long, gram long")
-    costs = probabilities(pairs.select("gram").distinct(), model)
-    per_block = pairs.join(costs, "gram").groupBy("block").agg(
+    pairs = rows.mapInArrow(grams, "block long, fold int, gram long")
+    costs = probabilities(pairs.select("fold", "gram").distinct(), model)
+    per_block = pairs.join(costs, ["fold", "gram"]).groupBy("block").agg(
         F.collect_list(F.struct("gram", "cost")).alias("costs"))
     blocks = rows.mapInArrow(payloads, "id long, payload binary")
     return blocks.join(per_block, F.col("id") == F.col("block"), "left").select(
         "payload", "costs").mapInArrow(score, out_schema)
 
 
-def _rows(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def _rows(documents: DataFrame, text: str, keep: list[str], fold: Column) -> DataFrame:
     return documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-                            F.col(f"`{text}`").cast("string").alias("text"))
+                            F.col(f"`{text}`").cast("string").alias("text"), fold.alias("fold"))
 
 
 def thresholds(trusted: DataFrame, model: Model, text: str = "text", lang: str = "lang",
@@ -245,7 +280,8 @@ def thresholds(trusted: DataFrame, model: Model, text: str = "text", lang: str =
         return pa.RecordBatch.from_arrays([batch.column(0).field(0), pa.array(value)], names=["lang", "v"])
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("v", T.DoubleType())])
-    rows = _rows(trusted.withColumn(lang, F.col(lang).cast("string")), text, [lang])
+    rows = _rows(trusted.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")),
+                 "text", ["lang"], _fold("text"))
     scored = _scored(rows, model, schema, finish).where(~F.isnan("v"))
     binned = scored.groupBy("lang", F.ceil(F.col("v") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     binned = stored(binned, "lm-bins")
@@ -255,13 +291,17 @@ def thresholds(trusted: DataFrame, model: Model, text: str = "text", lang: str =
     upto = Window.partitionBy("l").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = both.select("l", "bin", F.sum("n").over(upto).alias("upto"),
                          F.sum("n").over(Window.partitionBy("l")).alias("total"))
-    rows = ranked.where(F.col("upto") >= F.col("total") * quantile).groupBy("l").agg(F.min("bin").alias("bin"))
-    out = {}
-    for r in rows.collect():  # one row per language
-        if r["l"] is None:
-            out[None] = r["bin"] * BIN
-        elif r["l"]["lang"] is not None:
-            out[r["l"]["lang"]] = r["bin"] * BIN
+    # The rank that a new text stays under with the wanted chance; it needs enough texts.
+    wanted = F.ceil((F.col("total") + 1) * quantile)
+    rows = ranked.groupBy("l").agg(F.min(F.when(F.col("upto") >= wanted, F.col("bin"))).alias("bin"),
+                                   F.max("bin").alias("largest")).collect()  # one row per language
+    over_all = next((r["bin"] for r in rows if r["l"] is None), None)
+    if over_all is None:
+        return {}
+    out = {None: over_all * BIN}
+    for r in rows:
+        if r["l"] is not None and r["l"]["lang"] is not None:
+            out[r["l"]["lang"]] = (r["bin"] if r["bin"] is not None else max(r["largest"], over_all)) * BIN
     return out
 
 
@@ -281,7 +321,7 @@ def classify(documents: DataFrame, trusted: DataFrame, text: str = "text", lang:
     model = train(trusted, text, order)
     limits = thresholds(trusted, model, text, lang, quantile)
     kept = documents.columns if keep is None else keep
-    rows = _rows(documents, text, kept).withColumn("row", F.struct(
+    rows = _rows(documents, text, kept, F.lit(ALL)).withColumn("row", F.struct(
         F.col("row"), F.col("row")[lang].cast("string").alias("lang")) if lang in kept else F.struct(
         F.col("row"), F.lit(None).cast("string").alias("lang")))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType["row"].dataType),

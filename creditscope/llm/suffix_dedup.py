@@ -338,7 +338,15 @@ def _sort_shard(table: pa.Table) -> pa.Table:
                      "ids": pa.array([zstandard.compress(x.tobytes(), 1) for x in np.split(ids, cuts)], pa.binary())})
 
 
-def _cut(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _whole_characters(kept: pa.Array) -> pa.Array:
+    """As text, without the bytes of characters that were cut apart."""
+    try:
+        return kept.cast(pa.large_string())  # valid as it is
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.large_string())
+
+
+def _cut(batches: Iterator[pa.RecordBatch], shards: int, as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             rows, offsets, own = _unpack(batch.column(1)[i])
@@ -368,14 +376,15 @@ def _cut(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBa
                 None, pa.py_buffer(keep.astype(np.int64).tobytes()), pa.py_buffer(own.buf[~removed].tobytes())])
             out = pa.StructArray.from_arrays(
                 [pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(spans[offsets])),
-                 kept.cast(pa.binary())], names=OUT.fieldNames())
+                 _whole_characters(kept).cast(pa.string()) if as_text else kept.cast(pa.binary())],
+                names=OUT.fieldNames())
             yield pa.RecordBatch.from_arrays([rows.column(0), out], names=["row", "out"])
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
-                   keep: list[str] | None = None) -> DataFrame:
+                   keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Columns ``row`` (the kept input columns) and ``out`` (``OUT``; ``kept`` holds the
-    bytes that stay, which need not be whole characters)."""
+    bytes that stay; ``as_text``: a string, without characters that were cut apart)."""
     columns = documents.columns if keep is None else keep
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                             F.col(f"`{id_col}`").cast("long").alias("id"),
@@ -394,9 +403,10 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text: str = "te
     sorted_ = stored(contents.groupBy("shard").applyInArrow(_sort_shard, "shard long, slice long, ids binary"), "windows")
     answers = shared.join(sorted_, ["shard", "slice"]).groupBy("slice").agg(
         F.collect_list(F.struct("shard", "bits", "ids")).alias("answers"))
-    schema = T.StructType([rows.schema["row"], T.StructField("out", OUT)])
+    out = T.StructType([*OUT.fields[:-1], T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("out", out)])
     return payloads.join(answers, "slice", "left").select("slice", "payload", "answers").mapInArrow(
-        lambda b: _cut(b, shards), schema)
+        lambda b: _cut(b, shards, as_text), schema)
 
 
 def digest(cut: DataFrame) -> DataFrame:
