@@ -1,9 +1,9 @@
 """Oracle SQL for the differential check (DuckDB dialect).
 
 Each text stands alone: the clean tables are inlined as leading CTEs over the
-registered base tables.  The SQL restates the analysed queries directly; the
-only shared pieces with the Spark side are the binding texts and the exact
-HALF_UP rounding rule, spelled out below in SQL.
+registered base tables.  Metrics follow their definitions: one account-level
+relation, looked-up scales, one set of group sums, ratios of them.  Shared with the
+Spark side are only the binding texts and the exact HALF_UP rounding rule.
 """
 
 from __future__ import annotations
@@ -41,36 +41,37 @@ def r_half_up(x: str, digits: int) -> str:
 
 MONEY = "decimal(18,2)"
 
-LATEST = """latest as (
-  select account_id, statement_id, statement_month, ending_balance, days_past_due, charge_off_flag
-  from (select *, row_number() over (partition by account_id
-                                     order by statement_month desc, statement_id desc) as rn
-        from monthly_statements) x where rn = 1)"""
-
-CB = """cb as (
-  select l.*, a.cardholder_id, a.product_id, a.credit_limit, a.open_date,
-         cast(l.ending_balance as double) / cast(nullif(a.credit_limit, 0) as double) as utilization
-  from latest l join accounts a using (account_id))"""
-
-CUR = """cur0 as (
-  select cb.account_id, cb.cardholder_id, cb.product_id, cb.ending_balance, cb.credit_limit,
-         cb.days_past_due, cb.charge_off_flag, cb.utilization, ch.fico_origination,
-         ch.credit_history_months, ch.annual_income, ch.region_id,
-         (ch.credit_history_months < 24) as thin_file, ch.age, cb.open_date, cb.statement_month
-  from cb join cardholders ch using (cardholder_id)),
-cur1 as (
-  select *, cast((case when fico_origination < 660 then 2 when fico_origination < 720 then 1 else 0 end)
-               + (case when utilization >= 0.90 then 2 when utilization >= 0.60 then 1 else 0 end)
-               + (case when thin_file then 1 else 0 end) as int) as risk_points
-  from cur0),
-cur as (
-  select account_id, cardholder_id, product_id, ending_balance, credit_limit, days_past_due,
-         charge_off_flag, utilization, fico_origination, credit_history_months, annual_income,
-         region_id, thin_file, risk_points,
-         case when risk_points >= 4 then 'Tier 4 - High Risk' when risk_points = 3 then 'Tier 3 - Elevated'
-              when risk_points >= 1 then 'Tier 2 - Moderate' else 'Tier 1 - Low Risk' end as risk_tier,
-         age, open_date, statement_month
-  from cur1)"""
+# One relation carries everything the account-level metrics need.  Scores, tiers
+# and buckets are looked up in small value tables rather than spelled as branches.
+BOOK = """newest as (
+  select account_id, max(struct_pack(m := statement_month, i := statement_id, bal := ending_balance,
+                                     dpd := days_past_due, co := charge_off_flag)) as s
+  from monthly_statements group by account_id),
+fico_scale(under, pts) as (values (660, 2), (720, 1)),
+util_scale(least_, pts) as (values (cast(0.90 as double), 2), (cast(0.60 as double), 1)),
+tier_scale(pts, tier) as (values (0, 'Tier 1 - Low Risk'), (1, 'Tier 2 - Moderate'), (2, 'Tier 2 - Moderate'),
+  (3, 'Tier 3 - Elevated'), (4, 'Tier 4 - High Risk'), (5, 'Tier 4 - High Risk')),
+facts as (
+  select newest.account_id as acct, holder.cardholder_id as holder_id, acc.product_id as product, s.bal as bal,
+         acc.credit_limit as lim, s.dpd as dpd, s.co as co, s.m as month, acc.open_date as opened,
+         cast(s.bal as double) / cast(nullif(acc.credit_limit, 0) as double) as util,
+         holder.fico_origination as fico, holder.credit_history_months as hist, holder.annual_income as income,
+         holder.region_id as region, holder.age as age, holder.credit_history_months < 24 as thin
+  from newest, accounts acc, cardholders holder
+  where acc.account_id = newest.account_id and holder.cardholder_id = acc.cardholder_id),
+book as (
+  select f.*, tier_scale.tier, tier_scale.pts
+  from facts f, tier_scale
+  where tier_scale.pts = coalesce((select max(pts) from fico_scale where f.fico < under), 0)
+                       + coalesce((select max(pts) from util_scale where f.util >= least_), 0)
+                       + coalesce(cast(f.thin as int), 0))"""
+
+# Every measure of a group, as sums; a metric is a ratio of two of them.
+SUMS = """count(*) as n, sum(util) as u, count(util) as u_n, sum(fico) as f, count(fico) as f_n, sum(hist) as h,
+  count(hist) as h_n, sum(lim) as lim, sum(bal) as bal, coalesce(sum(cast(thin as int)), 0) as thin_n,
+  coalesce(sum(cast(dpd >= 30 as int)), 0) as late30, coalesce(sum(cast(dpd >= 60 as int)), 0) as late60,
+  coalesce(sum(cast(dpd >= 90 as int)), 0) as late90, coalesce(sum(co), 0) as lost,
+  sum(case co when 1 then bal end) as lost_bal"""
 
 
 def with_clean(*ctes: str) -> str:
@@ -78,178 +79,146 @@ def with_clean(*ctes: str) -> str:
     return prefix + "".join(",\n" + c for c in ctes) + "\n"
 
 
-def _current(*more: str) -> str:
-    return with_clean(LATEST, CB, CUR, *more)
+def _book(*more: str) -> str:
+    return with_clean(BOOK, *more)
 
 
-D30 = "count(*) filter (where days_past_due >= 30)"
-CO = "count(*) filter (where charge_off_flag = 1)"
-COBAL = "sum(ending_balance) filter (where charge_off_flag = 1)"
+def _grouped(key: str, source: str = "book", more: str = "") -> str:
+    """CTE ``g``: the sums of each value of ``key``; ``every``: of all groups."""
+    return (f"g as (select {key} as k, {SUMS} from {source} {more} group by 1),\n"
+            "every as (select sum(n) as n, sum(late30) as late30, sum(bal) as bal, sum(lost_bal) as lost_bal from g)")
+
+
+def _of_all(column: str) -> str:
+    return f"(select {column} from every)"
+
+
+def _scale(name: str, rows: list[tuple]) -> str:
+    """A value table (low, high, label) of half-open ranges; None is open."""
+    cells = ", ".join("(" + ", ".join("cast(null as double)" if v is None else f"'{v}'" if isinstance(v, str)
+                                      else f"cast({v} as double)" for v in r) + ")" for r in rows)
+    return f"{name}(low, high, label) as (values {cells})"
+
+
+AGING = _scale("aging", [(None, 1, "1 Current"), (1, 60, "2 30 DPD"), (60, 90, "3 60 DPD"), (90, 120, "4 90 DPD"),
+                         (120, None, "5 120+ DPD")])
+BANDS = _scale("bands", [(None, 0.3, "1 <30%"), (0.3, 0.6, "2 30-60%"), (0.6, 0.9, "3 60-90%"), (0.9, None, "4 90%+")])
+CLOSED_BANDS = _scale("bands", [(-0.01, 0.3, "<30%"), (0.3, 0.6, "30-60%"), (0.6, 0.9, "60-90%"), (0.9, None, "90%+")])
+ROLL = _scale("roll", [(None, 1, "0 Current"), (1, 60, "1 30 DPD"), (60, 90, "2 60 DPD"), (90, None, "3 90+ DPD")])
+
+
+def _portfolio(key: str = "") -> str:
+    return f"""n as accounts, cast(bal as {MONEY}) as total_balance, {avg_pct('u', 'u_n')} as avg_utilization_pct,
+  {money_pct('bal', 'lim', 1)} as portfolio_utilization_pct, {pct('late30', 'n')} as delinquency_rate_30plus_pct,
+  {pct('late60', 'n')} as delinquency_rate_60plus_pct, {pct('late90', 'n')} as delinquency_rate_90plus_pct,
+  {pct('lost', 'n')} as charge_off_rate_pct, {money_pct('lost_bal', 'bal', 2)} as charge_off_balance_pct,
+  cast(coalesce(lost_bal, 0) as {MONEY}) as charge_off_balance"""
+
+
+def _file_depth(flag: str) -> str:
+    return f"list_extract(['Established file', 'Thin file (<24 mo)'], 1 + cast(coalesce({flag}, false) as int))"
 
 
 def queries() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["account_current"] = _current() + "select * from cur"
-    q["portfolio_kpis"] = with_clean(LATEST, CB) + f"""
-select count(*) as accounts, cast(sum(ending_balance) as {MONEY}) as total_balance,
-  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization_pct,
-  {money_pct('sum(ending_balance)', 'sum(credit_limit)', 1)} as portfolio_utilization_pct,
-  {pct(D30, 'count(*)')} as delinquency_rate_30plus_pct,
-  {pct('count(*) filter (where days_past_due >= 60)', 'count(*)')} as delinquency_rate_60plus_pct,
-  {pct('count(*) filter (where days_past_due >= 90)', 'count(*)')} as delinquency_rate_90plus_pct,
-  {pct(CO, 'count(*)')} as charge_off_rate_pct,
-  {money_pct(COBAL, 'sum(ending_balance)', 2)} as charge_off_balance_pct,
-  cast(coalesce({COBAL}, 0) as {MONEY}) as charge_off_balance
-from cb"""
-    q["delinquency_buckets"] = with_clean(LATEST) + f"""
-select delinquency_bucket, count(*) as accounts,
-  {pct('count(*)', 'sum(count(*)) over ()', 2)} as pct_of_portfolio
-from (select case when charge_off_flag = 1 then '6 Charged Off' when days_past_due = 0 then '1 Current'
-                  when days_past_due < 60 then '2 30 DPD' when days_past_due < 90 then '3 60 DPD'
-                  when days_past_due < 120 then '4 90 DPD' else '5 120+ DPD' end as delinquency_bucket
-      from latest) b
-group by delinquency_bucket"""
-    q["kpis_by_product"] = with_clean(LATEST, CB) + f"""
-select p.product_name, count(*) as accounts,
-  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization_pct,
-  {pct(D30, 'count(*)')} as delinquency_rate_pct, {pct(CO, 'count(*)')} as charge_off_rate_pct,
-  cast(sum(ending_balance) as {MONEY}) as total_balance
-from cb join card_products p using (product_id)
-group by p.product_name"""
-    q["kpis_by_region"] = with_clean(LATEST, CB) + f"""
-select r.region_name, count(*) as accounts,
-  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization_pct,
-  {pct(D30, 'count(*)')} as delinquency_rate_pct, {pct(CO, 'count(*)')} as charge_off_rate_pct
-from cb join cardholders ch using (cardholder_id) join regions r using (region_id)
-group by r.region_name"""
-    q["risk_tier_kpis"] = _current() + f"""
-select risk_tier, count(*) as accounts, {pct('count(*)', 'sum(count(*)) over ()', 1)} as pct_of_accounts,
-  {avg_int('sum(fico_origination)', 'count(fico_origination)')} as avg_fico,
-  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization_pct,
-  {pct('count(*) filter (where thin_file)', 'count(*)', 1)} as pct_thin_file,
-  {pct(D30, 'count(*)')} as delinquency_rate_pct, {pct(CO, 'count(*)')} as charge_off_rate_pct,
-  cast(sum(ending_balance) as {MONEY}) as total_balance,
-  {money_pct('sum(ending_balance)', 'sum(sum(ending_balance)) over ()', 1)} as pct_of_balance
-from cur group by risk_tier"""
-    q["risk_tier_extract"] = _current() + f"""
-select risk_tier, count(*) as accounts,
-  {avg_int('sum(fico_origination)', 'count(fico_origination)')} as avg_fico,
-  {avg_pct('sum(utilization)', 'count(utilization)', 2)} as avg_utilization,
-  {pct('count(*) filter (where thin_file)', 'count(*)', 2)} as pct_thin_file,
-  {pct(D30, 'count(*)')} as delinquency_rate, {pct(CO, 'count(*)')} as charge_off_rate,
-  cast(sum(ending_balance) as {MONEY}) as total_balance,
-  {pct('count(*)', 'sum(count(*)) over ()', 1)} as pct_of_accounts,
-  {money_pct('sum(ending_balance)', 'sum(sum(ending_balance)) over ()', 1)} as pct_of_balance,
-  cast(coalesce({COBAL}, 0) as {MONEY}) as charge_off_balance,
-  coalesce({money_pct(f'coalesce({COBAL}, 0)', f'sum(coalesce({COBAL}, 0)) over ()', 1)}, cast(0 as double))
-    as pct_of_chargeoff_balance
-from cur group by risk_tier"""
-    q["utilization_extract"] = _current() + f"""
-, banded as (
-  select case when utilization <= 0.30 then '<30%' when utilization <= 0.60 then '30-60%'
-              when utilization <= 0.90 then '60-90%' else '90%+' end as utilization_band, days_past_due
-  from cur where utilization > -0.01)
-select utilization_band, count(*) as accounts, {D30} as delinquents,
-  {pct(D30, 'count(*)')} as delinquency_rate,
-  {pct('count(*)', '(select count(*) from cur)', 1)} as pct_of_accounts,
-  {pct(D30, f'sum({D30}) over ()', 1)} as pct_of_all_delinquents
-from banded group by utilization_band"""
-    q["file_depth_extract"] = _current() + f"""
-select coalesce(thin_file, false) as thin_file, count(*) as accounts,
-  {avg_int('sum(credit_history_months)', 'count(credit_history_months)')} as avg_history_months,
-  {pct(D30, 'count(*)')} as delinquency_rate, {pct(CO, 'count(*)')} as charge_off_rate,
-  case when coalesce(thin_file, false) then 'Thin file (<24 mo)' else 'Established file' end as file_depth
-from cur group by coalesce(thin_file, false)"""
-    q["interaction_extract"] = _current() + f"""
-, g as (select coalesce(utilization >= 0.60, false) as util_hi, coalesce(thin_file, false) as thin_file,
-               days_past_due from cur)
-select util_hi, thin_file, count(*) as accounts, {pct(D30, 'count(*)')} as delinquency_rate,
-  case when util_hi then 'High util (>=60%)' else 'Lower util (<60%)' end
-    || case when thin_file then ' + Thin file' else ' + Established' end as segment
-from g group by util_hi, thin_file"""
-    q["risk_concentration"] = _current() + f"""
-select risk_tier,
-  {money_pct('sum(ending_balance)', 'sum(sum(ending_balance)) over ()', 1)} as pct_total_balance,
-  {money_pct(COBAL, f'sum({COBAL}) over ()', 1)} as pct_charged_off_balance
-from cur group by risk_tier"""
-    q["risk_deciles"] = _current() + f"""
-, scored as (
-  select account_id, days_past_due, utilization, fico_origination,
-    cast(0.6 as double) * least(utilization, cast(1.0 as double))
-      + cast(0.4 as double) * cast(850 - fico_origination as double) / cast(550.0 as double) as risk_score
-  from cur),
-deciles as (select *, ntile(10) over (order by risk_score asc nulls last, account_id) as risk_decile from scored)
-select cast(risk_decile as int) as risk_decile, count(*) as accounts,
-  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization_pct,
-  {avg_int('sum(fico_origination)', 'count(fico_origination)')} as avg_fico,
-  {pct(D30, 'count(*)')} as delinquency_rate_pct
-from deciles group by risk_decile"""
-    q["delinquency_by_utilization"] = _current() + f"""
-, banded as (
-  select case when utilization < 0.30 then '1 <30%' when utilization < 0.60 then '2 30-60%'
-              when utilization < 0.90 then '3 60-90%' else '4 90%+' end as utilization_band,
-         days_past_due from cur)
-select utilization_band, count(*) as accounts,
-  {pct('count(*)', 'sum(count(*)) over ()', 1)} as pct_of_accounts,
-  {pct(D30, 'count(*)')} as delinquency_rate_pct,
-  {pct(D30, f'sum({D30}) over ()', 1)} as pct_of_all_delinquents
-from banded group by utilization_band"""
-    q["delinquency_by_file_depth"] = _current() + f"""
-select case when thin_file then 'Thin file (<24 mo)' else 'Established file' end as file_depth,
-  count(*) as accounts,
-  {avg_int('sum(credit_history_months)', 'count(credit_history_months)')} as avg_history_months,
-  {pct(D30, 'count(*)')} as delinquency_rate_pct, {pct(CO, 'count(*)')} as charge_off_rate_pct
-from cur group by thin_file"""
-    q["delinquency_interaction"] = _current() + f"""
-, banded as (
-  select case when utilization >= 0.60 then 'High util (>=60%)' else 'Lower util (<60%)' end as utilization_band,
-         case when thin_file then 'Thin file' else 'Established' end as file_depth, days_past_due
-  from cur)
-select utilization_band, file_depth, count(*) as accounts, {pct(D30, 'count(*)')} as delinquency_rate_pct
-from banded group by grouping sets ((utilization_band, file_depth), ())"""
-    q["driver_segment_concentration"] = _current() + f"""
-, flagged as (select (utilization >= 0.60 or thin_file) as high_risk_segment, days_past_due,
-                     ending_balance, charge_off_flag from cur)
-select case when high_risk_segment then 'High-util or thin-file' else 'Rest of book' end as segment,
-  count(*) as accounts, {pct('count(*)', 'sum(count(*)) over ()', 1)} as pct_of_accounts,
-  {pct(D30, 'count(*)')} as delinquency_rate_pct,
-  {pct(D30, f'sum({D30}) over ()', 1)} as pct_of_all_delinquents,
-  {money_pct(COBAL, f'sum({COBAL}) over ()', 1)} as pct_of_chargeoff_balance
-from flagged group by high_risk_segment"""
-    q["monthly_trend"] = with_clean() + f"""
-, monthly as (
-  select s.statement_month, count(*) as active_accounts,
-    {pct('count(*) filter (where s.days_past_due >= 30)', 'count(*)')} as delinquency_rate_pct,
-    {pct('count(*) filter (where s.charge_off_flag = 1)', 'count(*)')} as charge_off_rate_pct,
-    {avg_pct('sum(cast(s.ending_balance as double) / cast(nullif(a.credit_limit, 0) as double))',
-             'count(cast(s.ending_balance as double) / cast(nullif(a.credit_limit, 0) as double))')} as avg_utilization_pct
-  from monthly_statements s join accounts a using (account_id)
-  group by s.statement_month)
-select statement_month, active_accounts, delinquency_rate_pct,
-  {r_half_up('delinquency_rate_pct - lag(delinquency_rate_pct) over (order by statement_month)', 2)} as delinquency_mom_change,
-  charge_off_rate_pct, avg_utilization_pct
-from monthly"""
+    q["account_current"] = _book() + """
+select acct as account_id, holder_id as cardholder_id, product as product_id, bal as ending_balance, lim as credit_limit,
+  dpd as days_past_due, co as charge_off_flag, util as utilization, fico as fico_origination,
+  hist as credit_history_months, income as annual_income, region as region_id, thin as thin_file,
+  cast(pts as int) as risk_points, tier as risk_tier, age, opened as open_date, month as statement_month
+from book"""
+    q["portfolio_kpis"] = _book(_grouped("1")) + f"select {_portfolio()} from g"
+    q["delinquency_buckets"] = _book(AGING, """named as (
+  select f.*, a.label from facts f join aging a on coalesce(f.dpd >= a.low, true) and coalesce(f.dpd < a.high, true)
+  where f.co is distinct from 1 union all select f.*, '6 Charged Off' from facts f where f.co = 1)""",
+                                       _grouped("label", "named")) + f"""
+select k as delinquency_bucket, n as accounts, {pct('n', _of_all('n'), 2)} as pct_of_portfolio from g"""
+    segment = (f"n as accounts, {avg_pct('u', 'u_n')} as avg_utilization_pct, "
+               f"{pct('late30', 'n')} as delinquency_rate_pct, {pct('lost', 'n')} as charge_off_rate_pct")
+    q["kpis_by_product"] = _book(_grouped("product", "facts")) + f"""
+select (select max(product_name) from card_products c where c.product_id = k) as product_name, {segment},
+  cast(bal as {MONEY}) as total_balance from g"""
+    q["kpis_by_region"] = _book(_grouped("region", "facts")) + f"""
+select (select max(region_name) from regions c where c.region_id = k) as region_name, {segment} from g"""
+    q["portfolio_kpis_by_product_region_band"] = _book(BANDS, f"""g as (
+  select product, region, label, {SUMS} from book join bands
+  on (low is null or util >= low) and (high is null or util < high) or util is null and high is null group by all)""") + f"""
+select cast(product as int) as product_id, cast(region as int) as region_id, label as utilization_band, {_portfolio()} from g"""
+    q["risk_tier_kpis"] = _book(_grouped("tier")) + f"""
+select k as risk_tier, n as accounts, {pct('n', _of_all('n'), 1)} as pct_of_accounts, {avg_int('f', 'f_n')} as avg_fico,
+  {avg_pct('u', 'u_n')} as avg_utilization_pct, {pct('thin_n', 'n', 1)} as pct_thin_file,
+  {pct('late30', 'n')} as delinquency_rate_pct, {pct('lost', 'n')} as charge_off_rate_pct,
+  cast(bal as {MONEY}) as total_balance, {money_pct('bal', _of_all('bal'), 1)} as pct_of_balance from g"""
+    q["risk_tier_extract"] = _book(_grouped("tier")) + f"""
+select k as risk_tier, n as accounts, {avg_int('f', 'f_n')} as avg_fico, {avg_pct('u', 'u_n', 2)} as avg_utilization,
+  {pct('thin_n', 'n', 2)} as pct_thin_file, {pct('late30', 'n')} as delinquency_rate, {pct('lost', 'n')} as charge_off_rate,
+  cast(bal as {MONEY}) as total_balance, {pct('n', _of_all('n'), 1)} as pct_of_accounts,
+  {money_pct('bal', _of_all('bal'), 1)} as pct_of_balance, cast(coalesce(lost_bal, 0) as {MONEY}) as charge_off_balance,
+  coalesce({money_pct('coalesce(lost_bal, 0)', _of_all('lost_bal'), 1)}, cast(0 as double)) as pct_of_chargeoff_balance
+from g"""
+    q["utilization_extract"] = _book(CLOSED_BANDS, _grouped(
+        "label", "book join bands on util > low and coalesce(util <= high, true)")) + f"""
+select k as utilization_band, n as accounts, late30 as delinquents, {pct('late30', 'n')} as delinquency_rate,
+  {pct('n', '(select count(*) from book)', 1)} as pct_of_accounts,
+  {pct('late30', _of_all('late30'), 1)} as pct_of_all_delinquents from g"""
+    q["file_depth_extract"] = _book(_grouped("coalesce(thin, false)")) + f"""
+select k as thin_file, n as accounts, {avg_int('h', 'h_n')} as avg_history_months, {pct('late30', 'n')} as delinquency_rate,
+  {pct('lost', 'n')} as charge_off_rate, {_file_depth('k')} as file_depth from g"""
+    q["interaction_extract"] = _book(_grouped("[coalesce(util >= 0.60, false), coalesce(thin, false)]")) + f"""
+select k[1] as util_hi, k[2] as thin_file, n as accounts, {pct('late30', 'n')} as delinquency_rate,
+  concat_ws(' + ', if(k[1], 'High util (>=60%)', 'Lower util (<60%)'), if(k[2], 'Thin file', 'Established')) as segment
+from g"""
+    q["risk_concentration"] = _book(_grouped("tier")) + f"""
+select k as risk_tier, {money_pct('bal', _of_all('bal'), 1)} as pct_total_balance,
+  {money_pct('lost_bal', _of_all('lost_bal'), 1)} as pct_charged_off_balance from g"""
+    q["risk_deciles"] = _book("""placed as (
+  select book.*, row_number() over (order by least(util, cast(1 as double)) * cast(0.6 as double)
+      + cast(850 - fico as double) / cast(550 as double) * cast(0.4 as double) nulls last, acct) - 1 as pos
+  from book)""", "sized as (select count(*) // 10 as q, count(*) % 10 as r from book)",
+        _grouped("case when pos < r * (q + 1) then pos // (q + 1) else r + (pos - r * (q + 1)) // q end", "placed, sized")) + f"""
+select cast(k + 1 as int) as risk_decile, n as accounts, {avg_pct('u', 'u_n')} as avg_utilization_pct,
+  {avg_int('f', 'f_n')} as avg_fico, {pct('late30', 'n')} as delinquency_rate_pct from g"""
+    q["delinquency_by_utilization"] = _book(BANDS, _grouped("label", """book join bands
+  on (low is null or util >= low) and (high is null or util < high) or util is null and high is null""")) + f"""
+select k as utilization_band, n as accounts, {pct('n', _of_all('n'), 1)} as pct_of_accounts,
+  {pct('late30', 'n')} as delinquency_rate_pct, {pct('late30', _of_all('late30'), 1)} as pct_of_all_delinquents from g"""
+    q["delinquency_by_file_depth"] = _book(_grouped("thin")) + f"""
+select {_file_depth('k')} as file_depth, n as accounts, {avg_int('h', 'h_n')} as avg_history_months,
+  {pct('late30', 'n')} as delinquency_rate_pct, {pct('lost', 'n')} as charge_off_rate_pct from g"""
+    q["delinquency_interaction"] = _book("""cells as (
+  select if(util >= 0.60, 'High util (>=60%)', 'Lower util (<60%)') as a, if(thin, 'Thin file', 'Established') as b,
+    count(*) as n, coalesce(sum(cast(dpd >= 30 as int)), 0) as late from book group by cube (a, b))""") + f"""
+select a as utilization_band, b as file_depth, n as accounts, {pct('late', 'n')} as delinquency_rate_pct
+from cells where (a is null) = (b is null)"""
+    q["driver_segment_concentration"] = _book(_grouped("util >= 0.60 or thin")) + f"""
+select if(k, 'High-util or thin-file', 'Rest of book') as segment, n as accounts,
+  {pct('n', _of_all('n'), 1)} as pct_of_accounts, {pct('late30', 'n')} as delinquency_rate_pct,
+  {pct('late30', _of_all('late30'), 1)} as pct_of_all_delinquents,
+  {money_pct('lost_bal', _of_all('lost_bal'), 1)} as pct_of_chargeoff_balance from g"""
+    q["monthly_trend"] = with_clean("""panel as (
+  select s.statement_month as month, s.days_past_due as dpd, s.charge_off_flag as co, s.ending_balance as bal,
+    cast(s.ending_balance as double) / cast(nullif(a.credit_limit, 0) as double) as util, a.credit_limit as lim,
+    null as fico, null as hist, null as thin
+  from monthly_statements s, accounts a where a.account_id = s.account_id)""", _grouped("month", "panel"), f"""
+rated as (select k, n, {pct('late30', 'n')} as late, {pct('lost', 'n')} as lost, {avg_pct('u', 'u_n')} as util,
+  row_number() over (order by k) as pos from g)""") + f"""
+select t.k as statement_month, t.n as active_accounts, t.late as delinquency_rate_pct,
+  {r_half_up('t.late - p.late', 2)} as delinquency_mom_change, t.lost as charge_off_rate_pct, t.util as avg_utilization_pct
+from rated t left join rated p on p.pos + 1 = t.pos"""
     q["monthly_trend_extract"] = "select strftime(statement_month, '%Y-%m-%d') as statement_month, " \
         "active_accounts, delinquency_rate_pct as delinquency_rate, charge_off_rate_pct as charge_off_rate, " \
         "avg_utilization_pct as avg_utilization, delinquency_mom_change from (" + q["monthly_trend"] + ") t"
-    q["roll_rates"] = with_clean() + f"""
-, seq as (
-  select account_id, statement_month, days_past_due,
-    lead(days_past_due) over (partition by account_id order by statement_month, statement_id) as next_dpd
-  from monthly_statements),
-classified as (
-  select case when days_past_due = 0 then '0 Current' when days_past_due < 60 then '1 30 DPD'
-              when days_past_due < 90 then '2 60 DPD' else '3 90+ DPD' end as from_bucket,
-         (next_dpd > days_past_due) as rolled_forward, (next_dpd = 0) as cured
-  from seq where next_dpd is not null)
-select from_bucket, count(*) as observations,
-  {pct('count(*) filter (where rolled_forward)', 'count(*)', 1)} as roll_forward_rate_pct,
-  {pct('count(*) filter (where cured)', 'count(*)', 1)} as cure_rate_pct
-from classified group by from_bucket"""
-    q["vintage"] = with_clean(LATEST, CB) + f"""
-select cast(extract(year from open_date) as int) as vintage_year, count(*) as accounts,
-  {pct(D30, 'count(*)')} as delinquency_rate_pct, {pct(CO, 'count(*)')} as charge_off_rate_pct
-from cb group by 1"""
+    q["roll_rates"] = with_clean(ROLL, """line as (
+  select account_id, days_past_due as dpd,
+    row_number() over (order by account_id, statement_month, statement_id) as pos from monthly_statements)""") + f"""
+select label as from_bucket, count(*) as observations,
+  {pct('sum(cast(b.dpd > a.dpd as int))', 'count(*)', 1)} as roll_forward_rate_pct,
+  {pct('sum(cast(b.dpd = 0 as int))', 'count(*)', 1)} as cure_rate_pct
+from line a join line b on b.pos = a.pos + 1 and b.account_id = a.account_id
+join roll on coalesce(a.dpd >= low, true) and coalesce(a.dpd < high, true) group by label"""
+    q["vintage"] = _book(_grouped("cast(year(opened) as int)", "facts")) + f"""
+select k as vintage_year, n as accounts, {pct('late30', 'n')} as delinquency_rate_pct,
+  {pct('lost', 'n')} as charge_off_rate_pct from g"""
     q.update(cleaning_queries())
     q.update(model_and_decision_queries())
     return q
@@ -349,7 +318,8 @@ def constraint_sql() -> str:
 # Models (deterministic parts) and decision layer.
 # ---------------------------------------------------------------------------
 
-SEG = ("utilization", "fico_origination", "annual_income", "credit_history_months", "days_past_due")
+SEG = {"utilization": "util", "fico_origination": "fico", "annual_income": "income", "credit_history_months": "hist",
+       "days_past_due": "dpd"}
 CENTRES = ((-0.5, 1.0, 0.5, 0.3, -0.4), (-0.2, 0.0, -0.2, 1.2, -0.3),
            (0.0, -0.5, -0.3, -0.6, -0.2), (2.0, -1.0, -0.5, -0.2, 2.5))
 SEGMENT_NAMES = ("Segment A - Lowest risk", "Segment B - Moderate", "Segment C - Elevated",
@@ -357,104 +327,114 @@ SEGMENT_NAMES = ("Segment A - Lowest risk", "Segment B - Moderate", "Segment C -
 HIGH_TIERS = "('Tier 3 - Elevated', 'Tier 4 - High Risk')"
 
 
+def _standard_rows() -> tuple[str, ...]:
+    """CTEs up to ``z``: one list of five z-scores per account, medians filled in."""
+    columns = list(SEG.values())
+    filled = ", ".join(f"coalesce(cast({c} as double), (select quantile_cont(cast({c} as double), 0.5) from book)) as v{i}"
+                       for i, c in enumerate(columns))
+    spread = "(case when coalesce(stddev_pop(v{0}) over (), 0) = 0 then cast(1 as double) else stddev_pop(v{0}) over () end)"
+    scores = ", ".join(f"(v{i} - avg(v{i}) over ()) / {spread.format(i)}" for i in range(len(columns)))
+    return (f"filled as (select book.*, {filled} from book)", f"z as (select filled.*, [{scores}] as z from filled)")
+
+
+def _nearest() -> tuple[str, ...]:
+    cells = ", ".join(f"({i}, [{', '.join(f'cast({v} as double)' for v in centre)}])" for i, centre in enumerate(CENTRES))
+    distance = " + ".join(f"(z[{j}] - c[{j}]) * (z[{j}] - c[{j}])" for j in range(1, len(SEG) + 1))
+    return (f"centres(i, c) as (values {cells})",
+            f"apart as (select acct, i, {distance} as d from z, centres)",
+            "chosen as (select acct, cast(min(struct_pack(d := d, i := i)).i as int) as cluster, min(d) as d from apart group by acct)",
+            "assigned as (select z.*, chosen.cluster, chosen.d from z join chosen on chosen.acct = z.acct)")
+
+
 def _segment_assign() -> str:
-    f = ", ".join(f"cast({c} as double) as f_{c}" for c in SEG)
-    med = ", ".join(f"quantile_cont(f_{c}, 0.5) as m_{c}" for c in SEG)
-    fill = ", ".join(f"coalesce(f_{c}, m_{c}) as g_{c}" for c in SEG)
-    mom = ", ".join(f"avg(g_{c}) as mu_{c}, stddev_pop(g_{c}) as sd_{c}" for c in SEG)
-    z = ", ".join(f"(g_{c} - mu_{c}) / (case when sd_{c} is null or sd_{c} = 0 then cast(1 as double) else sd_{c} end) as z_{c}"
-                  for c in SEG)
-    dists = []
-    for i, centre in enumerate(CENTRES):
-        terms = " + ".join(f"(z_{c} - cast({v} as double)) * (z_{c} - cast({v} as double))" for c, v in zip(SEG, centre))
-        dists.append(f"{terms} as d{i}")
     names = ", ".join(f"'{n}'" for n in SEGMENT_NAMES)
-    return _current(
-        f"base as (select account_id, utilization, fico_origination, annual_income, credit_history_months, "
-        f"days_past_due, days_past_due >= 30 as delinquent, {f} from cur)",
-        f"med as (select {med} from base)",
-        f"filled as (select base.*, {fill} from base, med)",
-        f"mom as (select {mom} from filled)",
-        f"z as (select filled.*, {z} from filled, mom)",
-        f"dist as (select z.*, {', '.join(dists)} from z)",
-        "assigned as (select *, cast(case when d0 <= d1 and d0 <= d2 and d0 <= d3 then 0 "
-        "when d1 <= d2 and d1 <= d3 then 1 when d2 <= d3 then 2 else 3 end as int) as cluster from dist)",
-        f"""prof as (select cluster, count(*) as accounts,
-  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization,
-  {avg_int('sum(fico_origination)', 'count(fico_origination)')} as avg_fico,
-  {ratio('round(sum(annual_income) * 100)', 'count(annual_income) * 100', 0, 0)} as avg_income,
-  {avg_int('sum(credit_history_months)', 'count(credit_history_months)')} as avg_history_months,
-  {pct('count(*) filter (where delinquent)', 'count(*)', 2)} as delinquency_rate
-  from assigned group by cluster)""") + f"""
+    return _book(*_standard_rows(), *_nearest(), _grouped("cluster", "assigned"), f"""
+pay as (select cluster, sum(income) as s, count(income) as n from assigned group by cluster),
+prof as (select k as cluster, g.n as accounts, {avg_pct('u', 'u_n')} as avg_utilization, {avg_int('f', 'f_n')} as avg_fico,
+  {ratio('round(pay.s * 100)', 'pay.n * 100', 0, 0)} as avg_income, {avg_int('h', 'h_n')} as avg_history_months,
+  {pct('late30', 'g.n', 2)} as delinquency_rate from g join pay on pay.cluster = g.k)""") + f"""
 select *, list_extract([{names}],
   cast(row_number() over (order by delinquency_rate asc nulls last, accounts desc, cluster) as int)) as segment
 from prof"""
 
 
+def _segments_step() -> str:
+    """One assign-and-update round from the literal centres."""
+    means = ", ".join(f"{r_half_up(f'avg(z[{j + 1}])', 6)} as {c}" for j, c in enumerate(SEG))
+    return _book(*_standard_rows(), *_nearest()) + f"""
+select cluster, count(*) as accounts, {r_half_up('sum(d)', 6)} as cost, {means} from assigned group by cluster"""
+
+
 DRIVER_EXPR = {
-    "utilization": "least(greatest(utilization, cast(0 as double)), cast(2 as double))",
-    "thin_file": "cast(coalesce(thin_file, false) as double)",
-    "fico_origination": "cast(fico_origination as double)",
-    "log_income": "ln(greatest(cast(annual_income as double), cast(1 as double)))",
+    "utilization": "least(greatest(util, cast(0 as double)), cast(2 as double))",
+    "thin_file": "cast(coalesce(thin, false) as double)",
+    "fico_origination": "cast(fico as double)",
+    "log_income": "ln(greatest(cast(income as double), cast(1 as double)))",
     "age": "cast(age as double)",
 }
+# The point at which driver_gradient evaluates the loss.
+GRADIENT_AT = {"intercept": -1.5, "utilization": 0.8, "thin_file": 0.2, "fico_origination": -0.5, "log_income": -0.1,
+               "age": 0.05}
 
 
-def _driver_features() -> str:
+def _driver_rows() -> str:
     cols = ", ".join(f"{e} as {d}" for d, e in DRIVER_EXPR.items())
+    return (f"d as (select {cols}, cast(dpd >= 30 as double) as label from book "
+            "where util is not null and fico is not null and income is not null and age is not null)")
+
+
+def _driver_features() -> str:
     parts = [f"select '{d}' as driver, count({d}) as n, {r_half_up(f'avg({d})', 6)} as mean, "
              f"{r_half_up(f'stddev_pop({d})', 6)} as std from d" for d in DRIVER_EXPR]
-    return _current(f"""d as (select {cols} from cur where utilization is not null and fico_origination is not null
-  and annual_income is not null and age is not null)""") + "\nunion all ".join(parts)
-
-
-CB_AGG = f"""cbx as (select
-  coalesce(sum(ending_balance) filter (where risk_tier in {HIGH_TIERS} and charge_off_flag = 1), 0) as hco,
-  coalesce(sum(ending_balance) filter (where charge_off_flag = 1), 0) as co,
-  coalesce(sum(ending_balance) filter (where risk_tier not in {HIGH_TIERS} and charge_off_flag <> 1), 0) as lperf,
-  coalesce(sum(ending_balance) filter (where charge_off_flag <> 1), 0) as perf
-  from cur),
-cbr as (select cast(hco as {MONEY}) as high_risk_co_balance,
-  case when co = 0 then cast(0 as double) else {money_pct('hco', 'co', 1)} end as high_risk_tier_share_of_chargeoff_balance_pct,
+    return _book(_driver_rows()) + "\nunion all ".join(parts)
+
+
+def _driver_gradient() -> str:
+    """Gradient of the mean log loss plus the L2 term (C = 1) at ``GRADIENT_AT``."""
+    z = ", ".join(f"({d} - avg({d}) over ()) / (case when coalesce(stddev_pop({d}) over (), 0) = 0 then cast(1 as double) "
+                  f"else stddev_pop({d}) over () end) as z_{d}" for d in DRIVER_EXPR)
+    line = " + ".join([f"cast({GRADIENT_AT['intercept']} as double)"] +
+                      [f"cast({GRADIENT_AT[d]} as double) * z_{d}" for d in DRIVER_EXPR])
+    parts = [f"select 'intercept' as term, {r_half_up('avg(miss)', 6)} as gradient from e"]
+    parts += [f"select '{d}' as term, {r_half_up(f'avg(miss * z_{d}) + cast({GRADIENT_AT[d]} as double) / count(*)', 6)} "
+              "as gradient from e" for d in DRIVER_EXPR]
+    return _book(_driver_rows(), f"zd as (select {z}, label from d)",
+                 f"e as (select *, 1 / (1 + exp(-({line}))) - label as miss from zd)") + "\nunion all ".join(parts)
+
+
+DECISION = f"""lost as (select coalesce(sum(bal), 0) as everyone, coalesce(sum(case when tier in {HIGH_TIERS} then bal end), 0) as high
+  from book where co = 1),
+open_ as (select coalesce(sum(bal), 0) as everyone, coalesce(sum(case when tier not in {HIGH_TIERS} then bal end), 0) as low
+  from book where co <> 1),
+decided as (select cast(lost.high as {MONEY}) as high_risk_co_balance,
+  coalesce({money_pct('lost.high', 'lost.everyone', 1)}, cast(0 as double)) as high_risk_tier_share_of_chargeoff_balance_pct,
   {ratio('19', '100', 0, 2)} as cli_growth_share_assumption_pct,
-  case when co = 0 then cast(0 as double) else {ratio('round(hco * 100) * 19', 'round(co * 100) * 100', 1, 2)} end
+  coalesce({ratio('round(lost.high * 100) * 19', 'round(lost.everyone * 100) * 100', 1, 2)}, cast(0 as double))
     as projected_chargeoff_exposure_reduction_pct,
-  {money_pct('lperf', 'perf', 1)} as low_risk_performing_balance_share_pct
-  from cbx)"""
+  {money_pct('open_.low', 'open_.everyone', 1)} as low_risk_performing_balance_share_pct
+  from lost, open_)"""
 
 
 def _headline() -> str:
-    return _current(
-        f"""k as (select count(*) as accounts, cast(sum(ending_balance) as {MONEY}) as total_balance,
-  {avg_pct('sum(utilization)', 'count(utilization)')} as avg_utilization_pct,
-  {money_pct('sum(ending_balance)', 'sum(credit_limit)', 1)} as portfolio_utilization_pct,
-  {pct(D30, 'count(*)')} as delinquency_rate_30plus_pct,
-  {pct('count(*) filter (where days_past_due >= 60)', 'count(*)')} as delinquency_rate_60plus_pct,
-  {pct('count(*) filter (where days_past_due >= 90)', 'count(*)')} as delinquency_rate_90plus_pct,
-  {pct(CO, 'count(*)')} as charge_off_rate_pct,
-  cast(coalesce({COBAL}, 0) as {MONEY}) as charge_off_balance from cur)""",
-        f"""monthly as (select s.statement_month,
-  {pct('count(*) filter (where s.days_past_due >= 30)', 'count(*)')} as r
-  from monthly_statements s join accounts a using (account_id) group by s.statement_month)""",
-        """m as (select (select r from monthly order by statement_month limit 1) as delinquency_trend_start_pct,
-  (select r from monthly order by statement_month desc limit 1) as delinquency_trend_end_pct)""",
-        f"""bands as (select case when utilization <= 0.30 then 1 when utilization <= 0.60 then 2
-  when utilization <= 0.90 then 3 else 4 end as b, count(*) as n, {D30} as dl
-  from cur where utilization > -0.01 group by 1)""",
-        f"""u as (select {pct('dl', 'n', 2)} as high_util_band_delinquency_pct from bands order by b desc limit 1)""",
-        f"""f as (select
-  {pct('count(*) filter (where coalesce(thin_file, false) and days_past_due >= 30)', 'count(*) filter (where coalesce(thin_file, false))', 2)} as thin_file_delinquency_pct,
-  {pct('count(*) filter (where not coalesce(thin_file, false) and days_past_due >= 30)', 'count(*) filter (where not coalesce(thin_file, false))', 2)} as established_file_delinquency_pct
-  from cur)""",
-        f"""grid as (select case when utilization >= 0.60 then 'High util (>=60%)' else 'Lower util (<60%)' end
-  || ' + ' || case when thin_file then 'Thin file' else 'Established' end as worst_segment,
-  {pct(D30, 'count(*)')} as worst_segment_delinquency_pct from cur group by 1)""",
-        "w as (select * from grid order by worst_segment_delinquency_pct desc, worst_segment limit 1)",
-        CB_AGG) + """
-select k.*, m.*, u.*, f.*, w.*, cbr.high_risk_tier_share_of_chargeoff_balance_pct,
-  cbr.cli_growth_share_assumption_pct, cbr.projected_chargeoff_exposure_reduction_pct,
-  cbr.low_risk_performing_balance_share_pct
-from k, m, u, f, w, cbr"""
+    cells = f"""cells as (select if(util >= 0.60, 'High util (>=60%)', 'Lower util (<60%)') || ' + '
+    || if(thin, 'Thin file', 'Established') as cell, {pct('sum(cast(dpd >= 30 as int))', 'count(*)')} as late
+  from book group by 1)"""
+    by_file = f"""depth as (select coalesce(thin, false) as thin, {pct('sum(cast(dpd >= 30 as int))', 'count(*)')} as late
+  from book group by 1)"""
+    by_band = f"""banded as (select low, {pct('sum(cast(dpd >= 30 as int))', 'count(*)')} as late
+  from book join bands on util > low and coalesce(util <= high, true) group by low)"""
+    by_month = f"""months as (select s.statement_month as month, {pct('sum(cast(s.days_past_due >= 30 as int))', 'count(*)')} as late
+  from monthly_statements s where exists (select 1 from accounts a where a.account_id = s.account_id) group by 1)"""
+    return _book(_grouped("1"), cells, by_file, CLOSED_BANDS, by_band, by_month, DECISION) + f"""
+select p.* exclude (charge_off_balance_pct),
+  (select min_by(late, month) from months) as delinquency_trend_start_pct,
+  (select max_by(late, month) from months) as delinquency_trend_end_pct,
+  (select max_by(late, low) from banded) as high_util_band_delinquency_pct,
+  (select max(late) from depth where thin) as thin_file_delinquency_pct,
+  (select max(late) from depth where not thin) as established_file_delinquency_pct,
+  (select min(cell) from cells where late = (select max(late) from cells)) as worst_segment,
+  (select max(late) from cells) as worst_segment_delinquency_pct, x.* exclude (high_risk_co_balance)
+from (select {_portfolio()} from g) p, decided x"""
 
 
 def _trim(table: str, key: str, order: str, flag: str, cols: str) -> str:
@@ -467,13 +447,18 @@ where run_n <= 1"""
 def model_and_decision_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["segment_assign"] = _segment_assign()
+    q["behavior_segments_step"] = _segments_step()
     q["driver_features"] = _driver_features()
-    q["cost_benefit"] = _current(CB_AGG) + "select * from cbr"
+    q["driver_gradient"] = _driver_gradient()
+    q["cost_benefit"] = _book(DECISION) + "select * from decided"
     q["headline_findings"] = _headline()
-    q["scored_sample"] = _current() + f"""
-select account_id, risk_tier, {r_half_up('utilization', 4)} as utilization, fico_origination, annual_income,
-  credit_history_months, thin_file, days_past_due, ending_balance, charge_off_flag, product_id, region_id
-from cur order by md5(cast(account_id as varchar) || '-42'), account_id limit 8000"""
+    sample = _book() + f"""
+select acct as account_id, tier as risk_tier, {r_half_up('util', 4)} as utilization, fico as fico_origination,
+  income as annual_income, hist as credit_history_months, thin as thin_file, dpd as days_past_due, bal as ending_balance,
+  co as charge_off_flag, product as product_id, region as region_id
+from book order by md5(concat(acct, '-42')), acct limit """
+    q["scored_sample"] = sample + "8000"
+    q["scored_sample_500"] = sample + "500"
     q["trim_after_event"] = _trim("events", "user_id", "ts, event_id", "event_type = 'purchase'",
                                   "event_id, ts, user_id, event_type, value, props")
     q["statements_through_chargeoff"] = _trim(
