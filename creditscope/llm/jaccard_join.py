@@ -9,16 +9,16 @@ o(a, b) = ceil(75 (a + b) / 175) shingles.
 o(a, b) for each possible partner size; sets that meet in a subset under the same
 two sizes are linked, without another check.
 
-*Heavy* pairs: a set's rarest ``size - ceil(0.75 size) + 1`` shingles are entered in
-inverted lists; linked sets share one of them.  Lists are scanned shard by shard and
-yield candidate clusters, not pairs.  Inside a cluster the sets are compared by exact
+*Heavy* pairs: linked sets share one of their rarest ``size - ceil(0.75 size) + 1``
+shingles.  Shingles are ordered by the class of their count over all texts; those of
+them that other texts have are entered in inverted lists.  Lists are scanned shard by
+shard and yield candidate clusters, not pairs.  Inside a cluster the sets are compared by exact
 size and bitmap bounds and then exactly, skipping pairs that are already connected;
 a cluster beyond ``BLOCK_SHINGLES`` is cut into blocks and every pair of blocks is a
 task of its own.  Nothing emits the pairs of a group.
 
 The boundary is the size with the least cost: subsets enumerated below it against
 list entries and shipped shingles above it, summed over the table's size histogram.
-Which shingles count as common only orders a set's shingles; it never decides a link.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 links with nothing; a null id gives a row with a null component; rows that repeat an
@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditscope.llm import textscan
+from creditscope.llm import sliced, textscan
 from creditscope.llm.components import components, local_roots
 from creditscope.llm.tables import stored, tasks_for
 
@@ -47,10 +47,10 @@ PERCENT = 75
 LARGEST_LIGHT = 24
 #: Cost of a list entry, in enumerated subsets.
 ENTRY_COST = 4
-#: Common shingles put last in a set's order: how many at most, and from which count.
-COMMON_LIMIT = 1 << 17
-COMMON_COUNT = 8
-ENTRIES_PER_SHARD = 1_000_000
+SHINGLES_PER_SHARD = 2_000_000
+BYTES_PER_SHINGLE = 6
+#: List entries and subset keys that are scanned together.
+ENTRIES_PER_SCAN = 1_000_000
 BLOCK_SHINGLES = 2_000_000
 BITMAP_BITS = 2048
 _U = np.uint64
@@ -111,34 +111,44 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a text's size and fingerprint; kind 1: a shingle and its count in a slice."""
-    for batch in textscan.slices(batches):
-        sets = shingle_sets(batch.column(1))
-        prints = [_fingerprint(s) for s in sets]
-        size = np.array([len(s) for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array(size),
-             pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
-            names=["kind", "id", "n", "x", "y"])
-        distinct = list({p: s for p, s in zip(prints, sets)}.values())
-        keys, times = np.unique(np.concatenate(distinct), return_counts=True)
-        often = times > 1
-        keys, times = keys[often].view(np.int64), times[often]
-        nothing = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(keys), np.int8)), nothing, pa.array(times), pa.array(keys), nothing],
-            names=["kind", "id", "n", "x", "y"])
+    """Size and fingerprint of every text of the slices."""
+    for batch in batches:
+        for value in batch.column(1):
+            rows = sliced.unpacked(value)
+            sets = shingle_sets(sliced.text_of(rows))
+            prints = [_fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [sliced.field(rows, "c0"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
+                names=["id", "n", "x", "y"])
+
+
+def _distinct_sets(payload: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ids and sets of the texts of a slice; of equal sets one, with its least id."""
+    rows = sliced.unpacked(payload)
+    ids = sliced.field(rows, "c0")
+    known = np.asarray(ids.is_valid())
+    ids = np.asarray(ids.fill_null(0)).astype(np.int64)
+    sets = shingle_sets(sliced.text_of(rows))
+    first: dict[tuple, int] = {}
+    for i in np.argsort(ids, kind="stable"):
+        if known[i] and len(sets[i]):
+            first.setdefault(_fingerprint(sets[i]), int(i))
+    keep = sorted(first.values())
+    return ids[keep], [sets[i] for i in keep]
+
+
+def _shingles(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a slice and how many of its distinct sets have each."""
+    sets = _distinct_sets(payload)[1]
+    return np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
 
 
 def _prefix(own: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The set's first shingles: uncommon ones by hash, then common ones, rarest first."""
+    """Those of the set's rarest shingles that other texts have."""
     length = prefix_length(len(own), percent)
-    plain = own[rank == 0]
-    if len(plain) >= length:
-        return plain[:length]
-    common = rank > 0
-    by = np.argsort(rank[common], kind="stable")
-    return np.concatenate([plain, own[common][by][:length - len(plain)]])
+    order = np.argsort(rank, kind="stable")[:length]
+    return own[order[rank[order] > 0]]
 
 
 def _light_keys(own: np.ndarray, largest: int, percent: int) -> Iterator[tuple[int, int]]:
@@ -162,30 +172,24 @@ def _packed(shard: np.ndarray, shards: int, columns: list[np.ndarray], kind: int
     for s in range(shards):
         part = order[edges[s]:edges[s + 1]]
         if len(part):
-            yield s, kind, zstandard.compress(np.stack([c[part] for c in columns]).tobytes(), 1)
+            yield s, kind, len(part), zstandard.compress(np.stack([c[part] for c in columns]).tobytes(), 1)
 
 
-def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray, light: int, shards: int,
-             percent: int) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], light: int, shards: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Packed rows per shard.  kind 0: list entries (shingle, id); kind 1: subset keys
     (key, id, side); kind 2 (shard -1): candidate edges found inside the slice."""
     least = -(-percent * (light + 1) // 100)
-    for batch in textscan.slices(batches):
-        ids = np.asarray(batch.column(0).fill_null(0))
-        known = np.asarray(batch.column(0).is_valid())
-        sets = shingle_sets(batch.column(1))
-        seen: dict[tuple, int] = {}
-        keep = [i for i, s in enumerate(sets) if known[i] and len(s) and seen.setdefault(_fingerprint(s), i) == i]
+    for payload, answers in ((p, a) for batch in batches for p, a in zip(batch.column(1), batch.column(2))):
+        ids, sets = _distinct_sets(payload)
         rows: list[tuple] = []
-        heavy = [i for i in keep if len(sets[i]) >= least]
-        if heavy:
-            flat = np.concatenate([sets[i] for i in heavy])
-            at = np.minimum(np.searchsorted(common[0], flat), max(len(common[0]) - 1, 0))
-            rank = np.where(common[0][at] == flat, common[1][at] + 1, 0) if len(common[0]) else np.zeros(len(flat), np.int64)
-            ends = np.cumsum([len(sets[i]) for i in heavy])
-            prefixes = [_prefix(sets[i], rank[e - len(sets[i]):e], percent) for i, e in zip(heavy, ends)]
-            token = np.concatenate(prefixes)
+        if sets:
+            every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            rank = sliced.classes_of(every, answers.as_py(), shards)[inverse]
+            ends = np.cumsum([len(s) for s in sets])
+            heavy = [i for i, s in enumerate(sets) if len(s) >= least]
+            prefixes = [_prefix(sets[i], rank[ends[i] - len(sets[i]):ends[i]], percent) for i in heavy]
             owner = np.repeat(np.arange(len(heavy)), [len(p) for p in prefixes])
+            token = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             same = token[1:] == token[:-1]
@@ -193,23 +197,24 @@ def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray, light: int,
             own = ids[heavy]
             moved = np.flatnonzero(roots != np.arange(len(heavy)))
             if len(moved):
-                rows.append((-1, 2, zstandard.compress(np.stack(
-                    [own[moved].astype(np.int64), own[roots[moved]].astype(np.int64)]).tobytes(), 1)))
-            first = np.append(True, ~same)
-            token, member = token[first], own[roots[owner[first]]]
-            rows += _packed((token % _U(shards)).astype(np.int64), shards,
-                            [token.view(np.int64), member.astype(np.int64)], 0)
-        small = [(k, int(ids[i]), big) for i in keep if len(sets[i]) <= light
-                 for k, big in _light_keys(sets[i], light, percent)]
+                rows.append((-1, 2, len(moved), zstandard.compress(
+                    np.stack([own[moved], own[roots[moved]]]).tobytes(), 1)))
+            if len(token):
+                # Texts that a list of the slice joins enter other lists under one id.
+                first = np.append(True, ~same)
+                token, member = token[first], own[roots[owner[first]]]
+                rows += _packed((token % _U(shards)).astype(np.int64), shards, [token.view(np.int64), member], 0)
+        small = [(k, int(i), side) for i, s in zip(ids, sets) if len(s) <= light
+                 for k, side in _light_keys(s, light, percent)]
         if small:
             key = np.array([k for k, _, _ in small], np.uint64)
             rows += _packed((key % _U(shards)).astype(np.int64), shards,
                             [key.view(np.int64), np.array([i for _, i, _ in small], np.int64),
                              np.array([b for _, _, b in small], np.int64)], 1)
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int8()),
-                 pa.array([r[2] for r in rows], pa.binary())], names=["shard", "kind", "packed"])
+            shard, kind, n, packed = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(kind, pa.int8()), pa.array(n, pa.int64()),
+                                              pa.array(packed, pa.binary())], names=["shard", "kind", "n", "packed"])
 
 
 def _star(key: np.ndarray, member: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +226,7 @@ def _star(key: np.ndarray, member: np.ndarray, joined: np.ndarray) -> tuple[np.n
 
 
 def _scan_lists(table: pa.Table) -> pa.Table:
-    """One shard: candidate edges (kind 2) of its lists and links (kind 3) of its subsets."""
+    """One scan: candidate edges (kind 2) of its lists and links (kind 3) of its subsets."""
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
     kinds = np.asarray(table.column("kind"))
     packed = table.column("packed")
@@ -321,28 +326,24 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(doc_id, n_shingles, component_id) for every row of ``documents``."""
     texts = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                              F.col(f"`{text}`").cast("string").alias("text"))
-    profile = stored(texts.mapInArrow(_profile, "kind byte, id long, n long, x long, y long"), "profile")
-    sets = profile.where("kind = 0").select("id", "n", "x", "y")
+    slices = sliced.slices(sliced.text_rows(texts, "text", ["id"])[0])
+    payloads = slices.select("slice", "payload")
+    sets = stored(payloads.mapInArrow(_profile, "id long, n long, x long, y long"), "profile")
     # Texts with equal sets: the least id stands for all of them.
     least = sets.where("n > 0 and id is not null").groupBy("n", "x", "y").agg(F.min("id").alias("rep"))
     least = stored(least, "representatives")
-    sizes = least.groupBy(F.least("n", F.lit(LARGEST_LIGHT + 1)).alias("s")).agg(
-        F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    rows = {r["s"]: (r["sets"], r["shingles"]) for r in sizes.collect()}  # LARGEST_LIGHT + 1 rows
-    light = boundary({s: n for s, (n, _) in rows.items() if s <= LARGEST_LIGHT}, percent)
-    entries = sum(prefix_length(t, percent) + n for n, t in rows.values())
-    shards = tasks_for(entries, ENTRIES_PER_SHARD)
-    often = profile.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_COUNT)
-    top = often.orderBy(F.desc("n"), "x").limit(COMMON_LIMIT).collect()  # bounded by COMMON_LIMIT
-    by_key = sorted((r["x"] % (1 << 64), len(top) - i) for i, r in enumerate(top))
-    common = np.array(by_key, np.uint64).reshape(-1, 2).T
-    common = (common[0], common[1].astype(np.int64))
-    shared = documents.sparkSession.sparkContext.broadcast(common)
-    packed = texts.mapInArrow(lambda b: _entries(b, shared.value, light, shards, percent),
-                              "shard long, kind byte, packed binary")
-    spread = F.when(F.col("shard") < 0, F.pmod(F.xxhash64("packed"), F.lit(shards))).otherwise(F.col("shard"))
-    found = stored(packed.withColumn("shard", spread).groupBy("shard").applyInArrow(
-        _scan_lists, "kind byte, a long, b long"), "lists")
+    sizes = least.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count("*").alias("sets"))
+    light = boundary({r["n"]: r["sets"] for r in sizes.collect()}, percent)  # LARGEST_LIGHT rows
+    total = slices.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shards = tasks_for(total // BYTES_PER_SHINGLE, SHINGLES_PER_SHARD)
+    classes = sliced.key_classes(payloads, _shingles, shards)
+    packed = stored(payloads.join(classes, "slice").select("slice", "payload", "answers").mapInArrow(
+        lambda b: _entries(b, light, shards, percent), "shard long, kind byte, n long, packed binary"), "entries")
+    # A scan takes whole shards; a set then meets its partners in few of them.
+    scans = tasks_for(packed.agg(F.sum("n").alias("n")).first()["n"] or 0, ENTRIES_PER_SCAN)
+    spread = F.when(F.col("shard") < 0, F.xxhash64("packed")).otherwise(F.col("shard"))
+    found = stored(packed.select(F.pmod(spread, F.lit(scans)).alias("scan"), "kind", "packed").groupBy("scan")
+                   .applyInArrow(_scan_lists, "kind byte, a long, b long"), "lists")
     clusters = components(found.where("kind = 2"))
     # Representatives by cluster; a cluster of one has nothing to compare.
     members = least.join(clusters, F.col("rep") == F.col("node")).select("rep", "n", F.col("label").alias("cluster"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditscope.llm import textscan
-from creditscope.llm.tables import map_texts
+from creditscope.llm.sliced import map_texts
 
 FIT_DOCUMENTS = 2000
 FIT_CHARS = 20_000

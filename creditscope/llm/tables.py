@@ -5,10 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from creditscope.session import ensure_checkpoint_dir
 
@@ -51,27 +48,3 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
-
-
-def map_texts(df: DataFrame, fn, fields: StructType, text: str = "text",
-              keep: list[str] | None = None) -> DataFrame:
-    """Run ``fn`` over bounded slices of the text column inside tasks.
-
-    ``fn`` gets an Arrow string array and returns one array per field.  The result
-    has the columns ``keep`` (default: all of ``df``), packed in ``row``, and the
-    new ones in ``out``; so names cannot clash.
-    """
-    from creditscope.llm import textscan
-
-    kept = df.columns if keep is None else keep
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
-                     F.col(f"`{text}`").cast("string").alias("text"))
-    schema = StructType([rows.schema["row"], StructField("out", fields)])
-
-    def run(batches):
-        for batch in textscan.slices(batches):
-            columns = fn(batch.column(1))
-            out = pa.StructArray.from_arrays(columns, names=fields.fieldNames())
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["row", "out"])
-
-    return rows.mapInArrow(run, schema)
