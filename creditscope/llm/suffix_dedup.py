@@ -33,42 +33,47 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditscope.llm import textscan
+from creditscope.llm import sliced, textscan
 from creditscope.llm.lyndon_sort import suffix_arrays
 from creditscope.llm.tables import stored, tasks_for
 
 LENGTH = 50
 GRAM = 24
 #: Leaders per shard of the second and third step.
-LEADERS_PER_SHARD = 1_000_000
+LEADERS_PER_SHARD = 500_000
 BYTES_PER_LEADER = 14
 LONG_TEXT = 4096
 #: Symbols sorted together.
-SORT_SYMBOLS = 4 << 20
+SORT_SYMBOLS = 1 << 20
+SLICE_BYTES = 2 << 20
 _U = np.uint64
 _NEVER = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 OUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
                     T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
 
 def _gram_hashes(buf: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes from every position."""
-    n = len(buf) - size + 1
-    if n <= 0:
+    """Hash of the ``size`` bytes from every position, by doubling."""
+    if len(buf) < size:
         return np.zeros(0, np.uint64)
-    power = np.cumprod(np.append(np.ones(1, np.uint64), np.full(len(buf) - 1, _BASE, np.uint64)))
-    total = np.cumsum(textscan.mix(buf.astype(np.uint64) + _U(1)) * power)
-    total = np.concatenate((np.zeros(1, np.uint64), total))
-    shift = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, _BASE_INVERSE, np.uint64)))
-    return textscan.mix((total[size:] - total[:-size]) * shift)
+    part, span = textscan.mix(buf.astype(np.uint64) + _U(1)), 1
+    total, width = np.zeros(len(buf), np.uint64), 0  # of the parts taken so far
+    while size:
+        if size & 1:
+            n = len(part) - width
+            total = total[:n] * _U(pow(_BASE, span, 1 << 64)) + part[width:]
+            width += span
+        size >>= 1
+        if size:
+            part = part[:-span] * _U(pow(_BASE, span, 1 << 64)) + part[span:]
+            span *= 2
+    return textscan.mix(total)
 
 
 class Stretches:
@@ -76,7 +81,7 @@ class Stretches:
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.buf = buf
-        hashes = _gram_hashes(buf, GRAM)
+        self.hashes = hashes = _gram_hashes(buf, GRAM)
         windows = LENGTH - GRAM + 1
         n = len(buf) - LENGTH + 1
         none = np.zeros(0, np.int64)
@@ -113,107 +118,41 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _content_hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of each piece of ``data`` as one 16-byte value."""
-    begin = np.cumsum(size) - size
-    at = np.arange(len(data)) - np.repeat(begin, size)
-    power = np.cumprod(np.append(np.ones(1, np.uint64), np.full(int(size.max(initial=1)), _BASE, np.uint64)))[at]
-    out = np.empty((len(size), 2), np.uint64)
-    for i in (0, 1):
-        value = textscan.mix(data.astype(np.uint64) + _U(1 + 1000 * i)) * power
-        out[:, i] = textscan.mix(np.add.reduceat(value, begin) + size.astype(np.uint64))
-    return out.view("V16").ravel()
+def _string_keys(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the string at ``begin`` of ``size`` (GRAM to 2 * LENGTH - GRAM
+    bytes), from the hashes of four ``GRAM``-byte strings that cover it."""
+    end = begin + size - GRAM
+    key = size.astype(np.uint64)
+    for step in (0, 17, 34, 2 * LENGTH):
+        key = key * _U(0xD6E8FEB86659FD93) + hashes[np.minimum(begin + step, end)]
+    return textscan.mix(key)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.cast(pa.int64()).fill_null(_NEVER))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get().partitionId()
-    for i, batch in enumerate(textscan.slices(batches)):
-        sink = pa.BufferOutputStream()
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
-        with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
-            writer.write_batch(batch)
-        size = len(textscan.raw(batch.column(2))[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([(task << 32) + i]), pa.array([size]),
-             pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "n", "payload"])
-
-
-def _unpack(payload: pa.Scalar) -> tuple[pa.RecordBatch, np.ndarray, Stretches]:
-    batch = pa.ipc.open_stream(payload.as_buffer()).read_next_batch()
-    buf, offsets = textscan.raw(batch.column(2))
+def _read(payload: pa.Scalar) -> tuple[pa.RecordBatch, np.ndarray, Stretches]:
+    batch = sliced.unpacked(payload)
+    buf, offsets = textscan.raw(sliced.text_of(batch))
     return batch, offsets, Stretches(buf, offsets)
 
 
-def _slice_leaders(own: Stretches) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct leaders of a slice, sorted, and whether two of its documents have them."""
-    order = np.lexsort((own.doc, own.leader))
-    leader, doc = own.leader[order], own.doc[order]
-    new = np.append(True, leader[1:] != leader[:-1]) if len(leader) else np.zeros(0, bool)
-    several = np.zeros(int(new.sum()), bool)
-    group = np.cumsum(new) - 1
-    if len(leader):
-        several[group[1:][(doc[1:] != doc[:-1]) & ~new[1:]]] = True
-    return leader[new], several
-
-
-def _shard_of(leader: np.ndarray, shards: int) -> np.ndarray:
-    return ((leader & _U(0xFFFFFF)) * _U(shards) >> _U(24)).astype(np.int64)
-
-
-def _send_leaders(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            leader, several = _slice_leaders(_unpack(batch.column(1)[i])[2])
-            shard = _shard_of(leader, shards)
-            out = []
-            for s in range(shards):
-                mine = np.flatnonzero(shard == s)
-                if len(mine):
-                    # 40 bits of each leader as byte planes; the shard holds the others.
-                    planes = (leader[mine] >> _U(24)).view(np.uint8).reshape(-1, 8).T[:5]
-                    out.append((s, zstandard.compress(planes.tobytes(), 1), np.packbits(several[mine]).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(out), pa.int64()),
-                 pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())],
-                names=["shard", "slice", "leaders", "several"])
-
-
-def _mark_shared(table: pa.Table) -> pa.Table:
-    """One shard: for each slice a bit per leader, set if another document has it."""
-    parts, flags = [], []
-    for leaders, several in zip(table.column("leaders").to_pylist(), table.column("several").to_pylist()):
-        planes = np.frombuffer(zstandard.decompress(leaders), np.uint8).reshape(5, -1)
-        keys = np.zeros((planes.shape[1], 8), np.uint8)
-        keys[:, :5] = planes.T
-        parts.append(keys.view(np.uint64).ravel())
-        flags.append(np.unpackbits(np.frombuffer(several, np.uint8), count=len(parts[-1])).astype(bool))
-    every = np.concatenate(parts)
-    _, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
-    shared = times > 1
-    shared[inverse[np.concatenate(flags)]] = True
-    bits = np.split(shared[inverse], np.cumsum([len(p) for p in parts])[:-1])
-    return pa.table({"shard": table.column("shard"), "slice": table.column("slice"),
-                     "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+def _leaders(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    own = _read(payload)[2]
+    return sliced.distinct_keys(own.leader, own.doc)
 
 
-def _shared_contents(own: Stretches, ids: np.ndarray, shards: int, bits: dict[int, bytes]):
+def _shared_contents(own: Stretches, ids: np.ndarray, shards: int, answers: list[dict]):
     """Distinct shared stretches of a slice by shard: (shard, occurrences, number of
     each occurrence's content, one occurrence of each content, least id of each)."""
-    leader, _ = _slice_leaders(own)
-    shard = _shard_of(leader, shards)
-    keep = np.zeros(len(leader), bool)
-    for s, packed in bits.items():
-        mine = np.flatnonzero(shard == s)
-        keep[mine] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(mine)).astype(bool)
+    leader = np.unique(own.leader)
+    keep = sliced.classes_of(leader, answers, shards) > 0
     taken = np.flatnonzero(keep[np.searchsorted(leader, own.leader)]) if len(leader) else np.zeros(0, np.int64)
     if not len(taken):
         return
-    hashes = _content_hashes(*own.contents(taken))
-    to = _shard_of(own.leader[taken], shards)
+    hashes = _string_keys(own.hashes, own.first[taken], own.last[taken] - own.first[taken] + LENGTH)
+    to = sliced.shard_of(own.leader[taken], shards)
     order = np.argsort(to, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
         some = taken[part]
@@ -226,10 +165,10 @@ def _shared_contents(own: Stretches, ids: np.ndarray, shards: int, bits: dict[in
 def _send_contents(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            rows, _, own = _unpack(batch.column(1)[i])
-            bits = {b["shard"]: b["bits"] for b in batch.column(2)[i].as_py() or []}
+            rows, _, own = _read(batch.column(1)[i])
+            ids, answers = _ids(sliced.field(rows, "id")), batch.column(2)[i].as_py()
             out = []
-            for shard, _, _, sample, least in _shared_contents(own, _ids(rows.column(1)), shards, bits):
+            for shard, _, _, sample, least in _shared_contents(own, ids, shards, answers):
                 data, size = own.contents(sample)
                 out.append((shard, zstandard.compress(data.tobytes(), 3), zstandard.compress(np.concatenate(
                     [own.leader[sample].view(np.int64), size, own.lead[sample], least]).tobytes(), 1)))
@@ -246,6 +185,8 @@ def least_ids(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.n
     Pieces are ``data[begin:begin + size]``; those of one ``owner`` form a text whose
     suffixes are sorted.  Windows follow piece by piece.
     """
+    if not len(size):
+        return np.zeros(0, np.int64)
     order = np.argsort(owner, kind="stable")
     windows = size - LENGTH + 1
     out = np.repeat(least, windows)
@@ -289,15 +230,15 @@ def least_ids(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.n
     return out
 
 
-def window_ids(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray, common: int,
-               owner: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """``least_ids`` of pieces whose owner names the ``common`` bytes at ``anchor``."""
+def window_ids(data: np.ndarray, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray,
+               common: int, owner: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """``least_ids`` of pieces whose owner names the ``common`` bytes at ``anchor``;
+    ``hashes`` are those of ``data``'s ``GRAM``-byte strings."""
     if not len(size):
         return np.zeros(0, np.int64)
     # Equal pieces of one owner are one piece with the least id.
-    keys = np.empty(len(size), np.dtype([("o", np.int64), ("h", "V16")]))
-    keys["o"], keys["h"] = owner, _content_hashes(data[_ranges(begin, size)], size)
-    _, sample, number = np.unique(keys.view("V24"), return_index=True, return_inverse=True)
+    keys = textscan.mix(_string_keys(hashes, begin, size) + textscan.mix(owner.view(np.uint64)))
+    _, sample, number = np.unique(keys, return_index=True, return_inverse=True)
     low = np.full(len(sample), _NEVER)
     np.minimum.at(low, number, least)
     begin, size_of, anchor, owner = begin[sample], size[sample], anchor[sample], owner[sample]
@@ -305,8 +246,12 @@ def window_ids(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np
     place = np.cumsum(windows) - windows
     found = np.empty(int(windows.sum()), np.int64)
     _, text = np.unique(owner, return_inverse=True)
-    long_ = (np.bincount(text, size_of + 1)[text] > LONG_TEXT) & (common < LENGTH)
-    some = np.flatnonzero(~long_)
+    # The only piece of its owner has no other string beside it.
+    alone = np.bincount(text)[text] == 1
+    some = np.flatnonzero(alone)
+    found[_ranges(place[some], windows[some])] = np.repeat(low[some], windows[some])
+    long_ = (np.bincount(text, size_of + 1)[text] > LONG_TEXT) & (common < LENGTH) & ~alone
+    some = np.flatnonzero(~long_ & ~alone)
     found[_ranges(place[some], windows[some])] = least_ids(data, begin[some], size_of[some], owner[some], low[some])
     some = np.flatnonzero(long_)
     if len(some):
@@ -320,10 +265,9 @@ def window_ids(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np
             b, n = begin[some][has] + first[has], count[has] + LENGTH - 1
             at = anchor[some][has] + move - first[has]
             string = np.full(len(has), common + more)
-            name = _content_hashes(data[_ranges(b + at, string)], string).view(np.uint64).reshape(-1, 2)[:, 0]
-            name = textscan.mix(name + owner[some][has].view(np.uint64)).view(np.int64)
+            name = textscan.mix(_string_keys(hashes, b + at, string) + owner[some][has].view(np.uint64)).view(np.int64)
             found[_ranges((place[some] + first)[has], count[has])] = window_ids(
-                data, b, n, at, common + more, name, low[some][has])
+                data, hashes, b, n, at, common + more, name, low[some][has])
     return found[_ranges(place[number], windows[number])]
 
 
@@ -332,7 +276,8 @@ def _sort_shard(table: pa.Table) -> pa.Table:
     data = [np.frombuffer(zstandard.decompress(x), np.uint8) for x in table.column("data").to_pylist()]
     about = [np.frombuffer(zstandard.decompress(x), np.int64).reshape(4, -1) for x in table.column("about").to_pylist()]
     owner, size, anchor, least = np.concatenate(about, axis=1)
-    ids = window_ids(np.concatenate(data), np.cumsum(size) - size, size, anchor, GRAM, owner, least)
+    data = np.concatenate(data)
+    ids = window_ids(data, _gram_hashes(data, GRAM), np.cumsum(size) - size, size, anchor, GRAM, owner, least)
     cuts = np.cumsum([int((a[1] - LENGTH + 1).sum()) for a in about])[:-1]
     return pa.table({"shard": table.column("shard"), "slice": table.column("slice"),
                      "ids": pa.array([zstandard.compress(x.tobytes(), 1) for x in np.split(ids, cuts)], pa.binary())})
@@ -346,16 +291,14 @@ def _whole_characters(kept: pa.Array) -> pa.Array:
         return pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.large_string())
 
 
-def _cut(batches: Iterator[pa.RecordBatch], shards: int, as_text: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], shards: int, kept: T.StructType, as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            rows, offsets, own = _unpack(batch.column(1)[i])
-            ids = _ids(rows.column(1))
-            answers = batch.column(2)[i].as_py() or []
-            bits = {a["shard"]: a["bits"] for a in answers}
-            found = {a["shard"]: a["ids"] for a in answers}
+            rows, offsets, own = _read(batch.column(0)[i])
+            ids = _ids(sliced.field(rows, "id"))
+            found = {a["shard"]: a["ids"] for a in batch.column(2)[i].as_py() or []}
             change = np.zeros(len(own.buf) + 1, np.int64)
-            for shard, some, number, sample, _ in _shared_contents(own, ids, shards, bits):
+            for shard, some, number, sample, _ in _shared_contents(own, ids, shards, batch.column(1)[i].as_py() or []):
                 windows = (own.last - own.first + 1)[sample]
                 least = np.frombuffer(zstandard.decompress(found[shard]), np.int64)
                 place = np.cumsum(windows) - windows
@@ -372,41 +315,33 @@ def _cut(batches: Iterator[pa.RecordBatch], shards: int, as_text: bool) -> Itera
             begins[edges] = removed[edges]
             spans = np.concatenate(([0], np.cumsum(begins)))
             keep = offsets - total[offsets]
-            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows.num_rows, [
+            stay = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows.num_rows, [
                 None, pa.py_buffer(keep.astype(np.int64).tobytes()), pa.py_buffer(own.buf[~removed].tobytes())])
             out = pa.StructArray.from_arrays(
                 [pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(spans[offsets])),
-                 _whole_characters(kept).cast(pa.string()) if as_text else kept.cast(pa.binary())],
+                 _whole_characters(stay).cast(pa.string()) if as_text else stay.cast(pa.binary())],
                 names=OUT.fieldNames())
-            yield pa.RecordBatch.from_arrays([rows.column(0), out], names=["row", "out"])
+            yield pa.RecordBatch.from_arrays([sliced.own_columns(rows, kept), out], names=["row", "out"])
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
                    keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Columns ``row`` (the kept input columns) and ``out`` (``OUT``; ``kept`` holds the
     bytes that stay; ``as_text``: a string, without characters that were cut apart)."""
-    columns = documents.columns if keep is None else keep
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-                            F.col(f"`{id_col}`").cast("long").alias("id"),
-                            F.col(f"`{text}`").cast("string").alias("text"))
-    slices = stored(rows.mapInArrow(
-        _pack, "slice long, n long, payload binary"), "slices")
+    rows, kept = sliced.text_rows(documents, text, keep, id=F.col(f"`{id_col}`").cast("long"))
+    slices = sliced.slices(rows, SLICE_BYTES)
     total = slices.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = tasks_for(total // BYTES_PER_LEADER, LEADERS_PER_SHARD)
     payloads = slices.select("slice", "payload")
-    leaders = payloads.mapInArrow(lambda b: _send_leaders(b, shards),
-                                  "shard long, slice long, leaders binary, several binary")
-    shared = stored(leaders.groupBy("shard").applyInArrow(_mark_shared, "shard long, slice long, bits binary"), "shared")
-    per_slice = shared.groupBy("slice").agg(F.collect_list(F.struct("shard", "bits")).alias("bits"))
-    contents = payloads.join(per_slice, "slice").mapInArrow(
+    classes = stored(sliced.key_classes(payloads, _leaders, shards), "shared")
+    contents = payloads.join(classes, "slice").select("slice", "payload", "answers").mapInArrow(
         lambda b: _send_contents(b, shards), "shard long, slice long, data binary, about binary")
-    sorted_ = stored(contents.groupBy("shard").applyInArrow(_sort_shard, "shard long, slice long, ids binary"), "windows")
-    answers = shared.join(sorted_, ["shard", "slice"]).groupBy("slice").agg(
-        F.collect_list(F.struct("shard", "bits", "ids")).alias("answers"))
+    ids = contents.groupBy("shard").applyInArrow(_sort_shard, "shard long, slice long, ids binary")
+    found = ids.groupBy("slice").agg(F.collect_list(F.struct("shard", "ids")).alias("found"))
     out = T.StructType([*OUT.fields[:-1], T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    schema = T.StructType([rows.schema["row"], T.StructField("out", out)])
-    return payloads.join(answers, "slice", "left").select("slice", "payload", "answers").mapInArrow(
-        lambda b: _cut(b, shards, as_text), schema)
+    schema = T.StructType([T.StructField("row", kept), T.StructField("out", out)])
+    return payloads.join(classes, "slice", "left").join(found, "slice", "left").select(
+        "payload", "answers", "found").mapInArrow(lambda b: _cut(b, shards, kept, as_text), schema)
 
 
 def digest(cut: DataFrame) -> DataFrame:
