@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditscope.llm import textscan
-from creditscope.llm.tables import map_texts
+from creditscope.llm.sliced import map_texts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-#: Bytes of one chunk group's score matrix.
-GROUP_CELLS = 4 << 20
+#: Bytes of text encoded together.
+SLICE_BYTES = 1 << 20
+#: Cells of one chunk group's score matrix.
+GROUP_CELLS = 1 << 20
 MARK = "▁".encode()
 
 #: Piece types of the model file format.
@@ -293,7 +295,7 @@ def encode_documents(documents: DataFrame, pieces: Pieces, text: str = "text",
         null = pa.compute.is_null(column) if column.null_count else None
         return [_lists(offsets, pa.array(ids, pa.int32()), null)]
 
-    return map_texts(documents, run, fields, text, keep)
+    return map_texts(documents, run, fields, text, keep, SLICE_BYTES)
 
 
 def _lists(offsets: np.ndarray, values: pa.Array, null: pa.Array | None) -> pa.Array:
