@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditscope.llm import textscan
+from creditscope.llm import sliced, textscan
 from creditscope.llm.tables import stored
 
 ORDER = 5
 QUANTILE = 0.99
-FOLDS = 4
+FOLDS = 2
 ALL = -1  # the model of all trusted texts
 #: Log-perplexities are compared in bins of this width, which bounds the histogram.
 BIN = 1e-4
@@ -47,6 +47,10 @@ BIN = 1e-4
 BROADCAST_IDS = 4_000_000
 #: n-grams that a task gathers before it passes on its partial counts.
 PARTIAL = 2_000_000
+#: Bytes of text in a block: slices of a task that ask for their n-grams together.
+BLOCK_BYTES = 16 << 20
+#: Costs are whole numbers of this part of a nat, so sums do not depend on their order.
+COST_SCALE = 1 << 16
 MARK = 32  # begin and end of a word; a space is never inside one
 
 OUT = T.StructType([T.StructField("perplexity", T.DoubleType()), T.StructField("threshold", T.DoubleType()),
@@ -206,82 +210,95 @@ def probabilities(grams: DataFrame, model: Model) -> DataFrame:
     return folded.select("fold", "gram", (-F.log(F.greatest(p, F.lit(1e-12)))).alias("cost"))
 
 
-def _block(batch: pa.RecordBatch) -> int:
-    """A number that follows from the block's texts and fold alone."""
-    data, offsets = textscan.raw(batch.column(1))
-    fold = np.int64(batch.column(2)[0].as_py()).tobytes()
-    return xxhash.xxh64_intdigest(data.tobytes() + offsets.tobytes() + fold) - (1 << 63)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
+    """(block, fold, slices): slices of one fold, about ``BLOCK_BYTES`` of text.  The
+    block's number follows from its texts and fold alone."""
+    held: dict[int, tuple[xxhash.xxh64, list[pa.RecordBatch], int]] = {}
+
+    def out(fold: int):
+        digest, slices, _ = held.pop(fold)
+        return digest.intdigest() - (1 << 63), fold, slices
+
+    for batch in _by_fold(sliced.cut(batches)):
+        fold = batch.column(2)[0].as_py()
+        data, offsets = textscan.raw(sliced.text_of(batch))
+        digest, slices, size = held.get(fold, (xxhash.xxh64(seed=fold & 255), [], 0))
+        digest.update(data.tobytes())
+        digest.update(offsets.tobytes())
+        held[fold] = digest, [*slices, batch], size + len(data)
+        if held[fold][2] >= BLOCK_BYTES:
+            yield out(fold)
+    for fold in sorted(held):
+        yield out(fold)
 
 
 def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) -> DataFrame:
-    """``rows`` has columns row, text, fold (of the model that scores it); ``finish``
-    turns (batch, log-perplexities) into the result."""
+    """``rows`` has columns row, name (of the text in it) and fold (of the model that
+    scores it); ``finish`` turns (batch, log-perplexities) into the result."""
     order = model.order
 
     def grams(batches):
-        for batch in _by_fold(textscan.slices(batches)):
-            keys = np.unique(word_grams(textscan.scan(batch.column(1)), order)[0])
-            same = [np.full(len(keys), _block(batch)), np.full(len(keys), batch.column(2)[0].as_py(), np.int32)]
+        for block, fold, slices in _blocks(batches):
+            keys = np.zeros(0, np.int64)
+            for batch in slices:
+                keys = np.union1d(keys, word_grams(textscan.scan(sliced.text_of(batch)), order)[0])
+            columns = np.full(len(keys), block), np.full(len(keys), fold, np.int32), keys
             for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in (*same, keys)],
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in columns],
                                                  names=["block", "fold", "gram"])
 
     def payloads(batches):
-        for batch in _by_fold(textscan.slices(batches)):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(
-                    compression=pa.Codec("zstd", 3))) as writer:
-                writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([_block(batch)]), pa.array(
-                [sink.getvalue().to_pybytes()], pa.binary())], names=["id", "payload"])
+        for block, _, slices in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array(
+                [[sliced.packed(batch) for batch in slices]], pa.list_(pa.binary()))], names=["id", "payload"])
 
     def score(batches):
         for joined in batches:
             for i in range(joined.num_rows):
-                payload = joined.column(0)[i].as_buffer()
-                batch = pa.ipc.open_stream(payload).read_next_batch()
-                words = textscan.scan(batch.column(1))
-                gram, word, number = word_grams(words, order)
                 costs = joined.column(1)[i].values
-                found = np.zeros(0, np.int64) if costs is None else costs.field(0).to_numpy(zero_copy_only=False)
-                cost = np.zeros(0) if costs is None else costs.field(1).to_numpy(zero_copy_only=False)
+                found, cost = (np.zeros(0, np.int64),) * 2 if costs is None else (
+                    costs.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
                 rank = np.argsort(found, kind="stable")
                 found, cost = found[rank], cost[rank]
-                at = np.searchsorted(found, gram)
-                if len(gram) and (at.max() >= len(found) or (found[at] != gram).any()):
-                    raise RuntimeError("the documents changed between two reads of them")
-                n = int(number.max(initial=-1)) + 1
-                per_word = np.bincount(word, cost[at], n) if n else cost[:0]
-                events = np.bincount(word, minlength=n)
-                n_docs = len(words.offsets) - 1
-                total = np.bincount(words.doc, per_word[number] if n else None, n_docs)
-                times = np.bincount(words.doc, events[number] if n else None, n_docs)
-                with np.errstate(invalid="ignore"):
-                    yield finish(batch, np.where(times > 0, total / times, np.nan))
-
-    pairs = rows.mapInArrow(grams, "block long, fold int, gram long")
+                for payload in joined.column(0)[i].values:
+                    batch = sliced.unpacked(payload)
+                    yield finish(batch, _log_perplexities(sliced.text_of(batch), order, found, cost))
+
+    # The n-grams of all blocks, a written table: read for the distinct ones and again
+    # for the way back.
+    pairs = stored(rows.mapInArrow(grams, "block long, fold int, gram long"), "lm-grams")
     costs = probabilities(pairs.select("fold", "gram").distinct(), model)
-    per_block = pairs.join(costs, ["fold", "gram"]).groupBy("block").agg(
-        F.collect_list(F.struct("gram", "cost")).alias("costs"))
-    blocks = rows.mapInArrow(payloads, "id long, payload binary")
+    per_block = pairs.join(costs, ["fold", "gram"]).groupBy("block").agg(F.collect_list(
+        F.struct("gram", F.round(F.col("cost") * COST_SCALE).cast("int").alias("cost"))).alias("costs"))
+    blocks = rows.mapInArrow(payloads, "id long, payload array<binary>")
     return blocks.join(per_block, F.col("id") == F.col("block"), "left").select(
         "payload", "costs").mapInArrow(score, out_schema)
 
 
-def _rows(documents: DataFrame, text: str, keep: list[str], fold: Column) -> DataFrame:
-    return documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-                            F.col(f"`{text}`").cast("string").alias("text"), fold.alias("fold"))
+def _log_perplexities(texts: pa.Array, order: int, found: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Mean cost per event of each text in nats; NaN without events."""
+    words = textscan.scan(texts)
+    gram, word, number = word_grams(words, order)
+    at = np.searchsorted(found, gram)
+    if len(gram) and (at.max() >= len(found) or (found[at] != gram).any()):
+        raise RuntimeError("the documents changed between two reads of them")
+    n = int(number.max(initial=-1)) + 1
+    per_word, events = np.bincount(word, cost[at], n), np.bincount(word, minlength=n)
+    n_docs = len(words.offsets) - 1
+    total, times = (np.bincount(words.doc, x[number], n_docs) for x in (per_word, events))
+    with np.errstate(invalid="ignore"):
+        return np.where(times > 0, total / times / COST_SCALE, np.nan)
 
 
 def thresholds(trusted: DataFrame, model: Model, text: str = "text", lang: str = "lang",
                quantile: float = QUANTILE) -> dict[str | None, float]:
     """Log-perplexity quantile per language, and over all under the key None."""
     def finish(batch, value):
-        return pa.RecordBatch.from_arrays([batch.column(0).field(0), pa.array(value)], names=["lang", "v"])
+        return pa.RecordBatch.from_arrays([sliced.field(batch, "lang"), pa.array(value)], names=["lang", "v"])
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("v", T.DoubleType())])
-    rows = _rows(trusted.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")),
-                 "text", ["lang"], _fold("text"))
+    rows, _ = sliced.text_rows(trusted, text, [], lang=F.col(f"`{lang}`").cast("string"), fold=_fold(text))
+    rows = rows.withColumn("fold", F.col("row.fold"))
     scored = _scored(rows, model, schema, finish).where(~F.isnan("v"))
     binned = scored.groupBy("lang", F.ceil(F.col("v") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     binned = stored(binned, "lm-bins")
@@ -320,20 +337,17 @@ def classify(documents: DataFrame, trusted: DataFrame, text: str = "text", lang:
     """Columns ``row`` (the kept input columns) and ``out`` (``OUT``)."""
     model = train(trusted, text, order)
     limits = thresholds(trusted, model, text, lang, quantile)
-    kept = documents.columns if keep is None else keep
-    rows = _rows(documents, text, kept, F.lit(ALL)).withColumn("row", F.struct(
-        F.col("row"), F.col("row")[lang].cast("string").alias("lang")) if lang in kept else F.struct(
-        F.col("row"), F.lit(None).cast("string").alias("lang")))
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType["row"].dataType),
-                           T.StructField("out", OUT)])
+    rows, kept = sliced.text_rows(documents, text, keep, lang=F.col(f"`{lang}`").cast("string"))
+    rows = rows.withColumn("fold", F.lit(ALL).cast("int"))
+    schema = T.StructType([T.StructField("row", kept), T.StructField("out", OUT)])
 
     def finish(batch, value):
-        langs = batch.column(0).field(1).to_pylist()
+        langs = sliced.field(batch, "lang").to_pylist()
         limit = np.array([limits.get(x, limits.get(None, np.inf)) for x in langs], float)
         ok = ~(np.ceil(np.nan_to_num(value) / BIN) * BIN > limit + BIN / 2) | np.isnan(value)
         out = pa.StructArray.from_arrays(
             [pa.array(np.exp(value), mask=np.isnan(value)), pa.array(np.exp(limit), mask=~np.isfinite(limit)),
              pa.array(ok)], names=OUT.fieldNames())
-        return pa.RecordBatch.from_arrays([batch.column(0).field(0), out], names=["row", "out"])
+        return pa.RecordBatch.from_arrays([sliced.own_columns(batch, kept), out], names=["row", "out"])
 
     return _scored(rows, model, schema, finish)
