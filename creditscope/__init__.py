@@ -7,7 +7,6 @@ Layers
               NTILE, shares of total, transitions, deterministic sampling)
   plans/      the named analyses: cleaning, current state, KPIs, root cause,
               trends, models, decision layer
-  streaming/  intentionally empty (the analysed workload has no streams)
 """
 
 from creditscope.config import PortfolioConfig

@@ -35,7 +35,7 @@ def _raw(spark: SparkSession, sf_dir: str):
 
 
 def _cleaned(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return clean.clean_all(_raw(spark, sf_dir)).tables[table]
+    return clean.clean_table(_raw(spark, sf_dir), table)
 
 
 def _on_current(fn) -> Query:
@@ -67,8 +67,8 @@ QUERIES: dict[str, Query] = {
     "monthly_trend_extract": _on_tables(trends.monthly_trend_extract),
     "roll_rates": _on_tables(trends.roll_rates),
     "vintage": _on_tables(trends.vintage),
-    "clean_regions": lambda s, d: clean.clean_reference(_raw(s, d)["regions"], "regions")[0],
-    "clean_card_products": lambda s, d: clean.clean_reference(_raw(s, d)["card_products"], "card_products")[0],
+    "clean_regions": lambda s, d: _cleaned(s, d, "regions"),
+    "clean_card_products": lambda s, d: _cleaned(s, d, "card_products"),
     "clean_cardholders": lambda s, d: _cleaned(s, d, "cardholders"),
     "clean_accounts": lambda s, d: _cleaned(s, d, "accounts"),
     "clean_statements": lambda s, d: _cleaned(s, d, "monthly_statements"),
@@ -81,7 +81,13 @@ QUERIES: dict[str, Query] = {
     "driver_features": _on_current(models.driver_features),
     "cost_benefit": _on_current(decision.cost_benefit),
     "headline_findings": lambda s, d: _headline(s, d),
+    "headline_metrics": lambda s, d: decision.headline_findings(_tables(s, d), _cur(s, d), cfg=CFG),
     "scored_sample": _on_current(decision.scored_sample),
+    "scored_sample_500": _on_current(lambda cur: decision.scored_sample(cur, 500)),
+    "portfolio_kpis_by_product_region_band": _on_current(lambda cur: kpis.portfolio_kpis(
+        cur, ["product_id", "region_id", root_cause.utilization_band()])),
+    "behavior_segments_step": _on_current(models.segments_step),
+    "driver_gradient": _on_current(models.driver_gradient),
     "trim_after_event": lambda s, d: trim_after_event(
         s.read.parquet(f"{d}/events.parquet"), ["user_id"], ["ts", "event_id"],
         F.col("event_type") == "purchase"),
@@ -93,6 +99,6 @@ QUERIES: dict[str, Query] = {
 
 def _headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
-    # Five analyses read the current state: derive it once, reliably.
+    # The driver model and the record read the current state: derive it once, reliably.
     cur = freeze(state.account_current(t, CFG))
-    return decision.headline_findings(t, cur, cfg=CFG)
+    return decision.headline_findings(t, cur, models.delinquency_drivers(cur), CFG)

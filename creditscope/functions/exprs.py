@@ -62,12 +62,11 @@ def parse_money(col: Column | str, precision: int = 18, scale: int = 6) -> Colum
 
 
 def parse_number(col: Column | str, dtype: str = "double") -> Column:
-    """Lenient numeric parse: NULL for anything that is not a number."""
-    c = F.trim(_c(col))
-    if dtype in ("int", "integer", "bigint", "long", "smallint"):
-        # "42.0" is a number too: go through decimal, then to the integral type.
-        return c.try_cast("decimal(38,10)").try_cast(dtype)
-    return c.try_cast(dtype)
+    """Lenient numeric parse: NULL for anything that is not a plain number.
+
+    Goes through a decimal for every type, so NaN and infinity texts and Java
+    suffixes ("700d") are missing values, as "42.0" is a number for an integer."""
+    return F.trim(_c(col)).try_cast("decimal(38,10)").try_cast(dtype)
 
 
 def null_outside(col: Column | str, lo, hi) -> Column:

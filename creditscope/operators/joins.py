@@ -1,20 +1,10 @@
-"""Join helpers: size-checked broadcast and key-set semi / anti joins."""
+"""Key-set semi / anti joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMENSION_ROW_CAP = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_CAP) -> DataFrame:
-    """Broadcast hint only when the frame is proven to hold at most ``max_rows``
-    rows (a capped count); otherwise the frame is returned unhinted and the join
-    shuffles (AQE may still broadcast it from runtime sizes)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def keep_referenced(df: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:
     """Rows whose ``key`` exists in ``parent`` (NULL keys are dropped)."""

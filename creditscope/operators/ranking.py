@@ -23,32 +23,34 @@ _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row ind
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_numbered(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order``, with ``_pid`` (range) and ``_at``
+    (place in the range); checkpointed, so every reader sees the same ranges."""
+    numbered = freeze(df.repartitionByRange(_partitions(df, partitions), *order).sortWithinPartitions(*order)
+                      .withColumn("_mid", F.monotonically_increasing_id()))
+    return numbered.withColumns({
+        "_pid": F.shiftright(F.col("_mid"), _LOCAL_BITS),
+        "_at": F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))}).drop("_mid")
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "_rank",
                 total_col: str = "_total", partitions: int | None = None) -> DataFrame:
     """Add the exact 1-based position of each row in ``order`` (which must be a
     total order: end it with a unique key) and the row count."""
-    p = _partitions(df, partitions)
-    numbered = (df.repartitionByRange(p, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    numbered = freeze(numbered)
-    pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
-    local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    counts = numbered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = range_numbered(df, order, partitions)
+    counts = numbered.groupBy(F.col("_pid").alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_pid",
+        "_range",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(Window.partitionBy()).alias(total_col))
     # At most one row per range partition: a proven bound, safe to broadcast.
-    ranked = numbered.join(F.broadcast(offsets), pid == F.col("_pid"))
-    return (ranked.withColumn(rank_col, F.col("_offset") + local + F.lit(1))
-            .drop("_mid", "_pid", "_offset"))
+    ranked = numbered.join(F.broadcast(offsets), F.col("_pid") == F.col("_range"))
+    return (ranked.withColumn(rank_col, F.col("_offset") + F.col("_at") + F.lit(1))
+            .drop("_at", "_pid", "_range", "_offset"))
 
 
 def _ceil_div(a: Column, b: Column) -> Column:
@@ -70,54 +72,39 @@ def ntile_distributed(df: DataFrame, k: int, order: Sequence[Column], out: str,
     return ranked.withColumn(out, tile.cast("int")).drop("_rank", "_total")
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], key: Sequence[str],
-                  partitions: int | None = None) -> DataFrame:
+def exact_medians(df: DataFrame, cols: Sequence[str], partitions: int | None = None) -> DataFrame:
     """One row: the exact (interpolated) median of each column, NULLs skipped.
 
-    All columns are ranked in one pass: each row is exploded into
-    (column, value, key) rows (one scan) and ranked on that order; the per-column counts are a
-    handful of rows.  Memory per task does not grow with the number of distinct
-    values, unlike a histogram-based percentile.
+    Values are counted (a map-side combined aggregate), the distinct (column, value)
+    pairs are range-partitioned, and running counts inside each range plus the counts
+    of the ranges before it place the two middle ranks.  One plan for any number of
+    distinct values; a value that a third of the rows share is one counted pair.
     """
     pairs = F.array(*[F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v"))
                       for i, c in enumerate(cols)])
-    stacked = (df.select(*[F.col(k) for k in key], F.explode(pairs).alias("_p"))
-               .select(F.col("_p._col").alias("_col"), F.col("_p._v").alias("_v"), *[F.col(k) for k in key])
-               .filter(F.col("_v").isNotNull()))
-    order = [F.col("_col"), F.col("_v"), *[F.col(k) for k in key]]
-    ranked = global_rank(stacked, order, partitions=partitions)
-    per_col = ranked.groupBy("_col").agg(F.count(F.lit(1)).alias("_cn"))
-    before = Window.orderBy("_col").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_col.select("_col", "_cn", F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_start"))
-    # One row per requested column: a proven bound.
-    within = ranked.join(F.broadcast(starts), "_col").withColumn("_r", F.col("_rank") - F.col("_start"))
-    lo = F.call_function("div", F.col("_cn") + F.lit(1), F.lit(2).cast("bigint"))
-    hi = F.call_function("div", F.col("_cn"), F.lit(2).cast("bigint")) + F.lit(1)
-    mids = (within.filter((F.col("_r") == lo) | (F.col("_r") == hi))
-            .groupBy("_col").agg(F.avg("_v").alias("_m")))
-    return mids.groupBy().pivot("_col", list(range(len(cols)))).agg(F.first("_m")) \
-        .toDF(*cols)
-
-
-# Above this many distinct values a histogram percentile is no longer safe in
-# one task; below it the exact histogram is cheaper than ranking.
-PERCENTILE_DISTINCT_CAP = 1_000_000
-
-
-def medians(df: DataFrame, cols: Sequence[str], key: Sequence[str], method: str = "auto",
-            distinct_cap: int = PERCENTILE_DISTINCT_CAP) -> DataFrame:
-    """One row with the exact median of each column (NULLs skipped).
-
-    ``percentile`` keeps a value histogram whose final merge happens in one
-    task; ``rank`` ranks distributedly.  ``auto`` checks an approximate distinct
-    count first and uses the histogram only when it is provably small.
-    """
-    if method == "auto":
-        counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-        method = "percentile" if max(counts[c] or 0 for c in cols) <= distinct_cap else "rank"
-    if method == "rank":
-        return exact_medians(df, cols, key)
-    if method == "approx":
-        # Opt-in: bounded memory, but not the interpolated median (9 for 9.5).
-        return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100_000).alias(c) for c in cols])
-    return df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols])
+    counted = (df.select(F.explode(pairs).alias("_p")).select("_p._col", "_p._v").where("_v is not null")
+               .groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    numbered = range_numbered(counted, [F.col("_col"), F.col("_v")], partitions)
+    # One row per range and column: a proven bound.
+    ranges = numbered.groupBy(F.col("_pid").alias("_range"), F.col("_col").alias("_rcol")).agg(
+        F.sum("_n").alias("_rn"))
+    earlier = Window.partitionBy("_rcol").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", "_rcol", F.coalesce(F.sum("_rn").over(earlier), F.lit(0)).alias("_before"),
+                           F.sum("_rn").over(Window.partitionBy("_rcol")).alias("_total"))
+    running = Window.partitionBy("_pid", "_col").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (numbered.withColumn("_upto", F.sum("_n").over(running))
+              .join(F.broadcast(ranges), (F.col("_pid") == F.col("_range")) & (F.col("_col") == F.col("_rcol")))
+              .withColumn("_upto", F.col("_upto") + F.col("_before")))
+    lo = F.call_function("div", F.col("_total") + F.lit(1), F.lit(2).cast("bigint"))
+    hi = F.call_function("div", F.col("_total"), F.lit(2).cast("bigint")) + F.lit(1)
+
+    def value_at(i: int, rank: Column) -> Column:
+        inside = (F.col("_col") == i) & (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n"))
+        return F.max(F.when(inside, F.col("_v")))
+
+    return placed.agg(*[((value_at(i, lo) + value_at(i, hi)) / F.lit(2.0)).alias(c) for i, c in enumerate(cols)])
+
+
+def approximate_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Opt-in: bounded memory, but not the interpolated median (9 for 9.5)."""
+    return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100_000).alias(c) for c in cols])

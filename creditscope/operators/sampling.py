@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PREFIX_HEX = 15
-_PREFIX_SPACE = 16 ** _PREFIX_HEX
+#: Hex digits of the histogram's prefixes: at most 65,536 of them.
+_PREFIX = 4
 
 
 def sample_key(id_col: str, seed: int):
@@ -16,29 +14,15 @@ def sample_key(id_col: str, seed: int):
 
 
 def deterministic_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """The ``n`` rows with the smallest md5(id-seed) (ties by id): min(n, N) rows,
-    the same set in any engine and for any partitioning.
+    """The ``n`` rows with the smallest md5(id-seed) (ties by id), in that order:
+    min(n, N) rows, the same in any engine and for any partitioning.
 
-    Two phases keep the final top-n small: rows whose hash prefix falls below a
-    threshold a little above n/N pass a filter (a narrow scan), and only that
-    remainder is ordered.  If the threshold turns out too tight it is widened.
+    A histogram of hash prefixes gives the prefix that holds the n-th row, as a
+    scalar subquery; only rows up to it are ordered.
     """
     key = sample_key(id_col, seed)
-    total = df.count()
-    if total <= n:
-        return df
-    frac = n / total
-    pool = None
-    while True:
-        widened = min(1.0, frac * 1.05 + 6 * math.sqrt(frac / total) + 1e-9)
-        if widened >= 1.0:
-            pool = df
-            break
-        threshold = int(widened * _PREFIX_SPACE)
-        prefix = F.conv(F.substring(key, 1, _PREFIX_HEX), 16, 10).cast("decimal(20,0)")
-        candidate = df.filter(prefix < F.lit(threshold).cast("decimal(20,0)"))
-        if candidate.count() >= n:
-            pool = candidate
-            break
-        frac *= 2
-    return pool.orderBy(key, F.col(id_col)).limit(n)
+    prefix = F.substring(key, 1, _PREFIX)
+    histogram = df.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    cut = histogram.select("_p", upto.alias("_upto")).where(F.col("_upto") >= n).agg(F.min("_p")).scalar()
+    return df.where(prefix <= F.coalesce(cut, F.lit("g"))).orderBy(key, F.col(id_col)).limit(n)

@@ -5,11 +5,8 @@ which Catalyst turns into a partial ``WindowGroupLimit`` before the shuffle, so
 each map task ships at most one row per key whatever the key's size.
 ``trim_after_event`` is built from a per-key top-2 and a join instead of a
 running window, so a hot key is limited map-side and split by AQE's skew join.
-``next_value`` (LEAD) first finds hot keys (more rows than one task should
-sort) with a map-side combined count; ordinary keys use the per-key window,
-hot keys pair each row with its successor by an equi-join on the exact global
-rank, whose values are unique, so a key holding a third of all rows is spread
-over every range partition instead of being sorted in one task.
+``next_value`` (LEAD) works inside range partitions of (key, order), so a key
+holding a third of all rows is spread over every range.
 """
 
 from __future__ import annotations
@@ -40,64 +37,30 @@ def keep_first(df: DataFrame, keys: Sequence[str], position: Column | str) -> Da
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-# A key with more rows than this is sorted through the rank path.
-HOT_KEY_MIN_ROWS = 1_000_000
-# More hot keys than this: rank every row instead of listing keys.
-HOT_KEY_CAP = 10_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None):
-    """Keys with more than ``min_rows`` rows, found by one map-side combined
-    count: None if there are none, "all" if more than ``HOT_KEY_CAP`` (then the
-    caller ranks everything), else a small frame of at most ``HOT_KEY_CAP`` keys."""
-    threshold = HOT_KEY_MIN_ROWS if min_rows is None else min_rows
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
-           .select(*keys).limit(HOT_KEY_CAP + 1).collect())
-    if not hot:
-        return None
-    if len(hot) > HOT_KEY_CAP:
-        return "all"
-    return df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
-
-
-def _lead_by_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                  value: str, out: str) -> DataFrame:
-    from creditscope.operators.ranking import global_rank
-    seq = [F.col(k).asc_nulls_last() for k in keys] + _order(order, descending=False)
-    ranked = global_rank(df, seq, rank_col="_rk", total_col="_tot").drop("_tot")
-    successor = ranked.select((F.col("_rk") - F.lit(1)).alias("_rk"),
-                              *[F.col(k).alias(f"_next_{k}") for k in keys],
-                              F.col(value).alias(f"_next_{value}"))
-    same_key = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_next_{k}"))
-        same_key = c if same_key is None else same_key & c
-    paired = ranked.join(successor, "_rk", "left")
-    return paired.select(*df.columns, F.when(same_key, F.col(f"_next_{value}")).alias(out))
-
-
 def next_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-               value: str, out: str, skew_safe: bool = True, hot_min_rows: int | None = None) -> DataFrame:
+               value: str, out: str, partitions: int | None = None) -> DataFrame:
     """LEAD: the value on the key's next row by ``order`` (next row, not next period).
 
-    ``skew_safe=False`` is the plain per-key window without the hot-key check.
+    Rows are range-partitioned by (keys, order); each row looks at its successor
+    inside its range, and the last row of a range at the first row of the next one.
+    A key of any size is spread over ranges, and no plan depends on a count.
     """
-    w = Window.partitionBy(*keys).orderBy(*_order(order, descending=False))
-    if not skew_safe:
-        return df.withColumn(out, F.lead(value).over(w))
-    hot = hot_keys(df, keys, hot_min_rows)
-    if hot is None:
-        return df.withColumn(out, F.lead(value).over(w))
-    if isinstance(hot, str):
-        return _lead_by_rank(df, keys, order, value, out)
-    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))  # at most HOT_KEY_CAP keys
-    match = None
-    for k in keys:  # null-safe: a NULL key can be hot too
-        c = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-        match = c if match is None else match & c
-    cold = df.join(hot, match, "left_anti").select(*df.columns)
-    warm = df.join(hot, match, "left_semi").select(*df.columns)
-    return cold.withColumn(out, F.lead(value).over(w)).unionByName(_lead_by_rank(warm, keys, order, value, out))
+    from creditscope.operators.ranking import range_numbered
+    sequence = [F.col(k).asc_nulls_last() for k in keys] + _order(order, descending=False)
+    numbered = range_numbered(df, sequence, partitions)
+    own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).alias("v"))
+    inside = Window.partitionBy("_pid").orderBy("_at")
+    # One row per range: a proven bound, safe to broadcast and to order in one task.
+    firsts = numbered.where("_at = 0").select(F.col("_pid").alias("_range"), own.alias("_first"))
+    following = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_following"))
+    paired = (numbered.withColumn("_next", F.lead(own).over(inside))
+              .join(F.broadcast(following), F.col("_pid") == F.col("_range"), "left")
+              .withColumn("_next", F.coalesce("_next", "_following")))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_next.k{i}"))
+    found = F.when(F.col("_next").isNotNull() & same, F.col("_next.v"))
+    return paired.select(*df.columns, found.alias(out))
 
 
 def trim_after_event(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column | str,
@@ -110,14 +73,16 @@ def trim_after_event(df: DataFrame, keys: Sequence[str], order: Sequence[str], f
     sort before it.  No all-rows window per key.
     """
     flag_col = F.col(flag) if isinstance(flag, str) else flag
-    pos = F.struct(*[F.col(c) for c in order])
+    # NULLs last, as in the window.
+    place = [x for c in order for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))]
+    pos = F.struct(*place)
     w = Window.partitionBy(*keys).orderBy(*_order(order, descending=False))
     cut = (df.filter(flag_col)
            .select(*keys, *order)
            .withColumn("_n", F.row_number().over(w))
            .filter(F.col("_n") == keep_events + 1)
            .select(*[F.col(k).alias(f"_cut_{k}") for k in keys],
-                   F.struct(*[F.col(c) for c in order]).alias("_cut")))
+                   F.struct(*place).alias("_cut")))
     match = None
     for k in keys:  # null-safe: NULL keys form one group, as in the window
         c = F.col(k).eqNullSafe(F.col(f"_cut_{k}"))

@@ -451,7 +451,7 @@ def model_and_decision_queries() -> dict[str, str]:
     q["driver_features"] = _driver_features()
     q["driver_gradient"] = _driver_gradient()
     q["cost_benefit"] = _book(DECISION) + "select * from decided"
-    q["headline_findings"] = _headline()
+    q["headline_metrics"] = _headline()
     sample = _book() + f"""
 select acct as account_id, tier as risk_tier, {r_half_up('util', 4)} as utilization, fico as fico_origination,
   income as annual_income, hist as credit_history_months, thin as thin_file, dpd as days_past_due, bal as ending_balance,

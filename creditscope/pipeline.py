@@ -31,7 +31,7 @@ def run_cleaning(spark: SparkSession, raw_dir: str, out_dir: str, fmt: str = "pa
     raw = {name: read_raw(spark, f"{raw_dir}/{name}.csv", name) for name in LOAD_ORDER}
     cleaned = clean_all(raw)
     write_tables(cleaned.tables, f"{out_dir}/processed", fmt=fmt)
-    write_json(quality.quality_report(raw), f"{out_dir}/reports/data_quality_report")
+    write_json(quality.ordered_audit(cleaned.audit), f"{out_dir}/reports/data_quality_report")
     return read_tables(spark, f"{out_dir}/processed", fmt=fmt)
 
 

@@ -2,8 +2,8 @@
 
 Each ``clean_<table>`` returns ``(clean, audit)``.  ``audit`` is a lazy frame of
 (table_name, check_name, cnt) rows built from one aggregate pass over the
-parsed, unrepaired projection, so the counts cost one scan per table rather
-than one per rule.  Medians for imputation come from exact distributed
+parsed, unrepaired projection, which also carries how many copies each row stands
+for; so the counts cost one scan per table rather than one per rule.  Medians for imputation come from exact distributed
 aggregates and enter the rows as scalar subqueries.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from creditscope.functions.exprs import (clip, fill_blank_text, is_blank_text, parse_date,
                                          parse_money, parse_number, round_half_even,
                                          round_half_up, title_case)
-from creditscope.operators.joins import bounded_broadcast, keep_referenced, orphans
-from creditscope.operators.ranking import medians
+from creditscope.operators.joins import keep_referenced, orphans
+from creditscope.operators.ranking import approximate_medians, exact_medians
 from creditscope.operators.window import keep_first
 from creditscope.schema import MONEY, MONEY_COLS, TABLES
 
@@ -33,18 +33,34 @@ class Cleaned:
     audit: DataFrame
 
 
+COPIES = "_copies"
+
+
 def with_position(raw: DataFrame) -> DataFrame:
-    """Input position for "first row wins" rules.  Readers add it at the scan
-    (before any shuffle); frames without one get it here."""
-    return raw if POS in raw.columns else raw.withColumn(POS, F.monotonically_increasing_id())
+    """The raw frame, which must say its rows' input positions (readers do, at the
+    scan): a position taken later would not be the input's."""
+    if POS not in raw.columns:
+        raise ValueError(f"raw rows need their input position in {POS}")
+    return raw
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
-    """Whole-row dedupe that keeps the first position of each copy group.
+    """Whole-row dedupe that keeps the first position of each copy group and counts
+    the group in ``COPIES``.
 
     An aggregate, so a group of many copies is combined map-side."""
     cols = [c for c in df.columns if c != POS]
-    return df.groupBy(*cols).agg(F.min(POS).alias(POS)).select(*df.columns)
+    return df.groupBy(*cols).agg(F.min(POS).alias(POS), F.count(F.lit(1)).alias(COPIES))
+
+
+def first_by_key(df: DataFrame, key: str) -> DataFrame:
+    """The first row of each key by input position, and the key's rows in ``COPIES``.
+
+    Exact copies need no pass of their own: the first row of a key stays the first."""
+    cols = [c for c in df.columns if c not in (POS, key)]
+    first = F.min_by(F.struct(*cols), POS)
+    grouped = df.groupBy(key).agg(first.alias("_first"), F.min(POS).alias(POS), F.count(F.lit(1)).alias(COPIES))
+    return grouped.select(key, "_first.*", POS, COPIES)
 
 
 def _audit(table: str, counts: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -65,14 +81,18 @@ def _n(df: DataFrame) -> Column:
 
 
 
-def impute_median(df: DataFrame, col: str, key: Sequence[str], digits: int = 2, rounding: str = "half_up",
-                  method: str = "auto", out: str | None = None, cast=None) -> DataFrame:
-    """Fill NULLs of ``col`` with its exact median rounded to ``digits``
-    (HALF_UP, or HALF_EVEN for whole-number medians such as age) into ``out``.
+def in_money(value: Column) -> Column:
+    """NULL for an amount that the money type cannot hold, so it counts as missing."""
+    return F.when(value.try_cast(MONEY).isNotNull(), value)
 
-    The median enters every row as a scalar subquery (computed once); see
-    ``operators.ranking.medians`` for how ``method`` keeps it distributed."""
-    med = medians(df, [col], key, method=method)
+
+def impute_median(df: DataFrame, col: str, digits: int = 2, rounding: str = "half_up",
+                  method: str = "exact", out: str | None = None, cast=None) -> DataFrame:
+    """Fill NULLs of ``col`` with its median rounded to ``digits`` (HALF_UP, or
+    HALF_EVEN for whole-number medians such as age) into ``out``.
+
+    The median enters every row as a scalar subquery (computed once)."""
+    med = (approximate_medians if method == "approx" else exact_medians)(df, [col])
     rounded = round_half_even(F.col(col), digits) if rounding == "half_even" else round_half_up(F.col(col), digits)
     fill = med.select(rounded).scalar()
     value = F.coalesce(F.col(col), fill)
@@ -89,7 +109,7 @@ def clean_reference(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     return out, _audit(table, _count(out, "rows_out"), ["rows_out"])
 
 
-def clean_cardholders(raw: DataFrame, median_method: str = "auto") -> tuple[DataFrame, DataFrame]:
+def clean_cardholders(raw: DataFrame, median_method: str = "exact") -> tuple[DataFrame, DataFrame]:
     raw = with_position(raw)
     dedup = drop_exact_duplicates(raw)
     age = parse_number(F.col("age"), "double")
@@ -98,26 +118,21 @@ def clean_cardholders(raw: DataFrame, median_method: str = "auto") -> tuple[Data
         POS,
         F.col("cardholder_id").cast("bigint").alias("cardholder_id"),
         F.col("region_id").cast("int").alias("region_id"),
-        parse_money(F.col("annual_income")).alias("_income"),
+        in_money(parse_money(F.col("annual_income"))).alias("_income"),
         age.alias("_age_raw"),
         F.when(age.between(18, 100), age).alias("_age"),
         F.col("employment_status").alias("_emp"),
         fico.alias("_fico"),
-        parse_number(F.col("credit_history_months"), "int").alias("_hist"))
+        parse_number(F.col("credit_history_months"), "int").alias("_hist"), COPIES)
     counts = parsed.agg(
-        F.count(F.lit(1)).alias("rows_out"),
+        F.count(F.lit(1)).alias("rows_out"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
         F.count_if(F.col("_income").isNull()).alias("missing_income_imputed"),
         F.count_if((F.col("_age_raw") < 18) | (F.col("_age_raw") > 100)).alias("impossible_ages_fixed"),
         F.count_if(is_blank_text(F.col("_emp"))).alias("employment_blanks_filled"),
         F.count_if((F.col("_fico") < 300) | (F.col("_fico") > 850)).alias("fico_out_of_range_clipped")) \
-        .withColumn("exact_duplicates_removed", _n(raw) - F.col("rows_out"))
-    # Income can have as many distinct values as rows: ``auto`` keeps the
-    # histogram percentile only when a distinct-count check bounds it, else ranks.
-    # Age is bounded to 18..100 after the range rule, so its histogram is tiny.
-    filled = impute_median(parsed, "_income", ["cardholder_id", POS], digits=2, method=median_method,
-                           out="_inc_fill", cast=MONEY)
-    filled = impute_median(filled, "_age", ["cardholder_id", POS], digits=0, rounding="half_even",
-                           method="percentile", out="_age_fill")
+        .withColumn("exact_duplicates_removed", F.col("_raw") - F.col("rows_out"))
+    filled = impute_median(parsed, "_income", digits=2, method=median_method, out="_inc_fill", cast=MONEY)
+    filled = impute_median(filled, "_age", digits=0, rounding="half_even", method=median_method, out="_age_fill")
     out = filled.select(
         "cardholder_id",
         F.col("_age_fill").cast("int").alias("age"),
@@ -132,22 +147,27 @@ def clean_cardholders(raw: DataFrame, median_method: str = "auto") -> tuple[Data
     return out, _audit("cardholders", counts, names)
 
 
-def clean_accounts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    raw = with_position(raw)
-    dedup = keep_first(drop_exact_duplicates(raw), ["account_id"], POS)
-    parsed = dedup.select(
-        POS,
+def _parsed_accounts(raw: DataFrame) -> DataFrame:
+    return first_by_key(with_position(raw), "account_id").select(
         F.col("account_id").cast("bigint").alias("account_id"),
         F.col("cardholder_id").cast("bigint").alias("cardholder_id"),
         F.col("product_id").cast("int").alias("product_id"),
         parse_date(F.col("open_date")).alias("open_date"),
-        parse_money(F.col("credit_limit")).alias("_limit"))
-    bad = F.col("_limit").isNull() | (F.col("_limit") <= 0)
-    counts = parsed.agg(F.count(F.lit(1)).alias("_dedup"), F.count_if(bad).alias("nonpositive_limit_dropped")) \
-        .withColumn("duplicate_accounts_removed", _n(raw) - F.col("_dedup")) \
+        in_money(parse_money(F.col("credit_limit"))).alias("_limit"), POS, COPIES)
+
+
+def _bad_limit() -> Column:
+    return F.col("_limit").isNull() | (F.col("_limit") <= 0)
+
+
+def clean_accounts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    parsed = _parsed_accounts(raw)
+    counts = parsed.agg(F.count(F.lit(1)).alias("_dedup"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
+                        F.count_if(_bad_limit()).alias("nonpositive_limit_dropped")) \
+        .withColumn("duplicate_accounts_removed", F.col("_raw") - F.col("_dedup")) \
         .withColumn("rows_out", F.col("_dedup") - F.col("nonpositive_limit_dropped"))
-    out = parsed.filter(~bad).select("account_id", "cardholder_id", "product_id", "open_date",
-                                     F.col("_limit").cast(MONEY).alias("credit_limit"), POS)
+    out = parsed.filter(~_bad_limit()).select("account_id", "cardholder_id", "product_id", "open_date",
+                                              F.col("_limit").cast(MONEY).alias("credit_limit"), POS)
     names = ["duplicate_accounts_removed", "nonpositive_limit_dropped", "rows_out"]
     return out, _audit("accounts", counts, names)
 
@@ -155,7 +175,7 @@ def clean_accounts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = with_position(raw)
     dedup = drop_exact_duplicates(raw)
-    money = {c: parse_money(F.col(c)) for c in MONEY_COLS}
+    money = {c: in_money(parse_money(F.col(c))) for c in MONEY_COLS}
     parsed = dedup.select(
         POS,
         F.col("statement_id").cast("bigint").alias("statement_id"),
@@ -163,13 +183,13 @@ def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         parse_date(F.col("statement_month")).alias("statement_month"),
         *[expr.alias(f"_{c}") for c, expr in money.items()],
         parse_number(F.col("days_past_due"), "int").alias("_dpd"),
-        parse_number(F.col("charge_off_flag"), "int").alias("_flag"))
+        parse_number(F.col("charge_off_flag"), "int").alias("_flag"), COPIES)
     pay = F.col("_payment_amount")
     counts = parsed.agg(
-        F.count(F.lit(1)).alias("rows_out"),
+        F.count(F.lit(1)).alias("rows_out"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
         F.count_if(pay < 0).alias("negative_payments_corrected"),
         F.count_if(pay.isNull()).alias("missing_payments_zeroed")) \
-        .withColumn("exact_duplicates_removed", _n(raw) - F.col("rows_out"))
+        .withColumn("exact_duplicates_removed", F.col("_raw") - F.col("rows_out"))
     zero = F.lit(0).cast(MONEY)
 
     def money_out(c: str) -> Column:
@@ -189,10 +209,9 @@ def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def enforce_integrity(t: Tables) -> Cleaned:
     """Cascade parents -> children: cardholders need a region; accounts need a
     cardholder and a product; statements need an account.  A NULL key is an
-    orphan.  Reference-table keys are broadcast behind a row-count check;
-    the large key sets join by shuffle."""
-    regions = bounded_broadcast(t["regions"].select("region_id"))
-    products = bounded_broadcast(t["card_products"].select("product_id"))
+    orphan."""
+    regions = t["regions"].select("region_id")
+    products = t["card_products"].select("product_id")
     ch = t["cardholders"]
     ch_ok = keep_referenced(ch, "region_id", regions)
     ac = t["accounts"]
@@ -223,7 +242,32 @@ CHECK_ORDER = {
 }
 
 
-def clean_all(raw: Tables, median_method: str = "auto") -> Cleaned:
+def account_keys(raw: Tables) -> DataFrame:
+    """Ids of the accounts that cleaning keeps, from the keys of their ancestors alone."""
+    regions = raw["regions"].select(F.col("region_id").cast("int").alias("region_id"))
+    holders = keep_referenced(raw["cardholders"].select(
+        F.col("cardholder_id").cast("bigint").alias("cardholder_id"),
+        F.col("region_id").cast("int").alias("region_id")), "region_id", regions)
+    products = raw["card_products"].select(F.col("product_id").cast("int").alias("product_id"))
+    kept = _parsed_accounts(raw["accounts"]).filter(~_bad_limit())
+    return keep_referenced(keep_referenced(kept, "cardholder_id", holders), "product_id", products)
+
+
+def clean_table(raw: Tables, name: str, median_method: str = "exact") -> DataFrame:
+    """One clean table.  Only its own rows and the keys of its ancestors are read, and
+    nothing runs before its result is asked for, but the medians of cardholders."""
+    if name in ("regions", "card_products"):
+        return clean_reference(raw[name], name)[0]
+    if name == "cardholders":
+        regions = raw["regions"].select(F.col("region_id").cast("int").alias("region_id"))
+        return keep_referenced(clean_cardholders(raw[name], median_method)[0].drop(POS), "region_id", regions)
+    if name == "accounts":
+        return account_keys(raw).select("account_id", "cardholder_id", "product_id", "open_date",
+                                        F.col("_limit").cast(MONEY).alias("credit_limit"))
+    return keep_referenced(clean_statements(raw[name])[0].drop(POS), "account_id", account_keys(raw))
+
+
+def clean_all(raw: Tables, median_method: str = "exact") -> Cleaned:
     """All five tables in dependency order, then the integrity cascade.  The
     position column is dropped from the outputs."""
     regions, a1 = clean_reference(raw["regions"], "regions")

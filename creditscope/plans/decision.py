@@ -21,67 +21,90 @@ def _cents(c):
     return (c * F.lit(100)).cast("decimal(38,0)")
 
 
+def decision_sums(cfg: PortfolioConfig = CFG) -> list:
+    high = F.col("risk_tier").isin(*cfg.high_risk_tiers)
+    co = F.col("charge_off_flag") == 1
+    bal = F.col("ending_balance")
+    return [F.coalesce(F.sum(F.when(cond, bal)), F.lit(0)).alias(name) for name, cond in (
+        ("_hco", high & co), ("_aco", co), ("_lperf", ~high & ~co), ("_perf", ~co))]
+
+
+def decision_columns(cfg: PortfolioConfig = CFG, growth_share: float | None = None) -> list:
+    g = Decimal(str(cfg.cli_growth_share if growth_share is None else growth_share))
+    g_num, g_den = g.as_integer_ratio()
+    no_co = F.col("_aco") == 0
+    return [
+        ("high_risk_co_balance", F.col("_hco").cast(MONEY_OUT)),
+        ("high_risk_tier_share_of_chargeoff_balance_pct",
+         F.when(no_co, F.lit(0.0)).otherwise(share("_hco", "_aco", 1))),
+        ("cli_growth_share_assumption_pct", ratio_half_up(F.lit(g_num), F.lit(g_den), 0, pow10=2)),
+        ("projected_chargeoff_exposure_reduction_pct", F.when(no_co, F.lit(0.0)).otherwise(
+            ratio_half_up(_cents(F.col("_hco")) * F.lit(g_num), _cents(F.col("_aco")) * F.lit(g_den), 1, 2))),
+        ("low_risk_performing_balance_share_pct", share("_lperf", "_perf", 1))]
+
+
 def cost_benefit(cur: DataFrame, growth_share: float | None = None, cfg: PortfolioConfig = CFG) -> DataFrame:
     """Q-18: high-risk tiers' share of charged-off balance, the exposure averted
     by withholding line increases from them (share x growth share, unrounded
     product), and the low-risk share of performing balance."""
-    g = Decimal(str(cfg.cli_growth_share if growth_share is None else growth_share))
-    g_num, g_den = g.as_integer_ratio()
-    high = F.col("risk_tier").isin(*cfg.high_risk_tiers)
-    co = F.col("charge_off_flag") == 1
-    bal = F.col("ending_balance")
-    a = cur.agg(
-        F.coalesce(F.sum(F.when(high & co, bal)), F.lit(0)).alias("_hco"),
-        F.coalesce(F.sum(F.when(co, bal)), F.lit(0)).alias("_co"),
-        F.coalesce(F.sum(F.when(~high & ~co, bal)), F.lit(0)).alias("_lperf"),
-        F.coalesce(F.sum(F.when(~co, bal)), F.lit(0)).alias("_perf"))
-    no_co = F.col("_co") == 0
-    return a.select(
-        F.col("_hco").cast(MONEY_OUT).alias("high_risk_co_balance"),
-        F.when(no_co, F.lit(0.0)).otherwise(share("_hco", "_co", 1)).alias(
-            "high_risk_tier_share_of_chargeoff_balance_pct"),
-        ratio_half_up(F.lit(g_num), F.lit(g_den), 0, pow10=2).alias("cli_growth_share_assumption_pct"),
-        F.when(no_co, F.lit(0.0)).otherwise(
-            ratio_half_up(_cents(F.col("_hco")) * F.lit(g_num), _cents(F.col("_co")) * F.lit(g_den), 1, 2)
-        ).alias("projected_chargeoff_exposure_reduction_pct"),
-        share("_lperf", "_perf", 1).alias("low_risk_performing_balance_share_pct"))
+    return cur.agg(*decision_sums(cfg)).select(*[c.alias(n) for n, c in decision_columns(cfg, growth_share)])
+
+
+# The published keys of the headline record, in order.
+HEADLINE_KEYS = (
+    "accounts", "total_balance", "avg_utilization_pct", "portfolio_utilization_pct", "delinquency_rate_30plus_pct",
+    "delinquency_rate_60plus_pct", "delinquency_rate_90plus_pct", "charge_off_rate_pct", "charge_off_balance",
+    "delinquency_trend_start_pct", "delinquency_trend_end_pct", "high_util_band_delinquency_pct",
+    "thin_file_delinquency_pct", "established_file_delinquency_pct", "worst_segment", "worst_segment_delinquency_pct",
+    "top_driver", "top_driver_odds_ratio", "high_risk_tier_share_of_chargeoff_balance_pct",
+    "cli_growth_share_assumption_pct", "projected_chargeoff_exposure_reduction_pct",
+    "low_risk_performing_balance_share_pct")
 
 
 def headline_findings(t: Tables, cur: DataFrame, drivers: DataFrame | None = None,
                       cfg: PortfolioConfig = CFG) -> DataFrame:
     """Q-19: one row of headline values, in the published key order.
 
-    Built from one-row aggregates placed side by side (``one_row``).  Bands follow the dashboard (right-closed) form; the worst grid cell
-    is the highest rate, ties by label; "top driver" needs a fitted driver model
-    and is added only when ``drivers`` is given.
+    One aggregate of the current state gives every account-level value; the panel's
+    first and last month come from the trend.  Bands follow the dashboard
+    (right-closed) form; the worst grid cell is the highest rate, ties by label; the
+    two driver keys need a fitted model and are there when ``drivers`` is given.
     """
-    k = kpis.portfolio_kpis(cur).select(
-        "accounts", "total_balance", "avg_utilization_pct", "portfolio_utilization_pct",
-        "delinquency_rate_30plus_pct", "delinquency_rate_60plus_pct", "delinquency_rate_90plus_pct",
-        "charge_off_rate_pct", "charge_off_balance")
-    m = trends.monthly_trend(t, cfg).agg(
+    late = F.coalesce(F.col("days_past_due") >= cfg.delinquent_dpd, F.lit(False))
+    high = F.coalesce(F.col("utilization") >= cfg.util_cuts[0], F.lit(False))
+    thin = F.coalesce(F.col("thin_file"), F.lit(False))
+    u, edges = F.col("utilization"), (root_cause.UTIL_EXTRACT_FLOOR, *root_cause.UTIL_EDGES)
+    bands = [(u > lo) & (u <= hi) for lo, hi in zip(edges, edges[1:])] + [u > edges[-1]]
+    groups = {f"_band{i}": b for i, b in enumerate(bands)} | {"_thin": thin, "_deep": ~thin}
+    labels = {}
+    for i, (is_high, util) in enumerate(((high, root_cause.HIGH_UTIL), (~high, root_cause.LOWER_UTIL))):
+        for j, (is_thin, depth) in enumerate(((thin, root_cause.GRID_THIN), (~thin, root_cause.GRID_ESTABLISHED))):
+            groups[f"_cell{i}{j}"] = is_high & is_thin
+            labels[f"_cell{i}{j}"] = f"{util} + {depth}"
+    counted = [x for name, cond in groups.items()
+               for x in (kpis.count_if(cond).alias(f"{name}_n"), kpis.count_if(cond & late).alias(f"{name}_d"))]
+    one = cur.agg(*kpis.portfolio_sums(), *decision_sums(cfg), *counted)
+    rates = {name: ratio_half_up(F.col(f"{name}_d"), F.col(f"{name}_n"), 2, 2) for name in groups}
+    cells = F.array_sort(F.filter(F.array(*[F.struct((-rates[c]).alias("r"), F.lit(label).alias("l"))
+                                            for c, label in labels.items()]), lambda x: x["r"].isNotNull()))
+    worst = F.get(cells, 0)
+    headline = [*(c for c in kpis.portfolio_columns() if c[0] != "charge_off_balance_pct")]
+    account = one.select(
+        *[c.alias(n) for n, c in headline],
+        # The last band that has accounts.
+        F.coalesce(*[rates[f"_band{i}"] for i in reversed(range(len(bands)))]).alias("high_util_band_delinquency_pct"),
+        rates["_thin"].alias("thin_file_delinquency_pct"), rates["_deep"].alias("established_file_delinquency_pct"),
+        worst["l"].alias("worst_segment"), (-worst["r"]).alias("worst_segment_delinquency_pct"),
+        *[c.alias(n) for n, c in decision_columns(cfg) if n != "high_risk_co_balance"])
+    trend = trends.monthly_trend(t, cfg).agg(
         F.min_by("delinquency_rate_pct", "statement_month").alias("delinquency_trend_start_pct"),
         F.max_by("delinquency_rate_pct", "statement_month").alias("delinquency_trend_end_pct"))
-    u = root_cause.utilization_extract(cur, cfg).agg(
-        F.max_by("delinquency_rate", F.array_position(
-            F.array(*[F.lit(x) for x in root_cause.UTIL_EXTRACT_LABELS]), F.col("utilization_band"))
-        ).alias("high_util_band_delinquency_pct"))
-    thin = F.coalesce(F.col("thin_file"), F.lit(False))
-    dl = F.col("days_past_due") >= cfg.delinquent_dpd
-    f = cur.agg(
-        ratio_half_up(F.count_if(thin & dl), F.count_if(thin), 2, 2).alias("thin_file_delinquency_pct"),
-        ratio_half_up(F.count_if(~thin & dl), F.count_if(~thin), 2, 2).alias("established_file_delinquency_pct"))
-    grid = root_cause.delinquency_interaction(cur, include_total=False, cfg=cfg)
-    worst = grid.select(F.concat_ws(" + ", "utilization_band", "file_depth").alias("worst_segment"),
-                        F.col("delinquency_rate_pct").alias("worst_segment_delinquency_pct")) \
-        .orderBy(F.col("worst_segment_delinquency_pct").desc(), "worst_segment").limit(1)
-    cb = cost_benefit(cur, cfg=cfg).drop("high_risk_co_balance")
-    parts = [k, m, u, f, worst]
+    parts = [account, trend]
     if drivers is not None:
         parts.append(drivers.orderBy(F.col("odds_ratio_per_sd").desc(), "driver").limit(1).select(
             F.col("driver").alias("top_driver"), F.col("odds_ratio_per_sd").alias("top_driver_odds_ratio")))
-    parts.append(cb)
-    return one_row(parts)
+    whole = one_row(parts)
+    return whole.select(*[k for k in HEADLINE_KEYS if k in whole.columns])
 
 
 def one_row(parts: list[DataFrame]) -> DataFrame:
@@ -95,6 +118,7 @@ def one_row(parts: list[DataFrame]) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in cols])
 
 
+# Columns of the published sample.
 SAMPLE_COLUMNS = ("account_id", "risk_tier", "utilization", "fico_origination", "annual_income",
                   "credit_history_months", "thin_file", "days_past_due", "ending_balance",
                   "charge_off_flag", "product_id", "region_id")

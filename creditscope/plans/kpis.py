@@ -57,30 +57,30 @@ def avg_pct(sum_col: str, n_col: str, digits: int = 1) -> Column:
     return round_half_up(F.col(sum_col) / F.col(n_col) * F.lit(100.0), digits)
 
 
-def portfolio_kpis(cur: DataFrame, by: Sequence[str] = (), cfg: PortfolioConfig = CFG) -> DataFrame:
-    """Q-1: headline KPIs over the current state, optionally sliced by ``by``."""
-    delinquent = F.col("days_past_due")
-    co = F.col("charge_off_flag") == 1
-    agg = cur.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("accounts"),
-        F.sum("ending_balance").alias("_bal"),
-        F.sum("utilization").alias("_us"), F.count("utilization").alias("_un"),
-        F.sum("credit_limit").alias("_lim"),
-        count_if(delinquent >= 30).alias("_d30"), count_if(delinquent >= 60).alias("_d60"),
-        count_if(delinquent >= 90).alias("_d90"), count_if(co).alias("_co"),
-        F.sum(F.when(co, F.col("ending_balance"))).alias("_cobal"))
-    return agg.select(
-        *by,
-        "accounts",
-        money(F.col("_bal")).alias("total_balance"),
-        avg_pct("_us", "_un").alias("avg_utilization_pct"),
-        share("_bal", "_lim", 1).alias("portfolio_utilization_pct"),
-        rate("_d30", "accounts").alias("delinquency_rate_30plus_pct"),
-        rate("_d60", "accounts").alias("delinquency_rate_60plus_pct"),
-        rate("_d90", "accounts").alias("delinquency_rate_90plus_pct"),
-        rate("_co", "accounts").alias("charge_off_rate_pct"),
-        share("_cobal", "_bal", 2).alias("charge_off_balance_pct"),
-        money(F.coalesce(F.col("_cobal"), F.lit(0))).alias("charge_off_balance"))
+def portfolio_sums() -> list[Column]:
+    late, co = F.col("days_past_due"), F.col("charge_off_flag") == 1
+    return [F.count(F.lit(1)).alias("accounts"), F.sum("ending_balance").alias("_bal"),
+            F.sum("utilization").alias("_us"), F.count("utilization").alias("_un"), F.sum("credit_limit").alias("_lim"),
+            count_if(late >= 30).alias("_d30"), count_if(late >= 60).alias("_d60"), count_if(late >= 90).alias("_d90"),
+            count_if(co).alias("_co"), F.sum(F.when(co, F.col("ending_balance"))).alias("_cobal")]
+
+
+def portfolio_columns() -> list[tuple[str, Column]]:
+    return [("accounts", F.col("accounts")), ("total_balance", money(F.col("_bal"))),
+            ("avg_utilization_pct", avg_pct("_us", "_un")), ("portfolio_utilization_pct", share("_bal", "_lim", 1)),
+            ("delinquency_rate_30plus_pct", rate("_d30", "accounts")),
+            ("delinquency_rate_60plus_pct", rate("_d60", "accounts")),
+            ("delinquency_rate_90plus_pct", rate("_d90", "accounts")), ("charge_off_rate_pct", rate("_co", "accounts")),
+            ("charge_off_balance_pct", share("_cobal", "_bal", 2)),
+            ("charge_off_balance", money(F.coalesce(F.col("_cobal"), F.lit(0))))]
+
+
+def portfolio_kpis(cur: DataFrame, by: Sequence[Column | str] = ()) -> DataFrame:
+    """Q-1: headline KPIs over the current state, optionally sliced by ``by`` (columns
+    or named expressions, such as a utilization band)."""
+    agg = cur.groupBy(*by).agg(*portfolio_sums())
+    keys = agg.columns[:len(by)]
+    return agg.select(*keys, *[c.alias(n) for n, c in portfolio_columns()])
 
 
 def aging_bucket(dpd: Column, flag: Column) -> Column:

@@ -1,32 +1,32 @@
 """Behaviour segments (KMeans) and delinquency drivers (logistic regression), Q-16/Q-17.
 
-Feature preparation is DataFrame work: exact medians for the fill (a value
-histogram only when provably small, else distributed ranking; never
-collected), population mean / std from one aggregate used as scalar
-subqueries, z-scores as column arithmetic.  Fits use MLlib on the persisted feature frame.  Only the
-fitted parameters (k centres, five coefficients) come back to the driver.
+Feature preparation is DataFrame work: exact medians for the fill (counted values
+in ranges; never collected), population mean / std from one aggregate used as scalar
+subqueries, z-scores as column arithmetic.  KMeans runs all restarts in one aggregate per
+iteration, the logit is MLlib's.  Only fitted parameters (k centres, five
+coefficients) and a bounded sample for starting centres come to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditscope.config import PortfolioConfig
 from creditscope.functions.exprs import half_up, rate, ratio_half_up, round_half_up
-from creditscope.operators.ranking import medians
-from creditscope.operators.sizing import persist_for_fit
+from creditscope.operators.ranking import exact_medians
 from creditscope.plans.kpis import count_if
 from creditscope.session import freeze
 
 CFG = PortfolioConfig()
 
+# Feature and driver names of the published results.
 SEGMENT_FEATURES = ("utilization", "fico_origination", "annual_income", "credit_history_months",
                     "days_past_due")
 DRIVERS = ("utilization", "thin_file", "fico_origination", "log_income", "age")
@@ -62,16 +62,16 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def segment_features(cur: DataFrame, median_method: str = "auto") -> DataFrame:
+def segment_features(cur: DataFrame) -> DataFrame:
     """Median-filled, standardised segmentation features, one row per account."""
-    # Several driver actions (distinct check, medians, moments, fits) read this
+    # Several driver actions (medians, moments, fits) read this
     # narrow account-level frame: checkpoint it once instead of re-deriving the
     # current state for each of them.
     base = freeze(cur.select("account_id", "utilization", "fico_origination", "annual_income",
                              "credit_history_months", "days_past_due",
                              (F.col("days_past_due") >= CFG.delinquent_dpd).alias("delinquent"),
                              *[F.col(c).cast("double").alias(f"f_{c}") for c in SEGMENT_FEATURES]))
-    med = medians(base, [f"f_{c}" for c in SEGMENT_FEATURES], key=["account_id"], method=median_method)
+    med = exact_medians(base, [f"f_{c}" for c in SEGMENT_FEATURES])
     filled = base
     for c in SEGMENT_FEATURES:
         filled = filled.withColumn(f"f_{c}", F.coalesce(F.col(f"f_{c}"), med.select(f"f_{c}").scalar()))
@@ -99,7 +99,9 @@ def _name_segments(profile: DataFrame, names: Sequence[str]) -> DataFrame:
     # k rows: the unpartitioned window only ever sees the profile.
     w = Window.orderBy(F.col("delinquency_rate").asc_nulls_last(), F.col("accounts").desc(), F.col("cluster"))
     idx = F.row_number().over(w)
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), idx)
+    named = F.try_element_at(F.array(*[F.lit(n) for n in names]), idx)
+    # More segments than published names: lettered on.
+    label = F.coalesce(named, F.concat(F.lit("Segment "), F.char(F.lit(ord("A") - 1) + idx)))
     return profile.withColumn("segment", label).orderBy("delinquency_rate", "cluster")
 
 
@@ -126,35 +128,86 @@ def segment_assign(cur: DataFrame, centres=REFERENCE_CENTRES, cfg: PortfolioConf
     """Profile of accounts assigned to literal centres (a saved segmentation)."""
     z = segment_features(cur)
     assigned = assign_nearest(z, centres, [f"f_{c}" for c in SEGMENT_FEATURES])
-    return _name_segments(_profile(assigned), cfg.segment_names[: len(centres)])
+    return _name_segments(_profile(assigned), cfg.segment_names)
+
+
+def segments_step(cur: DataFrame, centres=REFERENCE_CENTRES) -> DataFrame:
+    """One round of the segmentation from literal centres: per cluster its accounts,
+    its cost and its updated centre (6 dp)."""
+    cols = [f"f_{c}" for c in SEGMENT_FEATURES]
+    assigned = assign_nearest(segment_features(cur), centres, cols)
+    at = F.array(*[F.array(*[F.lit(float(v)) for v in centre]) for centre in centres])
+    own = F.element_at(at, F.col("cluster") + 1)
+    cost = sum((F.col(f"z_{c}") - own[j]) * (F.col(f"z_{c}") - own[j]) for j, c in enumerate(cols))
+    return assigned.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("accounts"), round_half_up(F.sum(cost), 6).alias("cost"),
+        *[round_half_up(F.avg(f"z_f_{c}"), 6).alias(c) for c in SEGMENT_FEATURES])
+
+
+# Rows from which the starting centres of all restarts are drawn.
+START_SAMPLE = 2048
+
+
+def _starting_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on the bounded sample."""
+    rng = np.random.default_rng(seed)
+    chosen = [points[rng.integers(len(points))]]
+    for _ in range(k - 1):
+        far = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        chosen.append(points[rng.choice(len(points), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(points))])
+    return np.array(chosen)
+
+
+def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
+    """Lloyd iterations of all restarts together over ``points`` (an array column p):
+    one aggregate per iteration, ``len(seeds) * k`` rows of it on the driver.  Each
+    restart stops on its own tolerance; returns the centres with the least cost."""
+    rows = points.orderBy(F.xxhash64("p"), "p").limit(START_SAMPLE).collect()
+    sample = np.array([r["p"] for r in rows], float)
+    centres = {s: _starting_centres(sample, k, s) for s in seeds}
+    cost: dict[int, float] = {}
+    open_ = list(seeds)
+    for last in range(max_iter + 1):
+        if not open_:
+            break
+        literal = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres[s]]) for s in open_])
+
+        def nearest(restart):
+            def apart(c, i):
+                d = F.aggregate(F.zip_with("p", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
+                return F.struct(d.alias("d"), i.alias("i"))
+            return F.array_min(F.transform(restart, apart))
+
+        near = points.select("p", F.posexplode(F.transform(literal, nearest)).alias("r", "n"))
+        width = sample.shape[1]
+        got = near.groupBy("r", F.col("n.i").alias("i")).agg(
+            F.count(F.lit(1)).alias("m"), F.sum("n.d").alias("d"),
+            *[F.sum(F.col("p")[j]).alias(f"s{j}") for j in range(width)]).collect()
+        done = []
+        for r, s in enumerate(open_):
+            moved = centres[s].copy()
+            cost[s] = sum(g["d"] for g in got if g["r"] == r)
+            for g in got:
+                if g["r"] == r:
+                    moved[g["i"]] = [g[f"s{j}"] / g["m"] for j in range(width)]
+            if last == max_iter or (((moved - centres[s]) ** 2).sum(axis=1) <= tol * tol).all():
+                done.append(s)  # the cost belongs to these centres
+            else:
+                centres[s] = moved
+        open_ = [s for s in open_ if s not in done]
+    return centres[min(seeds, key=lambda s: (cost[s], s))]
 
 
 def behavior_segments(cur: DataFrame, k: int | None = None, restarts: int | None = None,
                       cfg: PortfolioConfig = CFG) -> DataFrame:
     """KMeans on the standardised features with several seeded restarts (the
-    lowest training cost wins), then per-cluster profile named by delinquency."""
-    k = k or cfg.kmeans_k
-    restarts = restarts or cfg.kmeans_restarts
-    cols = [f"z_f_{c}" for c in SEGMENT_FEATURES]
-    z = segment_features(cur)
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(z)
-    vec, _ = persist_for_fit(vec)
-
-    def fit(seed: int):
-        model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features",
-                       predictionCol="cluster").fit(vec)
-        return model.summary.trainingCost, seed, model
-
-    # Restarts are independent jobs over the same persisted frame: run them
-    # concurrently so their per-iteration scheduling overlaps.
-    with ThreadPoolExecutor(max_workers=min(10, restarts)) as pool:
-        fits = list(pool.map(fit, [cfg.seed + i for i in range(restarts)]))
-    _, _, best = min(fits, key=lambda f: (f[0], f[1]))
-    assigned = best.transform(vec).withColumn("cluster", F.col("cluster").cast("int"))
-    # The profile is k rows: materialise it reliably, then release the features.
-    result = freeze(_name_segments(_profile(assigned), cfg.segment_names[:k]))
-    vec.unpersist()
-    return result
+    lowest cost wins), then per-cluster profile named by delinquency."""
+    cols = [f"f_{c}" for c in SEGMENT_FEATURES]
+    z = freeze(segment_features(cur))
+    points = z.select(F.array(*[F.col(f"z_{c}") for c in cols]).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
+    best = fit_kmeans(points, k or cfg.kmeans_k, [cfg.seed + i for i in range(restarts or cfg.kmeans_restarts)])
+    points.unpersist()
+    return _name_segments(_profile(assign_nearest(z, best.tolist(), cols)), cfg.segment_names)
 
 
 def driver_frame(cur: DataFrame, cfg: PortfolioConfig = CFG) -> DataFrame:
@@ -186,16 +239,36 @@ def delinquency_drivers(cur: DataFrame, c_inverse_reg: float = 1.0) -> DataFrame
     spark = cur.sparkSession
     z = standardize(freeze(driver_frame(cur)), list(DRIVERS))
     vec = VectorAssembler(inputCols=[f"z_{d}" for d in DRIVERS], outputCol="features") \
-        .transform(z).select("features", "label")
-    vec, n = persist_for_fit(vec)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (n * c_inverse_reg),
+        .transform(z).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (vec.count() * c_inverse_reg),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
                             maxIter=1000, tol=1e-6)
     model = lr.fit(vec)
     vec.unpersist()
-    iterations = model.summary.totalIterations
     coefs = [(d, float(c)) for d, c in zip(DRIVERS, model.coefficients.toArray())]
     df = spark.createDataFrame(coefs, "driver string, coef double")
     return df.select("driver", round_half_up(F.col("coef"), 3).alias("coef_per_sd"),
                      round_half_up(F.exp("coef"), 2).alias("odds_ratio_per_sd")) \
         .orderBy(F.col("odds_ratio_per_sd").desc(), "driver")
+
+
+# The point at which ``driver_gradient`` evaluates the loss.
+GRADIENT_AT = {"intercept": -1.5, "utilization": 0.8, "thin_file": 0.2, "fico_origination": -0.5, "log_income": -0.1,
+               "age": 0.05}
+
+
+def driver_gradient(cur: DataFrame, at: dict[str, float] = GRADIENT_AT, c_inverse_reg: float = 1.0) -> DataFrame:
+    """Gradient of the fitted objective (mean log loss plus the L2 term) at given
+    coefficients, by term (6 dp): what the fit drives to zero."""
+    z = standardize(freeze(driver_frame(cur)), list(DRIVERS))
+    line = F.lit(at["intercept"])
+    for d in DRIVERS:
+        line = line + F.lit(at[d]) * F.col(f"z_{d}")
+    miss = F.lit(1.0) / (F.lit(1.0) + F.exp(-line)) - F.col("label")
+    one = z.agg(F.count(F.lit(1)).alias("_n"), F.avg(miss).alias("intercept"),
+                *[F.avg(miss * F.col(f"z_{d}")).alias(d) for d in DRIVERS])
+    terms = [F.struct(F.lit("intercept").alias("term"), F.col("intercept").alias("g"))]
+    terms += [F.struct(F.lit(d).alias("term"), (F.col(d) + F.lit(at[d] / c_inverse_reg) / F.col("_n")).alias("g"))
+              for d in DRIVERS]
+    return one.select(F.explode(F.array(*terms)).alias("x")).select(
+        "x.term", round_half_up(F.col("x.g"), 6).alias("gradient"))

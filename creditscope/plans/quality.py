@@ -24,9 +24,12 @@ def _ordinal(table_col: str, check_col: str):
     return expr.otherwise(i)
 
 
-def quality_report(raw: Tables, median_method: str = "auto") -> DataFrame:
+def quality_report(raw: Tables, median_method: str = "exact") -> DataFrame:
     """(table_name, check_name, cnt): every repair the cleaning step made."""
-    audit = clean_all(raw, median_method).audit
+    return ordered_audit(clean_all(raw, median_method).audit)
+
+
+def ordered_audit(audit: DataFrame) -> DataFrame:
     return audit.orderBy(_ordinal("table_name", "check_name")).select("table_name", "check_name", "cnt")
 
 

@@ -28,9 +28,16 @@ def _delinquent(cfg: PortfolioConfig):
     return F.col("days_past_due") >= cfg.delinquent_dpd
 
 
-def delinquency_by_utilization(cur: DataFrame, cfg: PortfolioConfig = CFG) -> DataFrame:
-    """Q-9: four utilization bands, their delinquency rate and share of all delinquents."""
-    g = cur.groupBy(band(F.col("utilization"), UTIL_EDGES, UTIL_LABELS).alias("utilization_band")).agg(
+def utilization_band(null_label: str | None = None):
+    """The query's band of utilization; NULL is in the last band unless labelled."""
+    return band(F.col("utilization"), UTIL_EDGES, UTIL_LABELS, null_label=null_label).alias("utilization_band")
+
+
+def delinquency_by_utilization(cur: DataFrame, cfg: PortfolioConfig = CFG,
+                               null_label: str | None = None) -> DataFrame:
+    """Q-9: four utilization bands, their delinquency rate and share of all delinquents;
+    ``null_label`` gives accounts without utilization a row of their own."""
+    g = cur.groupBy(utilization_band(null_label)).agg(
         F.count(F.lit(1)).alias("accounts"), count_if(_delinquent(cfg)).alias("_del"))
     g = share_of_total(g, "accounts", "pct_of_accounts", 1)
     g = share_of_total(g, "_del", "pct_of_all_delinquents", 1)

@@ -7,11 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
-    # Broadcast only on measured sizes: no plan-time broadcast from file-size
-    # estimates (compressed Parquet understates rows in memory); AQE broadcasts
-    # a join side once its materialised shuffle output is known to be small.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # The engine's own size check decides on broadcasts.  File sizes understate rows
+    # in memory (compression), so they count several times over.
+    "spark.sql.autoBroadcastJoinThreshold": "16MB",
+    "spark.sql.sources.fileCompressionFactor": "5.0",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # A checkpoint goes when nothing refers to it any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -26,10 +28,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    if master and master.startswith("local"):
-        # One process: waiting for a "local" slot only delays tasks that read
-        # checkpointed or cached data.
-        conf["spark.locality.wait"] = "0s"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -48,7 +46,7 @@ def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
     memory; AQE then coalesces small partitions and splits skewed ones."""
     # Shuffles carry a fraction of the scanned bytes after projection and
     # partial aggregation; AQE coalesces whatever turns out small.
-    parts = min(200_000, max(min_partitions, -(-input_bytes // (4 * target_partition_bytes))))
+    parts = max(min_partitions, -(-input_bytes // (4 * target_partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
@@ -73,7 +71,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for cluster runs")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="creditscope-ckpt-"))
     return sc.getCheckpointDir()

@@ -70,10 +70,11 @@ select cast(cardholder_id as string) as cardholder_id,
             when cardholder_id % 5 = 0 then lower(employment_status) else employment_status end as employment_status,
        case when cardholder_id % 211 = 0 then '99' else cast(region_id as string) end as region_id,
        case when cardholder_id % 41 = 0 then '900' else cast(fico_origination as string) end as fico_origination,
-       case when cardholder_id % 43 = 0 then '' else cast(credit_history_months as string) end as credit_history_months
+       case when cardholder_id % 43 = 0 then '' else cast(credit_history_months as string) end as credit_history_months,
+       cardholder_id as _row_pos
 from {cardholders}""",
     "accounts": """
-select b.* from (select cast(account_id as string) as account_id, cast(cardholder_id as string) as cardholder_id,
+select b.*, struct(cast(b.account_id as bigint) as id, copy_no) as _row_pos from (select cast(account_id as string) as account_id, cast(cardholder_id as string) as cardholder_id,
        cast(product_id as string) as product_id,
        case account_id % 3 when 0 then date_format(open_date, 'yyyy-MM-dd') when 1 then date_format(open_date, 'MM/dd/yyyy')
             else date_format(open_date, 'MMM dd yyyy') end as open_date,
@@ -81,7 +82,7 @@ select b.* from (select cast(account_id as string) as account_id, cast(cardholde
             else cast(credit_limit as string) end as credit_limit
 from {accounts}) b lateral view explode(case when cast(b.account_id as bigint) % 61 = 0 then array(1, 2) else array(1) end) d as copy_no""",
     "monthly_statements": """
-select b.* from (select cast(statement_id as string) as statement_id, cast(account_id as string) as account_id,
+select b.*, struct(cast(b.statement_id as bigint) as id, copy_no) as _row_pos from (select cast(statement_id as string) as statement_id, cast(account_id as string) as account_id,
        case statement_id % 3 when 0 then date_format(statement_month, 'yyyy-MM-dd') when 1 then date_format(statement_month, 'MM/dd/yyyy')
             else date_format(statement_month, 'MMM dd yyyy') end as statement_month,
        cast(opening_balance as string) as opening_balance, cast(purchase_amount as string) as purchase_amount,
@@ -112,6 +113,7 @@ def bind_raw(spark: SparkSession, clean: Tables) -> Tables:
     """Raw (all-string, dirty) exports derived from the clean tables.
 
     The two small reference tables are exported clean, as in the analysed data.
+    ``_row_pos`` is the rows' place in the export.
     """
     raw = {name: spark.sql(sql, **{name: clean[name]}) for name, sql in RAW_SQL.items()}
     for small in ("regions", "card_products"):

@@ -1,8 +1,8 @@
 """Readers and writers (A-1..A-4, A-7..A-10).
 
-Raw exports are read with an explicit all-string schema (no inference); the
-input position is attached at the scan, before any shuffle, for "first row
-wins" rules.  Sinks write Parquet by default; CSV output writes ISO dates.
+Raw exports are read all-string and by header name; the input position (file,
+split, row) is attached at the scan, before any shuffle, for "first row wins"
+rules.  Sinks write Parquet by default; CSV output writes ISO dates.
 Extract and report sinks are for aggregates only (a handful of rows), which
 is why they may write a single file.
 """
@@ -17,12 +17,24 @@ from creditscope.plans.clean import POS
 from creditscope.schema import LOAD_ORDER, TABLES, raw_schema
 
 
-def read_raw(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """All-string CSV scan with a header; missing-value tokens become NULL."""
-    df = (spark.read.schema(raw_schema(table)).option("header", True)
-          .option("mode", "PERMISSIVE").csv(path))
-    df = df.select(*[null_tokens_to_null(F.col(c)).alias(c) for c in df.columns])
-    return df.withColumn(POS, F.monotonically_increasing_id())
+def read_raw(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
+    """All-string CSV scan; missing-value tokens become NULL.
+
+    Columns are taken by header name, whatever their order; every file must have the
+    first one's header.  Quotes inside quotes are doubled.  A row with too many or
+    too few fields raises.  ``multi_line`` allows line breaks inside quotes; such
+    files cannot be split, so it is off unless asked for (a broken row then raises).
+    """
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "mode": "FAILFAST"}
+    header = spark.read.options(**options).csv(path).schema
+    df = spark.read.schema(header).options(**options, enforceSchema=False).csv(path)
+    wanted = raw_schema(table).fieldNames()
+    missing = sorted(set(wanted) - set(df.columns))
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start",
+                     F.monotonically_increasing_id().alias("row"))
+    return df.select(*[null_tokens_to_null(F.col(c)).alias(c) for c in wanted], place.alias(POS))
 
 
 def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:

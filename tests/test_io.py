@@ -3,10 +3,11 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from creditscope.plans import decision, state
-from creditscope.plans.clean import clean_all
+from creditscope.plans.clean import clean_accounts, clean_all
 from creditscope.schema import LOAD_ORDER
 from creditscope.sources.binding import bind_raw
 from creditscope.sources.io import read_raw, read_tables, write_extracts, write_json, write_tables
@@ -23,11 +24,49 @@ def test_read_raw_null_tokens(spark, tmp_path):
     assert "_row_pos" in df.columns
 
 
+HEADER = "account_id,cardholder_id,product_id,open_date,credit_limit\n"
+
+
+def test_read_raw_by_header_name_and_quotes(spark, tmp_path):
+    path = tmp_path / "regions.csv"
+    path.write_text('region_name,region_id\nWest,1\n"say ""hi"", all",2\n')
+    got = {r.region_id: r.region_name for r in read_raw(spark, str(path), "regions").collect()}
+    assert got == {"1": "West", "2": 'say "hi", all'}
+    path.write_text('region_id,region_name\n1,"two\nlines"\n')
+    assert read_raw(spark, str(path), "regions", multi_line=True).first().region_name == "two\nlines"
+
+
+@pytest.mark.parametrize("row", ["1,1,1,2024-01-05,5,extra", "1,1,1"])
+def test_read_raw_raises_on_broken_rows(spark, tmp_path, row):
+    path = tmp_path / "accounts.csv"
+    path.write_text(HEADER + row + "\n2,2,1,2024-01-05,5\n")
+    with pytest.raises(Exception):
+        read_raw(spark, str(path), "accounts").collect()
+
+
+def test_read_raw_needs_its_columns(spark, tmp_path):
+    path = tmp_path / "regions.csv"
+    path.write_text("region_id,other\n1,West\n")
+    with pytest.raises(ValueError):
+        read_raw(spark, str(path), "regions")
+
+
+def test_first_row_wins_across_files(spark, tmp_path):
+    folder = tmp_path / "accounts.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text(HEADER + "1,1,1,2024-01-05,100\n")
+    more = "".join(f"{i},{i},1,2024-01-05,7\n" for i in range(2, 3000))
+    (folder / "part-1.csv").write_text(HEADER + "1,1,1,2024-01-05,200\n" + more)
+    out, _ = clean_accounts(read_raw(spark, str(folder), "accounts"))
+    assert out.where("account_id = 1").first().credit_limit == 100
+    assert out.count() == 2999
+
+
 def test_raw_csv_round_trip_and_sinks(spark, tables001, tmp_path):
     raw = bind_raw(spark, tables001)
     raw_dir = tmp_path / "raw"
     for name in LOAD_ORDER:
-        raw[name].write.option("header", True).csv(str(raw_dir / name))
+        raw[name].drop("_row_pos").write.option("header", True).csv(str(raw_dir / name))
     reread = {name: read_raw(spark, str(raw_dir / name), name) for name in LOAD_ORDER}
     a = clean_all(reread)
     b = clean_all(raw)
@@ -77,7 +116,7 @@ def test_pipeline_end_to_end(spark, tables001, tmp_path):
     from creditscope.pipeline import run_analytics, run_cleaning
     raw = bind_raw(spark, tables001)
     for name in LOAD_ORDER:
-        raw[name].write.option("header", True).csv(str(tmp_path / "raw" / f"{name}.csv"))
+        raw[name].drop("_row_pos").write.option("header", True).csv(str(tmp_path / "raw" / f"{name}.csv"))
     clean = run_cleaning(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
     expect = tables001["accounts"].filter("account_id % 53 <> 0 and account_id % 211 <> 0").count()
     assert clean["accounts"].count() == expect

@@ -52,10 +52,52 @@ def test_kmeans_separable_blobs(spark):
     assert [r.segment for r in seg][0] == "Segment A - Lowest risk"
 
 
+def test_more_segments_than_names(spark, tables001):
+    cur = state.account_current(tables001)
+    names = [r.segment for r in models.behavior_segments(cur, k=6, restarts=2).orderBy("segment").collect()]
+    assert names[:4] == list(models.CFG.segment_names) and names[4:] == ["Segment E", "Segment F"]
+
+
+def test_restarts_together_match_separate_fits(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, size=(60, 2)) for c in ((0, 0), (4, 0), (0, 4), (5, 5))])
+    points = spark.createDataFrame([([float(v) for v in r],) for r in x], "p array<double>")
+
+    def cost(centres):
+        return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+    together = models.fit_kmeans(points, 4, range(6))
+    apart = [models.fit_kmeans(points, 4, [s]) for s in range(6)]
+    assert cost(together) == pytest.approx(min(cost(c) for c in apart))
+    assert cost(together) <= 60 * 4 * 2 * 0.3 ** 2 * 1.3
+
+
+def test_logit_finds_planted_coefficients(spark):
+    rng = np.random.default_rng(9)
+    n = 6000
+    util, thin, fico = rng.uniform(0, 1.5, n), rng.random(n) < 0.3, rng.normal(690, 50, n).round()
+    income, age = np.exp(rng.normal(11, 0.5, n)), rng.integers(20, 80, n)
+    z = lambda v: (v - v.mean()) / v.std()
+    planted = {"utilization": 1.2, "thin_file": 0.4, "fico_origination": -0.8, "log_income": -0.3, "age": 0.0}
+    line = -0.5 + sum(w * z(v.astype(float)) for w, v in zip(planted.values(), (util, thin, fico, np.log(income), age)))
+    late = rng.random(n) < 1 / (1 + np.exp(-line))
+    rows = [(float(u), bool(t), int(f), float(i), int(a), 60 if d else 0)
+            for u, t, f, i, a, d in zip(util, thin, fico, income, age, late)]
+    cur = spark.createDataFrame(rows, "utilization double, thin_file boolean, fico_origination int, annual_income double, "
+                                      "age int, days_past_due int")
+    got = {r.driver: r.coef_per_sd for r in models.delinquency_drivers(cur).collect()}
+    for driver, w in planted.items():
+        assert got[driver] == pytest.approx(w, abs=0.12)
+    at = {"intercept": 0.0} | {d: float(got[d]) for d in planted}
+    slopes = {r.term: r.gradient for r in models.driver_gradient(cur, at).collect()}
+    assert max(abs(slopes[d]) for d in planted) < max(abs(g) for g in {
+        r.term: r.gradient for r in models.driver_gradient(cur).collect()}.values())
+
+
 def test_headline_with_driver(spark, tables001):
     cur = state.account_current(tables001)
     drivers = models.delinquency_drivers(cur)
     row = decision.headline_findings(tables001, cur, drivers=drivers).first()
     top = drivers.orderBy(F.col("odds_ratio_per_sd").desc()).first()
     assert row.top_driver == top.driver and row.top_driver_odds_ratio == top.odds_ratio_per_sd
-    assert len(row) == 22
+    assert list(row.asDict()) == list(decision.HEADLINE_KEYS) and len(row) == 22

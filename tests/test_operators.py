@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from creditscope.operators import (deterministic_sample, exact_medians, global_rank, keep_first,
                                    keep_referenced, latest_per_key, next_value, ntile_distributed,
                                    orphans, share_of_total, trim_after_event)
-from creditscope.operators.ranking import medians
 from tests.conftest import SF001, SF01
 
 
@@ -97,7 +96,7 @@ def test_exact_medians_vs_python(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.random() * 100, None if i % 7 == 0 else float(rnd.randint(1, 9))) for i in range(501)]
     df = spark.createDataFrame(rows, "id long, a double, b double")
-    got = exact_medians(df, ["a", "b"], ["id"]).first()
+    got = exact_medians(df, ["a", "b"]).first()
 
     def med(xs):
         xs = sorted(x for x in xs if x is not None)
@@ -106,8 +105,18 @@ def test_exact_medians_vs_python(spark):
 
     assert got.a == pytest.approx(med([r[1] for r in rows]))
     assert got.b == pytest.approx(med([r[2] for r in rows]))
-    pct = medians(df, ["a", "b"], ["id"], method="percentile").first()
+    pct = df.agg(F.percentile("a", 0.5).alias("a"), F.percentile("b", 0.5).alias("b")).first()
     assert pct.a == pytest.approx(got.a) and pct.b == pytest.approx(got.b)
+    none = exact_medians(df.limit(0), ["a", "b"]).first()
+    assert none.a is None and none.b is None
+
+
+def test_exact_medians_hot_value(spark):
+    rows = [(5.0 if i % 3 == 0 else float(i),) for i in range(900)]
+    df = spark.createDataFrame(rows, "v double")
+    values = sorted(r[0] for r in rows)
+    for parts in (1, 3, 20):
+        assert exact_medians(df, ["v"], partitions=parts).first().v == (values[449] + values[450]) / 2
 
 
 def test_deterministic_sample_exact_size_and_order(spark):
@@ -143,29 +152,48 @@ def test_semi_anti_join_customers(spark):
     assert with_o + without == cust.count() and without > 0
 
 
-def test_next_value_skew_safe_matches_window(spark):
+def window_lead(df):
+    w = Window.partitionBy("k").orderBy("t")
+    return df.withColumn("nx", F.lead("dpd").over(w)).select("k", "t", "nx").collect()
+
+
+def row_key(r):
+    return r.k is None, r.k or 0, r.t
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 37])
+def test_next_value_matches_window(spark, partitions):
     rnd = random.Random(11)
-    # key 0 holds a third of the rows
-    rows = [(0 if i % 3 == 0 else rnd.randint(1, 40), i, rnd.choice([0, 30, 60, 90])) for i in range(1500)]
-    df = spark.createDataFrame(rows, "k long, t int, dpd int")
-    safe = next_value(df, ["k"], ["t"], "dpd", "nx", hot_min_rows=100).select("k", "t", "nx")
-    plain = next_value(df, ["k"], ["t"], "dpd", "nx", skew_safe=False).select("k", "t", "nx")
-    assert sorted(safe.collect()) == sorted(plain.collect())
-    from creditscope.operators.window import _lead_by_rank, hot_keys
-    assert [r.k for r in hot_keys(df, ["k"], 100).collect()] == [0]
-    ranked = _lead_by_rank(df, ["k"], ["t"], "dpd", "nx").select("k", "t", "nx")
-    assert sorted(ranked.collect()) == sorted(plain.collect())
-
-
-def test_next_value_all_hot_switches_to_rank_path(spark, monkeypatch):
-    import creditscope.operators.window as W
-    monkeypatch.setattr(W, "HOT_KEY_CAP", 1)
-    rows = [(k, i, (i * 7 + k) % 4 * 30) for k in range(3) for i in range(20)]
+    # key 0 holds a third of the rows, NULL another part; some ranges are empty
+    rows = [(0 if i % 3 == 0 else None if i % 7 == 0 else rnd.randint(1, 40), i, rnd.choice([None, 0, 30, 60, 90]))
+            for i in range(1500)]
     df = spark.createDataFrame(rows, "k long, t int, dpd int")
-    assert W.hot_keys(df, ["k"], 5) == "all"
-    safe = next_value(df, ["k"], ["t"], "dpd", "nx", hot_min_rows=5).select("k", "t", "nx")
-    plain = next_value(df, ["k"], ["t"], "dpd", "nx", skew_safe=False).select("k", "t", "nx")
-    assert sorted(safe.collect()) == sorted(plain.collect())
+    got = next_value(df, ["k"], ["t"], "dpd", "nx", partitions).select("k", "t", "nx").collect()
+    assert sorted(got, key=row_key) == sorted(window_lead(df), key=row_key)
+    assert next_value(df.limit(0), ["k"], ["t"], "dpd", "nx").collect() == []
+
+
+def test_next_value_one_plan_for_every_size(spark):
+    """The hot key's rows lie in many ranges, and no job counts keys."""
+    df = spark.range(4000).selectExpr("0L as k", "cast(id as int) as t", "cast(id % 4 as int) as dpd")
+    got = next_value(df, ["k"], ["t"], "dpd", "nx", 8)
+    assert got.where("nx is null").count() == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead" in plan and "_pid" in plan
+
+
+def test_sample_of_a_small_table_is_ordered(spark):
+    df = spark.range(40).withColumnRenamed("id", "account_id").repartition(3)
+    got = [r.account_id for r in deterministic_sample(df, 300, 42, "account_id").collect()]
+    want = [r.account_id for r in df.orderBy(F.md5(F.concat(F.col("account_id").cast("string"), F.lit("-42")))).collect()]
+    assert got == want
+    assert deterministic_sample(df.limit(0), 5, 1, "account_id").collect() == []
+
+
+def test_trim_after_event_null_order_value_comes_last(spark):
+    df = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, None, 0), (2, None, 0), (2, 1, 1)], "k long, t int, f int")
+    got = trim_after_event(df, ["k"], ["t"], F.col("f") == 1).collect()
+    assert sorted((r.k, r.t is None, r.t or 0) for r in got) == [(1, False, 1), (2, False, 1), (2, True, 0)]
 
 
 def test_period_trend_on_orders_matches_duckdb(spark):
@@ -190,15 +218,6 @@ def test_period_trend_on_orders_matches_duckdb(spark):
     assert ours == sorted(tuple(x) for x in ref)
 
 
-def test_next_value_null_hot_key(spark):
-    rows = [(None if i % 2 == 0 else 5, i, i % 3 * 30) for i in range(300)]
-    df = spark.createDataFrame(rows, "k long, t int, dpd int")
-    safe = next_value(df, ["k"], ["t"], "dpd", "nx", hot_min_rows=50).select("k", "t", "nx")
-    plain = next_value(df, ["k"], ["t"], "dpd", "nx", skew_safe=False).select("k", "t", "nx")
-    key = lambda r: (r.k is None, r.k or 0, r.t)
-    assert sorted(safe.collect(), key=key) == sorted(plain.collect(), key=key)
-
-
 def test_trim_after_event_null_key_matches_window(spark):
     rows = [(None, i, f) for i, f in enumerate([0, 1, 0, 1, 1])] + [(3, i, f) for i, f in enumerate([1, 0, 1])]
     df = spark.createDataFrame(rows, "k long, t int, f int")
