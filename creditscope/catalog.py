@@ -15,7 +15,7 @@ from creditscope.config import PortfolioConfig
 from creditscope.operators.window import trim_after_event
 from creditscope.plans import clean, decision, kpis, models, quality, root_cause, state, trends
 from creditscope.session import freeze
-from creditscope.sources.binding import bind_clean, bind_raw
+from creditscope.sources.binding import bind_broken, bind_clean, bind_raw
 
 CFG = PortfolioConfig()
 
@@ -74,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "clean_statements": lambda s, d: _cleaned(s, d, "monthly_statements"),
     "quality_report": lambda s, d: quality.quality_report(_raw(s, d)),
     "constraint_report": _on_tables(quality.check_constraints),
+    "constraint_report_dirty": lambda s, d: quality.check_constraints(bind_broken(s, _tables(s, d))),
     "table_counts": _on_tables(quality.table_counts),
     "behavior_segments": _on_current(models.behavior_segments),
     "segment_assign": _on_current(models.segment_assign),

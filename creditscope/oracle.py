@@ -8,7 +8,8 @@ Spark side are only the binding texts and the exact HALF_UP rounding rule.
 
 from __future__ import annotations
 
-from creditscope.sources.binding import oracle_ctes
+from creditscope.schema import CONSTRAINTS, LOAD_ORDER
+from creditscope.sources.binding import broken_sql, oracle_ctes
 
 
 def ratio(num: str, den: str, digits: int, pow10: int = 2) -> str:
@@ -291,14 +292,15 @@ union all select 'cardholders', count(*) from cardholders
 union all select 'accounts', count(*) from accounts
 union all select 'monthly_statements', count(*) from monthly_statements"""
     q["constraint_report"] = with_clean() + constraint_sql()
+    broken = [f"broken_{t} as ({broken_sql(t, t)})" for t in LOAD_ORDER]
+    q["constraint_report_dirty"] = with_clean(*broken) + constraint_sql("broken_")
     return q
 
 
-def constraint_sql() -> str:
-    from creditscope.schema import CONSTRAINTS
+def constraint_sql(prefix: str = "") -> str:
     parts = []
     for c in CONSTRAINTS:
-        t = c.table
+        t = prefix + c.table
         if c.kind == "not_null":
             body = f"select count(*) filter (where {c.column} is null) from {t}"
         elif c.kind == "check":
@@ -308,8 +310,8 @@ def constraint_sql() -> str:
                     f"(select {c.column} as k, count(*) as n from {t} group by {c.column}) g")
         else:
             body = (f"select count(*) from {t} x where x.{c.column} is not null and not exists "
-                    f"(select 1 from {c.ref_table} p where p.{c.ref_column} = x.{c.column})")
-        parts.append(f"select '{t}' as table_name, '{c.name}' as constraint_name, "
+                    f"(select 1 from {prefix}{c.ref_table} p where p.{c.ref_column} = x.{c.column})")
+        parts.append(f"select '{c.table}' as table_name, '{c.name}' as constraint_name, "
                      f"cast(({body}) as bigint) as violations")
     return "\nunion all ".join(parts)
 

@@ -14,6 +14,9 @@ with the same modulus predicates.  It is Spark-only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import NumericType
+
+from creditscope.schema import TABLES
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -97,6 +100,26 @@ from {monthly_statements}) b lateral view explode(case when cast(b.statement_id
 Tables = dict[str, DataFrame]
 
 
+def broken_sql(name: str, source: str) -> str:
+    """A clean table with rows that violate its constraints, for both engines: by the
+    key's remainder each column is NULL in some rows and, if a number, negative in
+    others; some rows come twice."""
+    fields = TABLES[name].fields
+    key = fields[0].name
+    cells = []
+    for j, f in enumerate(fields):
+        kind = f.dataType.simpleString()
+        wrong = f"when {key} % 19 = {(j + 4) % 19} then cast(-{key} - 1 as {kind})" if isinstance(
+            f.dataType, NumericType) else ""
+        cells.append(f"case when {key} % 19 = {j + 1} then null {wrong} else {f.name} end as {f.name}")
+    return (f"select {', '.join(cells)} from {source} union all "
+            f"select {', '.join(x.name for x in fields)} from {source} where {key} % 3 = 2")
+
+
+def bind_broken(spark: SparkSession, clean: Tables) -> Tables:
+    return {name: spark.sql(broken_sql(name, "{source}"), source=df) for name, df in clean.items()}
+
+
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
