@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditscope.llm import jaccard_join, packing, quality_lm, quality_rules, suffix_dedup
-from creditscope.llm.tables import stored
+from creditscope.llm.tables import shipped, stored
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality model", quality_model), ("quality rules", line_rules), ("near copies", near_copies),
-          ("repeated passages", passages), ("packing", pack)]
+STAGES = [(name, shipped(stage)) for name, stage in (
+    ("quality model", quality_model), ("quality rules", line_rules), ("near copies", near_copies),
+    ("repeated passages", passages), ("packing", pack))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

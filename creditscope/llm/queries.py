@@ -18,6 +18,8 @@ from creditscope.llm import (
     zstd_langid,
 )
 
+from creditscope.llm.tables import shipped
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -89,7 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_langid.classify(documents, learned, "doc_id", "text", held_out)
 
 
-QUERIES = {
+QUERIES = {name: shipped(fn) for name, fn in {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
     "op3_jaccard": op3_jaccard,
@@ -100,7 +102,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
-}
+}.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """

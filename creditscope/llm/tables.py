@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import uuid
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +30,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the session was started: a zip
+    of it in the shared checkpoint folder, added to the session once."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    if not root.is_dir() or getattr(context, "_shipped_package", None) == str(root):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.writestr(f"{root.name}/{source.relative_to(root)}", source.read_text())
+    path = f"{ensure_checkpoint_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(data.getvalue()))
+    finally:
+        out.close()
+    context.addPyFile(path)
+    context._shipped_package = str(root)
+
+
+def shipped(fn: Callable) -> Callable:
+    """A query or stage (its first argument is the session) whose tasks import the package."""
+    @wraps(fn)
+    def run(spark: SparkSession, *args):
+        ship_package(spark)
+        return fn(spark, *args)
+    return run
+
+
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
         if spark.sparkContext._jsc is None:

@@ -15,7 +15,7 @@ is bounded by two blocks and the work spreads over all pairs.
 Defined cases: vectors that are null, empty, or hold null or non-finite components
 take no part; vectors of unequal length meet on their common components; ties go
 to the smaller id; rows that share the query's id are never its candidates; other
-repeated rows count as rows; fewer than k candidates: all of them; extra columns
+repeated rows count as rows; of rows that repeat a query's id the least vector asks; fewer than k candidates: all of them; extra columns
 are ignored.
 """
 
@@ -143,7 +143,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         return df.where(F.col(id_col).isNotNull() & usable(vector)).select(
             F.col(id_col).cast("long").alias("id"), fixed_point(vector).alias("v"))
 
-    left, right = rows(candidates), rows(queries).dropDuplicates(["id"])
+    # Of rows that repeat a query's id the least vector asks.
+    left, right = rows(candidates), rows(queries).groupBy("id").agg(F.min("v").alias("v"))
     n_left = tasks_for(candidates.count(), BLOCK_ROWS)
     n_right = tasks_for(queries.count(), QUERY_ROWS)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

@@ -56,14 +56,14 @@ def test_pipeline_stages(spark):
     from creditscope.llm.tables import stored
     for name, stage in corpus_pipeline.STAGES:
         result = stored(stage(spark, docs, SF001), "stage")
-        if stage is not corpus_pipeline.pack:
+        if name != "packing":
             assert result.columns == columns
             assert result.schema == docs.schema or result.dtypes == docs.dtypes
             kept.append({r.doc_id for r in result.select("doc_id").collect()})
-            if stage is corpus_pipeline.near_copies:
+            if name == "near copies":
                 label = classes([(r.doc_id, r.text) for r in docs.collect()])
                 assert kept[-1] == {i for i, c in label.items() if i == c}
-            if stage is corpus_pipeline.passages:
+            if name == "repeated passages":
                 assert kept[-1] == kept[-2]
                 removed = {i: n for i, _, n, _, _ in passages([(r.doc_id, r.text) for r in docs.collect()])}
                 old = {r.doc_id: r.text for r in docs.collect()}
