@@ -20,6 +20,8 @@ from creditscope.llm.tables import stored, tasks_for
 
 BUCKET_BYTES = 16 << 20
 SEED = 20240229
+#: Up to so many bucket offsets (16 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def record_bytes(text: str = "text") -> F.Column:
@@ -55,6 +57,8 @@ def external_shuffle(records: DataFrame, id_col: str = "doc_id", text: str = "te
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("bucket").alias("b"),
                            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    if buckets <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
     placed = table.join(offsets, F.col("bucket") == F.col("b"))
     place = F.col("offset") + F.col("at")
     return placed.select("record",
