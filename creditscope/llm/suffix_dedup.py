@@ -46,7 +46,7 @@ GRAM = 24
 #: Leaders per shard of the second and third step.
 LEADERS_PER_SHARD = 500_000
 BYTES_PER_LEADER = 14
-LONG_TEXT = 4096
+LONG_TEXT = 512
 #: Symbols sorted together.
 SORT_SYMBOLS = 1 << 20
 SLICE_BYTES = 2 << 20
