@@ -144,33 +144,53 @@ def segments_step(cur: DataFrame, centres=REFERENCE_CENTRES) -> DataFrame:
         *[round_half_up(F.avg(f"z_f_{c}"), 6).alias(c) for c in SEGMENT_FEATURES])
 
 
-# Rows from which the starting centres of all restarts are drawn.
+# Rows from which the starting centres of all restarts are drawn, and the distance
+# within which restarts are on their way to the same optimum.
 START_SAMPLE = 2048
+ALIKE = 0.02
 
 
-def _starting_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on the bounded sample."""
+def _starting_centres(points: np.ndarray, k: int, seed: int, max_iter: int, tol: float) -> np.ndarray:
+    """k-means++ and Lloyd's iterations on the bounded sample."""
     rng = np.random.default_rng(seed)
     chosen = [points[rng.integers(len(points))]]
     for _ in range(k - 1):
         far = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
         chosen.append(points[rng.choice(len(points), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(points))])
-    return np.array(chosen)
+    centres = np.array(chosen)
+    for _ in range(max_iter):
+        near = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([points[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)])
+        done = (((moved - centres) ** 2).sum(axis=1) <= tol * tol).all()
+        centres = moved
+        if done:
+            break
+    return centres[np.lexsort(centres.T[::-1])]
+
+
+def _array(items) -> str:
+    return f"array({', '.join(items)})"
 
 
 def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
     """Lloyd iterations of all restarts together over ``points`` (an array column p):
-    one aggregate per iteration, ``len(seeds) * k`` rows of it on the driver.  Each
-    restart stops on its own tolerance; returns the centres with the least cost."""
+    one aggregate per iteration, ``len(seeds) * k`` rows of it on the driver.  Starting
+    centres are fitted on a bounded sample, so few iterations over all rows remain;
+    restarts that come within ``ALIKE`` of another are one.  Each restart stops on its own tolerance;
+    returns the centres with the least cost."""
     rows = points.orderBy(F.xxhash64("p"), "p").limit(START_SAMPLE).collect()
     sample = np.array([r["p"] for r in rows], float)
-    centres = {s: _starting_centres(sample, k, s) for s in seeds}
+    centres: dict[int, np.ndarray] = {}
+    for s in seeds:
+        start = _starting_centres(sample, k, s, max_iter, tol)
+        if not any(np.abs(start - c).max() <= ALIKE for c in centres.values()):
+            centres[s] = start
     cost: dict[int, float] = {}
-    open_ = list(seeds)
+    open_ = list(centres)
     for last in range(max_iter + 1):
         if not open_:
             break
-        literal = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres[s]]) for s in open_])
+        literal = F.expr(_array(_array(_array(f"{v!r}D" for v in c) for c in centres[s].tolist()) for s in open_))
 
         def nearest(restart):
             def apart(c, i):
@@ -195,7 +215,11 @@ def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int =
             else:
                 centres[s] = moved
         open_ = [s for s in open_ if s not in done]
-    return centres[min(seeds, key=lambda s: (cost[s], s))]
+        for s in open_[1:]:
+            if any(np.abs(centres[s] - centres[o]).max() <= ALIKE for o in centres if o != s and (o not in open_ or o < s)):
+                open_.remove(s)
+                del centres[s]
+    return centres[min(centres, key=lambda s: (cost[s], s))]
 
 
 def behavior_segments(cur: DataFrame, k: int | None = None, restarts: int | None = None,
@@ -204,7 +228,9 @@ def behavior_segments(cur: DataFrame, k: int | None = None, restarts: int | None
     lowest cost wins), then per-cluster profile named by delinquency."""
     cols = [f"f_{c}" for c in SEGMENT_FEATURES]
     z = freeze(segment_features(cur))
-    points = z.select(F.array(*[F.col(f"z_{c}") for c in cols]).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = z.select(F.array(*[F.col(f"z_{c}") for c in cols]).alias("p")).repartition(parts).persist(
+        StorageLevel.MEMORY_AND_DISK)
     best = fit_kmeans(points, k or cfg.kmeans_k, [cfg.seed + i for i in range(restarts or cfg.kmeans_restarts)])
     points.unpersist()
     return _name_segments(_profile(assign_nearest(z, best.tolist(), cols)), cfg.segment_names)
