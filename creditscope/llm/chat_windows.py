@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditscope.llm.tables import stored
+
 BUDGET = 1024
 HISTORY = 256
 CHARS_PER_TOKEN = 4
@@ -50,62 +52,74 @@ def tokens(formatted: Column) -> Column:
     return F.ceil(F.length(formatted) / CHARS_PER_TOKEN).cast("long")
 
 
-def _turns(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Every turn with its tokens, its number ``at`` and the tokens ``before`` it."""
-    own = rows.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"),
+def _turns(rows: DataFrame, conv: str, turn: str, role: str, text: str, cell) -> tuple[DataFrame, DataFrame]:
+    """Every turn with its tokens, its number ``at``, the tokens ``before`` it and its
+    conversation's ``cell``; and the system turns.
+
+    ``key`` is the conversation without nulls, so one partitioning by (key, block)
+    serves the prefix sums and the join of the block offsets; the texts move once.
+    """
+    own = rows.select(F.col(conv).alias("conv"),
+                      F.when(F.col(conv).isNull(), "null").otherwise(F.concat(F.lit("id "), F.col(conv))).alias("key"),
+                      F.col(turn).cast("long").alias("turn"),
                       F.coalesce(F.col(role), F.lit("")).alias("role"),
                       F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("seg", formatted_turn(F.col("role"), F.col("text")))
     own = own.withColumn("t", tokens(F.col("seg"))).withColumn(
         "block", F.coalesce(F.floor(F.col("turn") / TURNS_PER_BLOCK), F.lit(-(2**62))))
-    inside = Window.partitionBy("conv", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    order = [F.asc_nulls_first("turn"), F.col("role"), F.col("text")]
+    inside = Window.partitionBy("key", "block").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, -1)
     own = own.select("*", F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("b"),
                      (F.row_number().over(inside) - 1).alias("a"))
-    sums = own.groupBy("conv", "block").agg(F.sum("t").alias("t"), F.count("*").alias("n"))
-    blocks = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("conv").alias("c"), F.col("block").alias("k"),
-                          F.coalesce(F.sum("t").over(blocks), F.lit(0)).alias("ob"),
-                          F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("oa"))
-    joined = own.join(offsets, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k")))
-    return joined.select("conv", "role", "seg", "t", (F.col("a") + F.col("oa")).alias("at"),
-                         (F.col("b") + F.col("ob")).alias("before"))
+    # Per block: its sums, and the tokens of its first turn if that is a system turn.
+    sums = own.groupBy("key", "block").agg(
+        F.sum("t").alias("t"), F.count("*").alias("n"),
+        F.max(F.when((F.col("a") == 0) & (F.col("role") == "system"), F.col("t"))).alias("s"))
+    earlier = Window.partitionBy("key").orderBy("block")
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("key").alias("c"), F.col("block").alias("k"),
+                          F.coalesce(F.sum("t").over(before), F.lit(0)).alias("ob"),
+                          F.coalesce(F.sum("n").over(before), F.lit(0)).alias("oa"),
+                          F.first("s").over(earlier).alias("sys_t"))
+    turns = own.join(offsets, (F.col("key") == F.col("c")) & (F.col("block") == F.col("k"))).select(
+        "key", "conv", "role", "seg", "t", (F.col("a") + F.col("oa")).alias("at"),
+        (F.col("b") + F.col("ob")).alias("before"), cell(F.col("sys_t")).alias("cell"),
+        (F.col("sys_t").isNotNull() & (F.col("a") + F.col("oa") == 0)).alias("is_sys"))
+    # Read for the spans, the history, the system turns and the windows: placed once.
+    turns = stored(turns, "turns")
+    return turns, turns.where("is_sys").select(F.col("key").alias("sc"), F.col("seg").alias("sys_seg"),
+                                               F.col("t").alias("sys_t"))
 
 
 def windows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
             text: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Columns conv, window, n_context (leading turns that are repeated), n_tokens,
     formatted, targets (array of start and length, in code points of ``formatted``)."""
-    turns = _turns(rows, conv, turn, role, text)
-    system = turns.where("at = 0 and role = 'system'").select(
-        F.col("conv").alias("sc"), F.col("seg").alias("sys_seg"), F.col("t").alias("sys_t"))
-    turns = turns.join(system.select("sc", "sys_t"), F.col("conv").eqNullSafe(F.col("sc")), "left")
     # The system turn takes its place from the cells, which keep a quarter of the budget at least.
-    cell = F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.coalesce("sys_t", F.lit(0)))
-    first, last = F.floor(F.col("before") / cell), F.floor((F.col("before") + F.col("t") - 1) / cell)
-    turns = turns.select("conv", "role", "seg", "t", "at", "before", cell.alias("cell"),
-                         (F.col("sys_t").isNotNull() & (F.col("at") == 0)).alias("is_sys"),
-                         (first * 2 + F.when(first == last, 0).otherwise(1)).alias("window"))
-    spans = turns.groupBy("conv", "window").agg(F.min("before").alias("begins"), F.min("at").alias("starts"))
+    turns, system = _turns(rows, conv, turn, role, text, lambda sys_t: F.greatest(
+        F.lit(budget // 4), F.lit(budget - history) - F.coalesce(sys_t, F.lit(0))))
+    first, last = (F.floor(x / F.col("cell")) for x in (F.col("before"), F.col("before") + F.col("t") - 1))
+    turns = turns.withColumn("window", first * 2 + F.when(first == last, 0).otherwise(1))
+    spans = turns.groupBy("key", "window").agg(F.first("conv").alias("conv"), F.min("before").alias("begins"), F.min("at").alias("starts"))
     # A turn is history of the windows that begin within ``history`` tokens of its own
     # begin; they lie in a few cells at most.
     lo, hi = F.col("before") + F.col("t"), F.col("before") + F.lit(history)
     old = turns.where(~F.col("is_sys") & (F.col("t") <= history)).select(
-        "conv", "seg", "t", "at", "role", lo.alias("lo"), hi.alias("hi"),
+        F.col("key").alias("old_key"), "seg", "t", "at", "role", lo.alias("lo"), hi.alias("hi"),
         F.explode(F.sequence(F.floor(lo / F.col("cell")), F.floor(hi / F.col("cell")))).alias("in_cell"))
-    later = spans.select(F.col("conv").alias("c"), "window", "begins",
-                         F.expr("window div 2").alias("begin_cell"))
-    context = old.join(later, F.col("conv").eqNullSafe(F.col("c")) & (F.col("in_cell") == F.col("begin_cell"))
+    later = spans.select("key", "conv", "window", "begins", F.expr("window div 2").alias("begin_cell"))
+    context = old.join(later, (F.col("old_key") == F.col("key")) & (F.col("in_cell") == F.col("begin_cell"))
                        & (F.col("begins") >= F.col("lo")) & (F.col("begins") <= F.col("hi")))
-    context = context.select("conv", "window", F.lit(1).alias("kind"), "at", "role", "seg", "t")
-    kept = spans.join(system, F.col("conv").eqNullSafe(F.col("sc"))).where("starts > 0").select(
-        "conv", "window", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"),
+    context = context.select("key", "conv", "window", F.lit(1).alias("kind"), "at", "role", "seg", "t")
+    kept = spans.where("starts > 0").join(system, F.col("key") == F.col("sc")).select(
+        "key", "conv", "window", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"),
         F.lit("system").alias("role"), F.col("sys_seg").alias("seg"), F.col("sys_t").alias("t"))
-    new = turns.select("conv", "window", F.lit(2).alias("kind"), "at", "role", "seg", "t")
+    new = turns.select("key", "conv", "window", F.lit(2).alias("kind"), "at", "role", "seg", "t")
     parts = new.unionByName(context).unionByName(kept)
     # A window holds a cell's turns and bounded context, whatever the conversation's length.
-    grouped = parts.groupBy("conv", "window").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "at", "role", "seg", "t"))).alias("p"))
+    grouped = parts.groupBy("key", "window").agg(
+        F.first("conv").alias("conv"), F.array_sort(F.collect_list(F.struct("kind", "at", "role", "seg", "t"))).alias("p"))
     lengths = F.transform("p", lambda x: F.length(x["seg"]))
     head = lambda x: F.length(x["seg"]) - F.length(F.regexp_replace(x["seg"], r"(?s)^### .*?(?<!\\)(?:\\\\)*:\n", ""))
     starts = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.aggregate(
