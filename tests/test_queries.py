@@ -33,6 +33,25 @@ def test_query_matches_oracle(spark, duck, name):
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
 
 
+ORDERED = {
+    "delinquency_buckets": "delinquency_bucket", "kpis_by_product": "delinquency_rate_pct desc, product_name",
+    "kpis_by_region": "delinquency_rate_pct desc, region_name", "risk_tier_kpis": "risk_tier",
+    "risk_deciles": "risk_decile", "delinquency_by_utilization": "utilization_band",
+    "delinquency_interaction": "utilization_band nulls last, file_depth nulls last",
+    "monthly_trend": "statement_month", "roll_rates": "from_bucket", "vintage": "vintage_year",
+    "scored_sample_500": "md5(concat(account_id, '-42')), account_id", "table_counts": "table_name",
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_rows_come_in_order(spark, duck, name):
+    df = QUERIES[name](spark, SF001)
+    res = duck.execute(f"select * from ({ORACLE[name]}) order by {ORDERED[name]}")
+    names = [d[0] for d in res.description]
+    theirs = [digest(names, [r])[0] for r in res.fetchall()]
+    assert [digest(df.columns, [tuple(r)])[0] for r in df.collect()] == theirs
+
+
 def test_every_query_has_oracle_or_is_a_model_fit():
     assert set(QUERIES) - set(ORACLE) == {"behavior_segments", "delinquency_drivers", "headline_findings"}
 
