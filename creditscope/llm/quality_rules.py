@@ -52,15 +52,16 @@ BINS = {
 }
 N_FEATURES = sum(len(b) + 1 for b in BINS.values())
 
-_FLAG = {name: np.zeros(256, np.int64) for name in ("symbol", "capital", "digit", "bang", "letter")}
+_FLAG = {name: np.zeros(256, np.int8) for name in ("symbol", "capital", "digit", "bang", "letter")}
 _FLAG["symbol"][list(b"#*$%&|<>")] = 1
 _FLAG["capital"][65:91] = 1
 _FLAG["digit"][48:58] = 1
 _FLAG["bang"][list(b"!?")] = 1
 _FLAG["letter"][np.r_[65:91, 97:123]] = 1
 #: UTF-8 continuation bytes are no code points of their own.
-_CODE_POINT = np.ones(256, np.int64)
+_CODE_POINT = np.ones(256, np.int8)
 _CODE_POINT[0x80:0xC0] = 0
+_IN_WORD = np.where(textscan._SPACE, 0, _CODE_POINT).astype(np.int8)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:;")] = True
 
@@ -89,8 +90,9 @@ class Lines:
 
 
 def _per(buf: np.ndarray, table: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(table[buf])))
-    return total[end] - total[start]
+    total = np.zeros(len(buf) + 1, np.int32)  # a slice is far below 2 ** 31 bytes
+    np.cumsum(table[buf], out=total[1:])
+    return (total[end] - total[start]).astype(np.int64)
 
 
 def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +263,6 @@ def judge(column: pa.Array, model: Model, content_share: float = CONTENT_SHARE)
     n_docs = len(words.offsets) - 1
     n_words = np.diff(words.first)
     begin, end = words.offsets[:-1], words.offsets[1:]
-    space = np.concatenate(([0], np.cumsum(_CODE_POINT[words.buf] * ~textscan._SPACE[words.buf])))
     windows, at = textscan.window_hashes(words, hashes, WINDOW)
     twice, _ = _again(_in_doc(windows, words.doc[at] if len(at) else at))
     cover = np.zeros(len(hashes) + 1, np.int64)
@@ -275,7 +276,7 @@ def judge(column: pa.Array, model: Model, content_share: float = CONTENT_SHARE)
     dup = np.bincount(line_doc[lines.repeated], minlength=n_docs)
     failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
     kept = ~failed & (content >= content_share * n_words)
-    longs = (n_words, space[end] - space[begin], _per(words.buf, _FLAG["symbol"], begin, end), dup, repeated,
+    longs = (n_words, _per(words.buf, _IN_WORD, begin, end), _per(words.buf, _FLAG["symbol"], begin, end), dup, repeated,
              np.diff(lines.first), content)
     return [pa.array(x.astype(np.int64), pa.int64()) for x in longs] + [pa.array(failed), pa.array(kept)]
 

@@ -63,6 +63,8 @@ def cut(batches: Iterator[pa.RecordBatch], limit: int = textscan.SLICE_BYTES) ->
             marked = batch.append_column("_text", text_of(batch))
             for part in textscan.slices(iter([marked]), "_text", limit):
                 yield part.select(range(batch.num_columns))
+    # Workers are used again by later stages: give back what Arrow keeps for reuse.
+    pa.default_memory_pool().release_unused()
 
 
 def packed(batch: pa.RecordBatch, level: int = 5) -> bytes:
