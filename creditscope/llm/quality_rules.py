@@ -250,8 +250,13 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
         .limit(FIT_DOCUMENTS).select("t", "q").collect()
     if not sample:
         return Model.neutral()
-    words = textscan.scan(pa.array([r["t"] for r in sample], pa.large_string()))
-    lines = read_lines(words, textscan.word_hashes(words))
+    parts = []
+    for at in range(0, len(sample), 100):
+        words = textscan.scan(pa.array([r["t"] for r in sample[at:at + 100]], pa.large_string()))
+        parts.append(read_lines(words, textscan.word_hashes(words)))
+    counts = np.concatenate([np.diff(p.first) for p in parts])
+    lines = Lines(np.append(0, np.cumsum(counts)), *(np.concatenate([getattr(p, name) for p in parts])
+                                                     for name in ("words", "bins", "repeated")))
     label = np.repeat([0 if r["q"] else 1 for r in sample], np.diff(lines.first)).astype(np.int64)
     return fit(lines, label)
 
