@@ -20,7 +20,6 @@ from creditscope.functions.exprs import (clip, fill_blank_text, is_blank_text, p
                                          round_half_up, title_case)
 from creditscope.operators.joins import keep_referenced, orphans
 from creditscope.operators.ranking import approximate_medians, exact_medians
-from creditscope.operators.window import keep_first
 from creditscope.schema import MONEY, MONEY_COLS, TABLES
 
 POS = "_row_pos"
