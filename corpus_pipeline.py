@@ -17,7 +17,8 @@ from creditscope.llm.tables import shipped, stored
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: perplexity within the language's quantile of trusted texts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_lm.classify(docs, quality_lm.trusted_documents(docs, labels))
+    judged = quality_lm.classify(docs, quality_lm.trusted_documents(docs, labels),
+                                 order=quality_lm.ACROSS_ORDER, across=True)
     return judged.where("out.kept").select("row.*")
 
 

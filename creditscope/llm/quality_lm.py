@@ -1,8 +1,10 @@
 """Quality classifier: interpolated modified Kneser-Ney on trusted text.
 
-The model predicts the bytes of a word, and its end, from the up to ``order - 1``
-bytes before them in the word (a begin mark stands in front).  An n-gram is an
-integer: a leading 1, then its bytes.  Counts cover all trusted texts; they, the
+The model predicts the bytes of a text's words, and the words' ends, from the up to
+``order - 1`` symbols before them.  With ``across`` the context runs over word ends
+back to the text's begin; without it, it starts anew at every word (a begin mark
+stands in front), so word order and repetition cannot change a perplexity.  An n-gram
+is an integer: a leading 1, then its bytes (so the order is at most 7).  Counts cover all trusted texts; they, the
 continuation counts, the contexts and the discounts are tables that Spark shards by
 key.  To score, the texts are cut into blocks; each block's distinct n-grams are
 joined to the count tables, and the probabilities go back to the block, so what is
@@ -38,6 +40,8 @@ from creditscope.llm import sliced, textscan
 from creditscope.llm.tables import stored
 
 ORDER = 5
+#: Order of the model whose context runs over word ends: the most that a key holds.
+ACROSS_ORDER = 7
 QUANTILE = 0.99
 FOLDS = 2
 ALL = -1  # the model of all trusted texts
@@ -52,6 +56,7 @@ BLOCK_BYTES = 16 << 20
 #: Costs are whole numbers of this part of a nat, so sums do not depend on their order.
 COST_SCALE = 1 << 16
 MARK = 32  # begin and end of a word; a space is never inside one
+BEGIN = 10  # begin of a text, in front of its first mark; never inside a word either
 
 OUT = T.StructType([T.StructField("perplexity", T.DoubleType()), T.StructField("threshold", T.DoubleType()),
                     T.StructField("kept", T.BooleanType())])
@@ -69,16 +74,51 @@ def word_grams(words: textscan.Words, order: int) -> tuple[np.ndarray, np.ndarra
     inside = (place > 0) & (place <= np.repeat(length, total))
     symbols = np.full(len(place), MARK, np.int64)
     symbols[inside] = words.buf[(np.repeat(start, total) + place - 1)[inside]]
+    gram = _grams(symbols, place, order)
+    event = place > 0
+    return gram[event], np.repeat(np.arange(len(first)), total)[event], number
+
+
+def _grams(symbols: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram that ends at each symbol, not reaching before place 0."""
     gram = np.ones(len(place), np.int64)
     for back in range(order - 1, -1, -1):
         shifted = np.zeros(len(place), np.int64)
         shifted[back:] = symbols[:len(place) - back]
         gram = np.where(place >= back, (gram << 8) | shifted, gram)
-    event = place > 0
-    return gram[event], np.repeat(np.arange(len(first)), total)[event], number
+    return gram
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+def text_grams(words: textscan.Words, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram of every event of the texts, its text): words with one mark between them,
+    behind the begin of the text and a mark."""
+    length = words.end - words.start
+    lead = np.zeros(len(length), np.int64)
+    lead[words.first[:-1][np.diff(words.first) > 0]] = 2
+    total = lead + length + 1
+    begin = np.cumsum(total) - total
+    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    symbols = np.full(total.sum(), MARK, np.int64)
+    symbols[begin[lead > 0]] = BEGIN
+    symbols[np.repeat(begin + lead, length) + inside] = words.buf[np.repeat(words.start, length) + inside]
+    place = np.arange(len(symbols)) - np.repeat(begin[words.first[words.doc]], total)
+    event = place > 1
+    return _grams(symbols, place, order)[event], np.repeat(words.doc, total)[event]
+
+
+def _distinct(texts: pa.Array, order: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of the events of the texts, and how often each occurs."""
+    words = textscan.scan(texts)
+    if across:
+        return np.unique(text_grams(words, order)[0], return_counts=True)
+    gram, word, number = word_grams(words, order)
+    times = np.bincount(number, minlength=int(number.max(initial=-1)) + 1)
+    keys, inverse = np.unique(gram, return_inverse=True)
+    weight = (times[word] if len(word) else word).astype(np.float64)
+    return keys, np.bincount(inverse, weight, len(keys)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int, across: bool) -> Iterator[pa.RecordBatch]:
     """Partial counts by fold of a task's texts (columns text, fold)."""
     held = {}
 
@@ -91,11 +131,10 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
 
     for batch in _by_fold(textscan.slices(batches)):
         fold = batch.column(1)[0].as_py()
-        gram, word, number = word_grams(textscan.scan(batch.column(0)), order)
-        times = np.bincount(number, minlength=int(number.max(initial=-1)) + 1)
+        gram, times = _distinct(batch.column(0), order, across)
         before = held.get(fold, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
         keys, inverse = np.unique(np.concatenate([before[0], gram]), return_inverse=True)
-        weight = np.concatenate([before[1], times[word] if len(word) else word]).astype(np.float64)
+        weight = np.concatenate([before[1], times]).astype(np.float64)
         held[fold] = (keys, np.bincount(inverse, weight, len(keys)).astype(np.int64))
         if sum(len(k) for k, _ in held.values()) > PARTIAL:
             yield from out()
@@ -136,6 +175,7 @@ class Model:
     contexts: DataFrame  # fold, context, total, gamma
     discounts: dict[int, dict[int, tuple[float, float, float]]]  # by fold and order
     order: int
+    across: bool = False  # the context runs over word ends
 
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -148,10 +188,10 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
     return tuple(min(max(d, 0.0), float(i)) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, d2), (3, d3)))
 
 
-def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+def train(trusted: DataFrame, text: str = "text", order: int = ORDER, across: bool = False) -> Model:
     """Count tables of all rows of ``trusted``, in all and without each fold."""
     texts = trusted.select(F.col(f"`{text}`").cast("string").alias("text"), _fold(text).alias("fold"))
-    partial = texts.mapInArrow(lambda b: _count(b, order), "fold int, gram long, n long")
+    partial = texts.mapInArrow(lambda b: _count(b, order, across), "fold int, gram long, n long")
     summed = stored(partial.groupBy("fold", "gram").agg(F.sum("n").alias("n")), "lm-partial")
     # A text counts for every model but its own fold's.
     models = F.filter(F.array(*[F.lit(f) for f in range(ALL, FOLDS)]), lambda f: f != F.col("fold"))
@@ -163,8 +203,8 @@ def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     size = _order_of(gram, order)
     followed = types.where(size > 1).select("fold", _suffix(gram, size - 1).alias("gram")).groupBy(
         "fold", "gram").agg(F.count("*").alias("c"))
-    begins = (size > 1) & (F.floor((gram - _size(size)) / _size(size - 1)) == MARK)
-    # A word's begin has nothing before it: its n-grams keep raw counts, like the longest.
+    begins = (size > 1) & (F.floor((gram - _size(size)) / _size(size - 1)) == (BEGIN if across else MARK))
+    # A begin has nothing before it: its n-grams keep raw counts, like the longest.
     joined = types.join(raw, ["fold", "gram"], "left").join(followed, ["fold", "gram"], "left")
     counts = stored(joined.select("fold", "gram", F.when((size == order) | begins, F.col("n")).otherwise(
         F.col("c")).alias("a")).where("a > 0"), "lm-counts")
@@ -176,7 +216,7 @@ def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     contexts = stored(counts.groupBy("fold", context.alias("context")).agg(
         F.sum("a").alias("total"), F.sum(_discount(F.col("a"), size, discounts)).alias("freed"))
         .select("fold", "context", "total", (F.col("freed") / F.col("total")).alias("gamma")), "lm-contexts")
-    return Model(counts, contexts, discounts, order)
+    return Model(counts, contexts, discounts, order, across)
 
 
 def _fold(text: str) -> Column:
@@ -235,13 +275,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[
 def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) -> DataFrame:
     """``rows`` has columns row, name (of the text in it) and fold (of the model that
     scores it); ``finish`` turns (batch, log-perplexities) into the result."""
-    order = model.order
+    order, across = model.order, model.across
 
     def grams(batches):
         for block, fold, slices in _blocks(batches):
             keys = np.zeros(0, np.int64)
             for batch in slices:
-                keys = np.union1d(keys, word_grams(textscan.scan(sliced.text_of(batch)), order)[0])
+                keys = np.union1d(keys, _distinct(sliced.text_of(batch), order, across)[0])
             columns = np.full(len(keys), block), np.full(len(keys), fold, np.int32), keys
             for at in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in columns],
@@ -249,47 +289,68 @@ def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) ->
 
     def payloads(batches):
         for block, _, slices in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array(
-                [[sliced.packed(batch) for batch in slices]], pa.list_(pa.binary()))], names=["id", "payload"])
+            for batch in slices:
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sliced.packed(batch)], pa.binary())],
+                                                 names=["block", "payload"])
 
     def score(batches):
-        for joined in batches:
-            for i in range(joined.num_rows):
-                costs = joined.column(1)[i].values
-                found, cost = (np.zeros(0, np.int64),) * 2 if costs is None else (
-                    costs.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-                rank = np.argsort(found, kind="stable")
-                found, cost = found[rank], cost[rank]
-                for payload in joined.column(0)[i].values:
-                    batch = sliced.unpacked(payload)
-                    yield finish(batch, _log_perplexities(sliced.text_of(batch), order, found, cost))
+        # Rows by block, its costs before its slices.
+        block, parts, found, cost = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for at in np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else ():
+                own = batch.slice(at, int(np.searchsorted(ids[at:] != ids[at], True)))
+                if ids[at] != block:
+                    block, parts, found, cost = ids[at], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+                costs = own.filter(own.column(3).is_null())
+                if costs.num_rows:
+                    parts.append([np.array(costs.column(i)) for i in (1, 2)])
+                for payload in own.column(3).drop_null():
+                    if parts:
+                        found, cost = (np.concatenate(x) for x in zip(*parts))
+                        rank = np.argsort(found, kind="stable")
+                        found, cost, parts = found[rank], cost[rank], []
+                    batch_ = sliced.unpacked(payload)
+                    yield finish(batch_, _log_perplexities(sliced.text_of(batch_), order, across, found, cost))
 
     # The n-grams of all blocks, a written table: read for the distinct ones and again
     # for the way back.
     pairs = stored(rows.mapInArrow(grams, "block long, fold int, gram long"), "lm-grams")
     costs = probabilities(pairs.select("fold", "gram").distinct(), model)
-    per_block = pairs.join(costs, ["fold", "gram"]).groupBy("block").agg(F.collect_list(
-        F.struct("gram", F.round(F.col("cost") * COST_SCALE).cast("int").alias("cost"))).alias("costs"))
-    blocks = rows.mapInArrow(payloads, "id long, payload array<binary>")
-    return blocks.join(per_block, F.col("id") == F.col("block"), "left").select(
-        "payload", "costs").mapInArrow(score, out_schema)
+    # Rows, not one list per block: they are sorted on disk where memory is short.
+    back = pairs.join(costs, ["fold", "gram"]).select(
+        "block", "gram", F.round(F.col("cost") * COST_SCALE).cast("int").alias("cost"),
+        F.lit(None).cast("binary").alias("payload"))
+    blocks = rows.mapInArrow(payloads, "block long, payload binary").select(
+        "block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("int").alias("cost"), "payload")
+    both = back.unionByName(blocks).repartition("block").sortWithinPartitions("block", F.col("payload").isNotNull())
+    return both.mapInArrow(score, out_schema)
 
 
-def _log_perplexities(texts: pa.Array, order: int, found: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def _log_perplexities(texts: pa.Array, order: int, across: bool, found: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Mean cost per event of each text in nats; NaN without events."""
     words = textscan.scan(texts)
-    gram, word, number = word_grams(words, order)
-    at = np.searchsorted(found, gram)
-    if len(gram) and (at.max() >= len(found) or (found[at] != gram).any()):
-        raise RuntimeError("the documents changed between two reads of them")
-    n = int(number.max(initial=-1)) + 1
-    per_word, events = np.bincount(word, cost[at], n), np.bincount(word, minlength=n)
     n_docs = len(words.offsets) - 1
-    total, times = (np.bincount(words.doc, x[number], n_docs) for x in (per_word, events))
+    if across:
+        gram, doc = text_grams(words, order)
+        keys, inverse = np.unique(gram, return_inverse=True)
+        total, times = np.bincount(doc, _cost_of(keys, found, cost)[inverse], n_docs), np.bincount(doc, minlength=n_docs)
+    else:
+        gram, word, number = word_grams(words, order)
+        n = int(number.max(initial=-1)) + 1
+        per_word, events = np.bincount(word, _cost_of(gram, found, cost), n), np.bincount(word, minlength=n)
+        total, times = (np.bincount(words.doc, x[number], n_docs) for x in (per_word, events))
     with np.errstate(invalid="ignore"):
         return np.where(times > 0, total / times / COST_SCALE, np.nan)
 
 
+def _cost_of(gram: np.ndarray, found: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(found, gram)
+    if len(gram) and (at.max() >= len(found) or (found[at] != gram).any()):
+        raise RuntimeError("the documents changed between two reads of them")
+    return cost[at]
+
+
 def thresholds(trusted: DataFrame, model: Model, text: str = "text", lang: str = "lang",
                quantile: float = QUANTILE) -> dict[str | None, float]:
     """Log-perplexity quantile per language, and over all under the key None."""
@@ -333,9 +394,10 @@ def trusted_documents(documents: DataFrame, labels: DataFrame, id_col: str = "do
 
 
 def classify(documents: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang",
-             order: int = ORDER, quantile: float = QUANTILE, keep: list[str] | None = None) -> DataFrame:
+             order: int = ORDER, quantile: float = QUANTILE, keep: list[str] | None = None,
+             across: bool = False) -> DataFrame:
     """Columns ``row`` (the kept input columns) and ``out`` (``OUT``)."""
-    model = train(trusted, text, order)
+    model = train(trusted, text, order, across)
     limits = thresholds(trusted, model, text, lang, quantile)
     rows, kept = sliced.text_rows(documents, text, keep, lang=F.col(f"`{lang}`").cast("string"))
     rows = rows.withColumn("fold", F.lit(ALL).cast("int"))

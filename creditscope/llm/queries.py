@@ -48,7 +48,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     trusted = quality_lm.trusted_documents(documents, _read(spark, sf_dir, "labels"))
-    return quality_lm.classify(documents, trusted, keep=["doc_id", "lang"]).select("row.*", "out.*")
+    return quality_lm.classify(documents, trusted, order=quality_lm.ACROSS_ORDER, keep=["doc_id", "lang"],
+                               across=True).select("row.*", "out.*")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

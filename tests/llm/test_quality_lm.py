@@ -88,3 +88,60 @@ def test_awkward_rows(awkward, no_rows, labels):
     assert len({(r.out.perplexity, r.out.kept) for r in got if r.row.doc_id == 5}) == 1
     assert all(r.out.kept for r in lm.classify(awkward, no_rows).collect())  # nothing to judge by
     assert lm.classify(no_rows, trusted).collect() == []
+
+
+def running(text, order):
+    """n-grams of every event of a text, over word ends."""
+    s = b"\n " + b"".join(w + b" " for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()))
+    return [s[max(0, i - order + 1):i + 1] for i in range(2, len(s))]
+
+
+class Running(Brute):
+    def __init__(self, texts, order):
+        renamed = lambda g: g.replace(b" ", b"\r").replace(b"\n", b" ")  # Brute's begin is the space
+        self.renamed = renamed
+        super().__init__(texts, order)
+
+    def perplexity(self, text, order):
+        costs = [-math.log(self.p(self.renamed(g))) for g in running(text, order)]
+        return math.exp(sum(costs) / len(costs)) if costs else None
+
+
+def test_running_context_matches_the_definition(corpus, monkeypatch):
+    df, rows = corpus
+    trusted = df.where("doc_id < 300")
+    got = lm.classify(df, trusted, order=7, quantile=0.9, across=True).collect()
+    monkeypatch.setitem(globals(), "events", lambda t, n: [
+        g.replace(b" ", b"\r").replace(b"\n", b" ") for g in running(t, n)])
+    brute = Running([t for i, t, _ in rows if i < 300], 7)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.out.perplexity == pytest.approx(brute.perplexity(r.row.text, 7), rel=1e-4)
+
+
+def test_word_order_and_repetition_cost(spark, tmp_path):
+    """Shuffled good words and a repeated word have a higher perplexity than good text
+    (and the repeated word than the word alone); the query's own model is used."""
+    from creditscope.llm import queries
+
+    rng = random.Random(3)
+    follow = {a: b for a, b in zip("the old man walked slowly to his small house near a river".split(),
+                                   "old man walked slowly to his small house near a river the".split())}
+    words = list(follow)
+    def good(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(follow[out[-1]] if rng.random() < 0.9 else rng.choice(words))
+        return out
+    rows = [(i, " ".join(good(30))) for i in range(200)]
+    kept = good(40)
+    rows += [(1000, " ".join(kept)), (1001, " ".join(rng.sample(kept, len(kept)))),
+             (1002, "river " * 40), (1003, "river")]
+    spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r.perplexity for r in queries.QUERIES["op5_quality_lm"](spark, str(tmp_path)).collect()}
+    assert got[1001] > 1.2 * got[1000]
+    assert got[1002] > 1.2 * got[1000]
+    assert got[1002] > got[1003]
