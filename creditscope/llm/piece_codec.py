@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding by batched Viterbi.
+"""SentencePiece encoding and decoding: batched Viterbi, batched merges.
 
 A text becomes a space plus itself, with every space a ``\\u2581``.  No piece has that
 mark behind another character, and some bytes are in no piece at all, so texts are
@@ -9,9 +9,11 @@ vectorised maximum over the last piece's length storing a back pointer per byte.
 The segmentation has the greatest sum of piece scores; a character that is no piece
 becomes its byte pieces, at the score of the least piece less 10.
 
-This is the segmentation of the library for models of unigram type.  A model file of
-BPE type gives pieces and scores like any other, but the library would apply its
-merges in order, so ids can differ from it there; decoding is the same for both.
+This is the segmentation of the library for models of unigram type.  For a model of
+BPE type the library merges instead: of all neighbours whose concatenation is a piece,
+those of the best score first, the leftmost of equals.  Pieces loaded with ``merges``
+do the same: the distinct chunks of a slice merge in step, each its own best pair, and
+chunks of more than ``LONG_CHARS`` characters merge one by one from a heap.
 
 Defined cases: a null text has null ids and back; an empty text has none; a literal
 ``\\u2581`` in a text becomes byte pieces, so every text decodes to itself; equal sums
@@ -21,6 +23,7 @@ encoded alike; extra columns are carried along.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +43,9 @@ UNKNOWN_PENALTY = 10.0
 SLICE_BYTES = 1 << 20
 #: Cells of one chunk group's score matrix.
 GROUP_CELLS = 1 << 20
+#: Chunks of more characters merge one by one; chunks of up to each of these in step.
+WIDTHS = (4, 8, 12, 16, 24, 48)
+LONG_CHARS = WIDTHS[-1]
 MARK = "▁".encode()
 
 #: Piece types of the model file format.
@@ -73,6 +79,109 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+#: Model type of the trainer's fields.
+BPE = 2
+NO_MERGE = np.iinfo(np.int32).max
+
+
+@dataclass
+class Merges:
+    """Pairs of symbols that merge.  A symbol is a piece, or a character of pieces that
+    is none itself (``ids`` -1); -1 is any other character."""
+    chars: np.ndarray      # symbol of each code point
+    ids: np.ndarray        # piece of each symbol, -1 at the end for no symbol
+    keys: np.ndarray       # sorted (left << 32 | right)
+    to: np.ndarray
+    rank: np.ndarray       # by falling score
+    maybe: np.ndarray = field(repr=False)
+    table: dict = field(repr=False, default=None)  # key: (rank, symbol), for single lookups
+
+    @classmethod
+    def of(cls, match: list[tuple[bytes, float, int]]) -> Merges:
+        words = [plain.decode() for plain, _, _ in match]
+        symbol = {w: i for i, w in enumerate(words)}
+        for w in words:
+            for c in w:
+                symbol.setdefault(c, len(symbol))
+        chars = np.full(0x110000, -1, np.int32)
+        for w, i in symbol.items():
+            if len(w) == 1:
+                chars[ord(w)] = i
+        ids = np.full(len(symbol) + 1, -1, np.int32)
+        ids[:len(match)] = [m[2] for m in match]
+        rank = np.unique([-m[1] for m in match], return_inverse=True)[1]
+        rows = [(symbol[w[:k]] << 32 | symbol[w[k:]], i, rank[i]) for i, w in enumerate(words)
+                for k in range(1, len(w)) if w[:k] in symbol and w[k:] in symbol]
+        keys, to, rank = (np.array(c, np.int64) for c in zip(*sorted(rows)))
+        maybe = np.zeros(1 << 22, bool)
+        maybe[cls._slot(keys)] = True
+        return cls(chars, ids, keys, to.astype(np.int32), rank.astype(np.int32), maybe)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _BASE) >> np.uint64(42)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of each pair; ``NO_MERGE`` for those that stay apart."""
+        rank, to = np.full(left.shape, NO_MERGE, np.int32), np.full(left.shape, -1, np.int32)
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        likely = np.flatnonzero((left >= 0) & (right >= 0) & self.maybe[self._slot(keys)])
+        at = np.minimum(np.searchsorted(self.keys, keys[likely]), len(self.keys) - 1)
+        found = self.keys[at] == keys[likely]
+        rank[likely[found]], to[likely[found]] = self.rank[at[found]], self.to[at[found]]
+        return rank, to
+
+    def together(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of symbols (padded with -1) merged in step; a symbol stays at the place
+        of its first character, the places it takes up besides are -2."""
+        n, width = symbols.shape
+        sym = np.full((n, width + 1), -1, np.int32)  # the last column is the end, and what is before the begin
+        sym[:, :width] = symbols
+        right, left = (np.tile(np.arange(width + 1) + d, (n, 1)) for d in (1, -1))
+        rank, to = (np.full((n, width + 1), v, np.int32) for v in (NO_MERGE, -1))
+        for out, value in zip((rank, to), self.find(sym[:, :-1].ravel(), sym[:, 1:].ravel())):
+            out[:, :width] = value.reshape(n, width)
+        live = np.arange(n)
+        while len(live):
+            j = rank[live].argmin(axis=1)  # the leftmost of equals
+            some = rank[live, j] < NO_MERGE
+            live, j = live[some], j[some]
+            k = right[live, j]
+            sym[live, j], sym[live, k], rank[live, k] = to[live, j], -2, NO_MERGE
+            after, before = right[live, k], left[live, j]
+            right[live, j], left[live, after] = after, j
+            rank[live, j], to[live, j] = self.find(sym[live, j], sym[live, after])
+            rank[live, before], to[live, before] = self.find(sym[live, before], sym[live, j])
+        return sym[:, :width]
+
+    def alone(self, symbols: np.ndarray) -> np.ndarray:
+        """One row of any length, merged from a heap; the result is that of ``together``."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.to.tolist())))
+        sym, n = symbols.tolist(), len(symbols)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and sym[i] >= 0 and sym[j] >= 0:
+                found = self.table.get(sym[i] << 32 | sym[j])
+                if found:
+                    heapq.heappush(heap, (found[0], i, j, sym[i], sym[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, a, b, to = heapq.heappop(heap)
+            if sym[i] != a or sym[j] != b or right[i] != j:
+                continue
+            sym[i], sym[j], right[i] = to, -2, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+            offer(left[i], i)
+            offer(i, right[i])
+        return np.array(sym, np.int32)
+
+
 @dataclass
 class Pieces:
     """Vocabulary tables, sent to the tasks."""
@@ -85,17 +194,23 @@ class Pieces:
     alone: np.ndarray      # per byte: in no piece, so chunks end around it
     texts: list[bytes]     # bytes that each id decodes to
     maybe: np.ndarray = field(repr=False, default=None)  # prefilter by the keys' top bits
+    merges: Merges | None = None  # encode by merges, not by the greatest sum of scores
 
     @classmethod
-    def load(cls, path: str = MODEL_PATH) -> Pieces:
+    def load(cls, path: str = MODEL_PATH, merges: bool = False) -> Pieces:
+        """``merges``: encode as the library does with a model of BPE type."""
         with open(path, "rb") as f:
             data = f.read()
-        rows = []
+        rows, model_type = [], None
         for number, value in _fields(data):
+            if number == 2:
+                model_type = dict(_fields(value)).get(3, model_type)
             if number == 1:
                 own = dict(_fields(value))
                 score = float(np.frombuffer(own[2], "<f4")[0]) if 2 in own else 0.0
                 rows.append((own.get(1, b""), score, own.get(3, NORMAL)))
+        if merges and (model_type != BPE or any(kind in (USER_DEFINED, UNUSED) for _, _, kind in rows)):
+            raise ValueError(f"{path}: merges need a model of BPE type of plain pieces")
         scores = [s for _, s, kind in rows if kind == NORMAL]
         most, least = max(scores), min(scores)
         match, texts, byte_ids = [], [], np.zeros(256, np.int32)
@@ -119,7 +234,7 @@ class Pieces:
         maybe[keys >> np.uint64(44)] = True
         return cls(np.array([m[2] for m in match], np.int32)[order], keys[order],
                    np.array([m[1] for m in match])[order], max(len(m[0]) for m in match),
-                   least - UNKNOWN_PENALTY, byte_ids, alone, texts, maybe)
+                   least - UNKNOWN_PENALTY, byte_ids, alone, texts, maybe, Merges.of(match) if merges else None)
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key in the sorted pieces, or -1."""
@@ -229,6 +344,44 @@ def _segment(rows: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return token[taken], taken.sum(axis=1)
 
 
+def _merged(buf: np.ndarray, start: np.ndarray, length: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the chunks by merges, concatenated, and their counts."""
+    merges = pieces.merges
+    upto = np.cumsum(length)
+    data = buf[np.repeat(start - (upto - length), length) + np.arange(upto[-1])]
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    width = np.diff(np.append(at, len(data)))
+    point = np.where(width == 1, data[at], data[at] & (0xFF >> (width + 1))).astype(np.int64)
+    for k in range(1, 4):
+        more = width > k
+        point[more] = point[more] << 6 | (data[at[more] + k] & 0x3F)
+    symbol = merges.chars[point]
+    size = np.add.reduceat(lead.astype(np.int64), upto - length)
+    first = np.cumsum(size) - size
+    least = 1
+    for most in WIDTHS:
+        rows = np.flatnonzero((size > least) & (size <= most))
+        for some in np.split(rows, range(GROUP_CELLS // most, len(rows), GROUP_CELLS // most)):
+            place = first[some][:, None] + np.arange(most)
+            inside = np.arange(most) < size[some][:, None]
+            own = np.where(inside, symbol[np.minimum(place, len(symbol) - 1)], -1)
+            symbol[place[inside]] = merges.together(own)[inside]
+        least = most
+    for i in np.flatnonzero(size > LONG_CHARS):
+        symbol[first[i]:first[i] + size[i]] = merges.alone(symbol[first[i]:first[i] + size[i]])
+    ids = np.where(symbol >= 0, merges.ids[symbol], -1)
+    # A character that is no piece becomes one token per byte.
+    times = np.where(symbol == -2, 0, np.where(ids >= 0, 1, width))
+    place = np.cumsum(times) - times
+    out = np.zeros(times.sum(), np.int32)
+    out[place[ids >= 0]] = ids[ids >= 0]
+    for k in range(4):
+        some = (symbol != -2) & (ids < 0) & (width > k)
+        out[place[some] + k] = pieces.byte_ids[data[at[some] + k]]
+    return out, np.add.reduceat(times, first)
+
+
 def encode(column: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets of each text)."""
     chunks = _chunks(column, pieces)
@@ -238,6 +391,9 @@ def encode(column: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     words = textscan.Words(chunks.buf, np.zeros(0), chunks.start, chunks.start + chunks.length, None, None)
     _, sample, number = np.unique(_chunk_hashes(words), return_index=True, return_inverse=True)
     start, length = chunks.start[sample], chunks.length[sample]
+    if pieces.merges:
+        flat, counts = _merged(chunks.buf, start, length, pieces)
+        return _spread(flat, counts, np.cumsum(counts) - counts, number, chunks.first)
     tokens: list[np.ndarray] = []
     counts = np.zeros(len(sample), np.int64)
     order = np.argsort(length, kind="stable")
@@ -253,10 +409,16 @@ def encode(column: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     flat = np.concatenate(tokens)
     begin = np.zeros(len(sample), np.int64)
     begin[order] = np.cumsum(counts[order]) - counts[order]
+    return _spread(flat, counts, begin, number, chunks.first)
+
+
+def _spread(flat: np.ndarray, counts: np.ndarray, begin: np.ndarray, number: np.ndarray,
+            first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of every chunk from those of the distinct ones."""
     times = counts[number]
     place = np.repeat(begin[number] - (np.cumsum(times) - times), times) + np.arange(times.sum())
     upto = np.concatenate(([0], np.cumsum(times)))
-    return flat[place], upto[chunks.first]
+    return flat[place], upto[first]
 
 
 def _chunk_hashes(words: textscan.Words) -> np.ndarray:

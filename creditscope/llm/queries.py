@@ -63,7 +63,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = piece_codec.Pieces.load()
+    pieces = piece_codec.Pieces.load(merges=True)
     documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = piece_codec.encode_documents(documents, pieces).select("row.*", "out.ids")
     decoded = piece_codec.decode_documents(encoded, pieces)

@@ -1,3 +1,4 @@
+import random
 import struct
 
 import numpy as np
@@ -90,3 +91,35 @@ def test_documents_decode_to_themselves(awkward, no_rows, pieces):
         assert r.text == r.row.text
         assert (r.row.ids is None) == (r.row.text is None)
     assert codec.encode_documents(no_rows, pieces).collect() == []
+
+
+def test_merges_give_the_librarys_ids():
+    library = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL_PATH)
+    merging = codec.Pieces.load(merges=True)
+    rng = random.Random(11)
+    texts = ["Hello world", " two  spaces", "a\tb\nc", "Schön, 中文字 und \U0001F600!", "xyzzyqqq", "1234567", "", "  ",
+             " " * 37 + "x" + " " * 9, "ab" * 4000, "的" * 300 + "\U0001F600" * 70, "é\u0301<0x0A><s></s><unk>"]
+    texts += [t for t in TEXTS if t and "▁" not in t]
+    texts += ["".join(rng.choices("aeinrst  .,öß中\u0301\x00\n", k=rng.randint(1, 90))) for _ in range(400)]
+    assert encode(texts, merging) == [library.encode(t) for t in texts]
+
+
+def test_query_gives_the_librarys_ids(spark):
+    from creditscope.llm import queries
+
+    library = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL_PATH)
+    folder = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.QUERIES["op7_sentencepiece"](spark, folder).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        if text[r.doc_id] is not None and "▁" not in text[r.doc_id]:
+            assert list(r.ids) == library.encode(text[r.doc_id])
+        assert r.decoded_equal
+
+
+def test_merges_need_a_bpe_model(tmp_path):
+    path = tmp_path / "unigram.model"
+    path.write_bytes(as_unigram(codec.MODEL_PATH, 1000))
+    with pytest.raises(ValueError, match="BPE"):
+        codec.Pieces.load(str(path), merges=True)
