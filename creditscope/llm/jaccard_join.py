@@ -7,13 +7,15 @@ o(a, b) = ceil(75 (a + b) / 175) shingles.
 
 *Light* pairs (both sizes up to a boundary): every set enumerates its subsets of size
 o(a, b) for each possible partner size; sets that meet in a subset under the same
-two sizes are linked, without another check.
+two sizes are linked.
 
 *Heavy* pairs: linked sets share one of their rarest ``size - ceil(0.75 size) + 1``
 shingles.  Shingles are ordered by the class of their count over all texts; those of
 them that other texts have are entered in inverted lists.  Lists are scanned shard by
-shard and yield candidate clusters, not pairs.  Inside a cluster the sets are compared by exact
-size and bitmap bounds and then exactly, skipping pairs that are already connected;
+shard and yield, with the light links, candidate clusters, not pairs.  Inside a cluster
+each pair of sets of admissible sizes is compared exactly, once: a set's shingles
+count the larger sets that have them.  What leaves a cluster is a spanning forest of its
+links and each set's number of them, weighted by the copies of the other set;
 a cluster beyond ``BLOCK_SHINGLES`` is cut into blocks and every pair of blocks is a
 task of its own.  Nothing emits the pairs of a group.
 
@@ -21,8 +23,8 @@ The boundary is the size with the least cost: subsets enumerated below it agains
 list entries and shipped shingles above it, summed over the table's size histogram.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
-links with nothing; a null id gives a row with a null component; rows that repeat an
-id share its node; very long texts are whole sets; extra columns are ignored.
+links with nothing; a null id gives a row with a null component and number of links; rows that repeat an
+id share its node, and each of its different sets counts as a link of others; very long texts are whole sets; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +54,6 @@ BYTES_PER_SHINGLE = 6
 #: List entries and subset keys that are scanned together.
 ENTRIES_PER_SCAN = 1_000_000
 BLOCK_SHINGLES = 2_000_000
-BITMAP_BITS = 2048
 _U = np.uint64
 
 
@@ -261,76 +262,100 @@ def _scan_lists(table: pa.Table) -> pa.Table:
 class _Cluster:
     """The sets of one block (or of a pair of blocks) of a candidate cluster."""
 
-    def __init__(self, ids: list[int], sides: list[int], sets: list[np.ndarray]):
+    def __init__(self, ids: list[int], sides: list[int], sets: list[np.ndarray], weights: list[int] | None = None,
+                 across: bool | None = None):
         order = np.argsort([len(s) for s in sets], kind="stable")
+        self.order = order
         self.ids, self.sets = [ids[i] for i in order], [sets[i] for i in order]
         self.side = np.array([sides[i] for i in order])
         self.size = np.array([len(s) for s in self.sets], np.int64)
+        self.weight = np.array([1 if weights is None else weights[i] for i in order], np.int64)
+        self.across = len(np.unique(self.side)) > 1 if across is None else across
+        self.links_of = np.zeros(len(ids), np.int64)  # weighted number of links, by size order
 
     def links(self, percent: int) -> Iterator[tuple[int, int]]:
-        """A spanning forest of the links between the sets (across sides, if two)."""
+        """A spanning forest of the links between the sets (across sides, if two); all
+        links are counted in ``links_of``."""
         n = len(self.ids)
         if n < 2:
             return
-        two = len(np.unique(self.side)) > 1
-        bitmaps = np.zeros((n, BITMAP_BITS // 8), np.uint8)
-        for i, own in enumerate(self.sets):
-            bits = np.zeros(BITMAP_BITS, bool)
-            bits[(own >> _U(20)) % _U(BITMAP_BITS)] = True
-            bitmaps[i] = np.packbits(bits)
-        bitmaps = bitmaps.view(np.uint64)
+        _, token = np.unique(np.concatenate(self.sets), return_inverse=True)
+        upto = np.cumsum(self.size)
+        owner = np.repeat(np.arange(n, dtype=np.int32), self.size)
+        # The sets of each token, by size; ``at`` moves behind the sets already compared.
+        having = owner[np.argsort(token, kind="stable")]
+        last = np.cumsum(np.bincount(token))
+        at = np.append(0, last[:-1])
         label = np.arange(n)
         for i in range(n - 1):
+            own = token[upto[i] - self.size[i]:upto[i]]
+            at[own] += 1
             # Sorted by size, so the partners of i are a range behind it.
-            to = np.searchsorted(self.size, 100 * self.size[i] // percent, side="right")
-            later = np.arange(i + 1, to)
-            later = later[label[later] != label[i]]
-            if two:
-                later = later[self.side[later] != self.side[i]]
-            if not len(later):
-                continue
-            apart = np.bitwise_count(bitmaps[later] ^ bitmaps[i]).sum(axis=1, dtype=np.int64)
-            both = self.size[later] + self.size[i]
-            # Differing bits are differing shingles, so they bound what is common.
-            for j in later[(both - apart) // 2 >= needed(both, 0, percent)]:
-                if label[j] == label[i]:
-                    continue
-                common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-                if common >= needed(int(self.size[i]), int(self.size[j]), percent):
-                    label[label == label[j]] = label[i]
-                    yield self.ids[i], self.ids[j]
+            to = int(np.searchsorted(self.size, 100 * self.size[i] // percent, side="right"))
+            own = own[at[own] < last[own]]
+            length = last[own] - at[own]
+            place = np.repeat(at[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            common = np.bincount(having[place], minlength=n)[i + 1:to]
+            good = common >= needed(self.size[i + 1:to] + self.size[i], 0, percent)
+            if self.across:
+                good &= self.side[i + 1:to] != self.side[i]
+            linked = np.flatnonzero(good) + i + 1
+            self.links_of[i] += self.weight[linked].sum()
+            self.links_of[linked] += self.weight[i]
+            new = linked[label[linked] != label[i]]
+            while len(new):
+                label[label == label[new[0]]] = label[i]
+                yield self.ids[i], self.ids[new[0]]
+                new = new[label[new] != label[i]]
+
+
+COMPARED = "a long, b long, n long, x long, y long, links long"
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cluster, i, j): the links of each group, one group at a time."""
-    def out(group: list[tuple]) -> pa.RecordBatch:
+    """Rows sorted by (cluster, i, j): the links of each group, one group at a time, as
+    edges (a, b) of a forest and numbers of links of sets (n, x, y)."""
+    def out(key: tuple, group: list[tuple]) -> pa.RecordBatch:
         sets = shingle_sets(pa.array([g[2] for g in group], pa.large_string()))
-        found = list(_Cluster([g[0] for g in group], [g[1] for g in group], sets).links(percent))
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
-                                           pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+        # An id may have several texts: a set counts once, where it is its member's own.
+        seen, weights = set(), []
+        for g, own in zip(group, sets):
+            name = (len(own), *_fingerprint(own))
+            weights.append(g[4] if name == g[3] and name not in seen else 0)
+            if weights[-1]:
+                seen.add(name)
+        cluster = _Cluster([g[0] for g in group], [g[1] for g in group], sets, weights, key[1] != key[2])
+        found = list(cluster.links(percent))
+        counted = [(*group[i][3], int(m)) for i, m in zip(cluster.order, cluster.links_of) if weights[i] and m]
+        rows = [(a, b, None, None, None, None) for a, b in found] + [(None, None, *c) for c in counted]
+        columns = zip(*rows) if rows else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
+                                          names=["a", "b", "n", "x", "y", "links"])
 
     key, group = None, []
     for batch in batches:
-        for cluster, i, j, block, own, text in zip(*(batch.column(c).to_pylist() for c in range(6))):
+        for cluster, i, j, block, own, n, x, y, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
             if (cluster, i, j) != key:
                 if group:
-                    yield out(group)
+                    yield out(key, group)
                 key, group = (cluster, i, j), []
-            group.append((own, block, text))
+            group.append((own, block, text, (n, x, y), copies))
     if group:
-        yield out(group)
+        yield out(key, group)
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
             percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``documents``."""
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``documents``;
+    n_links: other documents whose sets link with this row's, copies among them."""
     texts = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                              F.col(f"`{text}`").cast("string").alias("text"))
     slices = sliced.slices(sliced.text_rows(texts, "text", ["id"])[0])
     payloads = slices.select("slice", "payload")
     sets = stored(payloads.mapInArrow(_profile, "id long, n long, x long, y long"), "profile")
     # Texts with equal sets: the least id stands for all of them.
-    least = sets.where("n > 0 and id is not null").groupBy("n", "x", "y").agg(F.min("id").alias("rep"))
+    least = sets.where("n > 0 and id is not null").groupBy("n", "x", "y").agg(
+        F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     least = stored(least, "representatives")
     sizes = least.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count("*").alias("sets"))
     light = boundary({r["n"]: r["sets"] for r in sizes.collect()}, percent)  # LARGEST_LIGHT rows
@@ -344,31 +369,40 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
     spread = F.when(F.col("shard") < 0, F.xxhash64("packed")).otherwise(F.col("shard"))
     found = stored(packed.select(F.pmod(spread, F.lit(scans)).alias("scan"), "kind", "packed").groupBy("scan")
                    .applyInArrow(_scan_lists, "kind byte, a long, b long"), "lists")
-    clusters = components(found.where("kind = 2"))
+    # Light links lie in clusters too: their sets meet in several subsets, so they are
+    # counted where each pair is compared once.
+    clusters = components(found.where("kind in (2, 3)"))
     # Representatives by cluster; a cluster of one has nothing to compare.
-    members = least.join(clusters, F.col("rep") == F.col("node")).select("rep", "n", F.col("label").alias("cluster"))
+    members = least.join(clusters, F.col("rep") == F.col("node")).select(
+        "rep", "n", "x", "y", "copies", F.col("label").alias("cluster"))
     totals = members.groupBy("cluster").agg(F.sum("n").alias("w"), F.count("*").alias("m")).where("m > 1").select(
         F.col("cluster").alias("c"), F.ceil(F.col("w") / BLOCK_SHINGLES).alias("blocks"))
     members = members.join(totals, F.col("cluster") == F.col("c"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    members = members.select("rep", "cluster", block.alias("block"), F.explode(
+    own = ["rep", "n", "x", "y", "copies", "cluster"]
+    members = members.select(*own, block.alias("block"), F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    members = stored(members.select("rep", "cluster", "block", F.least("block", "other").alias("i"),
+    members = stored(members.select(*own, "block", F.least("block", "other").alias("i"),
                                     F.greatest("block", "other").alias("j")), "members")
-    todo = members.join(texts, F.col("rep") == F.col("id")).select("cluster", "i", "j", "block", "id", "text")
+    todo = members.join(texts, F.col("rep") == F.col("id")).select(
+        "cluster", "i", "j", "block", "id", "n", "x", "y", "copies", "text")
     parts = tasks_for(members.count(), 2000)
     groups = todo.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = groups.mapInArrow(lambda b: _compare(b, percent), "a long, b long").unionByName(
-        found.where("kind = 3").select("a", "b"))
-    joined = components(links)
+    links = stored(groups.mapInArrow(lambda b: _compare(b, percent), COMPARED), "links")
+    joined = components(links.where("a is not null").select("a", "b").unionByName(
+        found.where("kind = 3").select("a", "b")))
+    counted = links.where("n is not null").groupBy("n", "x", "y").agg(F.sum("links").alias("links"))
+    least = least.join(counted, ["n", "x", "y"], "left")
     labelled = least.join(joined, F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("n", "x", "y", "rep", F.when(F.col("label").isNull(), F.struct(
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    labelled = labelled.select("n", "x", "y", "rep", n_links.alias("n_links"), F.when(F.col("label").isNull(), F.struct(
         F.col("rep").alias("l"), F.lit(True).alias("own"))).otherwise(F.struct(
             F.col("label").alias("l"), F.lit(False).alias("own"))).alias("label"))
     first = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_set = labelled.join(first, "label").select(
-        F.col("n").alias("sn"), F.col("x").alias("sx"), F.col("y").alias("sy"), "component_id")
+        F.col("n").alias("sn"), F.col("x").alias("sx"), F.col("y").alias("sy"), "component_id", "n_links")
     placed = sets.join(of_set, (F.col("n") == F.col("sn")) & (F.col("x") == F.col("sx")) & (
         F.col("y") == F.col("sy")), "left")
     return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+                         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+                         F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))

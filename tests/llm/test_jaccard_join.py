@@ -108,3 +108,33 @@ def test_spanning_links_of_a_cluster():
     found = list(jaccard_join._Cluster(list(range(30)), [0] * 30, sets).links(75))
     assert all(100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b])) for a, b in found)
     assert len(found) <= 29
+
+
+def check_links(spark, rows):
+    """n_links is the number of other documents that link, copies among them."""
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: sum(1 for j, t in sets.items() if j != i and s and t and 100 * len(s & t) >= 75 * len(s | t))
+            for i, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    return want
+
+
+def test_links_match_brute_force(spark, monkeypatch):
+    rows = corpus(2, 110, 30)
+    rows += [(500 + i, rows[40][1]) for i in range(3)] + [(600, ""), (601, None)]
+    base = " ".join(f"b{i}" for i in range(60))
+    rows += [(700 + i, f"{base} x{i} y{i}") for i in range(12)]
+    want = check_links(spark, rows)
+    # More links than the forest of a class has.
+    assert all(want[700 + i] == 11 for i in range(12))
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100)
+    monkeypatch.setattr(jaccard_join, "SHINGLES_PER_SHARD", 100)
+    monkeypatch.setattr(jaccard_join, "boundary", lambda *a, **k: 9)
+    check_links(spark, rows)
+
+
+def test_links_of_repeated_ids_and_rows(spark, awkward):
+    got = {(r.doc_id, r.n_shingles): r.n_links for r in jaccard_join.classes(awkward).collect()}
+    assert got[(3, 1)] == got[(4, 1)] == 1 and got[(0, 0)] == 0 and got[(5, 2)] == 0
+    assert [v for (i, _), v in got.items() if i is None] == [None]
