@@ -4,7 +4,7 @@ Feature preparation is DataFrame work: exact medians for the fill (counted value
 in ranges; never collected), population mean / std from one aggregate used as scalar
 subqueries, z-scores as column arithmetic.  KMeans runs all restarts in one aggregate per
 iteration, the logit is MLlib's.  Only fitted parameters (k centres, five
-coefficients) and a bounded sample for starting centres come to the driver.
+coefficients) come to the driver.
 """
 
 from __future__ import annotations
@@ -144,53 +144,47 @@ def segments_step(cur: DataFrame, centres=REFERENCE_CENTRES) -> DataFrame:
         *[round_half_up(F.avg(f"z_f_{c}"), 6).alias(c) for c in SEGMENT_FEATURES])
 
 
-# Rows from which the starting centres of all restarts are drawn, and the distance
-# within which restarts are on their way to the same optimum.
-START_SAMPLE = 2048
-ALIKE = 0.02
-
-
-def _starting_centres(points: np.ndarray, k: int, seed: int, max_iter: int, tol: float) -> np.ndarray:
-    """k-means++ and Lloyd's iterations on the bounded sample."""
-    rng = np.random.default_rng(seed)
-    chosen = [points[rng.integers(len(points))]]
-    for _ in range(k - 1):
-        far = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
-        chosen.append(points[rng.choice(len(points), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(points))])
-    centres = np.array(chosen)
-    for _ in range(max_iter):
-        near = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        moved = np.array([points[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)])
-        done = (((moved - centres) ** 2).sum(axis=1) <= tol * tol).all()
-        centres = moved
-        if done:
-            break
-    return centres[np.lexsort(centres.T[::-1])]
-
-
 def _array(items) -> str:
     return f"array({', '.join(items)})"
 
 
+def _literal(centres) -> str:
+    return _array(_array(f"{v!r}D" for v in c) for c in centres)
+
+
+def _starting_centres(weighted: DataFrame, k: int, seeds: Sequence[int]) -> dict[int, np.ndarray]:
+    """k-means++ of every seed over all rows, one aggregate per centre: of the distinct
+    points (columns p, w: rows) the first in an exponential race at rate w * distance."""
+    chosen: dict[int, list] = {s: [] for s in seeds}
+    for step in range(k):
+        aggs = []
+        for s in seeds:
+            rate = F.col("w").cast("double")
+            if step:
+                rate = rate * F.array_min(F.transform(F.expr(_literal(chosen[s])), lambda c: F.aggregate(
+                    F.zip_with("p", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)))
+            u = (F.pmod(F.xxhash64("p", F.lit(s), F.lit(step)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+            aggs.append(F.min_by("p", F.when(rate > 0, -F.log(u) / rate)).alias(f"s{s}"))
+        row = weighted.agg(*aggs).first()
+        for s in seeds:
+            # Fewer distinct points than centres: some are equal.
+            chosen[s].append(list(row[f"s{s}"] or chosen[s][0]))
+    return {s: np.array(c)[np.lexsort(np.array(c).T[::-1])] for s, c in chosen.items()}
+
+
 def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
     """Lloyd iterations of all restarts together over ``points`` (an array column p):
     one aggregate per iteration, ``len(seeds) * k`` rows of it on the driver.  Starting
-    centres are fitted on a bounded sample, so few iterations over all rows remain;
-    restarts that come within ``ALIKE`` of another are one.  Each restart stops on its own tolerance;
-    returns the centres with the least cost."""
-    rows = points.orderBy(F.xxhash64("p"), "p").limit(START_SAMPLE).collect()
-    sample = np.array([r["p"] for r in rows], float)
-    centres: dict[int, np.ndarray] = {}
-    for s in seeds:
-        start = _starting_centres(sample, k, s, max_iter, tol)
-        if not any(np.abs(start - c).max() <= ALIKE for c in centres.values()):
-            centres[s] = start
+    centres are drawn over all rows; every restart runs over all rows and stops on its
+    own tolerance; returns the centres with the least cost."""
+    weighted = points.groupBy("p").agg(F.count(F.lit(1)).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+    centres = _starting_centres(weighted, k, list(seeds))
     cost: dict[int, float] = {}
     open_ = list(centres)
     for last in range(max_iter + 1):
         if not open_:
             break
-        literal = F.expr(_array(_array(_array(f"{v!r}D" for v in c) for c in centres[s].tolist()) for s in open_))
+        literal = F.expr(_array(_literal(centres[s].tolist()) for s in open_))
 
         def nearest(restart):
             def apart(c, i):
@@ -198,11 +192,11 @@ def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int =
                 return F.struct(d.alias("d"), i.alias("i"))
             return F.array_min(F.transform(restart, apart))
 
-        near = points.select("p", F.posexplode(F.transform(literal, nearest)).alias("r", "n"))
-        width = sample.shape[1]
+        near = weighted.select("p", "w", F.posexplode(F.transform(literal, nearest)).alias("r", "n"))
+        width = centres[open_[0]].shape[1]
         got = near.groupBy("r", F.col("n.i").alias("i")).agg(
-            F.count(F.lit(1)).alias("m"), F.sum("n.d").alias("d"),
-            *[F.sum(F.col("p")[j]).alias(f"s{j}") for j in range(width)]).collect()
+            F.sum("w").alias("m"), F.sum(F.col("n.d") * F.col("w")).alias("d"),
+            *[F.sum(F.col("p")[j] * F.col("w")).alias(f"s{j}") for j in range(width)]).collect()
         done = []
         for r, s in enumerate(open_):
             moved = centres[s].copy()
@@ -215,10 +209,7 @@ def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int =
             else:
                 centres[s] = moved
         open_ = [s for s in open_ if s not in done]
-        for s in open_[1:]:
-            if any(np.abs(centres[s] - centres[o]).max() <= ALIKE for o in centres if o != s and (o not in open_ or o < s)):
-                open_.remove(s)
-                del centres[s]
+    weighted.unpersist()
     return centres[min(centres, key=lambda s: (cost[s], s))]
 
 

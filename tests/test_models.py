@@ -72,6 +72,16 @@ def test_restarts_together_match_separate_fits(spark):
     assert cost(together) <= 60 * 4 * 2 * 0.3 ** 2 * 1.3
 
 
+def test_a_value_shared_by_most_rows_does_not_fill_the_starts(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.1, size=(40, 2)) for c in ((0, 0), (8, 0), (0, 8))])
+    single = spark.createDataFrame([([float(v) for v in r],) for r in x], "p array<double>")
+    common = single.orderBy(F.xxhash64("p")).first().p
+    points = single.unionByName(spark.createDataFrame([(common,)] * 2500, "p array<double>"))
+    centres = models.fit_kmeans(points, 3, range(3))
+    assert ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum() < 120 * 2 * 0.1 ** 2 * 3
+
+
 def test_logit_finds_planted_coefficients(spark):
     rng = np.random.default_rng(9)
     n = 6000
