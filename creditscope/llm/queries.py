@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from creditscope.llm import (
     chat_windows,
     jaccard_join,
+    lexical_rank,
+    multi_index,
     packing,
     piece_codec,
     quality_lm,
     quality_rules,
     shuffle_shards,
+    structure_repair,
     suffix_dedup,
     topk_index,
     zstd_langid,
@@ -92,6 +95,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_langid.classify(documents, learned, "doc_id", "text", held_out)
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    return structure_repair.digests(structure_repair.repair(structure_repair.damaged(conversations)), conversations)
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 50)
+
+
 QUERIES = {name: shipped(fn) for name, fn in {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -103,6 +120,9 @@ QUERIES = {name: shipped(fn) for name, fn in {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_multi_index": op12_multi_index,
+    "op13_lexical_rank": op13_lexical_rank,
 }.items()}
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +138,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 10""",
+    "op13_lexical_rank": r"""
+        WITH t AS (
+            SELECT d.row, d.doc_id, unnest(regexp_extract_all(
+                translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents) d),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE item_id IS NOT NULL),
+        lengths AS (SELECT row, count(*) AS n FROM t GROUP BY row),
+        totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+        tfs AS (SELECT row, doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+        adds AS (
+            SELECT f.row, f.doc_id, f.term,
+                CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+                * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))) AS add
+            FROM tfs f JOIN dfs USING (term) JOIN lengths l ON l.row = f.row, totals),
+        scored AS (
+            SELECT item_id, row, doc_id, CAST(sum(add) AS BIGINT) AS score
+            FROM adds JOIN asked USING (term) GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+              FROM scored WHERE score > 0)
+        WHERE rank <= 50""",
 }

@@ -13,7 +13,7 @@ from tools.check_oracle import digest
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         duck.execute(f"create view {t} as select * from read_parquet('{SF001}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF001)
     rows = [tuple(r) for r in df.collect()]
@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names
 
 
