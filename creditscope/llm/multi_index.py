@@ -13,9 +13,13 @@ their true neighbours within the sample.  All rows are indexed.  On a larger tab
 nearer than in the sample, so the share errs towards more recall.
 
 Equal vectors are one entry with its least ``k`` + 1 ids: no query can use more.
-Only codebooks, cell sizes (at most ``MAX_CENTROIDS`` squared) and the share reach the
-driver.  Queries travel packed, once to each shard that they probe; an entry is sent
-once; a task holds one shard and one block of queries.
+A query takes a floor along: its k-th best score among the sampled vectors of the cells
+that it probes, below which nothing needs to leave a task.
+
+Only codebooks, the sample, cell sizes (at most ``MAX_CENTROIDS`` squared) and the share
+reach the driver.  Queries travel packed, once to each shard that they probe; an entry
+is sent once; a task holds one shard, one block of queries and the best of at most
+``HELD_QUERIES`` queries over its shards.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; vectors of unequal length meet on their common components;
@@ -47,9 +51,11 @@ SHARD_ROWS = 2048
 QUERY_ROWS = 256
 #: A query passes this many vectors at least.
 LEAST_DEPTH = 1024
+SHARDS_PER_TASK = 4
+HELD_QUERIES = 1 << 16
 
 
-def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+def matrix(vectors: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     """Rows of doubles, short ones filled up with zeros."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
@@ -128,9 +134,11 @@ def fitted(x: np.ndarray, centroids: int, k: int, seed: int) -> tuple[np.ndarray
 class MultiIndex:
     """Codebooks, cell sizes and shards of an indexed table (all bounded)."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, share: float, dims: int):
-        self.books, self.share, self.dims = (first, second), share, dims
+    def __init__(self, first: np.ndarray, second: np.ndarray, share: float, ids: np.ndarray, sample: np.ndarray):
+        self.books, self.share, self.dims = (first, second), share, sample.shape[1]
         self.cells = len(first) * len(second)
+        self.sample, at = np.unique(sample, axis=0, return_index=True)
+        self.sample_ids, self.sample_cells = ids[at], self.cell_of(self.sample)
 
     def cell_of(self, x: np.ndarray) -> np.ndarray:
         one, two = (quantised(h, b) for h, b in zip(halves(x), self.books))
@@ -142,14 +150,18 @@ class MultiIndex:
         self.shards = tasks_for(int(sizes.sum()), SHARD_ROWS)
         self.depth = max(LEAST_DEPTH, int(np.ceil(self.share * sizes.sum())))
 
-    def probes(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shard, cell) pairs that a query probes."""
+    def probes(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """(shard, cell) pairs that a query probes, and its floor."""
         one, two = (-(b @ h[0]) for h, b in zip(halves(query[None, :]), self.books))
         cells = traversal(one, two, self.sizes, self.depth)
         low = self.begin[cells] // self.shard_rows
         many = (self.begin[cells] + self.sizes[cells] - 1) // self.shard_rows - low + 1
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(low, many) + at, np.repeat(cells, many)
+        passed = np.zeros(self.cells, bool)
+        passed[cells] = True
+        known = (self.sample @ query)[passed[self.sample_cells] & (self.sample_ids != query_id)]
+        floor = float(np.partition(known, -k)[-k]) if len(known) >= k else -np.inf
+        return np.repeat(low, many) + at, np.repeat(cells, many), floor
 
 
 def build(vectors: DataFrame, k: int, seed: int = 17) -> tuple[MultiIndex | None, DataFrame]:
@@ -166,13 +178,18 @@ def build(vectors: DataFrame, k: int, seed: int = 17) -> tuple[MultiIndex | None
     one_in = max(1, size["n"] // SAMPLE)
 
     def fit(table: pa.Table) -> pa.Table:
-        a, b, share = fitted(matrix(table.column("v"), dims), count, k, seed)
-        return pa.table({"a": [a.tobytes()], "b": [b.tobytes()], "rows": [len(a)], "share": [share]})
+        x = matrix(table.column("v"), dims)
+        a, b, share = fitted(x, count, k, seed)
+        ids = table.column("id").to_numpy()
+        return pa.table({"a": [a.tobytes()], "b": [b.tobytes()], "rows": [len(a)], "share": [share],
+                         "ids": [ids.tobytes()], "sample": [x.tobytes()]})
 
     # By id and vector, so that a vector that many rows share cannot fill the sample.
     sample = vectors.where(F.pmod(F.xxhash64("id", "v"), F.lit(one_in)) == 0)
-    got = sample.groupBy(F.lit(0).alias("one")).applyInArrow(fit, "a binary, b binary, rows long, share double").first()
-    index = MultiIndex(*(np.frombuffer(got[c]).reshape(got["rows"], -1) for c in "ab"), got["share"], dims)
+    got = sample.groupBy(F.lit(0).alias("one")).applyInArrow(
+        fit, "a binary, b binary, rows long, share double, ids binary, sample binary").first()
+    index = MultiIndex(*(np.frombuffer(got[c]).reshape(got["rows"], -1) for c in "ab"), got["share"],
+                       np.frombuffer(got["ids"], np.int64), np.frombuffer(got["sample"]).reshape(-1, dims))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,14 +223,14 @@ def _shards(index: MultiIndex, entries: DataFrame) -> DataFrame:
     return spread_rows.repartition(index.shards, "shard").groupBy("shard").applyInArrow(pack, "shard long, entries binary")
 
 
-def _asked(index: MultiIndex, queries: DataFrame) -> DataFrame:
-    """One row per shard and block of queries: the queries that probe it and their cells."""
+def _asked(index: MultiIndex, queries: DataFrame, k: int) -> DataFrame:
+    """One row per shard and block of queries: the queries that probe it, their cells and floors."""
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_ROWS):
                 block = batch.slice(at, QUERY_ROWS)
                 x = matrix(block.column(1), index.dims)
-                found = [index.probes(q) for q in x]
+                found = [index.probes(i, q, k) for i, q in zip(block.column(0).to_pylist(), x)]
                 who = np.repeat(np.arange(len(x)), [len(f[0]) for f in found])
                 shard, cell = (np.concatenate([f[i] for f in found]) for i in (0, 1))
                 order = np.argsort(shard, kind="stable")
@@ -225,7 +242,8 @@ def _asked(index: MultiIndex, queries: DataFrame) -> DataFrame:
                     lists = [cell[lo:hi][who[lo:hi] == w] for w in mine]
                     rows.append(packed(pa.RecordBatch.from_arrays(
                         [block.column(0).take(pa.array(mine)), pa.array([x[w] for w in mine], pa.list_(pa.float64())),
-                         pa.array(lists, pa.list_(pa.int64()))], names=["id", "v", "cells"]), 1))
+                         pa.array(lists, pa.list_(pa.int64())), pa.array([found[w][2] for w in mine])],
+                        names=["id", "v", "cells", "floor"]), 1))
                 yield pa.RecordBatch.from_arrays([pa.array(shard[starts], pa.int64()), pa.array(rows, pa.binary())],
                                                  names=["asked_shard", "queries"])
 
@@ -233,7 +251,7 @@ def _asked(index: MultiIndex, queries: DataFrame) -> DataFrame:
 
 
 def _ranked(entries: pa.RecordBatch, queries: pa.RecordBatch, dims: int, k: int):
-    """(query ids, ids, scores): the best k ids of the probed cells, per query."""
+    """(query id, ids, scores) per query: the best k ids of the probed cells, not below its floor."""
     cell = np.asarray(entries.column(0))
     v, q = matrix(entries.column(2), dims), matrix(queries.column(1), dims)
     lists = queries.column(2)
@@ -252,6 +270,7 @@ def _ranked(entries: pa.RecordBatch, queries: pa.RecordBatch, dims: int, k: int)
     slack = 1e-9 * (1 + np.abs(v).sum(1).max(initial=0) * np.abs(q).max(initial=0))
     top = min(k + 1, len(v))
     floor = np.partition(score, len(v) - top, axis=1)[:, len(v) - top] if len(v) else np.zeros(len(q))
+    floor = np.maximum(floor, np.asarray(queries.column(3)))
     query_ids = queries.column(0).to_numpy()
     for i in range(len(q)):
         # Those that rounding may move over the floor too, then by sums in one fixed order.
@@ -263,7 +282,7 @@ def _ranked(entries: pa.RecordBatch, queries: pa.RecordBatch, dims: int, k: int)
         other = found != query_ids[i]
         found, value = found[other], value[other]
         best = np.lexsort((found, -value))[:k]
-        yield np.full(len(best), query_ids[i]), found[best], value[best]
+        yield int(query_ids[i]), found[best], value[best]
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id",
@@ -281,15 +300,31 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     # Of rows that repeat a query's id the least vector asks.
     asking = rows(queries).groupBy("id").agg(F.min("v").alias("v")).repartition(
         tasks_for(queries.count(), QUERY_ROWS), "id")
-    pairs = _shards(index, entries).repartition(index.shards, "shard").join(
-        _asked(index, asking).repartition(index.shards, "asked_shard"), F.col("shard") == F.col("asked_shard"))
+    tasks = tasks_for(index.shards, SHARDS_PER_TASK)
+    pairs = _shards(index, entries).repartition(tasks, "shard").join(
+        _asked(index, asking, k).repartition(tasks, "asked_shard"), F.col("shard") == F.col("asked_shard"))
+
+    def rows_of(best: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(list(best), np.int64), [len(b[0]) for b in best.values()])),
+             pa.array(np.concatenate([b[0] for b in best.values()])),
+             pa.array(np.concatenate([b[1] for b in best.values()]))], names=["query_id", "vec_id", "score"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                found = list(_ranked(unpacked(batch.column(0)[i]), unpacked(batch.column(1)[i]), index.dims, k))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(3)],
-                                                 names=["query_id", "vec_id", "score"])
+                for query, ids, score in _ranked(unpacked(batch.column(0)[i]), unpacked(batch.column(1)[i]), index.dims, k):
+                    if query in best:
+                        ids, score = (np.concatenate(two) for two in zip(best[query], (ids, score)))
+                        first = np.lexsort((ids, -score))[:k]
+                        ids, score = ids[first], score[first]
+                    best[query] = (ids, score)
+                if len(best) > HELD_QUERIES:
+                    yield rows_of(best)
+                    best = {}
+        if best:
+            yield rows_of(best)
 
     found = pairs.select("entries", "queries").mapInArrow(rank, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
