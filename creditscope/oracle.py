@@ -404,6 +404,41 @@ def _driver_gradient() -> str:
                  f"e as (select *, 1 / (1 + exp(-({line}))) - label as miss from zd)") + "\nunion all ".join(parts)
 
 
+def _newton(steps: int = 9) -> tuple[str, ...]:
+    """CTEs ``beta0`` to ``beta<steps>``: Newton steps on the summed log loss with the L2
+    term (C = 1), each solved by elimination spelled out in scalars."""
+    z = ", ".join(f"({d} - avg({d}) over ()) / (case when coalesce(stddev_pop({d}) over (), 0) = 0 then cast(1 as double) "
+                  f"else stddev_pop({d}) over () end) as x{i + 1}" for i, d in enumerate(DRIVER_EXPR))
+    n = len(DRIVER_EXPR) + 1
+    one = "cast(1 as double)"
+    ctes = [_driver_rows(), f"zd as materialized (select {z}, {one} as x0, label from d)",
+            "beta0 as (select " + ", ".join(f"cast(0 as double) as b{i}" for i in range(n)) + ")"]
+    for k in range(steps):
+        line = " + ".join(f"b{i} * x{i}" for i in range(n))
+        sums = [f"sum((p - label) * x{i}) + {'0' if i == 0 else f'max(b{i})'} as g{i}" for i in range(n)]
+        sums += [f"sum(p * (1 - p) * x{i} * x{j}) + {1 if i == j and i else 0} as h{i}_{j}" for i in range(n) for j in range(i + 1)]
+        ctes.append(f"e{k}_0 as materialized (select {', '.join(sums)}, {', '.join(f'max(b{i}) as b{i}' for i in range(n))} "
+                    f"from (select *, 1 / (1 + exp(-({line}))) as p from zd, beta{k}))")
+        # Elimination, a column at a time, then the unknowns from the last one up.
+        for c in range(n - 1):
+            new = [f"h{i}_{j} - h{i}_{c} * h{j}_{c} / h{c}_{c} as h{i}_{j}" for i in range(c + 1, n) for j in range(c + 1, i + 1)]
+            new += [f"g{i} - h{i}_{c} * g{c} / h{c}_{c} as g{i}" for i in range(c + 1, n)]
+            ctes.append(f"e{k}_{c + 1} as materialized (select * replace ({', '.join(new)}) from e{k}_{c})")
+        for i in reversed(range(n)):
+            rest = "".join(f" - h{j}_{i} * s{j}" for j in range(i + 1, n))
+            ctes.append(f"e{k}_{n + n - 1 - i} as materialized (select *, (g{i}{rest}) / h{i}_{i} as s{i} from e{k}_{n + n - 2 - i})")
+        ctes.append(f"beta{k + 1} as materialized (select {', '.join(f'b{i} - s{i} as b{i}' for i in range(n))} from e{k}_{2 * n - 1})")
+    return tuple(ctes)
+
+
+def _drivers(steps: int = 9) -> tuple[str, ...]:
+    """The Newton CTEs and ``drivers``: the fitted model as published."""
+    rows = " union all ".join(f"select '{d}' as driver, {r_half_up(f'b{i + 1}', 3)} as coef_per_sd, "
+                              f"{r_half_up(f'exp(b{i + 1})', 2)} as odds_ratio_per_sd from beta{steps}"
+                              for i, d in enumerate(DRIVER_EXPR))
+    return (*_newton(steps), f"drivers as ({rows})")
+
+
 DECISION = f"""lost as (select coalesce(sum(bal), 0) as everyone, coalesce(sum(case when tier in {HIGH_TIERS} then bal end), 0) as high
   from book where co = 1),
 open_ as (select coalesce(sum(bal), 0) as everyone, coalesce(sum(case when tier not in {HIGH_TIERS} then bal end), 0) as low
@@ -417,7 +452,9 @@ decided as (select cast(lost.high as {MONEY}) as high_risk_co_balance,
   from lost, open_)"""
 
 
-def _headline() -> str:
+def _headline(with_drivers: bool = False) -> str:
+    top = [f"(select {c} from drivers order by odds_ratio_per_sd desc, driver limit 1) as {name}" for c, name in (
+        ("driver", "top_driver"), ("odds_ratio_per_sd", "top_driver_odds_ratio"))] if with_drivers else []
     cells = f"""cells as (select if(util >= 0.60, 'High util (>=60%)', 'Lower util (<60%)') || ' + '
     || if(thin, 'Thin file', 'Established') as cell, {pct('sum(cast(dpd >= 30 as int))', 'count(*)')} as late
   from book group by 1)"""
@@ -427,8 +464,9 @@ def _headline() -> str:
   from book join bands on util > low and coalesce(util <= high, true) group by low)"""
     by_month = f"""months as (select s.statement_month as month, {pct('sum(cast(s.days_past_due >= 30 as int))', 'count(*)')} as late
   from monthly_statements s where exists (select 1 from accounts a where a.account_id = s.account_id) group by 1)"""
-    return _book(_grouped("1"), cells, by_file, CLOSED_BANDS, by_band, by_month, DECISION) + f"""
-select p.* exclude (charge_off_balance_pct),
+    return _book(_grouped("1"), cells, by_file, CLOSED_BANDS, by_band, by_month, DECISION,
+                 *(_drivers() if with_drivers else ())) + f"""
+select {''.join(c + ', ' for c in top)}p.* exclude (charge_off_balance_pct),
   (select min_by(late, month) from months) as delinquency_trend_start_pct,
   (select max_by(late, month) from months) as delinquency_trend_end_pct,
   (select max_by(late, low) from banded) as high_util_band_delinquency_pct,
@@ -454,6 +492,8 @@ def model_and_decision_queries() -> dict[str, str]:
     q["driver_gradient"] = _driver_gradient()
     q["cost_benefit"] = _book(DECISION) + "select * from decided"
     q["headline_metrics"] = _headline()
+    q["headline_findings"] = _headline(with_drivers=True)
+    q["delinquency_drivers"] = _book(*_drivers()) + "select * from drivers"
     sample = _book() + f"""
 select acct as account_id, tier as risk_tier, {r_half_up('util', 4)} as utilization, fico as fico_origination,
   income as annual_income, hist as credit_history_months, thin as thin_file, dpd as days_past_due, bal as ending_balance,

@@ -111,3 +111,20 @@ def test_headline_with_driver(spark, tables001):
     top = drivers.orderBy(F.col("odds_ratio_per_sd").desc()).first()
     assert row.top_driver == top.driver and row.top_driver_odds_ratio == top.odds_ratio_per_sd
     assert list(row.asDict()) == list(decision.HEADLINE_KEYS) and len(row) == 22
+
+
+def test_drivers_with_one_label_or_no_rows(spark, tables001):
+    cur = state.account_current(tables001)
+    for rows in (cur.withColumn("days_past_due", F.lit(90)), cur.withColumn("days_past_due", F.lit(0)), cur.limit(0)):
+        assert {(r.coef_per_sd, r.odds_ratio_per_sd) for r in models.delinquency_drivers(rows).collect()} == {(0.0, 1.0)}
+
+
+def test_newton_halves_steps_on_separable_rows(spark):
+    # Nearly separable with a weak penalty: full Newton steps overshoot.
+    rows = [(1.9 if i % 2 else 0.1, False, 700, 50000.0, 40 + i % 3, 60 if i % 2 else 0) for i in range(60)]
+    cur = spark.createDataFrame(rows + [(1.9, True, 690, 50000.0, 41, 0)],
+                                "utilization double, thin_file boolean, fico_origination int, annual_income double, age int, days_past_due int")
+    z = models.standardize(models.driver_frame(cur), list(models.DRIVERS))
+    beta = models.fit_drivers(z, c_inverse_reg=1000.0)
+    loss, gradient, *_ = models._newton_sums(z, beta)
+    assert np.abs(gradient[1:] + beta[1:] / 1000).max() < 1e-6 and abs(gradient[0]) < 1e-6
