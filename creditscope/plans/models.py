@@ -253,20 +253,18 @@ def _newton_sums(z: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.
 
     The coefficients come as a generated one-row column, not as literals, so every step
     runs the same compiled plan."""
-    names = [f"b{i}" for i in range(len(beta))]
-    given = ", ".join(f"{v!r}D as {n}" for v, n in zip(beta.tolist(), names))
-    at = z.select("*", F.explode(F.expr(f"array(struct({given}))")).alias("b"))
-    x = [F.lit(1.0), *[F.col(f"z_{d}") for d in DRIVERS]]
-    line = sum((F.col(f"b.{n}") * c for n, c in zip(names[1:], x[1:])), F.col("b.b0"))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-line))
-    at = at.select("label", *[c.alias(f"x{i}") for i, c in enumerate(x)], line.alias("line"), p.alias("p"))
-    miss, spread = F.col("p") - F.col("label"), F.col("p") * (F.lit(1.0) - F.col("p"))
-    # log(1 + exp(line)) - label * line, without overflow.
-    loss = F.greatest("line", F.lit(0.0)) + F.log1p(F.exp(-F.abs("line"))) - F.col("label") * F.col("line")
-    cells = [(i, j) for i in range(len(beta)) for j in range(i + 1)]
-    got = at.agg(F.sum(loss).alias("loss"), F.count(F.lit(1)).alias("n"), F.sum("label").alias("late"),
-                 *[F.sum(miss * F.col(f"x{i}")).alias(f"g{i}") for i in range(len(beta))],
-                 *[F.sum(spread * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in cells]).first()
+    terms = range(len(beta))
+    given = ", ".join(f"{v!r}D as b{i}" for i, v in enumerate(beta.tolist()))
+    x = ["1D", *[f"z_{d}" for d in DRIVERS]]
+    at = z.select("*", F.expr(f"explode(array(struct({given}))) as b"))
+    at = at.selectExpr("label", *[f"{c} as x{i}" for i, c in enumerate(x)], f"{' + '.join(f'b.b{i} * {x[i]}' for i in terms)} as line")
+    at = at.selectExpr("*", "1 / (1 + exp(-line)) as p")
+    cells = [(i, j) for i in terms for j in range(i + 1)]
+    # The loss is log(1 + exp(line)) - label * line, without overflow.
+    got = at.selectExpr(
+        "sum(greatest(line, 0D) + log1p(exp(-abs(line))) - label * line) as loss", "count(*) as n", "sum(label) as late",
+        *[f"sum((p - label) * x{i}) as g{i}" for i in terms],
+        *[f"sum(p * (1 - p) * x{i} * x{j}) as h{i}_{j}" for i, j in cells]).first()
     hessian = np.zeros((len(beta), len(beta)))
     for i, j in cells:
         hessian[i, j] = hessian[j, i] = got[f"h{i}_{j}"] or 0.0
@@ -274,7 +272,7 @@ def _newton_sums(z: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.
     return got["loss"] or 0.0, gradient, hessian, got["n"], got["late"] or 0.0
 
 
-def fit_drivers(z: DataFrame, c_inverse_reg: float = 1.0, tol: float = 1e-10, max_iter: int = 100) -> np.ndarray:
+def fit_drivers(z: DataFrame, c_inverse_reg: float = 1.0, tol: float = 1e-7, max_iter: int = 100) -> np.ndarray:
     """Intercept and coefficients by Newton steps (IRLS): per step one aggregate of the
     loss, the gradient and the 21 sums of the Hessian, and a 6 x 6 solve on the driver.  A step that
     raises the loss is halved.  With a single label value (or no rows) every
