@@ -88,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "portfolio_kpis_by_product_region_band": _on_current(lambda cur: kpis.portfolio_kpis(
         cur, ["product_id", "region_id", root_cause.utilization_band()])),
     "behavior_segments_step": _on_current(models.segments_step),
+    "behavior_segments_run": _on_current(models.segments_run),
     "driver_gradient": _on_current(models.driver_gradient),
     "trim_after_event": lambda s, d: trim_after_event(
         s.read.parquet(f"{d}/events.parquet"), ["user_id"], ["ts", "event_id"],

@@ -367,6 +367,25 @@ def _segments_step() -> str:
 select cluster, count(*) as accounts, {r_half_up('sum(d)', 6)} as cost, {means} from assigned group by cluster"""
 
 
+def _segments_run(steps: int = 6, k: int = 4) -> str:
+    """A fixed number of assign-and-update rounds from the first accounts by digest."""
+    distance = " + ".join(f"(z[{j}] - c[{j}]) * (z[{j}] - c[{j}])" for j in range(1, len(SEG) + 1))
+    means = ", ".join(f"avg(z[{j}])" for j in range(1, len(SEG) + 1))
+    ctes = [*_standard_rows(), "zs as materialized (select acct, z from z)",
+            f"c0 as materialized (select cast(row_number() over (order by md5(concat(acct, '-42')), acct) as int) - 1 as i, z as c "
+            f"from zs order by i limit {k})"]
+    for t in range(steps + 1):
+        ctes.append(f"own{t} as materialized (select acct, min(struct_pack(d := {distance}, i := i)) as n, any_value(z) as z "
+                    f"from zs, c{t} group by acct)")
+        if t < steps:
+            ctes.append(f"c{t + 1} as materialized (select c{t}.i, coalesce(any_value(m.c), any_value(c{t}.c)) as c from c{t} "
+                        f"left join (select n.i as i, [{means}] as c from own{t} group by n.i) m on m.i = c{t}.i group by c{t}.i)")
+    centre = ", ".join(f"{r_half_up(f'any_value(c[{j + 1}])', 6)} as {name}" for j, name in enumerate(SEG))
+    return _book(*ctes) + f"""
+select i as cluster, count(*) as accounts, {r_half_up('sum(n.d)', 6)} as cost, {centre}
+from own{steps} join c{steps} on c{steps}.i = own{steps}.n.i group by i"""
+
+
 DRIVER_EXPR = {
     "utilization": "least(greatest(util, cast(0 as double)), cast(2 as double))",
     "thin_file": "cast(coalesce(thin, false) as double)",
@@ -488,6 +507,7 @@ def model_and_decision_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["segment_assign"] = _segment_assign()
     q["behavior_segments_step"] = _segments_step()
+    q["behavior_segments_run"] = _segments_run()
     q["driver_features"] = _driver_features()
     q["driver_gradient"] = _driver_gradient()
     q["cost_benefit"] = _book(DECISION) + "select * from decided"

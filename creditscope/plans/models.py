@@ -3,7 +3,7 @@
 Feature preparation is DataFrame work: exact medians for the fill (counted values
 in ranges; never collected), population mean / std from one aggregate used as scalar
 subqueries, z-scores as column arithmetic.  KMeans runs all restarts in one aggregate per
-iteration, the logit one aggregate per Newton step.  Only sums and fitted parameters (k
+round, the logit one aggregate per Newton step.  Only sums and fitted parameters (k
 centres, six coefficients) come to the driver.
 """
 
@@ -142,87 +142,220 @@ def segments_step(cur: DataFrame, centres=REFERENCE_CENTRES) -> DataFrame:
         *[round_half_up(F.avg(f"z_f_{c}"), 6).alias(c) for c in SEGMENT_FEATURES])
 
 
-def _array(items) -> str:
-    return f"array({', '.join(items)})"
-
-
-def _literal(centres) -> str:
-    return _array(_array(f"{v!r}D" for v in c) for c in centres)
-
-
-def _starting_centres(weighted: DataFrame, k: int, seeds: Sequence[int]) -> dict[int, np.ndarray]:
-    """k-means++ of every seed over all rows, one aggregate per centre: of the distinct
-    points (columns p, w: rows) the first in an exponential race at rate w * distance."""
-    chosen: dict[int, list] = {s: [] for s in seeds}
-    for step in range(k):
-        aggs = []
-        for s in seeds:
-            rate = F.col("w").cast("double")
-            if step:
-                rate = rate * F.array_min(F.transform(F.expr(_literal(chosen[s])), lambda c: F.aggregate(
-                    F.zip_with("p", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)))
-            u = (F.pmod(F.xxhash64("p", F.lit(s), F.lit(step)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-            aggs.append(F.min_by("p", F.when(rate > 0, -F.log(u) / rate)).alias(f"s{s}"))
-        row = weighted.agg(*aggs).first()
+def _centres_column(centres: dict[int, np.ndarray]) -> str:
+    """SQL of an array of structs (r, c<i>_<j>), one per restart.  As data of a generated
+    or looked-up column, not as literals in the arithmetic, new centres leave the
+    compiled plan as it is."""
+    return "array(" + ", ".join(
+        f"struct({r} as r, " + ", ".join(f"{v!r}D as c{i}_{j}" for i, row in enumerate(c.tolist()) for j, v in enumerate(row)) + ")"
+        for r, c in centres.items()) + ")"
+
+
+def _with_distances(rows: DataFrame, k: int, width: int) -> DataFrame:
+    """Adds d<i> (squared distance to centre i of column ``c``), d (the least) and i (its
+    index, the lowest of equals)."""
+    square = lambda i, j: f"(z{j} - c.c{i}_{j}) * (z{j} - c.c{i}_{j})"
+    rows = rows.selectExpr("*", *[" + ".join(square(i, j) for j in range(width)) + f" as d{i}" for i in range(k)])
+    least = f"least({', '.join(f'd{i}' for i in range(k))})" if k > 1 else "d0"
+    rows = rows.selectExpr("*", f"{least} as d")
+    return rows.selectExpr("*", "case " + " ".join(f"when d{i} = d then {i}" for i in range(k)) + " end as i")
+
+
+def _cluster_sums(near: DataFrame, width: int) -> DataFrame:
+    return near.groupBy("r", "i").agg(F.sum("w").alias("m"), F.sum(F.col("d") * F.col("w")).alias("d"),
+                                      *[F.sum(F.col(f"z{j}") * F.col("w")).alias(f"s{j}") for j in range(width)])
+
+
+def _starting_centres(weighted: DataFrame, k: int, seeds: Sequence[int], width: int, passes: int = 2) -> dict[int, np.ndarray]:
+    """k-means|| of every seed over all rows: a first point, then ``passes`` times 2k more,
+    drawn with probability proportional to rows times squared distance to those
+    before (the first in an exponential race); the candidates, weighted by the rows nearest to them, are
+    clustered on the driver.  ``passes`` + 2 aggregates whatever k is."""
+    more = 2 * k
+    chosen = {s: np.zeros((0, width)) for s in seeds}
+    for step in range(passes + 1):
+        size = 1 + passes * more
+        rows, rate = weighted, "cast(w as double)"
+        if step:
+            # Filled up with repeated candidates, so that every pass runs one compiled plan.
+            full = {s: np.resize(c, (size, width)) for s, c in chosen.items()}
+            rows = _with_distances(weighted.selectExpr("*", f"explode({_centres_column(full)}) as c"), size, width)
+            rows, rate = rows.selectExpr(*[f"z{j}" for j in range(width)], "w", "d", "c.r as seed"), "w * d"
+        else:
+            rows = weighted.selectExpr("*", f"explode(array({', '.join(map(str, seeds))})) as seed")
+        point = ", ".join(f"z{j}" for j in range(width))
+        u = f"(pmod(xxhash64({point}, seed, {step}), {1 << 52}) + 1) / {float((1 << 52) + 1)}D"
+        race = rows.selectExpr("seed", *[f"z{j}" for j in range(width)], f"case when {rate} > 0 then -ln({u}) / ({rate}) end as at").where("at is not null")
+        first = race.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("at", *[f"z{j}" for j in range(width)])))
+        got = first.where(F.col("n") <= (more if step else 1)).collect()
         for s in seeds:
-            # Fewer distinct points than centres: some are equal.
-            chosen[s].append(list(row[f"s{s}"] or chosen[s][0]))
-    return {s: np.array(c)[np.lexsort(np.array(c).T[::-1])] for s, c in chosen.items()}
+            drawn = [[r[f"z{j}"] for j in range(width)] for r in sorted(got, key=lambda r: r["n"]) if r["seed"] == s]
+            chosen[s] = np.concatenate([chosen[s], np.array(drawn).reshape(-1, width)])
+    full = {s: np.resize(c, (size, width)) for s, c in chosen.items()}
+    near = _with_distances(weighted.selectExpr("*", f"explode({_centres_column(full)}) as c"), size, width)
+    counts = near.groupBy("c.r", "i").agg(F.sum("w").alias("m")).collect()
+    out = {}
+    for s in seeds:
+        weight = np.zeros(size)
+        for row in counts:
+            if row["r"] == s:
+                weight[row["i"]] = row["m"]
+        out[s] = _clustered(chosen[s], weight[:len(chosen[s])], k, np.random.default_rng(s))
+    return out
 
 
-def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
-    """Lloyd iterations of all restarts together over ``points`` (an array column p):
-    one aggregate per iteration, ``len(seeds) * k`` rows of it on the driver.  Starting
-    centres are drawn over all rows; every restart runs over all rows and stops on its
-    own tolerance; returns the centres with the least cost."""
-    weighted = points.groupBy("p").agg(F.count(F.lit(1)).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
-    centres = _starting_centres(weighted, k, list(seeds))
-    cost: dict[int, float] = {}
-    open_ = list(centres)
-    for last in range(max_iter + 1):
+def _clustered(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Weighted k-means++ and Lloyd rounds over the few candidates of one seed."""
+    centres = x[[rng.choice(len(x), p=w / w.sum())]]
+    while len(centres) < k:
+        apart = w * ((x[:, None] - centres) ** 2).sum(2).min(1)
+        # Fewer distinct points than centres: some are equal.
+        centres = np.vstack([centres, x[rng.choice(len(x), p=apart / apart.sum())] if apart.sum() > 0 else x[0]])
+    for _ in range(50):
+        own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        mass = np.bincount(own, w, k)
+        moved = np.stack([np.bincount(own, w * x[:, j], k) for j in range(x.shape[1])], axis=1)
+        moved = np.where(mass[:, None] > 0, moved / np.maximum(mass, 1e-300)[:, None], centres)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres[np.lexsort(centres.T[::-1])]
+
+
+class _Restart:
+    """A restart's centres, and what is known of the rows that cannot change clusters."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres, self.moved, self.cost, self.sizes = centres, np.inf, np.inf, None
+        self.since, self.slack, self.settled = None, 0.0, None
+
+    def near_enough(self) -> bool:
+        """Whether no centre left its place at the split by more than the slack."""
+        return self.settled is not None and np.sqrt(((self.centres - self.since) ** 2).sum(1)).max() <= self.slack
+
+    def step(self, rows: list, tol: float, last: bool) -> bool:
+        """Takes the sums of a round; says whether the restart is done."""
+        k, width = self.centres.shape
+        total = np.zeros((k, width + 1)) if self.settled is None else self.settled[:, :-1].copy()
+        self.cost = 0.0 if self.settled is None else self._settled_cost()
+        self.costs = np.zeros(k)
+        for g in rows:
+            total[g["i"]] += [g["m"], *[g[f"s{j}"] for j in range(width)]]
+            self.cost += g["d"]
+            self.costs[g["i"]] += g["d"]
+        self.sizes = total[:, 0]
+        moved = np.where(total[:, :1] > 0, total[:, 1:] / np.maximum(total[:, :1], 1), self.centres)
+        self.moved = float(np.sqrt(((moved - self.centres) ** 2).sum(1)).max())
+        if last or self.moved <= tol:
+            return True  # the cost belongs to these centres
+        self.centres = moved
+        return False
+
+    def _settled_cost(self) -> float:
+        mass, sums, squares = self.settled[:, 0], self.settled[:, 1:-1], self.settled[:, -1]
+        return float((squares - 2 * (sums * self.centres).sum(1) + mass * (self.centres ** 2).sum(1)).sum())
+
+
+def _split(weighted: DataFrame, restarts: dict[int, _Restart], k: int, width: int) -> DataFrame:
+    """The rows that may still change clusters while no centre moves farther than the
+    slack (Hamerly's bounds: the second nearest centre is not beyond the nearest by
+    more than twice the slack), written once; the sums of all others go to the restarts."""
+    for x in restarts.values():
+        x.since, x.slack = x.centres, 4 * x.moved
+    slack = "element_at(map(" + ", ".join(f"{r}, {2 * x.slack!r}D" for r, x in restarts.items()) + "), c.r)"
+    near = _with_distances(weighted.selectExpr(
+        "*", f"explode({_centres_column({r: x.centres for r, x in restarts.items()})}) as c"), k, width)
+    second = "least(" + ", ".join(f"if(i = {i}, double('inf'), d{i})" for i in range(k)) + ", double('inf'))"
+    near = near.selectExpr("c.r as r", "i", "d", "w", *[f"z{j}" for j in range(width)],
+                           f"sqrt({second}) - sqrt(d) <= {slack} as open")
+    rest = freeze(near.where("open").select("r", "w", *[f"z{j}" for j in range(width)]))
+    square = " + ".join(f"z{j} * z{j}" for j in range(width))
+    sums = near.where("not open").groupBy("r", "i").agg(
+        F.sum("w").alias("m"), *[F.sum(F.col(f"z{j}") * F.col("w")).alias(f"s{j}") for j in range(width)],
+        F.sum(F.expr(f"({square}) * w")).alias("q")).collect()
+    for r, x in restarts.items():
+        x.settled = np.zeros((k, width + 2))
+        for g in sums:
+            if g["r"] == r:
+                x.settled[g["i"]] = [g["m"], *[g[f"s{j}"] for j in range(width)], g["q"]]
+    return rest
+
+
+#: Full rounds before rows are split: centres still move far.
+FULL_ROUNDS = 3
+
+
+def lloyd(weighted: DataFrame, starts: dict[int, np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> dict[int, _Restart]:
+    """Lloyd rounds of all restarts together over distinct points (z0, z1, ... and w: rows):
+    one aggregate per round.  From some round on, rows whose nearest centre is certain
+    are not read again until a centre has left the bound that made it certain."""
+    every = {r: _Restart(c) for r, c in starts.items()}
+    k, width = next(iter(every.values())).centres.shape
+    rest = None
+    for round_ in range(max_iter + 1):
+        open_ = {r: x for r, x in every.items() if x is not None and not getattr(x, "done", False)}
         if not open_:
             break
-        literal = F.expr(_array(_literal(centres[s].tolist()) for s in open_))
-
-        def nearest(restart):
-            def apart(c, i):
-                d = F.aggregate(F.zip_with("p", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
-                return F.struct(d.alias("d"), i.alias("i"))
-            return F.array_min(F.transform(restart, apart))
-
-        near = weighted.select("p", "w", F.posexplode(F.transform(literal, nearest)).alias("r", "n"))
-        width = centres[open_[0]].shape[1]
-        got = near.groupBy("r", F.col("n.i").alias("i")).agg(
-            F.sum("w").alias("m"), F.sum(F.col("n.d") * F.col("w")).alias("d"),
-            *[F.sum(F.col("p")[j] * F.col("w")).alias(f"s{j}") for j in range(width)]).collect()
-        done = []
-        for r, s in enumerate(open_):
-            moved = centres[s].copy()
-            cost[s] = sum(g["d"] for g in got if g["r"] == r)
-            for g in got:
-                if g["r"] == r:
-                    moved[g["i"]] = [g[f"s{j}"] / g["m"] for j in range(width)]
-            if last == max_iter or (((moved - centres[s]) ** 2).sum(axis=1) <= tol * tol).all():
-                done.append(s)  # the cost belongs to these centres
-            else:
-                centres[s] = moved
-        open_ = [s for s in open_ if s not in done]
+        if round_ >= FULL_ROUNDS and not all(x.near_enough() for x in open_.values()):
+            rest = _split(weighted, open_, k, width)
+        column = _centres_column({r: x.centres for r, x in open_.items()})
+        if rest is None:
+            rows = weighted.selectExpr("*", f"explode({column}) as c")
+        else:
+            # A closed restart's rows find no centres.
+            place = "map(" + ", ".join(f"{r}, {n}" for n, r in enumerate(open_)) + ")"
+            rows = rest.selectExpr("*", f"get({column}, element_at({place}, r)) as c").drop("r").where("c is not null")
+        near = _with_distances(rows, k, width).withColumn("r", F.col("c.r"))
+        got = _cluster_sums(near, width).collect()
+        for r, x in open_.items():
+            x.done = x.step([g for g in got if g["r"] == r], tol, round_ == max_iter)
+    return every
+
+
+def _weighted(points: DataFrame, width: int) -> DataFrame:
+    """Distinct points z0, z1, ... with their numbers of rows ``w``."""
+    return points.groupBy(*[f"z{j}" for j in range(width)]).agg(F.count(F.lit(1)).alias("w")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
+    """The best of seeded KMeans restarts over ``points`` (columns z0, z1, ...): k-means||
+    starts and Lloyd rounds, all over all rows; every restart stops on its own
+    tolerance; returns the centres with the least cost."""
+    width = len(points.columns)
+    weighted = _weighted(points, width)
+    every = lloyd(weighted, _starting_centres(weighted, k, list(seeds), width), max_iter, tol)
     weighted.unpersist()
-    return centres[min(centres, key=lambda s: (cost[s], s))]
+    return every[min(every, key=lambda s: (every[s].cost, s))].centres
+
+
+def _points(z: DataFrame) -> DataFrame:
+    return z.select(*[F.col(f"z_f_{c}").alias(f"z{j}") for j, c in enumerate(SEGMENT_FEATURES)])
 
 
 def behavior_segments(cur: DataFrame, k: int | None = None, restarts: int | None = None,
                       cfg: PortfolioConfig = CFG) -> DataFrame:
     """KMeans on the standardised features with several seeded restarts (the
     lowest cost wins), then per-cluster profile named by delinquency."""
-    cols = [f"f_{c}" for c in SEGMENT_FEATURES]
     z = freeze(segment_features(cur))
-    parts = int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    points = z.select(F.array(*[F.col(f"z_{c}") for c in cols]).alias("p")).repartition(parts).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    best = fit_kmeans(points, k or cfg.kmeans_k, [cfg.seed + i for i in range(restarts or cfg.kmeans_restarts)])
-    points.unpersist()
-    return _name_segments(_profile(assign_nearest(z, best.tolist(), cols)), cfg.segment_names)
+    best = fit_kmeans(_points(z), k or cfg.kmeans_k, [cfg.seed + i for i in range(restarts or cfg.kmeans_restarts)])
+    return _name_segments(_profile(assign_nearest(z, best.tolist(), [f"f_{c}" for c in SEGMENT_FEATURES])), cfg.segment_names)
+
+
+def segments_run(cur: DataFrame, steps: int = 6, cfg: PortfolioConfig = CFG) -> DataFrame:
+    """One seeded run of a fixed number of rounds: from the k accounts that come first by a
+    seeded digest, per cluster its accounts, its cost and its centre (6 dp)."""
+    z = freeze(segment_features(cur))
+    first = z.orderBy(F.md5(F.concat(F.col("account_id").cast("string"), F.lit(f"-{cfg.seed}"))), "account_id").limit(cfg.kmeans_k)
+    start = np.array([list(r) for r in _points(first).collect()])
+    width = len(SEGMENT_FEATURES)
+    weighted = _weighted(_points(z), width)
+    run = lloyd(weighted, {0: start}, max_iter=steps, tol=0.0)[0] if len(start) else None
+    near = _with_distances(weighted.selectExpr("*", f"explode({_centres_column({0: run.centres})}) as c"), len(start), width)
+    out = near.groupBy(F.col("i").alias("cluster")).agg(
+        F.sum("w").alias("accounts"), round_half_up(F.sum(F.col("d") * F.col("w")), 6).alias("cost"), F.first("c").alias("c"))
+    at = lambda j: F.element_at(F.array(*[F.col(f"c.c{i}_{j}") for i in range(len(start))]), F.col("cluster") + 1)
+    return out.select("cluster", "accounts", "cost", *[round_half_up(at(j), 6).alias(c) for j, c in enumerate(SEGMENT_FEATURES)])
 
 
 def driver_frame(cur: DataFrame, cfg: PortfolioConfig = CFG) -> DataFrame:

@@ -61,7 +61,7 @@ def test_more_segments_than_names(spark, tables001):
 def test_restarts_together_match_separate_fits(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 0.3, size=(60, 2)) for c in ((0, 0), (4, 0), (0, 4), (5, 5))])
-    points = spark.createDataFrame([([float(v) for v in r],) for r in x], "p array<double>")
+    points = spark.createDataFrame([[float(v) for v in r] for r in x], "z0 double, z1 double")
 
     def cost(centres):
         return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
@@ -75,9 +75,9 @@ def test_restarts_together_match_separate_fits(spark):
 def test_a_value_shared_by_most_rows_does_not_fill_the_starts(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(c, 0.1, size=(40, 2)) for c in ((0, 0), (8, 0), (0, 8))])
-    single = spark.createDataFrame([([float(v) for v in r],) for r in x], "p array<double>")
-    common = single.orderBy(F.xxhash64("p")).first().p
-    points = single.unionByName(spark.createDataFrame([(common,)] * 2500, "p array<double>"))
+    single = spark.createDataFrame([[float(v) for v in r] for r in x], "z0 double, z1 double")
+    common = tuple(single.orderBy(F.xxhash64("z0", "z1")).first())
+    points = single.unionByName(spark.createDataFrame([common] * 2500, "z0 double, z1 double"))
     centres = models.fit_kmeans(points, 3, range(3))
     assert ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum() < 120 * 2 * 0.1 ** 2 * 3
 
@@ -128,3 +128,30 @@ def test_newton_halves_steps_on_separable_rows(spark):
     beta = models.fit_drivers(z, c_inverse_reg=1000.0)
     loss, gradient, *_ = models._newton_sums(z, beta)
     assert np.abs(gradient[1:] + beta[1:] / 1000).max() < 1e-6 and abs(gradient[0]) < 1e-6
+
+
+def plain_lloyd(x, centres, steps):
+    for _ in range(steps):
+        own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        centres = np.array([x[own == i].mean(0) if (own == i).any() else c for i, c in enumerate(centres)])
+    own = ((x[:, None] - centres) ** 2).sum(2)
+    return centres, own.min(1).sum(), np.bincount(own.argmin(1), minlength=len(centres))
+
+
+def test_split_rounds_are_plain_lloyd(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 1.0, size=(150, 2)) for c in ((0, 0), (3, 0), (0, 4), (4, 4))] + [np.zeros((50, 2))])
+    points = spark.createDataFrame([[float(v) for v in r] for r in x], "z0 double, z1 double")
+    weighted = models._weighted(points, 2)
+    starts = {r: x[rng.permutation(len(x))[:4]] for r in range(3)}
+    seen, split = [], models._split
+    monkeypatch.setattr(models, "_split", lambda w, open_, k, width: (seen.append((split(w, open_, k, width), len(open_))), seen[-1][0])[1])
+    for steps in (0, 4, 12):
+        got = models.lloyd(weighted, starts, max_iter=steps, tol=0.0)
+        for r, c in starts.items():
+            centres, cost, sizes = plain_lloyd(x, c, steps)
+            assert np.allclose(got[r].centres, centres) and got[r].cost == pytest.approx(cost)
+            assert got[r].sizes.tolist() == sizes.tolist()
+    # Rows whose cluster is certain are left out of the rounds after a split.
+    assert seen and any(rest.count() < 0.7 * n * weighted.count() for rest, n in seen)
+    weighted.unpersist()
