@@ -155,10 +155,14 @@ def _with_distances(rows: DataFrame, k: int, width: int) -> DataFrame:
     """Adds d<i> (squared distance to centre i of column ``c``), d (the least) and i (its
     index, the lowest of equals)."""
     square = lambda i, j: f"(z{j} - c.c{i}_{j}) * (z{j} - c.c{i}_{j})"
-    rows = rows.selectExpr("*", *[" + ".join(square(i, j) for j in range(width)) + f" as d{i}" for i in range(k)])
+    # Generated columns are computed once: as plain ones the optimizer would write each
+    # distance out wherever it is compared.
+    each = ", ".join(" + ".join(square(i, j) for j in range(width)) + f" as d{i}" for i in range(k))
+    rows = rows.selectExpr("*", f"inline(array(struct({each})))")
     least = f"least({', '.join(f'd{i}' for i in range(k))})" if k > 1 else "d0"
-    rows = rows.selectExpr("*", f"{least} as d")
-    return rows.selectExpr("*", "case " + " ".join(f"when d{i} = d then {i}" for i in range(k)) + " end as i")
+    rows = rows.selectExpr("*", f"inline(array(struct({least} as d)))")
+    which = "case " + " ".join(f"when d{i} = d then {i}" for i in range(k)) + " end"
+    return rows.selectExpr("*", f"inline(array(struct({which} as i)))")
 
 
 def _cluster_sums(near: DataFrame, width: int) -> DataFrame:
@@ -228,13 +232,15 @@ class _Restart:
     def __init__(self, centres: np.ndarray):
         self.centres, self.moved, self.cost, self.sizes = centres, np.inf, np.inf, None
         self.since, self.slack, self.settled = None, 0.0, None
+        self.done, self.mean, self.before = False, None, np.inf
 
     def near_enough(self) -> bool:
         """Whether no centre left its place at the split by more than the slack."""
         return self.settled is not None and np.sqrt(((self.centres - self.since) ** 2).sum(1)).max() <= self.slack
 
-    def step(self, rows: list, tol: float, last: bool) -> bool:
-        """Takes the sums of a round; says whether the restart is done."""
+    def step(self, rows: list, tol: float, last: bool, relax: float) -> bool:
+        """Takes the sums of a round; says whether the restart is done.  With ``relax`` above
+        1 the centres go beyond the means, and back to them if that raised the cost."""
         k, width = self.centres.shape
         total = np.zeros((k, width + 1)) if self.settled is None else self.settled[:, :-1].copy()
         self.cost = 0.0 if self.settled is None else self._settled_cost()
@@ -246,9 +252,13 @@ class _Restart:
         self.sizes = total[:, 0]
         moved = np.where(total[:, :1] > 0, total[:, 1:] / np.maximum(total[:, :1], 1), self.centres)
         self.moved = float(np.sqrt(((moved - self.centres) ** 2).sum(1)).max())
-        if last or self.moved <= tol:
+        if last or ((moved - self.centres) ** 2).sum() <= tol:
             return True  # the cost belongs to these centres
-        self.centres = moved
+        if relax == 1 or self.cost > self.before and self.mean is not None:
+            self.centres, self.mean, self.before = moved if relax == 1 else self.mean, None, np.inf
+        else:
+            self.mean, self.before = moved, self.cost
+            self.centres = self.centres + relax * (moved - self.centres)
         return False
 
     def _settled_cost(self) -> float:
@@ -261,7 +271,7 @@ def _split(weighted: DataFrame, restarts: dict[int, _Restart], k: int, width: in
     slack (Hamerly's bounds: the second nearest centre is not beyond the nearest by
     more than twice the slack), written once; the sums of all others go to the restarts."""
     for x in restarts.values():
-        x.since, x.slack = x.centres, 4 * x.moved
+        x.since, x.slack = x.centres, SLACK * x.moved
     slack = "element_at(map(" + ", ".join(f"{r}, {2 * x.slack!r}D" for r, x in restarts.items()) + "), c.r)"
     near = _with_distances(weighted.selectExpr(
         "*", f"explode({_centres_column({r: x.centres for r, x in restarts.items()})}) as c"), k, width)
@@ -281,19 +291,25 @@ def _split(weighted: DataFrame, restarts: dict[int, _Restart], k: int, width: in
     return rest
 
 
+#: Rows are split for centres that move this many times as far as in the last round.
+SLACK = 8
+#: How far centres go towards and beyond their means: halves the rounds of slow restarts.
+RELAX = 1.6
 #: Full rounds before rows are split: centres still move far.
 FULL_ROUNDS = 3
 
 
-def lloyd(weighted: DataFrame, starts: dict[int, np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> dict[int, _Restart]:
+def lloyd(weighted: DataFrame, starts: dict[int, np.ndarray], max_iter: int = 300, tol: float = 1e-4,
+          relax: float = 1.0) -> dict[int, _Restart]:
     """Lloyd rounds of all restarts together over distinct points (z0, z1, ... and w: rows):
     one aggregate per round.  From some round on, rows whose nearest centre is certain
-    are not read again until a centre has left the bound that made it certain."""
+    are not read again until a centre has left the bound that made it certain.  A
+    restart is done when its centres' squared shifts sum to at most ``tol``."""
     every = {r: _Restart(c) for r, c in starts.items()}
     k, width = next(iter(every.values())).centres.shape
     rest = None
     for round_ in range(max_iter + 1):
-        open_ = {r: x for r, x in every.items() if x is not None and not getattr(x, "done", False)}
+        open_ = {r: x for r, x in every.items() if not x.done}
         if not open_:
             break
         if round_ >= FULL_ROUNDS and not all(x.near_enough() for x in open_.values()):
@@ -308,7 +324,7 @@ def lloyd(weighted: DataFrame, starts: dict[int, np.ndarray], max_iter: int = 30
         near = _with_distances(rows, k, width).withColumn("r", F.col("c.r"))
         got = _cluster_sums(near, width).collect()
         for r, x in open_.items():
-            x.done = x.step([g for g in got if g["r"] == r], tol, round_ == max_iter)
+            x.done = x.step([g for g in got if g["r"] == r], tol, round_ == max_iter, relax)
     return every
 
 
@@ -324,7 +340,7 @@ def fit_kmeans(points: DataFrame, k: int, seeds: Sequence[int], max_iter: int =
     tolerance; returns the centres with the least cost."""
     width = len(points.columns)
     weighted = _weighted(points, width)
-    every = lloyd(weighted, _starting_centres(weighted, k, list(seeds), width), max_iter, tol)
+    every = lloyd(weighted, _starting_centres(weighted, k, list(seeds), width), max_iter, tol, RELAX)
     weighted.unpersist()
     return every[min(every, key=lambda s: (every[s].cost, s))].centres
 

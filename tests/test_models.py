@@ -144,6 +144,7 @@ def test_split_rounds_are_plain_lloyd(spark, monkeypatch):
     points = spark.createDataFrame([[float(v) for v in r] for r in x], "z0 double, z1 double")
     weighted = models._weighted(points, 2)
     starts = {r: x[rng.permutation(len(x))[:4]] for r in range(3)}
+    monkeypatch.setattr(models, "SLACK", 2)
     seen, split = [], models._split
     monkeypatch.setattr(models, "_split", lambda w, open_, k, width: (seen.append((split(w, open_, k, width), len(open_))), seen[-1][0])[1])
     for steps in (0, 4, 12):
