@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditscope.llm import sliced, textscan
-from creditscope.llm.tables import stored
+from creditscope.llm.tables import free_name, stored
 
 ORDER = 5
 #: Order of the model whose context runs over word ends: the most that a key holds.
@@ -386,11 +386,12 @@ def thresholds(trusted: DataFrame, model: Model, text: str = "text", lang: str =
 def trusted_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents all of whose labels say quality and not toxic."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    ids = labels.groupBy(F.col("doc_id").alias("trusted_id")).agg(
-        F.min(F.coalesce(good, F.lit(False))).alias("g")).where("g").select("trusted_id")
+    name = free_name(documents, "trusted_id")
+    ids = labels.groupBy(F.col("doc_id").alias(name)).agg(
+        F.min(F.coalesce(good, F.lit(False))).alias("g")).where("g").select(name)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return documents.join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi")
+    return documents.join(ids, F.col(f"`{id_col}`") == F.col(name), "left_semi")
 
 
 def classify(documents: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang",

@@ -24,6 +24,10 @@ SEED = 20240229
 BROADCAST_BUCKETS = 1_000_000
 
 
+#: Rows with equal id and text that may lie in one bucket.
+EQUAL_ROWS = 1024
+
+
 def record_bytes(text: str = "text") -> F.Column:
     """UTF-8 bytes of the text (null: none) plus one."""
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
@@ -35,18 +39,26 @@ def external_shuffle(records: DataFrame, id_col: str = "doc_id", text: str = "te
     """Columns ``record`` (the input row), ``shard`` and ``slot``.
 
     The bucket count follows from the data volume, so a bucket stays at about
-    ``bucket_bytes`` whatever the size of the table.  The shuffled buckets are a
+    ``bucket_bytes`` whatever the size of the table: of rows with equal id and text,
+    more than ``EQUAL_ROWS`` are spread over several buckets.  A bucket is a partition of
+    its own and sorted before it is shuffled, so its order follows from the seed and its rows, however the input
+    is partitioned (but where such copies fall).  The shuffled buckets are a
     written table: the order is drawn once and holds for every later reader.
     """
     total = records.select(F.sum(record_bytes(text)).alias("b")).first()["b"] or 0
     buckets = tasks_for(total, bucket_bytes)
-    scattered = records.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.encode(F.col(text), "utf-8"))),
-               F.lit(buckets)).cast("int").alias("bucket"),
-        F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("draw"),
-        F.struct(*[F.col(c) for c in records.columns]).alias("record"))
+    own, said = F.col(f"`{id_col}`"), F.crc32(F.encode(F.col(f"`{text}`"), "utf-8"))
+    row = records.select(F.xxhash64(F.lit(seed), own, said).alias("key"), F.monotonically_increasing_id().alias("place"),
+                         F.xxhash64(F.lit(seed + 1), own).alias("draw"),
+                         F.struct(*[F.col(f"`{c}`").alias(c) for c in records.columns]).alias("record"))
+    many = row.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > EQUAL_ROWS)
+    # A copy's salt comes from its place at the scan, which a retry gives again.
+    salt = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("place"), F.call_function(
+        "div", F.col("copies"), F.lit(EQUAL_ROWS).cast("long")) + 1)).otherwise(F.lit(0))
+    scattered = row.join(many.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left").select(
+        F.pmod(F.xxhash64("key", salt), F.lit(buckets)).cast("int").alias("bucket"), "draw", "record")
     shuffled = (
-        scattered.repartition(buckets, "bucket")
+        scattered.repartitionById(buckets, F.col("bucket"))
         .groupBy("bucket")
         .agg(F.array_sort(F.collect_list(F.struct("draw", "record"))).alias("rows"))
         .select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))

@@ -145,3 +145,9 @@ def test_word_order_and_repetition_cost(spark, tmp_path):
     assert got[1001] > 1.2 * got[1000]
     assert got[1002] > 1.2 * got[1000]
     assert got[1002] > got[1003]
+
+
+def test_trusted_documents_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6), (2, "b", 7, 8)], "doc_id long, text string, trusted_id long, `a.b` long")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in lm.trusted_documents(docs, labels).collect()] == [(1, "a", 5, 6)]

@@ -96,3 +96,10 @@ def test_pipeline_of_awkward_and_no_rows(spark, awkward, tmp_path):
         rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         ids = {r.doc_id for r in awkward.collect()} if name == "odd" else set()
         assert {r.doc_id for r in rows} <= ids
+
+
+def test_near_copies_with_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8), (3, "other words", 9, 9)], "doc_id long, text string, spare long, `a.b` long")
+    kept = corpus_pipeline.near_copies(spark, docs, SF001)
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, text, 5, 6), (3, "other words", 9, 9)] and kept.columns == docs.columns

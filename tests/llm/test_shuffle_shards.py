@@ -48,3 +48,22 @@ def test_query_digest(spark):
     for r in rows:
         data = (texts[r.doc_id] or "").encode()
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+
+
+def test_places_do_not_depend_on_the_partitions(spark):
+    df = spark.range(1000).selectExpr("id as doc_id", "repeat('y', 100) as text", "id as `a.b`")
+    places = [{r.record.doc_id: (r.shard, r.slot) for r in shards.external_shuffle(
+        x, n_shards=4, bucket_bytes=20_000).collect()} for x in (df.coalesce(1), df.repartition(7), df.orderBy("text"))]
+    assert places[0] == places[1] == places[2] and len(places[0]) == 1000
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(shards, "EQUAL_ROWS", 100)
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text", "id as n").unionByName(
+        spark.range(1000).selectExpr("id as doc_id", "'z' as text", "id as n"))
+    seen = []
+    stored = shards.stored
+    monkeypatch.setattr(shards, "stored", lambda t, name: (seen.append(stored(t, name)), seen[-1])[1])
+    rows = shards.external_shuffle(df, n_shards=4, bucket_bytes=500).collect()
+    sizes = [r["count"] for r in seen[0].groupBy("bucket").count().collect()]
+    assert len(rows) == 4000 and len({(r.shard, r.slot) for r in rows}) == 4000 and max(sizes) < 1200
