@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditscope.llm import jaccard_join, packing, quality_lm, quality_rules, suffix_dedup
-from creditscope.llm.tables import shipped, stored
+from creditscope.llm.tables import free_name, shipped, stored
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,10 @@ def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each class of linked documents the one with the least id stays,
     and of repeated rows one."""
-    spare = jaccard_join.classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("spare"))
-    kept = docs.join(spare, F.col("doc_id") == F.col("spare"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    name = free_name(docs, "spare")
+    spare = jaccard_join.classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(name))
+    kept = docs.join(spare, F.col("doc_id") == F.col(name), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
