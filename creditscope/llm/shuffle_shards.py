@@ -51,11 +51,14 @@ def external_shuffle(records: DataFrame, id_col: str = "doc_id", text: str = "te
     row = records.select(F.xxhash64(F.lit(seed), own, said).alias("key"), F.monotonically_increasing_id().alias("place"),
                          F.xxhash64(F.lit(seed + 1), own).alias("draw"),
                          F.struct(*[F.col(f"`{c}`").alias(c) for c in records.columns]).alias("record"))
-    many = row.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > EQUAL_ROWS)
+    many = stored(row.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > EQUAL_ROWS), "copied")
+    many = many.withColumnRenamed("key", "of")
+    if many.count() <= BROADCAST_BUCKETS:
+        many = F.broadcast(many)  # the records then move only once
     # A copy's salt comes from its place at the scan, which a retry gives again.
     salt = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("place"), F.call_function(
         "div", F.col("copies"), F.lit(EQUAL_ROWS).cast("long")) + 1)).otherwise(F.lit(0))
-    scattered = row.join(many.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left").select(
+    scattered = row.join(many, F.col("key") == F.col("of"), "left").select(
         F.pmod(F.xxhash64("key", salt), F.lit(buckets)).cast("int").alias("bucket"), "draw", "record")
     shuffled = (
         scattered.repartitionById(buckets, F.col("bucket"))
