@@ -65,5 +65,5 @@ def test_equal_rows_are_spread(spark, monkeypatch):
     stored = shards.stored
     monkeypatch.setattr(shards, "stored", lambda t, name: (seen.append(stored(t, name)), seen[-1])[1])
     rows = shards.external_shuffle(df, n_shards=4, bucket_bytes=500).collect()
-    sizes = [r["count"] for r in seen[0].groupBy("bucket").count().collect()]
+    sizes = [r["count"] for r in seen[-1].groupBy("bucket").count().collect()]
     assert len(rows) == 4000 and len({(r.shard, r.slot) for r in rows}) == 4000 and max(sizes) < 1200
