@@ -21,6 +21,7 @@ from creditscope.functions.exprs import (clip, fill_blank_text, is_blank_text, p
 from creditscope.operators.joins import keep_referenced, orphans
 from creditscope.operators.ranking import approximate_medians, exact_medians
 from creditscope.schema import MONEY, MONEY_COLS, TABLES
+from creditscope.session import freeze
 
 POS = "_row_pos"
 Tables = dict[str, DataFrame]
@@ -33,6 +34,8 @@ class Cleaned:
 
 
 COPIES = "_copies"
+#: Whether a row's parents exist.
+PARENTS = "_parents"
 
 
 def with_position(raw: DataFrame) -> DataFrame:
@@ -100,6 +103,19 @@ def impute_median(df: DataFrame, col: str, digits: int = 2, rounding: str = "hal
     return df.withColumn(out or col, value)
 
 
+def with_existence(df: DataFrame, flag: str, **parents: DataFrame) -> DataFrame:
+    """Adds ``flag``: whether each named key column exists in its parent frame (one
+    column, any name).  A NULL key does not.  Kept rows and orphan counts then come
+    from one frame."""
+    out, found = df, F.lit(True)
+    for key, parent in parents.items():
+        has = f"_has_{key}"
+        keys = parent.select(F.col(parent.columns[0]).alias(f"_{has}")).distinct().withColumn(has, F.lit(True))
+        out = out.join(keys, F.col(key) == F.col(f"_{has}"), "left")
+        found = found & F.coalesce(F.col(has), F.lit(False))
+    return out.select(*df.columns, found.alias(flag))
+
+
 def clean_reference(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """Small reference tables: exact dedupe and typed cast."""
     schema = TABLES[table]
@@ -108,12 +124,12 @@ def clean_reference(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     return out, _audit(table, _count(out, "rows_out"), ["rows_out"])
 
 
-def clean_cardholders(raw: DataFrame, median_method: str = "exact") -> tuple[DataFrame, DataFrame]:
+def _parsed_cardholders(raw: DataFrame) -> DataFrame:
     raw = with_position(raw)
     dedup = drop_exact_duplicates(raw)
     age = parse_number(F.col("age"), "double")
     fico = parse_number(F.col("fico_origination"), "double")
-    parsed = dedup.select(
+    return dedup.select(
         POS,
         F.col("cardholder_id").cast("bigint").alias("cardholder_id"),
         F.col("region_id").cast("int").alias("region_id"),
@@ -123,7 +139,21 @@ def clean_cardholders(raw: DataFrame, median_method: str = "exact") -> tuple[Dat
         F.col("employment_status").alias("_emp"),
         fico.alias("_fico"),
         parse_number(F.col("credit_history_months"), "int").alias("_hist"), COPIES)
+
+
+def _orphans(parsed: DataFrame, name: str) -> tuple[list[Column], list[str]]:
+    """The orphan count of a frame that says whether its rows' parents exist."""
+    return ([F.count_if(~F.col(PARENTS)).alias(name)], [name]) if PARENTS in parsed.columns else ([], [])
+
+
+def clean_cardholders(raw: DataFrame, median_method: str = "exact") -> tuple[DataFrame, DataFrame]:
+    return _clean_cardholders(_parsed_cardholders(raw), median_method)
+
+
+def _clean_cardholders(parsed: DataFrame, median_method: str = "exact") -> tuple[DataFrame, DataFrame]:
+    more, more_names = _orphans(parsed, "orphan_region_fk_dropped")
     counts = parsed.agg(
+        *more,
         F.count(F.lit(1)).alias("rows_out"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
         F.count_if(F.col("_income").isNull()).alias("missing_income_imputed"),
         F.count_if((F.col("_age_raw") < 18) | (F.col("_age_raw") > 100)).alias("impossible_ages_fixed"),
@@ -140,10 +170,10 @@ def clean_cardholders(raw: DataFrame, median_method: str = "exact") -> tuple[Dat
         "region_id",
         clip(F.col("_fico"), 300, 850).cast("int").alias("fico_origination"),
         F.coalesce(F.col("_hist"), F.lit(0)).cast("int").alias("credit_history_months"),
-        POS)
+        POS, *_kept_flag(parsed))
     names = ["exact_duplicates_removed", "missing_income_imputed", "impossible_ages_fixed",
              "employment_blanks_filled", "fico_out_of_range_clipped", "rows_out"]
-    return out, _audit("cardholders", counts, names)
+    return out, _audit("cardholders", counts, names + more_names)
 
 
 def _parsed_accounts(raw: DataFrame) -> DataFrame:
@@ -159,23 +189,30 @@ def _bad_limit() -> Column:
     return F.col("_limit").isNull() | (F.col("_limit") <= 0)
 
 
+def _kept_flag(parsed: DataFrame) -> list[str]:
+    return [PARENTS] if PARENTS in parsed.columns else []
+
+
 def clean_accounts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parsed = _parsed_accounts(raw)
-    counts = parsed.agg(F.count(F.lit(1)).alias("_dedup"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
+    return _clean_accounts(_parsed_accounts(raw))
+
+
+def _clean_accounts(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    more = [F.count_if(~_bad_limit() & ~F.col(PARENTS)).alias("orphan_fk_dropped")] if _kept_flag(parsed) else []
+    counts = parsed.agg(*more, F.count(F.lit(1)).alias("_dedup"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
                         F.count_if(_bad_limit()).alias("nonpositive_limit_dropped")) \
         .withColumn("duplicate_accounts_removed", F.col("_raw") - F.col("_dedup")) \
         .withColumn("rows_out", F.col("_dedup") - F.col("nonpositive_limit_dropped"))
     out = parsed.filter(~_bad_limit()).select("account_id", "cardholder_id", "product_id", "open_date",
-                                              F.col("_limit").cast(MONEY).alias("credit_limit"), POS)
-    names = ["duplicate_accounts_removed", "nonpositive_limit_dropped", "rows_out"]
+                                              F.col("_limit").cast(MONEY).alias("credit_limit"), POS, *_kept_flag(parsed))
+    names = ["duplicate_accounts_removed", "nonpositive_limit_dropped", "rows_out", *(["orphan_fk_dropped"] if more else [])]
     return out, _audit("accounts", counts, names)
 
 
-def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    raw = with_position(raw)
-    dedup = drop_exact_duplicates(raw)
+def _parsed_statements(raw: DataFrame) -> DataFrame:
+    dedup = drop_exact_duplicates(with_position(raw))
     money = {c: in_money(parse_money(F.col(c))) for c in MONEY_COLS}
-    parsed = dedup.select(
+    return dedup.select(
         POS,
         F.col("statement_id").cast("bigint").alias("statement_id"),
         F.col("account_id").cast("bigint").alias("account_id"),
@@ -183,8 +220,17 @@ def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[expr.alias(f"_{c}") for c, expr in money.items()],
         parse_number(F.col("days_past_due"), "int").alias("_dpd"),
         parse_number(F.col("charge_off_flag"), "int").alias("_flag"), COPIES)
+
+
+def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _clean_statements(_parsed_statements(raw))
+
+
+def _clean_statements(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     pay = F.col("_payment_amount")
+    more, more_names = _orphans(parsed, "orphan_account_fk_dropped")
     counts = parsed.agg(
+        *more,
         F.count(F.lit(1)).alias("rows_out"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
         F.count_if(pay < 0).alias("negative_payments_corrected"),
         F.count_if(pay.isNull()).alias("missing_payments_zeroed")) \
@@ -200,9 +246,9 @@ def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = parsed.select("statement_id", "account_id", "statement_month",
                         *[money_out(c) for c in MONEY_COLS],
                         F.coalesce(F.col("_dpd"), F.lit(0)).alias("days_past_due"),
-                        F.coalesce(F.col("_flag"), F.lit(0)).alias("charge_off_flag"), POS)
+                        F.coalesce(F.col("_flag"), F.lit(0)).alias("charge_off_flag"), POS, *_kept_flag(parsed))
     names = ["exact_duplicates_removed", "negative_payments_corrected", "missing_payments_zeroed", "rows_out"]
-    return out, _audit("monthly_statements", counts, names)
+    return out, _audit("monthly_statements", counts, names + more_names)
 
 
 def enforce_integrity(t: Tables) -> Cleaned:
@@ -267,15 +313,25 @@ def clean_table(raw: Tables, name: str, median_method: str = "exact") -> DataFra
 
 
 def clean_all(raw: Tables, median_method: str = "exact") -> Cleaned:
-    """All five tables in dependency order, then the integrity cascade.  The
-    position column is dropped from the outputs."""
+    """All five tables in dependency order, with the integrity cascade.  The
+    position column is dropped from the outputs.
+
+    Every table is parsed once, with a flag that says whether its rows' parents exist: its
+    clean rows, all its counts and its children's parents come from that one frame.
+    Cardholders and accounts are checkpointed in this form, as medians, counts, rows and
+    children read them."""
     regions, a1 = clean_reference(raw["regions"], "regions")
     products, a2 = clean_reference(raw["card_products"], "card_products")
-    ch, a3 = clean_cardholders(raw["cardholders"], median_method)
-    ac, a4 = clean_accounts(raw["accounts"])
-    st, a5 = clean_statements(raw["monthly_statements"])
-    tables = {"regions": regions, "card_products": products, "cardholders": ch.drop(POS),
-              "accounts": ac.drop(POS), "monthly_statements": st.drop(POS)}
-    integ = enforce_integrity(tables)
-    audit = a1.unionByName(a2).unionByName(a3).unionByName(a4).unionByName(a5).unionByName(integ.audit)
-    return Cleaned(integ.tables, audit)
+    holders = freeze(with_existence(_parsed_cardholders(raw["cardholders"]), PARENTS, region_id=regions.select("region_id")))
+    accounts = freeze(with_existence(
+        _parsed_accounts(raw["accounts"]), PARENTS, product_id=products.select("product_id"),
+        cardholder_id=holders.where(PARENTS).select("cardholder_id")))
+    statements = with_existence(_parsed_statements(raw["monthly_statements"]), PARENTS, account_id=accounts.where(
+        F.col(PARENTS) & ~_bad_limit()).select("account_id"))
+    ch, a3 = _clean_cardholders(holders, median_method)
+    ac, a4 = _clean_accounts(accounts)
+    st, a5 = _clean_statements(statements)
+    kept = {"cardholders": ch, "accounts": ac, "monthly_statements": st}
+    tables = {"regions": regions, "card_products": products} | {
+        name: df.where(PARENTS).drop(POS, PARENTS) for name, df in kept.items()}
+    return Cleaned(tables, a1.unionByName(a2).unionByName(a3).unionByName(a4).unionByName(a5))

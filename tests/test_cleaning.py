@@ -192,3 +192,14 @@ def test_constraint_report_finds_every_kind(spark, tables001):
         kinds[c.kind].append(got[(c.table, c.name)])
     assert all(v > 0 for v in kinds["not_null"]) and all(v > 0 for v in kinds["pk"]) and all(v > 0 for v in kinds["fk"])
     assert any(v > 0 for v in kinds["check"])
+
+
+def test_existence_flags(spark):
+    from creditscope.plans.clean import with_existence
+    rows = spark.createDataFrame([(1, 1, 10), (2, 9, 10), (3, None, 10), (4, 1, 11), (5, 2, None)], "id int, a int, b int")
+    a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int"), spark.createDataFrame([(10,)], "a int")
+    got = with_existence(rows, "ok", a=a, b=b)
+    assert {r.id: r.ok for r in got.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert got.columns == ["id", "a", "b", "ok"] and got.count() == 5
+    assert with_existence(rows, "ok", a=a.limit(0)).where("ok").count() == 0
+
