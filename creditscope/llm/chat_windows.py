@@ -8,7 +8,8 @@ system turn less the history; the turns inside a cell form a window, and a turn
 that crosses a cell's end forms its own.  So a window's new turns fit the cell,
 unless a single turn alone is larger (turns are never cut).  Each window starts
 with the system turn (a conversation's first turn, if its role is ``system``) and
-the last turns before it that fit ``history`` tokens.  Only assistant turns that are
+the last turns before it that fit ``history`` tokens and what system turn and new
+turns leave of the budget.  Only assistant turns that are
 new in a window are targets: repeated ones are masked, so every assistant text is
 under the loss exactly once.
 
@@ -85,6 +86,7 @@ def _turns(rows: DataFrame, conv: str, turn: str, role: str, text: str, cell) ->
     turns = own.join(offsets, (F.col("key") == F.col("c")) & (F.col("block") == F.col("k"))).select(
         "key", "conv", "role", "seg", "t", (F.col("a") + F.col("oa")).alias("at"),
         (F.col("b") + F.col("ob")).alias("before"), cell(F.col("sys_t")).alias("cell"),
+        F.coalesce("sys_t", F.lit(0)).alias("sys_n"),
         (F.col("sys_t").isNotNull() & (F.col("a") + F.col("oa") == 0)).alias("is_sys"))
     # Read for the spans, the history, the system turns and the windows: placed once.
     turns = stored(turns, "turns")
@@ -101,16 +103,19 @@ def windows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         F.lit(budget // 4), F.lit(budget - history) - F.coalesce(sys_t, F.lit(0))))
     first, last = (F.floor(x / F.col("cell")) for x in (F.col("before"), F.col("before") + F.col("t") - 1))
     turns = turns.withColumn("window", first * 2 + F.when(first == last, 0).otherwise(1))
-    spans = turns.groupBy("key", "window").agg(F.first("conv").alias("conv"), F.min("before").alias("begins"), F.min("at").alias("starts"))
+    spans = turns.groupBy("key", "window").agg(F.first("conv").alias("conv"), F.min("before").alias("begins"), F.min("at").alias("starts"),
+        (F.lit(budget) - F.max("sys_n") - F.sum("t")).alias("room"))
     # A turn is history of the windows that begin within ``history`` tokens of its own
     # begin; they lie in a few cells at most.
     lo, hi = F.col("before") + F.col("t"), F.col("before") + F.lit(history)
     old = turns.where(~F.col("is_sys") & (F.col("t") <= history)).select(
         F.col("key").alias("old_key"), "seg", "t", "at", "role", lo.alias("lo"), hi.alias("hi"),
         F.explode(F.sequence(F.floor(lo / F.col("cell")), F.floor(hi / F.col("cell")))).alias("in_cell"))
-    later = spans.select("key", "conv", "window", "begins", F.expr("window div 2").alias("begin_cell"))
+    later = spans.select("key", "conv", "window", "begins", "room", F.expr("window div 2").alias("begin_cell"))
     context = old.join(later, (F.col("old_key") == F.col("key")) & (F.col("in_cell") == F.col("begin_cell"))
-                       & (F.col("begins") >= F.col("lo")) & (F.col("begins") <= F.col("hi")))
+                       & (F.col("begins") >= F.col("lo")) & (F.col("begins") <= F.col("hi"))
+                       # From the turn on, history takes begins - before tokens: no more than are left.
+                       & (F.col("begins") - F.col("hi") + history <= F.col("room")))
     context = context.select("key", "conv", "window", F.lit(1).alias("kind"), "at", "role", "seg", "t")
     kept = spans.where("starts > 0").join(system, F.col("key") == F.col("sc")).select(
         "key", "conv", "window", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"),
