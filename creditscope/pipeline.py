@@ -19,20 +19,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from creditscope.config import PortfolioConfig
 from creditscope.plans import decision, models, quality, state
-from creditscope.plans.clean import clean_all
+from creditscope.plans.clean import clean_and_write
 from creditscope.schema import LOAD_ORDER
 from creditscope.session import freeze, get_spark
-from creditscope.sources.io import read_raw, read_tables, write_extracts, write_json, write_tables
+from creditscope.sources.io import read_raw, read_table, read_tables, write_extracts, write_json, write_table
 
 
 def run_cleaning(spark: SparkSession, raw_dir: str, out_dir: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Clean every raw export, write the clean tables (parents first) and the
-    audit; returns the clean tables as written."""
+    """Clean every raw export, write the clean tables (parents first) and the audit, which
+    is counted while they are written; returns the clean tables as written."""
     raw = {name: read_raw(spark, f"{raw_dir}/{name}.csv", name) for name in LOAD_ORDER}
-    cleaned = clean_all(raw)
-    write_tables(cleaned.tables, f"{out_dir}/processed", fmt=fmt)
-    write_json(quality.ordered_audit(cleaned.audit), f"{out_dir}/reports/data_quality_report")
-    return read_tables(spark, f"{out_dir}/processed", fmt=fmt)
+    root = f"{out_dir}/processed"
+
+    def write(name: str, rows: DataFrame) -> DataFrame:
+        write_table(rows, root, name, fmt)
+        return read_table(spark, f"{root}/{name}", name, fmt)
+
+    audit = clean_and_write(raw, write)
+    write_json(quality.ordered_audit(audit), f"{out_dir}/reports/data_quality_report")
+    return read_tables(spark, root, fmt=fmt)
 
 
 def run_analytics(spark: SparkSession, clean_dir: str, out_dir: str, fmt: str = "parquet",

@@ -9,17 +9,18 @@ aggregates and enter the rows as scalar subqueries.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from creditscope.functions.exprs import (clip, fill_blank_text, is_blank_text, parse_date,
                                          parse_money, parse_number, round_half_even,
                                          round_half_up, title_case)
 from creditscope.operators.joins import keep_referenced, orphans
-from creditscope.operators.ranking import approximate_medians, exact_medians
+from creditscope.operators.radix import radix_medians
+from creditscope.operators.ranking import approximate_medians
 from creditscope.schema import MONEY, MONEY_COLS, TABLES
 from creditscope.session import freeze
 
@@ -81,20 +82,24 @@ def _n(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-
-
 def in_money(value: Column) -> Column:
     """NULL for an amount that the money type cannot hold, so it counts as missing."""
     return F.when(value.try_cast(MONEY).isNotNull(), value)
 
 
+def medians_of(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
+    return (approximate_medians if method == "approx" else radix_medians)(df, cols)
+
+
 def impute_median(df: DataFrame, col: str, digits: int = 2, rounding: str = "half_up",
-                  method: str = "exact", out: str | None = None, cast=None) -> DataFrame:
+                  method: str = "exact", out: str | None = None, cast=None,
+                  medians: DataFrame | None = None) -> DataFrame:
     """Fill NULLs of ``col`` with its median rounded to ``digits`` (HALF_UP, or
     HALF_EVEN for whole-number medians such as age) into ``out``.
 
-    The median enters every row as a scalar subquery (computed once)."""
-    med = (approximate_medians if method == "approx" else exact_medians)(df, [col])
+    The median enters every row as a scalar subquery (computed once); ``medians`` is a
+    one-row frame that has it already."""
+    med = medians if medians is not None else medians_of(df, [col], method)
     rounded = round_half_even(F.col(col), digits) if rounding == "half_even" else round_half_up(F.col(col), digits)
     fill = med.select(rounded).scalar()
     value = F.coalesce(F.col(col), fill)
@@ -141,27 +146,28 @@ def _parsed_cardholders(raw: DataFrame) -> DataFrame:
         parse_number(F.col("credit_history_months"), "int").alias("_hist"), COPIES)
 
 
-def _orphans(parsed: DataFrame, name: str) -> tuple[list[Column], list[str]]:
+def _surplus() -> Column:
+    """Rows of the export beyond the distinct ones."""
+    return F.coalesce(F.sum(COPIES), F.lit(0)) - F.count(F.lit(1))
+
+
+def _orphans(parsed: DataFrame, name: str, cond: Column | None = None) -> list[Column]:
     """The orphan count of a frame that says whether its rows' parents exist."""
-    return ([F.count_if(~F.col(PARENTS)).alias(name)], [name]) if PARENTS in parsed.columns else ([], [])
+    if PARENTS not in parsed.columns:
+        return []
+    orphan = ~F.col(PARENTS)
+    return [F.count_if(orphan if cond is None else cond & orphan).alias(name)]
 
 
 def clean_cardholders(raw: DataFrame, median_method: str = "exact") -> tuple[DataFrame, DataFrame]:
-    return _clean_cardholders(_parsed_cardholders(raw), median_method)
-
-
-def _clean_cardholders(parsed: DataFrame, median_method: str = "exact") -> tuple[DataFrame, DataFrame]:
-    more, more_names = _orphans(parsed, "orphan_region_fk_dropped")
-    counts = parsed.agg(
-        *more,
-        F.count(F.lit(1)).alias("rows_out"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
-        F.count_if(F.col("_income").isNull()).alias("missing_income_imputed"),
-        F.count_if((F.col("_age_raw") < 18) | (F.col("_age_raw") > 100)).alias("impossible_ages_fixed"),
-        F.count_if(is_blank_text(F.col("_emp"))).alias("employment_blanks_filled"),
-        F.count_if((F.col("_fico") < 300) | (F.col("_fico") > 850)).alias("fico_out_of_range_clipped")) \
-        .withColumn("exact_duplicates_removed", F.col("_raw") - F.col("rows_out"))
-    filled = impute_median(parsed, "_income", digits=2, method=median_method, out="_inc_fill", cast=MONEY)
-    filled = impute_median(filled, "_age", digits=0, rounding="half_even", method=median_method, out="_age_fill")
+    parsed = _parsed_cardholders(raw)
+    return _clean_cardholders(parsed, median_method), _counted("cardholders", parsed, _holder_counts(parsed))
+
+
+def _clean_cardholders(parsed: DataFrame, median_method: str = "exact", medians: DataFrame | None = None) -> DataFrame:
+    med = medians_of(parsed, ["_income", "_age"], median_method) if medians is None else medians
+    filled = impute_median(parsed, "_income", digits=2, out="_inc_fill", cast=MONEY, medians=med)
+    filled = impute_median(filled, "_age", digits=0, rounding="half_even", out="_age_fill", medians=med)
     out = filled.select(
         "cardholder_id",
         F.col("_age_fill").cast("int").alias("age"),
@@ -171,9 +177,16 @@ def _clean_cardholders(parsed: DataFrame, median_method: str = "exact") -> tuple
         clip(F.col("_fico"), 300, 850).cast("int").alias("fico_origination"),
         F.coalesce(F.col("_hist"), F.lit(0)).cast("int").alias("credit_history_months"),
         POS, *_kept_flag(parsed))
-    names = ["exact_duplicates_removed", "missing_income_imputed", "impossible_ages_fixed",
-             "employment_blanks_filled", "fico_out_of_range_clipped", "rows_out"]
-    return out, _audit("cardholders", counts, names + more_names)
+    return out
+
+
+def _holder_counts(parsed: DataFrame) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows_out"), _surplus().alias("exact_duplicates_removed"),
+            F.count_if(F.col("_income").isNull()).alias("missing_income_imputed"),
+            F.count_if((F.col("_age_raw") < 18) | (F.col("_age_raw") > 100)).alias("impossible_ages_fixed"),
+            F.count_if(is_blank_text(F.col("_emp"))).alias("employment_blanks_filled"),
+            F.count_if((F.col("_fico") < 300) | (F.col("_fico") > 850)).alias("fico_out_of_range_clipped"),
+            *_orphans(parsed, "orphan_region_fk_dropped")]
 
 
 def _parsed_accounts(raw: DataFrame) -> DataFrame:
@@ -194,19 +207,19 @@ def _kept_flag(parsed: DataFrame) -> list[str]:
 
 
 def clean_accounts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _clean_accounts(_parsed_accounts(raw))
+    parsed = _parsed_accounts(raw)
+    return _clean_accounts(parsed), _counted("accounts", parsed, _account_counts(parsed))
+
+
+def _clean_accounts(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(~_bad_limit()).select("account_id", "cardholder_id", "product_id", "open_date",
+                                               F.col("_limit").cast(MONEY).alias("credit_limit"), POS, *_kept_flag(parsed))
 
 
-def _clean_accounts(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    more = [F.count_if(~_bad_limit() & ~F.col(PARENTS)).alias("orphan_fk_dropped")] if _kept_flag(parsed) else []
-    counts = parsed.agg(*more, F.count(F.lit(1)).alias("_dedup"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
-                        F.count_if(_bad_limit()).alias("nonpositive_limit_dropped")) \
-        .withColumn("duplicate_accounts_removed", F.col("_raw") - F.col("_dedup")) \
-        .withColumn("rows_out", F.col("_dedup") - F.col("nonpositive_limit_dropped"))
-    out = parsed.filter(~_bad_limit()).select("account_id", "cardholder_id", "product_id", "open_date",
-                                              F.col("_limit").cast(MONEY).alias("credit_limit"), POS, *_kept_flag(parsed))
-    names = ["duplicate_accounts_removed", "nonpositive_limit_dropped", "rows_out", *(["orphan_fk_dropped"] if more else [])]
-    return out, _audit("accounts", counts, names)
+def _account_counts(parsed: DataFrame) -> list[Column]:
+    return [F.count_if(~_bad_limit()).alias("rows_out"), _surplus().alias("duplicate_accounts_removed"),
+            F.count_if(_bad_limit()).alias("nonpositive_limit_dropped"),
+            *_orphans(parsed, "orphan_fk_dropped", ~_bad_limit())]
 
 
 def _parsed_statements(raw: DataFrame) -> DataFrame:
@@ -223,18 +236,19 @@ def _parsed_statements(raw: DataFrame) -> DataFrame:
 
 
 def clean_statements(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _clean_statements(_parsed_statements(raw))
+    parsed = _parsed_statements(raw)
+    return _clean_statements(parsed), _counted("monthly_statements", parsed, _statement_counts(parsed))
 
 
-def _clean_statements(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _statement_counts(parsed: DataFrame) -> list[Column]:
     pay = F.col("_payment_amount")
-    more, more_names = _orphans(parsed, "orphan_account_fk_dropped")
-    counts = parsed.agg(
-        *more,
-        F.count(F.lit(1)).alias("rows_out"), F.coalesce(F.sum(COPIES), F.lit(0)).alias("_raw"),
-        F.count_if(pay < 0).alias("negative_payments_corrected"),
-        F.count_if(pay.isNull()).alias("missing_payments_zeroed")) \
-        .withColumn("exact_duplicates_removed", F.col("_raw") - F.col("rows_out"))
+    return [F.count(F.lit(1)).alias("rows_out"), _surplus().alias("exact_duplicates_removed"),
+            F.count_if(pay < 0).alias("negative_payments_corrected"),
+            F.count_if(pay.isNull()).alias("missing_payments_zeroed"),
+            *_orphans(parsed, "orphan_account_fk_dropped")]
+
+
+def _clean_statements(parsed: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(MONEY)
 
     def money_out(c: str) -> Column:
@@ -243,12 +257,15 @@ def _clean_statements(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
             v = F.when(v < 0, F.abs(v)).otherwise(v)
         return F.coalesce(v.cast(MONEY), zero).alias(c)
 
-    out = parsed.select("statement_id", "account_id", "statement_month",
-                        *[money_out(c) for c in MONEY_COLS],
-                        F.coalesce(F.col("_dpd"), F.lit(0)).alias("days_past_due"),
-                        F.coalesce(F.col("_flag"), F.lit(0)).alias("charge_off_flag"), POS, *_kept_flag(parsed))
-    names = ["exact_duplicates_removed", "negative_payments_corrected", "missing_payments_zeroed", "rows_out"]
-    return out, _audit("monthly_statements", counts, names + more_names)
+    return parsed.select("statement_id", "account_id", "statement_month",
+                         *[money_out(c) for c in MONEY_COLS],
+                         F.coalesce(F.col("_dpd"), F.lit(0)).alias("days_past_due"),
+                         F.coalesce(F.col("_flag"), F.lit(0)).alias("charge_off_flag"), POS, *_kept_flag(parsed))
+
+
+def _counted(table: str, parsed: DataFrame, counts: list[Column]) -> DataFrame:
+    one = parsed.agg(*counts)
+    return _audit(table, one, one.columns)
 
 
 def enforce_integrity(t: Tables) -> Cleaned:
@@ -312,26 +329,66 @@ def clean_table(raw: Tables, name: str, median_method: str = "exact") -> DataFra
     return keep_referenced(clean_statements(raw[name])[0].drop(POS), "account_id", account_keys(raw))
 
 
-def clean_all(raw: Tables, median_method: str = "exact") -> Cleaned:
-    """All five tables in dependency order, with the integrity cascade.  The
-    position column is dropped from the outputs.
+PARSED_COUNTS = {"cardholders": _holder_counts, "accounts": _account_counts, "monthly_statements": _statement_counts}
+
 
-    Every table is parsed once, with a flag that says whether its rows' parents exist: its
-    clean rows, all its counts and its children's parents come from that one frame.
-    Cardholders and accounts are checkpointed in this form, as medians, counts, rows and
+def parse_all(raw: Tables, regions: DataFrame, products: DataFrame) -> Tables:
+    """The three tables that need repairs, parsed once, with a flag that says whether a row's
+    parents exist: clean rows, all counts and the children's parents come from these
+    frames.  Cardholders and accounts are checkpointed, as medians, counts, rows and
     children read them."""
-    regions, a1 = clean_reference(raw["regions"], "regions")
-    products, a2 = clean_reference(raw["card_products"], "card_products")
     holders = freeze(with_existence(_parsed_cardholders(raw["cardholders"]), PARENTS, region_id=regions.select("region_id")))
     accounts = freeze(with_existence(
         _parsed_accounts(raw["accounts"]), PARENTS, product_id=products.select("product_id"),
         cardholder_id=holders.where(PARENTS).select("cardholder_id")))
     statements = with_existence(_parsed_statements(raw["monthly_statements"]), PARENTS, account_id=accounts.where(
         F.col(PARENTS) & ~_bad_limit()).select("account_id"))
-    ch, a3 = _clean_cardholders(holders, median_method)
-    ac, a4 = _clean_accounts(accounts)
-    st, a5 = _clean_statements(statements)
-    kept = {"cardholders": ch, "accounts": ac, "monthly_statements": st}
-    tables = {"regions": regions, "card_products": products} | {
-        name: df.where(PARENTS).drop(POS, PARENTS) for name, df in kept.items()}
-    return Cleaned(tables, a1.unionByName(a2).unionByName(a3).unionByName(a4).unionByName(a5))
+    return {"cardholders": holders, "accounts": accounts, "monthly_statements": statements}
+
+
+def clean_rows(name: str, parsed: DataFrame, rows: DataFrame | None = None, median_method: str = "exact") -> DataFrame:
+    """The clean rows of a parsed table, without its position; from ``rows``, the same
+    frame under observation, if given (medians read the plain one)."""
+    rows = parsed if rows is None else rows
+    if name == "cardholders":
+        out = _clean_cardholders(rows, median_method, medians_of(parsed, ["_income", "_age"], median_method))
+    else:
+        out = (_clean_accounts if name == "accounts" else _clean_statements)(rows)
+    return out.where(PARENTS).drop(POS, PARENTS)
+
+
+def clean_all(raw: Tables, median_method: str = "exact") -> Cleaned:
+    """All five tables in dependency order, with the integrity cascade.  The
+    position column is dropped from the outputs."""
+    regions, a1 = clean_reference(raw["regions"], "regions")
+    products, a2 = clean_reference(raw["card_products"], "card_products")
+    parsed = parse_all(raw, regions, products)
+    tables, audit = {"regions": regions, "card_products": products}, a1.unionByName(a2)
+    for name, df in parsed.items():
+        tables[name] = clean_rows(name, df, median_method=median_method)
+        audit = audit.unionByName(_counted(name, df, PARSED_COUNTS[name](df)))
+    return Cleaned(tables, audit)
+
+
+def clean_and_write(raw: Tables, write: Callable[[str, DataFrame], DataFrame], median_method: str = "exact") -> DataFrame:
+    """Cleans every table and hands it to ``write(name, rows)``, which writes it and returns it
+    as written; returns the audit, counted on the rows while they are written.
+
+    The counts are observed metrics of the writing stage (a retried task counts once), so
+    nothing is read a second time for them; 18 numbers reach the driver."""
+    counts: dict[str, dict[str, int]] = {}
+
+    def observed(name: str, df: DataFrame, aggregates: list[Column], rows) -> DataFrame:
+        seen = Observation(f"audit_{name}")
+        written = write(name, rows(df.observe(seen, *aggregates)))
+        counts[name] = seen.get
+        return written
+
+    small = {name: observed(name, clean_reference(raw[name], name)[0], [F.count(F.lit(1)).alias("rows_out")], lambda df: df)
+             for name in ("regions", "card_products")}
+    spark = raw["regions"].sparkSession
+    parsed = parse_all(raw, small["regions"], small["card_products"])
+    for name, df in parsed.items():
+        observed(name, df, PARSED_COUNTS[name](df), lambda rows: clean_rows(name, df, rows, median_method))
+    rows = [(table, check, int(counts[table][check])) for table, checks in CHECK_ORDER.items() for check in checks]
+    return spark.createDataFrame(rows, "table_name string, check_name string, cnt long")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from creditscope.config import PortfolioConfig
 from creditscope.functions.exprs import half_up, rate, ratio_half_up, round_half_up
-from creditscope.operators.ranking import exact_medians
+from creditscope.operators.radix import radix_medians
 from creditscope.plans.kpis import count_if
 from creditscope.session import freeze
 
@@ -69,7 +69,7 @@ def segment_features(cur: DataFrame) -> DataFrame:
                              "credit_history_months", "days_past_due",
                              (F.col("days_past_due") >= CFG.delinquent_dpd).alias("delinquent"),
                              *[F.col(c).cast("double").alias(f"f_{c}") for c in SEGMENT_FEATURES]))
-    med = exact_medians(base, [f"f_{c}" for c in SEGMENT_FEATURES])
+    med = radix_medians(base, [f"f_{c}" for c in SEGMENT_FEATURES])
     filled = base
     for c in SEGMENT_FEATURES:
         filled = filled.withColumn(f"f_{c}", F.coalesce(F.col(f"f_{c}"), med.select(f"f_{c}").scalar()))

@@ -54,13 +54,18 @@ def write_tables(tables: dict[str, DataFrame], root: str, fmt: str = "parquet",
     """Write the clean tables parents-first.  Statements may be partitioned by
     month so period filters prune files."""
     for name in LOAD_ORDER:
-        w = tables[name].write.mode("overwrite")
-        if name == "monthly_statements" and partition_statements_by_month:
-            w = w.partitionBy("statement_month")
-        if fmt == "csv":
-            w.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(f"{root}/{name}")
-        else:
-            w.parquet(f"{root}/{name}")
+        write_table(tables[name], root, name, fmt, partition_statements_by_month)
+
+
+def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", by_month: bool = False) -> None:
+    """One clean table at ``root/name``."""
+    w = df.write.mode("overwrite")
+    if name == "monthly_statements" and by_month:
+        w = w.partitionBy("statement_month")
+    if fmt == "csv":
+        w.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(f"{root}/{name}")
+    else:
+        w.parquet(f"{root}/{name}")
 
 
 def write_extracts(extracts: dict[str, DataFrame], root: str) -> None:
