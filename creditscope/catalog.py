@@ -6,6 +6,7 @@ subset to make it cheaper.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from creditscope.config import PortfolioConfig
 from creditscope.operators.window import trim_after_event
-from creditscope.plans import clean, decision, kpis, models, quality, root_cause, state, trends
-from creditscope.session import freeze
+from creditscope.plans import clean, cube, decision, kpis, load, models, quality, root_cause, state, trends
+from creditscope.session import ensure_checkpoint_dir, freeze
 from creditscope.sources.binding import bind_broken, bind_clean, bind_raw
 
 CFG = PortfolioConfig()
@@ -75,6 +76,9 @@ QUERIES: dict[str, Query] = {
     "quality_report": lambda s, d: quality.quality_report(_raw(s, d)),
     "constraint_report": _on_tables(quality.check_constraints),
     "constraint_report_dirty": lambda s, d: quality.check_constraints(bind_broken(s, _tables(s, d))),
+    "load_report_dirty": lambda s, d: load.load_report(load.gate(bind_broken(s, _tables(s, d)))),
+    "load_kept_statements": lambda s, d: load.kept_rows(
+        load.gate(bind_broken(s, _tables(s, d)))["monthly_statements"], "monthly_statements"),
     "table_counts": _on_tables(quality.table_counts),
     "behavior_segments": _on_current(models.behavior_segments),
     "segment_assign": _on_current(models.segment_assign),
@@ -87,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "scored_sample_500": _on_current(lambda cur: decision.scored_sample(cur, 500)),
     "portfolio_kpis_by_product_region_band": _on_current(lambda cur: kpis.portfolio_kpis(
         cur, ["product_id", "region_id", root_cause.utilization_band()])),
+    "portfolio_cube": _on_current(lambda cur: cube.cube_kpis(cube.portfolio_cube(cur))),
+    "portfolio_slice_stored": lambda s, d: _stored_slice(s, d),
     "behavior_segments_step": _on_current(models.segments_step),
     "behavior_segments_run": _on_current(models.segments_run),
     "driver_gradient": _on_current(models.driver_gradient),
@@ -99,6 +105,14 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _stored_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portfolio by region, high utilization and not of the lowest tier, from a stored cube."""
+    path = f"{ensure_checkpoint_dir(spark)}/cube-{uuid.uuid4().hex}"
+    cube.write_cube(cube.portfolio_cube(_cur(spark, sf_dir)), path)
+    return cube.cube_slice(cube.read_cube(spark, path), ["region_id"], {
+        "utilization_band": root_cause.UTIL_LABELS[2:], "risk_tier": CFG.tier_labels[1:]})
+
+
 def _headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     # The driver model and the record read the current state: derive it once, reliably.

@@ -8,7 +8,7 @@ Spark side are only the binding texts and the exact HALF_UP rounding rule.
 
 from __future__ import annotations
 
-from creditscope.schema import CONSTRAINTS, LOAD_ORDER
+from creditscope.schema import CONSTRAINTS, LOAD_ORDER, TABLES
 from creditscope.sources.binding import broken_sql, oracle_ctes
 
 
@@ -145,6 +145,16 @@ select (select max(region_name) from regions c where c.region_id = k) as region_
   select product, region, label, {SUMS} from book join bands
   on (low is null or util >= low) and (high is null or util < high) or util is null and high is null group by all)""") + f"""
 select cast(product as int) as product_id, cast(region as int) as region_id, label as utilization_band, {_portfolio()} from g"""
+    banded = """banded as (select book.*, label from book join bands
+  on (low is null or util >= low) and (high is null or util < high) or util is null and high is null)"""
+    q["portfolio_cube"] = _book(BANDS, banded, f"""g as (
+  select cast(grouping_id(tier, product, region, label) as int) as level, tier, product, region, label, {SUMS}
+  from banded group by cube (tier, product, region, label))""") + f"""
+select level as grouping_level, tier as risk_tier, cast(product as int) as product_id, cast(region as int) as region_id,
+  label as utilization_band, {_portfolio()} from g"""
+    q["portfolio_slice_stored"] = _book(BANDS, banded, _grouped(
+        "region", "banded", "where label in ('3 60-90%', '4 90%+') and tier <> 'Tier 1 - Low Risk'")) + f"""
+select cast(k as int) as region_id, {_portfolio()} from g"""
     q["risk_tier_kpis"] = _book(_grouped("tier")) + f"""
 select k as risk_tier, n as accounts, {pct('n', _of_all('n'), 1)} as pct_of_accounts, {avg_int('f', 'f_n')} as avg_fico,
   {avg_pct('u', 'u_n')} as avg_utilization_pct, {pct('thin_n', 'n', 1)} as pct_thin_file,
@@ -294,9 +304,30 @@ union all select 'monthly_statements', count(*) from monthly_statements"""
     q["constraint_report"] = with_clean() + constraint_sql()
     broken = [f"broken_{t} as ({broken_sql(t, t)})" for t in LOAD_ORDER]
     q["constraint_report_dirty"] = with_clean(*broken) + constraint_sql("broken_")
+    loads = [_load_cte(t) for t in LOAD_ORDER]
+    q["load_report_dirty"] = with_clean(*broken, *loads) + "\nunion all ".join(
+        f"""select '{t}' as table_name, outcome, count(*) as rows, cast(sum({TABLES[t].fieldNames()[0]}) as bigint) as key_sum
+from load_{t} group by outcome""" for t in LOAD_ORDER)
+    q["load_kept_statements"] = with_clean(*broken, *loads) + f"""
+select {', '.join(TABLES['monthly_statements'].fieldNames())} from load_monthly_statements where outcome = 'loaded'"""
     return q
 
 
+def _load_cte(table: str) -> str:
+    """CTE ``load_<table>``: every row of the broken table with its outcome at the gate."""
+    mine = {kind: [c for c in CONSTRAINTS if c.table == table and c.kind == kind] for kind in ("not_null", "check", "fk", "pk")}
+    key = mine["pk"][0].column
+    faults = [f"when x.{c.column} is null then '{c.name}'" for c in mine["not_null"]]
+    faults += [f"when not coalesce({c.sql}, true) then '{c.name}'" for c in mine["check"]]
+    faults += [f"when x.{c.column} is not null and not exists (select 1 from load_{c.ref_table} p where p.outcome = 'loaded' "
+               f"and p.{c.ref_column} = x.{c.column}) then '{c.name}'" for c in mine["fk"]]
+    order = ", ".join(f"{f} nulls first" for f in TABLES[table].fieldNames())
+    return f"""load_{table} as (
+  select * exclude (fault), coalesce(fault, case row_number() over (partition by fault is null, {key} order by {order})
+                                     when 1 then 'loaded' else '{mine['pk'][0].name}' end) as outcome
+  from (select x.*, case {' '.join(faults)} end as fault from broken_{table} x) judged)"""
+
+
 def constraint_sql(prefix: str = "") -> str:
     parts = []
     for c in CONSTRAINTS:

@@ -22,7 +22,7 @@ from creditscope.plans import decision, models, quality, state
 from creditscope.plans.clean import clean_and_write
 from creditscope.schema import LOAD_ORDER
 from creditscope.session import freeze, get_spark
-from creditscope.sources.io import read_raw, read_table, read_tables, write_extracts, write_json, write_table
+from creditscope.sources.io import read_raw, read_table, read_tables, write_json, write_named_extracts, write_table
 
 
 def run_cleaning(spark: SparkSession, raw_dir: str, out_dir: str, fmt: str = "parquet") -> dict[str, DataFrame]:
@@ -49,8 +49,8 @@ def run_analytics(spark: SparkSession, clean_dir: str, out_dir: str, fmt: str =
     cur = freeze(state.account_current(t, cfg))
     drivers = freeze(models.delinquency_drivers(cur))
     segments = models.behavior_segments(cur, cfg=cfg)
-    write_extracts(decision.extracts(t, cur, cfg, segments=segments, drivers=drivers), f"{out_dir}/extracts")
-    write_extracts({"account_scored_sample": decision.scored_sample(cur, cfg=cfg)}, f"{out_dir}/extracts")
+    write_named_extracts(decision.extracts(t, cur, cfg, segments=segments, drivers=drivers), f"{out_dir}/extracts")
+    write_named_extracts({"account_scored_sample": decision.scored_sample(cur, cfg=cfg)}, f"{out_dir}/extracts")
     findings = decision.headline_findings(t, cur, drivers=drivers, cfg=cfg)
     write_json(findings, f"{out_dir}/reports/kpis")
     return findings

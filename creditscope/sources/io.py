@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from creditscope.functions.exprs import null_tokens_to_null
 from creditscope.plans.clean import POS
 from creditscope.schema import LOAD_ORDER, TABLES, raw_schema
+from creditscope.sources.files import name_single_part
 
 
 def read_raw(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
@@ -75,6 +76,14 @@ def write_extracts(extracts: dict[str, DataFrame], root: str) -> None:
          .option("dateFormat", "yyyy-MM-dd").csv(f"{root}/{name}"))
 
 
+def write_named_extracts(extracts: dict[str, DataFrame], root: str) -> None:
+    """The extracts as files ``root/<name>.csv``: each is written beside its place and gets
+    its name by a rename when it is whole, in place of an older one."""
+    for name, df in extracts.items():
+        write_extracts({f"_writing-{name}": df}, root)
+        name_single_part(df.sparkSession, f"{root}/_writing-{name}", f"{root}/{name}.csv", ".csv")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A small result (audit, findings) as JSON lines."""
     df.coalesce(1).write.mode("overwrite").json(path)
