@@ -87,21 +87,21 @@ def in_money(value: Column) -> Column:
     return F.when(value.try_cast(MONEY).isNotNull(), value)
 
 
-def medians_of(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
-    return (approximate_medians if method == "approx" else radix_medians)(df, cols)
+def medians_of(df: DataFrame, cols: Sequence[str], method: str = "exact") -> Column:
+    """The columns' medians as one scalar subquery (a struct), so that all come from one run."""
+    return (approximate_medians if method == "approx" else radix_medians)(df, cols).select(F.struct(*cols)).scalar()
 
 
 def impute_median(df: DataFrame, col: str, digits: int = 2, rounding: str = "half_up",
                   method: str = "exact", out: str | None = None, cast=None,
-                  medians: DataFrame | None = None) -> DataFrame:
+                  medians: Column | None = None) -> DataFrame:
     """Fill NULLs of ``col`` with its median rounded to ``digits`` (HALF_UP, or
     HALF_EVEN for whole-number medians such as age) into ``out``.
 
     The median enters every row as a scalar subquery (computed once); ``medians`` is a
-    one-row frame that has it already."""
-    med = medians if medians is not None else medians_of(df, [col], method)
-    rounded = round_half_even(F.col(col), digits) if rounding == "half_even" else round_half_up(F.col(col), digits)
-    fill = med.select(rounded).scalar()
+    value of ``medians_of`` that has it already."""
+    med = (medians if medians is not None else medians_of(df, [col], method)).getField(col)
+    fill = round_half_even(med, digits) if rounding == "half_even" else round_half_up(med, digits)
     value = F.coalesce(F.col(col), fill)
     if cast is not None:
         value = F.coalesce(F.col(col).cast(cast), fill.cast(cast))
@@ -164,7 +164,7 @@ def clean_cardholders(raw: DataFrame, median_method: str = "exact") -> tuple[Dat
     return _clean_cardholders(parsed, median_method), _counted("cardholders", parsed, _holder_counts(parsed))
 
 
-def _clean_cardholders(parsed: DataFrame, median_method: str = "exact", medians: DataFrame | None = None) -> DataFrame:
+def _clean_cardholders(parsed: DataFrame, median_method: str = "exact", medians: Column | None = None) -> DataFrame:
     med = medians_of(parsed, ["_income", "_age"], median_method) if medians is None else medians
     filled = impute_median(parsed, "_income", digits=2, out="_inc_fill", cast=MONEY, medians=med)
     filled = impute_median(filled, "_age", digits=0, rounding="half_even", out="_age_fill", medians=med)
