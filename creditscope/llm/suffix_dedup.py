@@ -53,27 +53,64 @@ SLICE_BYTES = 2 << 20
 _U = np.uint64
 _NEVER = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
+#: Positions that are hashed together; a place among them and the next window fits the bits.
+PIECE, PIECE_BITS = 1 << 14, 15
+_BYTE_HASHES = textscan.mix(np.arange(1, 257, dtype=np.uint64))
 
 OUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
                     T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
 
 def _gram_hashes(buf: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes from every position, by doubling."""
-    if len(buf) < size:
-        return np.zeros(0, np.uint64)
-    part, span = textscan.mix(buf.astype(np.uint64) + _U(1)), 1
-    total, width = np.zeros(len(buf), np.uint64), 0  # of the parts taken so far
-    while size:
+    """Hash of the ``size`` bytes from every position, in pieces that stay in cache."""
+    n = len(buf) - size + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for begin in range(0, n, PIECE):
+        part = _piece_hashes(buf[begin:begin + PIECE + size - 1], size)
+        out[begin:begin + len(part)] = part
+    return out
+
+
+def _piece_hashes(buf: np.ndarray, size: int) -> np.ndarray:
+    """By doubling: hashes of 1, 2, 4, ... bytes, put together for ``size``."""
+    part, span = _BYTE_HASHES[buf], 1
+    total, width = None, 0  # of the parts taken so far
+    while True:
         if size & 1:
-            n = len(part) - width
-            total = total[:n] * _U(pow(_BASE, span, 1 << 64)) + part[width:]
+            if total is None:
+                total = part
+            else:
+                n = len(part) - width
+                total = total[:n] * _U(pow(_BASE, span, 1 << 64))
+                total += part[width:]
             width += span
         size >>= 1
-        if size:
-            part = part[:-span] * _U(pow(_BASE, span, 1 << 64)) + part[span:]
+        if not size:
+            return textscan.mix(total)
+        joined = part[:-span] * _U(pow(_BASE, span, 1 << 64))
+        joined += part[span:]
+        part, span = joined, span * 2
+
+
+def _leading_places(hashes: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` windows the place of the least of its hashes; the leftmost of
+    those that are equal in all but ``PIECE_BITS`` bits."""
+    windows = LENGTH - GRAM + 1
+    at = np.empty(n, np.int64)
+    place = np.arange(1 << PIECE_BITS, dtype=np.uint64)
+    for begin in range(0, n, PIECE):
+        count = min(PIECE, n - begin)
+        # Hash in front, place in the piece behind.
+        least = hashes[begin:begin + count + windows - 1] >> _U(PIECE_BITS) << _U(PIECE_BITS)
+        least |= place[:len(least)]
+        span = 1
+        while span * 2 <= windows:
+            least = np.minimum(least[:-span], least[span:])
             span *= 2
-    return textscan.mix(total)
+        least = np.minimum(least[:count], least[windows - span:windows - span + count])
+        at[begin:begin + count] = least & _U((1 << PIECE_BITS) - 1)
+        at[begin:begin + count] += begin
+    return at
 
 
 class Stretches:
@@ -82,30 +119,23 @@ class Stretches:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.buf = buf
         self.hashes = hashes = _gram_hashes(buf, GRAM)
-        windows = LENGTH - GRAM + 1
         n = len(buf) - LENGTH + 1
         none = np.zeros(0, np.int64)
         self.doc = self.first = self.last = self.lead = none
         self.leader = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        # Hash in front, position behind: the least is the leftmost least.
-        bits = _U(max(1, int(len(buf)).bit_length()))
-        place = np.arange(len(hashes), dtype=np.uint64)
-        least = (hashes >> bits << bits) | place
-        span = 1
-        while span * 2 <= windows:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        least = np.minimum(least[:n], least[windows - span:windows - span + n])
-        at = (least & ((_U(1) << bits) - _U(1))).astype(np.int64)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-        whole = np.arange(n) + LENGTH <= offsets[1:][doc]
-        start = np.flatnonzero(whole & np.concatenate(
-            ([True], (at[1:] != at[:-1]) | ~whole[:-1])))
-        stop = np.flatnonzero(whole & np.concatenate(((at[1:] != at[:-1]) | ~whole[1:], [True])))
+        at = _leading_places(hashes, n)
+        whole = np.ones(n, bool)  # windows that end in their document
+        over = np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1])
+        over = _ranges(over, offsets[1:] - over)
+        whole[over[over < n]] = False
+        other = at[1:] != at[:-1]
+        start = np.flatnonzero(whole & np.concatenate(([True], other | ~whole[:-1])))
+        stop = np.flatnonzero(whole & np.concatenate((other | ~whole[1:], [True])))
         self.first, self.last = start, stop          # first and last window of each stretch
-        self.doc, self.leader = doc[start], hashes[at[start]]
+        self.doc = np.searchsorted(offsets, start, side="right") - 1
+        self.leader = hashes[at[start]]
         self.lead = at[start] - start                # place of the leader in the stretch
 
     def contents(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
