@@ -35,6 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,16 +113,17 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and fingerprint of every text of the slices."""
+    """Size, fingerprint and slice of every text of the slices."""
     for batch in batches:
-        for value in batch.column(1):
+        for number, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             rows = sliced.unpacked(value)
             sets = shingle_sets(sliced.text_of(rows))
             prints = [_fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [sliced.field(rows, "c0"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
-                names=["id", "n", "x", "y"])
+                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
+                 pa.array([number] * len(sets), pa.int64())],
+                names=["id", "n", "x", "y", "slice"])
 
 
 def _distinct_sets(payload: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -259,6 +261,16 @@ def _scan_lists(table: pa.Table) -> pa.Table:
                      "b": pa.array(np.concatenate([b for _, _, b in out]))})
 
 
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) of the ids that a slice is asked for."""
+    for batch in batches:
+        for payload, wanted in zip(batch.column(0), batch.column(1)):
+            rows = sliced.unpacked(payload)
+            ids = sliced.field(rows, "c0")
+            asked = pc.is_in(ids, value_set=wanted.values)
+            yield pa.RecordBatch.from_arrays([ids.filter(asked), sliced.text_of(rows).filter(asked)], names=["id", "text"])
+
+
 class _Cluster:
     """The sets of one block (or of a pair of blocks) of a candidate cluster."""
 
@@ -352,7 +364,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
                              F.col(f"`{text}`").cast("string").alias("text"))
     slices = sliced.slices(sliced.text_rows(texts, "text", ["id"])[0])
     payloads = slices.select("slice", "payload")
-    sets = stored(payloads.mapInArrow(_profile, "id long, n long, x long, y long"), "profile")
+    sets = stored(payloads.mapInArrow(_profile, "id long, n long, x long, y long, slice long"), "profile")
     # Texts with equal sets: the least id stands for all of them.
     least = sets.where("n > 0 and id is not null").groupBy("n", "x", "y").agg(
         F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
@@ -384,7 +396,11 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     members = stored(members.select(*own, "block", F.least("block", "other").alias("i"),
                                     F.greatest("block", "other").alias("j")), "members")
-    todo = members.join(texts, F.col("rep") == F.col("id")).select(
+    # Only the members' texts leave their slices.
+    asked = sets.join(members.select("rep").distinct(), F.col("id") == F.col("rep")).groupBy("slice").agg(
+        F.collect_set("id").alias("asked"))
+    own_texts = payloads.join(asked, "slice").select("payload", "asked").mapInArrow(_texts_of, "id long, text string")
+    todo = members.join(own_texts, F.col("rep") == F.col("id")).select(
         "cluster", "i", "j", "block", "id", "n", "x", "y", "copies", "text")
     parts = tasks_for(members.count(), 2000)
     groups = todo.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
@@ -401,7 +417,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
     first = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_set = labelled.join(first, "label").select(
         F.col("n").alias("sn"), F.col("x").alias("sx"), F.col("y").alias("sy"), "component_id", "n_links")
-    placed = sets.join(of_set, (F.col("n") == F.col("sn")) & (F.col("x") == F.col("sx")) & (
+    placed = sets.select("id", "n", "x", "y").join(of_set, (F.col("n") == F.col("sn")) & (F.col("x") == F.col("sx")) & (
         F.col("y") == F.col("sy")), "left")
     return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                          F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
