@@ -4,11 +4,15 @@ The model predicts the bytes of a text's words, and the words' ends, from the up
 ``order - 1`` symbols before them.  With ``across`` the context runs over word ends
 back to the text's begin; without it, it starts anew at every word (a begin mark
 stands in front), so word order and repetition cannot change a perplexity.  An n-gram
-is an integer: a leading 1, then its bytes (so the order is at most 7).  Counts cover all trusted texts; they, the
-continuation counts, the contexts and the discounts are tables that Spark shards by
-key.  To score, the texts are cut into blocks; each block's distinct n-grams are
-joined to the count tables, and the probabilities go back to the block, so what is
-joined grows with the n-grams of a block, not with its bytes.  A text is rejected
+is an integer: a leading 1, then its bytes (so the order is at most 7).  Counts cover
+all trusted texts.  An n-gram's shard follows from its third and second last symbols:
+its suffixes of three symbols and more and their contexts lie in that shard too, so a
+shard derives their counts, continuation counts, contexts and probabilities by itself,
+and an n-gram travels once, packed, whatever its order.  The tables of one and two
+symbols (at most 65,536 each) are summed over the shards.  To score, the texts are cut
+into blocks; a block sends its distinct n-grams to the shards as packed rows, which
+stream past the shard's tables, and gets their costs back, so what travels grows with
+the distinct n-grams of a block, not with its bytes.  A text is rejected
 when its perplexity exceeds its language's quantile over the trusted texts.  Texts
 that a model has learned look better than new ones, so the quantiles come from
 ``FOLDS`` further models, each without the texts of its fold (equal texts share one),
@@ -32,12 +36,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditscope.llm import sliced, textscan
-from creditscope.llm.tables import free_name, stored
+from creditscope.llm.tables import free_name, stored, tasks_for
 
 ORDER = 5
 #: Order of the model whose context runs over word ends: the most that a key holds.
@@ -49,12 +54,15 @@ ALL = -1  # the model of all trusted texts
 BIN = 1e-4
 #: Up to so many trusted ids (8 bytes each) travel to the scans; more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
-#: n-grams that a task gathers before it passes on its partial counts.
+#: n-grams that a task gathers before it passes on, or adds up, its partial counts.
 PARTIAL = 2_000_000
+#: Trusted text per shard of the tables; scored text per copy of them.
+SHARD_BYTES = 2 << 20
+COPY_BYTES = 1 << 30
 #: Bytes of text in a block: slices of a task that ask for their n-grams together.
 BLOCK_BYTES = 16 << 20
 #: Costs are whole numbers of this part of a nat, so sums do not depend on their order.
-COST_SCALE = 1 << 16
+COST_SCALE = 1 << 13
 MARK = 32  # begin and end of a word; a space is never inside one
 BEGIN = 10  # begin of a text, in front of its first mark; never inside a word either
 
@@ -118,28 +126,95 @@ def _distinct(texts: pa.Array, order: int, across: bool) -> tuple[np.ndarray, np
     return keys, np.bincount(inverse, weight, len(keys)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, across: bool) -> Iterator[pa.RecordBatch]:
-    """Partial counts by fold of a task's texts (columns text, fold)."""
-    held = {}
+def _shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
+    """By the third and second last symbols."""
+    pair = (gram.astype(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFF)
+    return (textscan.mix(pair + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as byte planes."""
+    return zstandard.compress(np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data))
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its keys in their order)."""
+    shard = _shard_of(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for part in np.split(order, edges[1:]) if len(order) else ():
+        yield int(shard[part[0]]), part
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts (rows of counts)."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[..., order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first, axis=-1) if len(first) else counts
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int, across: bool, shards: int) -> Iterator[pa.RecordBatch]:
+    """Packed partial counts by shard of a task's texts (columns text, fold)."""
+    keys, counts = np.zeros(0, np.int64), np.zeros((FOLDS, 0), np.int64)
 
     def out():
-        for fold, columns in held.items():
-            for at in range(0, len(columns[0]), 100_000):
-                part = [pa.array(x[at:at + 100_000]) for x in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part[0]), fold, np.int32)), *part], names=["fold", "gram", "n"])
+        rows = [(shard, _pack_sorted(keys[at]), _pack(counts[:, at].ravel())) for shard, at in _by_shard(keys, shards)]
+        columns = zip(*rows) if rows else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))],
+                                          names=["shard", "grams", "counts"])
 
     for batch in _by_fold(textscan.slices(batches)):
-        fold = batch.column(1)[0].as_py()
         gram, times = _distinct(batch.column(0), order, across)
-        before = held.get(fold, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        keys, inverse = np.unique(np.concatenate([before[0], gram]), return_inverse=True)
-        weight = np.concatenate([before[1], times]).astype(np.float64)
-        held[fold] = (keys, np.bincount(inverse, weight, len(keys)).astype(np.int64))
-        if sum(len(k) for k, _ in held.values()) > PARTIAL:
-            yield from out()
-            held.clear()
-    yield from out()
+        new = np.zeros((FOLDS, len(gram)), np.int64)
+        new[batch.column(1)[0].as_py()] = times
+        keys, counts = _added(np.concatenate([keys, gram]), np.concatenate([counts, new], axis=1))
+        if len(keys) > PARTIAL:
+            yield out()
+            keys, counts = keys[:0], counts[:, :0]
+    yield out()
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard: the counts of each shard, added up as they come."""
+    shard, keys, counts, parts = None, None, None, []
+
+    def add():
+        nonlocal keys, counts, parts
+        keys, counts = _added(np.concatenate([keys, *[k for k, _ in parts]]),
+                              np.concatenate([counts, *[c for _, c in parts]], axis=1))
+        parts = []
+
+    def out():
+        add()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int64()), pa.array([_pack_sorted(keys)], pa.binary()),
+             pa.array([_pack(counts.ravel())], pa.binary())], names=["shard", "grams", "counts"])
+
+    for batch in batches:
+        for own, grams, times in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != shard:
+                if shard is not None:
+                    yield out()
+                shard, keys, counts = own, np.zeros(0, np.int64), np.zeros((FOLDS, 0), np.int64)
+            parts.append((_unpack_sorted(grams), _unpack(times).reshape(FOLDS, -1)))
+            if sum(len(k) for k, _ in parts) > PARTIAL:
+                add()
+    if shard is not None:
+        yield out()
 
 
 def _by_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,33 +225,72 @@ def _by_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(folds == fold))
 
 
-def _order_of(gram: Column, order: int) -> Column:
-    """Symbols of an n-gram, from the place of its leading 1."""
-    out = F.lit(order)
-    for n in range(order - 1, 0, -1):
-        out = F.when(gram < (1 << (8 * (n + 1))), n).otherwise(out)
-    return out
+def _sizes(gram: np.ndarray, order: int) -> np.ndarray:
+    """Symbols of each n-gram, from the place of its leading 1."""
+    return np.searchsorted(np.array([1 << (8 * n) for n in range(1, order + 1)]), gram, side="right")
 
 
-def _size(n: Column) -> Column:
-    """256 ** n, which is also the leading 1 of an n-gram of n symbols."""
-    return F.element_at(F.array(*[F.lit(1 << (8 * i)).cast("long") for i in range(8)]), n.cast("int") + 1)
-
-
-def _suffix(gram: Column, n: Column) -> Column:
+def _suffix(gram: np.ndarray, n: int) -> np.ndarray:
     """The last ``n`` symbols."""
-    return gram.bitwiseAND(_size(n) - 1).bitwiseOR(_size(n))
+    return (gram & ((1 << (8 * n)) - 1)) | (1 << (8 * n))
+
+
+def _types(gram: np.ndarray, n: np.ndarray, order: int, begin: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Of a shard's n-grams of one model and their counts: by size from ``order`` down to
+    3 the distinct n-grams and their adjusted counts; then the distinct n-grams of two
+    symbols and how many of three symbols end in each."""
+    gram, n = gram[n > 0], n[n > 0]
+    size, out, longer = _sizes(gram, order), {}, np.zeros(0, np.int64)
+    for s in range(order, 2, -1):
+        types, followed = np.unique(_suffix(longer, s), return_counts=True)
+        # A begin has nothing before it: its n-grams keep raw counts, like the longest.
+        longer, a = _added(np.concatenate([types, gram[size == s]]), np.concatenate([followed, n[size == s]]))
+        out[s] = longer, a
+    return (out, *np.unique(_suffix(longer, 2), return_counts=True))
+
+
+def _models(counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(model, counts): a text counts for every model but its own fold's."""
+    total = counts.sum(axis=0)
+    yield ALL, total
+    for fold in range(FOLDS):
+        yield fold, total - counts[fold]
+
+
+def _statistics(batches: Iterator[pa.RecordBatch], order: int, begin: int) -> Iterator[pa.RecordBatch]:
+    """Rows (model, size, gram, c, n).  Size 3 and more: c n-grams have the adjusted count
+    ``gram`` (1 to 4).  Below: an n-gram that c longer ones end in, seen n times itself."""
+    for batch in batches:
+        for packed, times in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            gram, rows = _unpack_sorted(packed), []
+            size = _sizes(gram, order)
+            for model, n in _models(_unpack(times).reshape(FOLDS, -1)):
+                types, two, c = _types(gram, n, order, begin)
+                for s, (_, a) in types.items():
+                    rows.append((model, s, np.arange(1, 5), np.bincount(np.minimum(a, 5), minlength=6)[1:5], np.zeros(4, np.int64)))
+                rows.append((model, 2, two, c, np.zeros(len(two), np.int64)))
+                for s in (1, 2):
+                    own = (size == s) & (n > 0)
+                    rows.append((model, s, gram[own], np.zeros(int(own.sum()), np.int64), n[own]))
+            columns = [np.concatenate([np.full(len(r[2]), r[i], np.int32) for r in rows]) for i in (0, 1)]
+            columns += [np.concatenate([r[i] for r in rows]).astype(np.int64) for i in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["model", "size", "gram", "c", "n"])
 
 
 @dataclass
 class Model:
-    """Tables of the model of all texts (fold ``ALL``) and of those without a fold."""
-    counts: DataFrame    # fold, gram, a: adjusted count
-    contexts: DataFrame  # fold, context, total, gamma
-    discounts: dict[int, dict[int, tuple[float, float, float]]]  # by fold and order
+    """Tables of the model of all texts (``ALL``) and of those without a fold."""
+    tables: DataFrame    # shard, grams, counts: packed n-grams and their counts by fold
+    shards: int
+    discounts: dict[int, dict[int, tuple[float, float, float]]]  # by model and size, from 3 on
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by model: probabilities of one and of two symbols
     order: int
     across: bool = False  # the context runs over word ends
 
+    @property
+    def begin(self) -> int:
+        return BEGIN if self.across else MARK
+
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Chen and Goodman's three discounts; an empty class leaves its discount at 0."""
@@ -188,66 +302,109 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
     return tuple(min(max(d, 0.0), float(i)) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, d2), (3, d3)))
 
 
+def _interpolated(a: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Probabilities of every symbol (column) in every context (row)."""
+    discount = np.array([0.0, *discounts_of(*[int((a == i).sum()) for i in (1, 2, 3, 4)])])[np.minimum(a, 3)]
+    total = a.sum(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        p = (np.maximum(a - discount, 0) + discount.sum(axis=1, keepdims=True) * below) / total
+    return np.where(total > 0, p, below)
+
+
+def _short(rows: list, order: int, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of one and of two symbols, from the statistics of one model."""
+    c, n, one = np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64), np.zeros((1, 256), np.int64)
+    for r in rows:
+        if r["size"] == 2:
+            place = divmod(r["gram"] & 0xFFFF, 256)
+            c[place], n[place] = r["c"], r["n"]
+        elif r["size"] == 1:
+            one[0, r["gram"] & 0xFF] = r["n"]
+    if order > 1:
+        one = ((c + n) > 0).sum(axis=0, keepdims=True)
+    if order > 2:
+        c[begin] = n[begin]
+    p = _interpolated(one, np.full((1, 256), 1 / 256))
+    return p.ravel(), _interpolated(n if order == 2 else c, p).ravel()
+
+
 def train(trusted: DataFrame, text: str = "text", order: int = ORDER, across: bool = False) -> Model:
-    """Count tables of all rows of ``trusted``, in all and without each fold."""
+    """Sharded counts of all rows of ``trusted``, in all and without each fold."""
     texts = trusted.select(F.col(f"`{text}`").cast("string").alias("text"), _fold(text).alias("fold"))
-    partial = texts.mapInArrow(lambda b: _count(b, order, across), "fold int, gram long, n long")
-    summed = stored(partial.groupBy("fold", "gram").agg(F.sum("n").alias("n")), "lm-partial")
-    # A text counts for every model but its own fold's.
-    models = F.filter(F.array(*[F.lit(f) for f in range(ALL, FOLDS)]), lambda f: f != F.col("fold"))
-    raw = stored(summed.select(F.explode(models).alias("fold"), "gram", "n").groupBy("fold", "gram").agg(
-        F.sum("n").alias("n")), "lm-raw")
-    gram = F.col("gram")
-    types = raw.select("fold", F.explode(F.transform(
-        F.sequence(F.lit(1), _order_of(gram, order)), lambda n: _suffix(gram, n))).alias("gram")).distinct()
-    size = _order_of(gram, order)
-    followed = types.where(size > 1).select("fold", _suffix(gram, size - 1).alias("gram")).groupBy(
-        "fold", "gram").agg(F.count("*").alias("c"))
-    begins = (size > 1) & (F.floor((gram - _size(size)) / _size(size - 1)) == (BEGIN if across else MARK))
-    # A begin has nothing before it: its n-grams keep raw counts, like the longest.
-    joined = types.join(raw, ["fold", "gram"], "left").join(followed, ["fold", "gram"], "left")
-    counts = stored(joined.select("fold", "gram", F.when((size == order) | begins, F.col("n")).otherwise(
-        F.col("c")).alias("a")).where("a > 0"), "lm-counts")
-    discounts = {f: {n: (0.0,) * 3 for n in range(1, order + 1)} for f in range(ALL, FOLDS)}
-    for r in counts.groupBy("fold", size.alias("size")).agg(
-            *[F.count_if(F.col("a") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect():
-        discounts[r["fold"]][r["size"]] = discounts_of(*[r[f"n{i}"] for i in (1, 2, 3, 4)])
-    context = F.shiftrightunsigned(gram, 8).cast("long")
-    contexts = stored(counts.groupBy("fold", context.alias("context")).agg(
-        F.sum("a").alias("total"), F.sum(_discount(F.col("a"), size, discounts)).alias("freed"))
-        .select("fold", "context", "total", (F.col("freed") / F.col("total")).alias("gamma")), "lm-contexts")
-    return Model(counts, contexts, discounts, order, across)
+    shards = tasks_for(texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0, SHARD_BYTES)
+    schema, begin = "shard long, grams binary, counts binary", BEGIN if across else MARK
+    partial = texts.mapInArrow(lambda b: _count(b, order, across, shards), schema)
+    tables = stored(partial.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_add_up, schema), "lm-tables")
+    found = tables.mapInArrow(lambda b: _statistics(b, order, begin), "model int, size int, gram long, c long, n long")
+    # At most 65,536 rows of two symbols, 256 of one and four per size for each model.
+    rows = found.groupBy("model", "size", "gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()
+    discounts, short = {}, {}
+    for model in range(ALL, FOLDS):
+        own = [r for r in rows if r["model"] == model]
+        classes = {(r["size"], r["gram"]): r["c"] for r in own if r["size"] > 2}
+        discounts[model] = {s: discounts_of(*[classes.get((s, i), 0) for i in (1, 2, 3, 4)]) for s in range(3, order + 1)}
+        short[model] = _short(own, order, begin)
+    return Model(tables, shards, discounts, short, order, across)
 
 
 def _fold(text: str) -> Column:
     return F.pmod(F.xxhash64(F.col(f"`{text}`").cast("string")), F.lit(FOLDS)).cast("int")
 
 
-def _discount(a: Column, size: Column, discounts: dict[int, dict[int, tuple[float, float, float]]]) -> Column:
-    """By the columns fold and ``size``, and the class of the count ``a``."""
-    table = F.array(*[F.array(*[F.array(F.lit(0.0), *[F.lit(d) for d in discounts[f][n]])
-                                for n in sorted(discounts[f])]) for f in range(ALL, FOLDS)])
-    own = F.element_at(table, F.col("fold") - ALL + 1)
-    return F.element_at(F.element_at(own, size.cast("int")), F.least(a, F.lit(3)).cast("int") + 1)
-
-
-def probabilities(grams: DataFrame, model: Model) -> DataFrame:
-    """(fold, gram, cost): -ln p of each distinct n-gram, by joins to the count tables."""
-    gram, order = F.col("gram"), model.order
-    levels = grams.select("fold", "gram", F.explode(F.sequence(F.lit(1), _order_of(gram, order))).alias("size"))
-    levels = levels.withColumn("key", _suffix(gram, F.col("size")))
-    counts = model.counts.select(F.col("fold").alias("f"), F.col("gram").alias("k"), "a")
-    contexts = model.contexts.select(F.col("fold").alias("g"), "context", "total", "gamma")
-    joined = levels.join(counts, (F.col("fold") == F.col("f")) & (F.col("key") == F.col("k")), "left").join(
-        contexts, (F.col("fold") == F.col("g")) & (
-            F.shiftrightunsigned("key", 8).cast("long") == F.col("context")), "left")
-    a = F.coalesce("a", F.lit(0)).cast("long")
-    own = F.greatest(F.lit(0.0), a - _discount(a, F.col("size"), model.discounts)) / F.col("total")
-    folded = joined.groupBy("fold", "gram").agg(F.array_sort(F.collect_list(F.struct(
-        "size", F.coalesce(own, F.lit(0.0)).alias("own"),
-        F.coalesce("gamma", F.lit(1.0)).alias("gamma")))).alias("levels"))
-    p = F.aggregate("levels", F.lit(1 / 256), lambda p, x: x["own"] + x["gamma"] * p)
-    return folded.select("fold", "gram", (-F.log(F.greatest(p, F.lit(1e-12)))).alias("cost"))
+class _Shard:
+    """The tables of one model in one shard."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, order: int, begin: int,
+                 discounts: dict[int, tuple[float, float, float]], short: tuple[np.ndarray, np.ndarray]):
+        self.order, self.short, self.levels = order, short, {}
+        for s, (types, a) in _types(gram, n, order, begin)[0].items():
+            if len(types):
+                discount = np.array([0.0, *discounts[s]])[np.minimum(a, 3)]
+                first = np.flatnonzero(np.append(True, types[1:] >> 8 != types[:-1] >> 8))
+                total = np.add.reduceat(a, first)
+                each = np.repeat(total, np.diff(np.append(first, len(types))))
+                self.levels[s] = (types, np.maximum(a - discount, 0) / each, types[first] >> 8,
+                                  np.add.reduceat(discount, first) / total)
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """-ln p of each n-gram, in parts of a nat."""
+        size = _sizes(gram, self.order)
+        p = np.where(size > 1, self.short[1][gram & 0xFFFF], self.short[0][gram & 0xFF])
+        for s in range(3, self.order + 1):
+            if s not in self.levels:
+                continue
+            types, own, contexts, gamma = self.levels[s]
+            some = np.flatnonzero(size >= s)
+            key = _suffix(gram[some], s)
+            # A context that is not there leaves the shorter n-gram's probability.
+            at = np.minimum(np.searchsorted(contexts, key >> 8), len(contexts) - 1)
+            known = contexts[at] == key >> 8
+            some, key, at = some[known], key[known], at[known]
+            place = np.minimum(np.searchsorted(types, key), len(types) - 1)
+            p[some] = np.where(types[place] == key, own[place], 0.0) + gamma[at] * p[some]
+        return np.rint(-np.log(np.maximum(p, 1e-12)) * COST_SCALE).astype(np.int64)
+
+
+def _answer(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and copy, its tables before the blocks' n-grams: those
+    n-grams with their costs."""
+    key, tables, built = None, None, {}
+    for batch in batches:
+        out = []
+        for shard, copy, block, fold, grams, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if (shard, copy) != key:
+                key, built = (shard, copy), {}
+                tables = np.zeros(0, np.int64), np.zeros((FOLDS, 0), np.int64)
+            if counts is not None:
+                tables = _unpack_sorted(grams), _unpack(counts).reshape(FOLDS, -1)
+                continue
+            if fold not in built:
+                n = dict(_models(tables[1]))[fold]
+                built[fold] = _Shard(tables[0], n, model.order, model.begin, model.discounts[fold], model.short[fold])
+            out.append((block, grams, _pack(built[fold].costs(_unpack_sorted(grams)))))
+        columns = zip(*out) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))],
+                                         names=["block", "grams", "costs"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
@@ -275,17 +432,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[
 def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) -> DataFrame:
     """``rows`` has columns row, name (of the text in it) and fold (of the model that
     scores it); ``finish`` turns (batch, log-perplexities) into the result."""
-    order, across = model.order, model.across
+    order, across, shards = model.order, model.across, model.shards
+    ask = Model(None, shards, model.discounts, model.short, order, across)  # without the frame, for the tasks
 
     def grams(batches):
         for block, fold, slices in _blocks(batches):
             keys = np.zeros(0, np.int64)
             for batch in slices:
                 keys = np.union1d(keys, _distinct(sliced.text_of(batch), order, across)[0])
-            columns = np.full(len(keys), block), np.full(len(keys), fold, np.int32), keys
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]) for x in columns],
-                                                 names=["block", "fold", "gram"])
+            rows = [(shard, block, fold, _pack_sorted(keys[at])) for shard, at in _by_shard(keys, shards)]
+            columns = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                names=["shard", "block", "fold", "grams"])
 
     def payloads(batches):
         for block, _, slices in _blocks(batches):
@@ -297,36 +456,46 @@ def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) ->
         # Rows by block, its costs before its slices.
         block, parts, found, cost = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for at in np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else ():
-                own = batch.slice(at, int(np.searchsorted(ids[at:] != ids[at], True)))
-                if ids[at] != block:
-                    block, parts, found, cost = ids[at], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-                costs = own.filter(own.column(3).is_null())
-                if costs.num_rows:
-                    parts.append([np.array(costs.column(i)) for i in (1, 2)])
-                for payload in own.column(3).drop_null():
-                    if parts:
-                        found, cost = (np.concatenate(x) for x in zip(*parts))
-                        rank = np.argsort(found, kind="stable")
-                        found, cost, parts = found[rank], cost[rank], []
-                    batch_ = sliced.unpacked(payload)
-                    yield finish(batch_, _log_perplexities(sliced.text_of(batch_), order, across, found, cost))
-
-    # The n-grams of all blocks, a written table: read for the distinct ones and again
-    # for the way back.
-    pairs = stored(rows.mapInArrow(grams, "block long, fold int, gram long"), "lm-grams")
-    costs = probabilities(pairs.select("fold", "gram").distinct(), model)
-    # Rows, not one list per block: they are sorted on disk where memory is short.
-    back = pairs.join(costs, ["fold", "gram"]).select(
-        "block", "gram", F.round(F.col("cost") * COST_SCALE).cast("int").alias("cost"),
-        F.lit(None).cast("binary").alias("payload"))
+            for own, packed, costs, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if own != block:
+                    block, parts, found, cost = own, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if packed is not None:
+                    parts.append((_unpack_sorted(packed), _unpack(costs)))
+                    continue
+                if parts:
+                    found, cost = (np.concatenate(x) for x in zip(*parts))
+                    rank = np.argsort(found, kind="stable")
+                    found, cost, parts = found[rank], cost[rank], []
+                batch_ = sliced.unpacked(payload)
+                yield finish(batch_, _log_perplexities(sliced.text_of(batch_), order, across, found, cost))
+
+    # The tables come once for every ``COPY_BYTES`` of scored text, blocks are dealt to
+    # the copies: no shard's rows gather in one task.
+    size = rows.agg(F.sum(F.octet_length(_text_field(rows))).alias("n")).first()["n"] or 0
+    copies = tasks_for(size, COPY_BYTES)
+    sent = rows.mapInArrow(grams, "shard long, block long, fold int, grams binary")
+    sent = sent.select("shard", F.pmod("block", F.lit(copies)).alias("copy"), "block", "fold", "grams",
+                       F.lit(None).cast("binary").alias("counts"))
+    tables = model.tables.select(
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"),
+        F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("fold"), "grams", "counts")
+    met = tables.unionByName(sent).repartition(shards * copies, "shard", "copy").sortWithinPartitions(
+        "shard", "copy", F.col("counts").isNull())
+    costs = met.mapInArrow(lambda b: _answer(b, ask), "block long, grams binary, costs binary")
+    back = costs.select("block", "grams", "costs", F.lit(None).cast("binary").alias("payload"))
     blocks = rows.mapInArrow(payloads, "block long, payload binary").select(
-        "block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("int").alias("cost"), "payload")
+        "block", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("costs"), "payload")
     both = back.unionByName(blocks).repartition("block").sortWithinPartitions("block", F.col("payload").isNotNull())
     return both.mapInArrow(score, out_schema)
 
 
+def _text_field(rows: DataFrame) -> Column:
+    """The text of text rows, whichever field holds it."""
+    names = rows.schema["row"].dataType.fieldNames()
+    return F.coalesce(*[F.when(F.col("name") == n, F.col(f"row.{n}").cast("string")) for n in names
+                        if rows.schema["row"].dataType[n].dataType == T.StringType()])
+
+
 def _log_perplexities(texts: pa.Array, order: int, across: bool, found: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Mean cost per event of each text in nats; NaN without events."""
     words = textscan.scan(texts)
