@@ -91,9 +91,11 @@ def _grams(symbols: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     """The n-gram that ends at each symbol, not reaching before place 0."""
     gram = np.ones(len(place), np.int64)
     for back in range(order - 1, -1, -1):
-        shifted = np.zeros(len(place), np.int64)
-        shifted[back:] = symbols[:len(place) - back]
-        gram = np.where(place >= back, (gram << 8) | shifted, gram)
+        gram <<= 8
+        gram[back:] |= symbols[:len(symbols) - back]
+    early = np.flatnonzero(place < order - 1)
+    whole = np.int64(1) << (8 * (place[early] + 1))
+    gram[early] = (gram[early] & (whole - 1)) | whole
     return gram
 
 
@@ -159,6 +161,12 @@ def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(shard[part[0]]), part
 
 
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """The sorted distinct keys of all parts."""
+    keys = np.sort(np.concatenate([np.zeros(0, np.int64), *parts]))
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their counts (rows of counts)."""
     order = np.argsort(keys, kind="stable")
@@ -386,8 +394,8 @@ class _Shard:
 
 
 def _answer(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard and copy, its tables before the blocks' n-grams: those
-    n-grams with their costs."""
+    """Rows sorted by shard and copy, its tables before the blocks' n-grams: the
+    costs, in the order of the n-grams."""
     key, tables, built = None, None, {}
     for batch in batches:
         out = []
@@ -401,10 +409,10 @@ def _answer(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             if fold not in built:
                 n = dict(_models(tables[1]))[fold]
                 built[fold] = _Shard(tables[0], n, model.order, model.begin, model.discounts[fold], model.short[fold])
-            out.append((block, grams, _pack(built[fold].costs(_unpack_sorted(grams)))))
+            out.append((block, shard, _pack(built[fold].costs(_unpack_sorted(grams)))))
         columns = zip(*out) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))],
-                                         names=["block", "grams", "costs"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))],
+                                         names=["block", "shard", "costs"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
@@ -437,9 +445,7 @@ def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) ->
 
     def grams(batches):
         for block, fold, slices in _blocks(batches):
-            keys = np.zeros(0, np.int64)
-            for batch in slices:
-                keys = np.union1d(keys, _distinct(sliced.text_of(batch), order, across)[0])
+            keys = _merged([_distinct(sliced.text_of(batch), order, across)[0] for batch in slices])
             rows = [(shard, block, fold, _pack_sorted(keys[at])) for shard, at in _by_shard(keys, shards)]
             columns = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
@@ -453,21 +459,33 @@ def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) ->
                                                  names=["block", "payload"])
 
     def score(batches):
-        # Rows by block, its costs before its slices.
-        block, parts, found, cost = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Rows by block, its costs before its slices.  The slices wait until their n-grams
+        # are as many as the costs; blocks of the same texts share a number and these.
+        block, costs, wanted, waiting, found, cost = None, {}, 0, [], np.zeros(0, np.int64), None
         for batch in batches:
-            for own, packed, costs, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+            for own, shard, packed, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 if own != block:
-                    block, parts, found, cost = own, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    _none_left(waiting)
+                    block, costs, wanted, found, cost = own, {}, 0, np.zeros(0, np.int64), None
                 if packed is not None:
-                    parts.append((_unpack_sorted(packed), _unpack(costs)))
+                    part = _unpack(packed)
+                    wanted += 0 if shard in costs else len(part)
+                    costs[shard] = part
                     continue
-                if parts:
-                    found, cost = (np.concatenate(x) for x in zip(*parts))
-                    rank = np.argsort(found, kind="stable")
-                    found, cost, parts = found[rank], cost[rank], []
-                batch_ = sliced.unpacked(payload)
-                yield finish(batch_, _log_perplexities(sliced.text_of(batch_), order, across, found, cost))
+                waiting.append(sliced.unpacked(payload))
+                if cost is None:
+                    found = _merged([found, _distinct(sliced.text_of(waiting[-1]), order, across)[0]])
+                    if len(found) < wanted:
+                        continue
+                    cost = np.zeros(len(found), np.int64)
+                    for s, at in _by_shard(found, shards):
+                        if len(costs.get(s, ())) != len(at):
+                            _none_left(waiting)
+                        cost[at] = costs[s]
+                while waiting:
+                    slice_ = waiting.pop(0)
+                    yield finish(slice_, _log_perplexities(sliced.text_of(slice_), order, across, found, cost))
+        _none_left(waiting)
 
     # The tables come once for every ``COPY_BYTES`` of scored text, blocks are dealt to
     # the copies: no shard's rows gather in one task.
@@ -481,14 +499,19 @@ def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) ->
         F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("fold"), "grams", "counts")
     met = tables.unionByName(sent).repartition(shards * copies, "shard", "copy").sortWithinPartitions(
         "shard", "copy", F.col("counts").isNull())
-    costs = met.mapInArrow(lambda b: _answer(b, ask), "block long, grams binary, costs binary")
-    back = costs.select("block", "grams", "costs", F.lit(None).cast("binary").alias("payload"))
+    costs = met.mapInArrow(lambda b: _answer(b, ask), "block long, shard long, costs binary")
+    back = costs.select("block", "shard", "costs", F.lit(None).cast("binary").alias("payload"))
     blocks = rows.mapInArrow(payloads, "block long, payload binary").select(
-        "block", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("costs"), "payload")
+        "block", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("costs"), "payload")
     both = back.unionByName(blocks).repartition("block").sortWithinPartitions("block", F.col("payload").isNotNull())
     return both.mapInArrow(score, out_schema)
 
 
+def _none_left(waiting: list) -> None:
+    if waiting:
+        raise RuntimeError("the documents changed between two reads of them")
+
+
 def _text_field(rows: DataFrame) -> Column:
     """The text of text rows, whichever field holds it."""
     names = rows.schema["row"].dataType.fieldNames()
