@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditscope.llm.tables import tasks_for
+from creditscope.llm.tables import stored, tasks_for
 
 MAX_LEN = 2048
 ALIGN = 16
@@ -29,9 +29,11 @@ SEED = 11
 
 
 def word_count(text: str = "text") -> Column:
-    """Words of ``[^\\x20\\x09-\\x0D]+``; null: none."""
-    words = F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"))
-    return F.coalesce(words, F.lit(0)).cast("long")
+    """Words of ``[^\\x20\\x09-\\x0D]+``; null: none.  One character stands for each
+    word: ``regexp_count`` would hold all words of a text as strings."""
+    led = F.ltrim(F.col(text), F.lit(" \t\n\x0b\x0c\r"))
+    marks = F.regexp_replace(led, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def choose_bounds(histogram: dict[int, int], n_buckets: int = N_BUCKETS, max_len: int = MAX_LEN,
@@ -83,7 +85,8 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text: str = "text", max_l
          n_buckets: int = N_BUCKETS, align: int = ALIGN, token_budget: int = TOKEN_BUDGET) -> DataFrame:
     """Rows (doc_id, piece, length, bucket_len, batch, place): the batch is numbered
     inside its bucket, ``place`` inside the batch."""
-    cut = pieces(documents, id_col, text, max_len)
+    # Written, so that the histogram, the sizes and the rows do not each read the texts.
+    cut = stored(pieces(documents, id_col, text, max_len), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     bounds = choose_bounds(histogram, n_buckets, max_len, align)
     bucket = F.lit(None).cast("long")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 from collections import Counter
 
 from creditscope.llm import packing
@@ -42,3 +43,21 @@ def test_every_token_is_packed_once(awkward):
         full = max(1, 2048 // b)
         assert size == full or (n == last[b] and size < full)
     assert len({(r.bucket_len, r.batch, r.place) for r in rows}) == len(rows)
+
+
+def test_words_are_counted_without_being_held(spark):
+    texts = [None, "", " \n ", "\x0b\x0c a\x1cb\x85c", "\xa0 \u2003x\t", "\U0001F600 \U0001F600\U0001F600 \x00", "\r\n$1 \\x\n\nx"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counted = rows.select("doc_id", packing.word_count().alias("n"))
+    assert {r.doc_id: r.n for r in counted.collect()} == {
+        i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+    # No plan node turns a text into an array of its words, whatever its length.
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "extract_all" not in plan and "split" not in plan, plan
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c"), (2, "d")], "doc_id long, text string").write.parquet(f"{tmp_path}/texts")
+    packed = packing.pack(spark.read.parquet(f"{tmp_path}/texts"))
+    assert packed.count() == 2
+    assert not any(f.endswith(".parquet") and "/texts/" in f for f in packed.inputFiles())
