@@ -80,48 +80,64 @@ def word_grams(words: textscan.Words, order: int) -> tuple[np.ndarray, np.ndarra
     begin = np.cumsum(total) - total
     place = np.arange(total.sum()) - np.repeat(begin, total)
     inside = (place > 0) & (place <= np.repeat(length, total))
-    symbols = np.full(len(place), MARK, np.int64)
+    symbols = np.full(len(place), MARK, np.uint8)
     symbols[inside] = words.buf[(np.repeat(start, total) + place - 1)[inside]]
-    gram = _grams(symbols, place, order)
+    gram = _grams(symbols, begin, total, order)
     event = place > 0
     return gram[event], np.repeat(np.arange(len(first)), total)[event], number
 
 
-def _grams(symbols: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each symbol, not reaching before place 0."""
-    gram = np.ones(len(place), np.int64)
-    for back in range(order - 1, -1, -1):
-        gram <<= 8
-        gram[back:] |= symbols[:len(symbols) - back]
-    early = np.flatnonzero(place < order - 1)
-    whole = np.int64(1) << (8 * (place[early] + 1))
-    gram[early] = (gram[early] & (whole - 1)) | whole
+def _grams(symbols: np.ndarray, begin: np.ndarray, total: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram that ends at each symbol (a byte), not reaching before the begin of
+    its sequence; each has ``total`` symbols."""
+    # A window of eight symbols ends at each of them: a big-endian number.
+    led = np.concatenate([np.zeros(8, np.uint8), symbols])
+    gram = np.ndarray(len(symbols), ">u8", led, 1, (1,)).astype(np.uint64).view(np.int64)
+    gram &= (1 << (8 * order)) - 1
+    gram |= 1 << (8 * order)
+    for place in range(order - 1):
+        early = begin[total > place] + place
+        whole = 1 << (8 * (place + 1))
+        gram[early] = (gram[early] & (whole - 1)) | whole
     return gram
 
 
-def text_grams(words: textscan.Words, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram of every event of the texts, its text): words with one mark between them,
-    behind the begin of the text and a mark."""
-    length = words.end - words.start
-    lead = np.zeros(len(length), np.int64)
-    lead[words.first[:-1][np.diff(words.first) > 0]] = 2
-    total = lead + length + 1
-    begin = np.cumsum(total) - total
-    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    symbols = np.full(total.sum(), MARK, np.int64)
-    symbols[begin[lead > 0]] = BEGIN
-    symbols[np.repeat(begin + lead, length) + inside] = words.buf[np.repeat(words.start, length) + inside]
-    place = np.arange(len(symbols)) - np.repeat(begin[words.first[words.doc]], total)
-    event = place > 1
-    return _grams(symbols, place, order)[event], np.repeat(words.doc, total)[event]
+def text_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram of every event of the texts, events of each text): words with one mark
+    between them, behind the begin of the text and a mark."""
+    buf, offsets = textscan.raw(texts)
+    n = len(offsets) - 1
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(n, np.int64)
+    # Two places in front of every text and one behind it, for its begin and its marks.
+    begin = offsets[:-1] + 3 * np.arange(n)
+    own = np.ones(len(buf) + 3 * n, bool)
+    for place in (begin, begin + 1, begin + 2 + np.diff(offsets)):
+        own[place] = False
+    symbols = np.full(len(own), MARK, np.uint8)
+    symbols[own] = buf
+    space = textscan.is_space(symbols)
+    symbols[space] = MARK
+    # What stays: words, the place behind each, and the two in front of a text with words.
+    stays = ~space
+    stays[1:] |= ~space[:-1]
+    some = begin[np.logical_or.reduceat(stays, begin)]
+    symbols[some] = BEGIN
+    stays[some] = stays[some + 1] = True
+    total = np.add.reduceat(stays, begin, dtype=np.int64)
+    symbols = symbols[stays]
+    first = (np.cumsum(total) - total)[total > 0]
+    gram = _grams(symbols, first, total[total > 0], order)
+    event = np.ones(len(gram), bool)
+    event[first] = event[first + 1] = False
+    return gram[event], np.maximum(total - 2, 0)
 
 
 def _distinct(texts: pa.Array, order: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of the events of the texts, and how often each occurs."""
-    words = textscan.scan(texts)
     if across:
-        return np.unique(text_grams(words, order)[0], return_counts=True)
-    gram, word, number = word_grams(words, order)
+        return np.unique(text_grams(texts, order)[0], return_counts=True)
+    gram, word, number = word_grams(textscan.scan(texts), order)
     times = np.bincount(number, minlength=int(number.max(initial=-1)) + 1)
     keys, inverse = np.unique(gram, return_inverse=True)
     weight = (times[word] if len(word) else word).astype(np.float64)
@@ -155,7 +171,8 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
 def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places of its keys in their order)."""
     shard = _shard_of(keys, shards)
-    order = np.argsort(shard, kind="stable")
+    # Short numbers are sorted by radix.
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
     edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
     for part in np.split(order, edges[1:]) if len(order) else ():
         yield int(shard[part[0]]), part
@@ -461,12 +478,12 @@ def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) ->
     def score(batches):
         # Rows by block, its costs before its slices.  The slices wait until their n-grams
         # are as many as the costs; blocks of the same texts share a number and these.
-        block, costs, wanted, waiting, found, cost = None, {}, 0, [], np.zeros(0, np.int64), None
+        block, costs, wanted, waiting, found, cost = None, {}, 0, [], [], None
         for batch in batches:
             for own, shard, packed, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 if own != block:
                     _none_left(waiting)
-                    block, costs, wanted, found, cost = own, {}, 0, np.zeros(0, np.int64), None
+                    block, costs, wanted, found, cost = own, {}, 0, [], None
                 if packed is not None:
                     part = _unpack(packed)
                     wanted += 0 if shard in costs else len(part)
@@ -474,9 +491,13 @@ def _scored(rows: DataFrame, model: Model, out_schema: T.StructType, finish) ->
                     continue
                 waiting.append(sliced.unpacked(payload))
                 if cost is None:
-                    found = _merged([found, _distinct(sliced.text_of(waiting[-1]), order, across)[0]])
-                    if len(found) < wanted:
+                    found.append(_distinct(sliced.text_of(waiting[-1]), order, across)[0])
+                    if sum(map(len, found)) < wanted:
+                        continue
+                    found = [_merged(found)]
+                    if len(found[0]) < wanted:
                         continue
+                    found = found[0]
                     cost = np.zeros(len(found), np.int64)
                     for s, at in _by_shard(found, shards):
                         if len(costs.get(s, ())) != len(at):
@@ -521,13 +542,17 @@ def _text_field(rows: DataFrame) -> Column:
 
 def _log_perplexities(texts: pa.Array, order: int, across: bool, found: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Mean cost per event of each text in nats; NaN without events."""
-    words = textscan.scan(texts)
-    n_docs = len(words.offsets) - 1
+    n_docs = len(texts)
     if across:
-        gram, doc = text_grams(words, order)
-        keys, inverse = np.unique(gram, return_inverse=True)
-        total, times = np.bincount(doc, _cost_of(keys, found, cost)[inverse], n_docs), np.bincount(doc, minlength=n_docs)
+        gram, times = text_grams(texts, order)
+        place = np.argsort(gram)
+        gram = gram[place]
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else place
+        each = np.repeat(_cost_of(gram[first], found, cost).astype(np.float64), np.diff(np.append(first, len(gram))))
+        # Sums of whole numbers, so their order does not matter.
+        total = np.bincount(np.repeat(np.arange(n_docs, dtype=np.int32), times)[place], each, n_docs)
     else:
+        words = textscan.scan(texts)
         gram, word, number = word_grams(words, order)
         n = int(number.max(initial=-1)) + 1
         per_word, events = np.bincount(word, _cost_of(gram, found, cost), n), np.bincount(word, minlength=n)

@@ -85,6 +85,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             at = to
 
 
+def is_space(buf: np.ndarray) -> np.ndarray:
+    """Which bytes are outside words."""
+    return _SPACE[buf]
+
+
 def scan(column: pa.Array) -> Words:
     buf, offsets = raw(column)
     n_docs = len(offsets) - 1

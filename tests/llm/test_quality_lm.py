@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from creditscope.llm import quality_lm as lm
@@ -151,3 +153,33 @@ def test_trusted_documents_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", 5, 6), (2, "b", 7, 8)], "doc_id long, text string, trusted_id long, `a.b` long")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert [tuple(r) for r in lm.trusted_documents(docs, labels).collect()] == [(1, "a", 5, 6)]
+
+
+def test_grams_across_words_by_their_definition():
+    rng = random.Random(5)
+    cases = [["a"], ["", None], [], ["\x0ba b\t\n", None, "c"]]
+    cases += [[None if rng.random() < 0.1 else "".join(rng.choices(" \n\x0bab\x00ü", k=rng.randint(0, 9)))
+               for _ in range(rng.randint(1, 5))] for _ in range(200)]
+    for texts in cases:
+        for order in (1, 2, 5, 7):
+            want = Counter()
+            for text in texts:
+                words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+                s = b"\n " + b"".join(w + b" " for w in words)
+                want.update(int.from_bytes(b"\1" + s[max(0, i - order + 1):i + 1], "big") for i in range(2, len(s)))
+            keys, times = lm._distinct(pa.array(texts, pa.string()), order, True)
+            assert dict(zip(keys.tolist(), times.tolist())) == want, (texts, order)
+
+
+def test_grams_are_built_on_bytes():
+    """Eight bytes for a symbol's n-gram, a few arrays of them: not an array for each step."""
+    rng = random.Random(6)
+    texts = pa.array([" ".join(rng.choices(["alpha", "be", "gamma", "x"], k=500)) for _ in range(200)])
+    size = sum(len(t) for t in texts.to_pylist())
+    tracemalloc.start()
+    try:
+        lm._distinct(texts, 7, True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 * size, peak / size
