@@ -12,7 +12,8 @@ and an n-gram travels once, packed, whatever its order.  The tables of one and t
 symbols (at most 65,536 each) are summed over the shards.  To score, the texts are cut
 into blocks; a block sends its distinct n-grams to the shards as packed rows, which
 stream past the shard's tables, and gets their costs back, so what travels grows with
-the distinct n-grams of a block, not with its bytes.  A text is rejected
+the distinct n-grams of a block, not with its bytes; n-grams that blocks share are
+looked up once for as many blocks as are answered together.  A text is rejected
 when its perplexity exceeds its language's quantile over the trusted texts.  Texts
 that a model has learned look better than new ones, so the quantiles come from
 ``FOLDS`` further models, each without the texts of its fold (equal texts share one),
@@ -56,6 +57,10 @@ BIN = 1e-4
 BROADCAST_IDS = 4_000_000
 #: n-grams that a task gathers before it passes on, or adds up, its partial counts.
 PARTIAL = 2_000_000
+#: Asked n-grams of one shard that are answered together, each distinct one once.
+ASKED = 1_000_000
+#: Texts whose events are summed together: their number takes the 7 bits that an n-gram's 57 leave.
+TEXTS = 128
 #: Trusted text per shard of the tables; scored text per copy of them.
 SHARD_BYTES = 2 << 20
 COPY_BYTES = 1 << 30
@@ -413,23 +418,39 @@ class _Shard:
 def _answer(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard and copy, its tables before the blocks' n-grams: the
     costs, in the order of the n-grams."""
-    key, tables, built = None, None, {}
+    key, tables, built, asked, size = None, None, {}, {}, 0
+
+    def out():
+        # Blocks share most of their n-grams: each is looked up once for all of them.
+        nonlocal asked, size
+        rows = []
+        for fold, blocks in asked.items():
+            if fold not in built:
+                n = dict(_models(tables[1]))[fold]
+                built[fold] = _Shard(tables[0], n, model.order, model.begin, model.discounts[fold], model.short[fold])
+            every = _merged([grams for _, grams in blocks])
+            cost = built[fold].costs(every)
+            rows += [(block, key[0], _pack(cost[np.searchsorted(every, grams)])) for block, grams in blocks]
+        asked, size = {}, 0
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))],
+                                          names=["block", "shard", "costs"])
+
     for batch in batches:
-        out = []
         for shard, copy, block, fold, grams, counts in zip(*(c.to_pylist() for c in batch.columns)):
             if (shard, copy) != key:
+                if asked:
+                    yield out()
                 key, built = (shard, copy), {}
                 tables = np.zeros(0, np.int64), np.zeros((FOLDS, 0), np.int64)
             if counts is not None:
                 tables = _unpack_sorted(grams), _unpack(counts).reshape(FOLDS, -1)
                 continue
-            if fold not in built:
-                n = dict(_models(tables[1]))[fold]
-                built[fold] = _Shard(tables[0], n, model.order, model.begin, model.discounts[fold], model.short[fold])
-            out.append((block, shard, _pack(built[fold].costs(_unpack_sorted(grams)))))
-        columns = zip(*out) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))],
-                                         names=["block", "shard", "costs"])
+            asked.setdefault(fold, []).append((block, _unpack_sorted(grams)))
+            size += len(asked[fold][-1][1])
+            if size > ASKED:
+                yield out()
+    if asked:
+        yield out()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
@@ -540,23 +561,35 @@ def _text_field(rows: DataFrame) -> Column:
                         if rows.schema["row"].dataType[n].dataType == T.StringType()])
 
 
+def _totals(texts: pa.Array, order: int, found: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cost of each text's events, and how many they are; words in their context."""
+    total, times, low = [np.zeros(0)], [np.zeros(0, np.int64)], np.uint64(TEXTS - 1)
+    for at in range(0, len(texts), TEXTS):
+        gram, n = text_grams(texts.slice(at, TEXTS), order)
+        # One sort of whole numbers: the n-gram, below it the text.
+        event = gram.view(np.uint64) * np.uint64(TEXTS)
+        event |= np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        event.sort()
+        doc = (event & low).astype(np.uint8)
+        event //= np.uint64(TEXTS)
+        first = np.flatnonzero(np.append(True, event[1:] != event[:-1])) if len(event) else np.zeros(0, np.int64)
+        each = _cost_of(event[first].view(np.int64), found, cost).astype(np.float64)
+        # Sums of whole numbers, so their order does not matter.
+        total.append(np.bincount(doc, np.repeat(each, np.diff(np.append(first, len(event)))), len(n)))
+        times.append(n)
+    return np.concatenate(total), np.concatenate(times)
+
+
 def _log_perplexities(texts: pa.Array, order: int, across: bool, found: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Mean cost per event of each text in nats; NaN without events."""
-    n_docs = len(texts)
     if across:
-        gram, times = text_grams(texts, order)
-        place = np.argsort(gram)
-        gram = gram[place]
-        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else place
-        each = np.repeat(_cost_of(gram[first], found, cost).astype(np.float64), np.diff(np.append(first, len(gram))))
-        # Sums of whole numbers, so their order does not matter.
-        total = np.bincount(np.repeat(np.arange(n_docs, dtype=np.int32), times)[place], each, n_docs)
+        total, times = _totals(texts, order, found, cost)
     else:
         words = textscan.scan(texts)
         gram, word, number = word_grams(words, order)
         n = int(number.max(initial=-1)) + 1
         per_word, events = np.bincount(word, _cost_of(gram, found, cost), n), np.bincount(word, minlength=n)
-        total, times = (np.bincount(words.doc, x[number], n_docs) for x in (per_word, events))
+        total, times = (np.bincount(words.doc, x[number], len(texts)) for x in (per_word, events))
     with np.errstate(invalid="ignore"):
         return np.where(times > 0, total / times / COST_SCALE, np.nan)
 

@@ -183,3 +183,65 @@ def test_grams_are_built_on_bytes():
     finally:
         tracemalloc.stop()
     assert peak < 40 * size, peak / size
+
+
+@pytest.mark.parametrize("together", [1_000_000, 1])
+def test_blocks_share_the_lookups_of_a_shard(monkeypatch, together):
+    """n-grams that several blocks ask of a shard are looked up once; each block gets its own costs."""
+    monkeypatch.setattr(lm, "ASKED", together, raising=False)
+    texts = pa.array(["the old man walked slowly", "to his small house near a river", None, "river river"])
+    counted = list(lm._add_up(lm._count(iter([pa.record_batch([texts, pa.array([0, 0, 0, 1])], names=["text", "fold"])]),
+                                        7, True, 1)))
+    model = lm.Model(None, 1, {m: {s: (0.5, 0.7, 0.9) for s in range(3, 8)} for m in range(lm.ALL, lm.FOLDS)},
+                     {m: ([1 / 256] * 256, [1 / 256] * 65536) for m in range(lm.ALL, lm.FOLDS)}, 7, True)
+    model.short = {m: tuple(map(lm.np.array, short)) for m, short in model.short.items()}
+    whole = lm._distinct(texts, 7, True)[0]
+    asked = {1: (lm.ALL, whole), 2: (lm.ALL, whole[::2]), 3: (0, whole), 4: (lm.ALL, whole[:0]), 5: (lm.ALL, whole)}
+    rows = [(0, 0, None, None, counted[0].column(1)[0].as_py(), counted[0].column(2)[0].as_py())]
+    rows += [(0, 0, block, fold, lm._pack_sorted(keys), None) for block, (fold, keys) in asked.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
+        pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+        names=["shard", "copy", "block", "fold", "grams", "counts"])
+    looked_up, costs = [], lm._Shard.costs
+    monkeypatch.setattr(lm._Shard, "costs", lambda self, gram: looked_up.append(len(gram)) or costs(self, gram))
+    got = {b: lm._unpack(c) for out in lm._answer(iter([batch]), model) for b, _, c in zip(*(c.to_pylist() for c in out.columns))}
+    if together > 1:
+        assert looked_up == [len(whole), len(whole)]  # once per model, not once per block
+    table = lm._unpack_sorted(rows[0][4]), lm._unpack(rows[0][5]).reshape(lm.FOLDS, -1)
+    for block, (fold, keys) in asked.items():
+        n = dict(lm._models(table[1]))[fold]
+        shard = lm._Shard(table[0], n, 7, model.begin, model.discounts[fold], model.short[fold])
+        assert got[block].tolist() == costs(shard, keys).tolist()
+
+
+def test_copies_of_a_block_wait_for_all_its_slices(spark):
+    """Blocks of the same texts in the same order share a number; each row still gets its own result."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=1500)), "en") for i in range(700)]
+    assert sum(len(t) for _, t, _ in rows) > 2 * lm.textscan.SLICE_BYTES  # several slices a block
+    one = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    copies = one
+    for k in (1, 2):
+        copies = copies.unionByName(one.withColumn("doc_id", lm.F.col("doc_id") + 1000 * k))
+    trusted = one.where("doc_id < 50")
+    got = {r.doc_id: r.out for r in lm.classify(copies, trusted, order=7, across=True, keep=["doc_id"]).select("row.*", "out").collect()}
+    assert len(got) == 3 * len(rows)
+    want = {r.doc_id: r.out for r in lm.classify(one, trusted, order=7, across=True, keep=["doc_id"]).select("row.*", "out").collect()}
+    assert all(got[i + 1000 * k] == want[i] for i in want for k in range(3))
+
+
+def test_texts_are_summed_in_pieces(monkeypatch):
+    """Means by their definition; arrays of a piece of the texts at a time, whatever their number."""
+    rng = random.Random(8)
+    for n in (0, 1, 127, 128, 129, 300):
+        texts = [rng.choice([None, "", " \t", "x", "".join(rng.choices(" ab\nü", k=rng.randint(0, 30)))]) for _ in range(n)]
+        array, built, grams = pa.array(["front", *texts], pa.string()).slice(1), [], lm.text_grams
+        found = lm._distinct(array, 7, True)[0]
+        monkeypatch.setattr(lm, "text_grams", lambda t, order: built.append(len(t)) or grams(t, order))
+        got = lm._log_perplexities(array, 7, True, found, found % 1000)
+        monkeypatch.setattr(lm, "text_grams", grams)
+        assert sum(built) == n == len(got) and max(built, default=0) <= 128
+        for text, value in zip(texts, got):
+            keys = [int.from_bytes(b"\1" + g, "big") % 1000 for g in running(text, 7)]
+            assert (value == sum(keys) / len(keys) / lm.COST_SCALE) if keys else math.isnan(value)
