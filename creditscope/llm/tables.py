@@ -17,15 +17,16 @@ from creditscope.session import ensure_checkpoint_dir
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and return the written table.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and return the written table, with
+    the values of a column ``by`` in folders of their own.
 
     Cuts the lineage: later readers survive lost executors and see one fixed
     result.  The files are removed when the driver's Python exits.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
